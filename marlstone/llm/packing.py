@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from marlstone.llm.bpe import load
 from marlstone.llm.shared import quoted, settle
 
+#: Up to so many partition totals (about 20 bytes each) are broadcast; more are joined by shuffle.
+_BROADCAST_PARTS = 200_000
+
 
 def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, part, start_in_part, doc_tokens, ids) with ids as little-endian unsigned 32-bit bytes."""
@@ -47,9 +50,11 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
 def pack(docs: DataFrame, path: str, length: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces: id, start, length, ids (binary), doc_tokens, sequence_id, offset."""
     rows = settle(tokenised(docs, path, end_id, id_col, text_col), "packing")
-    totals = rows.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
+    totals = settle(rows.groupBy("part").agg(F.sum("doc_tokens").alias("total")), "packing-totals")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(F.col("part").alias("base_part"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    if totals.count() <= _BROADCAST_PARTS:
+        bases = F.broadcast(bases)
     placed = rows.join(bases, rows["part"] == bases["base_part"]).withColumn("at", F.col("base") + F.col("start_in_part"))
     windows = F.sequence(F.expr(f"at div {length}"), F.expr(f"(at + doc_tokens - 1) div {length}"))
     cut = placed.select("id", "ids", "doc_tokens", "at", F.explode(windows).alias("sequence_id"))

@@ -45,7 +45,7 @@ RULES = (
     Rule("symbols_per_word", "n_symbols / greatest(n_words, 1)", 0.0, 0.3),
     Rule("marks_per_word", "n_marks / greatest(n_words, 1)", 0.0, 0.3),
     Rule("stop_word_share", "n_stop_words / greatest(n_words, 1)", 0.02, 1.0),
-    Rule("duplicate_line_share", "n_dup_lines / greatest(n_lines, 1)", 0.0, 0.3),
+    Rule("duplicate_line_share", "n_dup_lines / greatest(n_lines, 1)", 0.0, 0.4),
     Rule("repeated_word_share", "n_repeat_words / greatest(n_words, 1)", 0.0, 0.5),
 )
 
