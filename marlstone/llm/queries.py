@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, chat, packing, quality_rules, sharding, simhash
+from marlstone.llm import bpe, chat, labelled, packing, quality_model, quality_rules, sharding, simhash, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -43,6 +43,39 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Labelled documents a class, and code points a document, that a classifier is fitted on at most.
+SAMPLE, SAMPLE_CHARS = 2500, 20_000
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    examples = labelled.sample(docs, _read(spark, sf_dir, "labels"), "quality", labelled.fold(F.col("id"), 4) != 2, SAMPLE, chars=SAMPLE_CHARS)
+    scored = quality_model.scored(docs, quality_model.train(examples))
+    return scored.select(
+        "doc_id",
+        (labelled.fold(F.col("doc_id"), 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def toxicity_machine(spark: SparkSession, sf_dir: str) -> toxicity.Machine:
+    """The machine trained on the labelled documents outside the held-out fold."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.train(labelled.sample(docs, _read(spark, sf_dir, "labels"), "toxic", labelled.fold(F.col("id"), 5) != 0, SAMPLE, chars=SAMPLE_CHARS))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.scored(docs, toxicity_machine(spark, sf_dir))
+    return scored.select(
+        "doc_id",
+        (labelled.fold(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -118,7 +151,9 @@ from sized group by conv_id"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
+    "op3_quality": op3_quality,
     "op4_packing": op4_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op9_simhash": op9_simhash,
     "op10_chat": op10_chat,
