@@ -12,8 +12,8 @@ subsequences, equal to the sum over landmarks.
 Sentences and strings: labels mark documents, so a sentence of a toxic document is toxic only if
 it holds a string that tells toxic from clean documents; strings (words, words without inserted
 marks, letters set apart and joined again) are the instances, a sentence and a document score as
-their worst strings do, and a logistic curve fitted on training documents turns the three worst
-strings of a document into its score. All sentences of the whole text count.
+their worst strings do, and a logistic curve whose cut is fitted on training documents turns the
+worst strings of a document into its score. All sentences of the whole text count.
 
 Training takes a bounded sample of labelled documents (``per_class``, ``chars`` long at most);
 scoring covers every word of every text. Null text: empty, and an empty text scores as a harmless
@@ -257,19 +257,24 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-3, st
     return w
 
 
-def _curve(worst: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, ...]:
-    """A logistic curve over the worst strings by ridge-regularised Newton steps."""
-    x = np.hstack([np.ones((len(y), 1)), worst])
-    w = np.zeros(x.shape[1])
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag([1e-3, 0.3, 0.3, 0.3])
-        step = np.linalg.solve(h, x.T @ (weight * (p - y)) + np.array([1e-3, 0.3, 0.3, 0.3]) * w)
-        w -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-7:
-            break
-    return tuple(float(v) for v in w)
+def _curve(worst: np.ndarray, y: np.ndarray, second: float = 0.1, slope: float = 8.0) -> tuple[float, ...]:
+    """A logistic curve over the worst strings, cut where balanced accuracy is best.
+
+    Wrong labels would flatten a fitted curve, so only the cut is fitted: of the values between
+    which balanced accuracy is at its best, the point three fifths of the way up.
+    """
+    t = worst[:, 0] + second * worst[:, 1]
+    order = np.argsort(t, kind="stable")
+    t, toxic = t[order], y[order] == 1
+    missed = np.concatenate([[0], np.cumsum(toxic)]) / max(1, toxic.sum())
+    alarms = 1 - np.concatenate([[0], np.cumsum(~toxic)]) / max(1, (~toxic).sum())
+    loss = missed + alarms
+    edges = np.concatenate([[t[0] - 1], t, [t[-1] + 1]])
+    loss[1:-1][np.diff(t) <= 1e-9] = np.inf  # no cut between equal values
+    best = np.flatnonzero(loss <= loss.min() + 1e-12)
+    widest = best[np.argmax(edges[best + 1] - edges[best])]
+    low, high = edges[widest], edges[widest + 1]
+    return -slope * float(low + 0.6 * (high - low)), slope, slope * second, 0.0
 
 
 def train(examples: list[tuple[str, int]], landmarks: int = 320, negatives: int = 12_000, rounds: int = 3, seed: int = 7) -> Machine:
