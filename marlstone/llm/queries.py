@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, chat, labelled, packing, quality_model, quality_rules, sharding, simhash, toxicity
+from marlstone.llm import bpe, chat, labelled, licenses, packing, quality_model, quality_rules, sharding, simhash, spotsigs, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -59,6 +59,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The table has no paths: a document lies in its source, in folders of 1000 and of 50 ids.
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.expr("cast(doc_id div 1000 as string)"), F.expr("cast(doc_id div 50 as string)"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return licenses.inherit(licenses.scan(docs, "doc_id", "path", "text")).withColumnRenamed("id", "doc_id")
+
+
 def toxicity_machine(spark: SparkSession, sf_dir: str) -> toxicity.Machine:
     """The machine trained on the labelled documents outside the held-out fold."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -109,6 +116,19 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        (not base_failed and {rules}) as kept from b"""
 
 
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spotsigs.edited_pairs(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.fingerprint(F.col("sigs")).alias("fingerprint"),
+        spotsigs.fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
+        spotsigs.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -153,8 +173,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
+    "op5_licenses": op5_licenses,
     "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
+    "op8_spotsigs": op8_spotsigs,
     "op9_simhash": op9_simhash,
     "op10_chat": op10_chat,
 }
