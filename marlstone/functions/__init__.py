@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Column functions: everything here builds expressions of Spark's own functions."""
