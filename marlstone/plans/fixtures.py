@@ -47,6 +47,14 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df from a checkpoint in the shared folder: for frames that a query uses more than once."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/marlstone")
+    return df.checkpoint()
+
+
 # The same in SQL: one CTE after another, ending in ``daily`` with unrounded features.
 def _side_sql(name: str, per: int, more: str) -> str:
     return f"[{', '.join(f'{per * i} + {more}' for i in range(1, 6))}] as {name}"
@@ -70,7 +78,7 @@ bk as (select *, (tb - ta) / (tb + ta + 1e-9) as imb,
          (bv[1] - av[1] + (bv[2] - av[2]) / 2 + (bv[3] - av[3]) / 3 + (bv[4] - av[4]) / 4 + (bv[5] - av[5]) / 5)
            / (bv[1] + av[1] + (bv[2] + av[2]) / 2 + (bv[3] + av[3]) / 3 + (bv[4] + av[4]) / 4 + (bv[5] + av[5]) / 5 + 1e-9) as imb10,
          (-2 * bv[1] - (bv[1] + bv[2]) + (bv[1] + bv[2] + bv[3] + bv[4]) + 2 * list_sum(bv)) / (list_sum(bv) + 1e-9) / 10 as slope,
-         0.02 / (value + 1e-9) as spread, {_STATS.format(x='bo', p='b')}, {_STATS.format(x='ao', p='a')} from tk),
+         case when value - 0.01 <> 0 then 0.02 / (value + 1e-9) else 0 end as spread, {_STATS.format(x='bo', p='b')}, {_STATS.format(x='ao', p='a')} from tk),
 fl as (select *, coalesce(greatest(volume - lag(volume) over w, 0), 0) as dvol, coalesce(greatest(amount - lag(amount) over w, 0), 0) as damt,
          coalesce(case when lag(value) over w <> 0 then (value - lag(value) over w) / lag(value) over w end, 0) as ret,
          (ms - lag(ms) over w)::double as gap, ((ms / 1000.0 + 28800) % 86400) / 60 as minute

@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.operators import daily
+from marlstone.functions.vocabulary import (
+    ACCUMULATE,
+    BUY,
+    CONSOLIDATE,
+    DAY_TRADE,
+    DEFAULT_PATTERN,
+    DISTRIBUTE,
+    DISTRIBUTION,
+    HOT_MONEY,
+    MODEL_FEATURES,
+    NEUTRAL,
+    PATTERNS,
+    PROBE,
+    QUANT,
+    RALLY,
+    RETAIL,
+    SELL,
+    WEIGHTS,
+)
+from marlstone.operators import clusters, daily, evaluation, features, participants, selftrain, submission
 from marlstone.plans import fixtures
+from marlstone.plans.fixtures import settled
 from marlstone.plans.registry import query
 
 FEATURES = [c for c in """regularity manual_irregularity iceberg spoof aggression net_active balance edge_concentration impact_per_amount t0_balance
@@ -14,7 +34,7 @@ rs_interval_cv rs_split_similarity cb_fast_cancel_ratio oss_hot_money_count_pct
 pi_max_price_impact_pct ap_unilateral_intensity big_order_pct small_order_pct low_big_order low_concentration direction_noise iceberg_repeat
 l1_max_order_share l1_order_entropy ob_imbalance_10 depth_slope_bid imbalance_vol oss_buy_amount_pct oss_sell_amount_pct oss_large_amount_pct
 oss_medium_amount_pct px_std_pct vwap_dev""".split()]
-DIGITS = {"impact_per_amount": 1}
+DIGITS = {"impact_per_amount": 1, "px_std_pct": 3, "pi_max_price_impact_pct": 4}
 
 
 def day_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,3 +53,237 @@ _SEQ_SQL = "list_reduce(list_transform(net_active_seq, lambda x: printf('%.4f',
 def daily_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = day_features(spark, sf_dir)
     return rows.select("symbol", "date", "n_snapshots", *[F.round(c, DIGITS.get(c, 6)).alias(c) for c in FEATURES], daily.sequence_text(F.col("net_active_seq")).alias("net_active_seq"))
+
+
+# -- rules over daily features, one batch a date ------------------------------------------------
+
+
+def _normal(c: str) -> str:
+    return f"(case when max({c}) over b - min({c}) over b < 1e-9 then 0.5 else ({c} - min({c}) over b) / (max({c}) over b - min({c}) over b) end)"
+
+
+def _score(weights: dict[str, float]) -> str:
+    return "(" + " + ".join(f"{w} * {_normal(c)}" for c, w in weights.items()) + f") / {sum(weights.values())!r}"
+
+
+TYPES_SQL = f"""{fixtures.TICKS_SQL},
+sc as (select *, {_score(WEIGHTS[QUANT])} as quant_score, {_score(WEIGHTS[HOT_MONEY])} as hot_money_score, {_score(WEIGHTS[RETAIL])} as retail_score
+       from daily window b as (partition by date)),
+ty as (select *, case when retail_score >= hot_money_score and retail_score >= quant_score then '{RETAIL}' when hot_money_score >= quant_score then '{HOT_MONEY}' else '{QUANT}' end as capital_type,
+         round_even(exp(greatest(quant_score, hot_money_score, retail_score)) / (exp(quant_score) + exp(hot_money_score) + exp(retail_score)), 4) as type_confidence from sc),
+it as (select *, case when abs(net_active) <= 0.10 and regularity > 0.6 then '{DAY_TRADE}' when net_active > 0.15 then '{BUY}' when net_active < -0.15 then '{SELL}' else '{NEUTRAL}' end as capital_intention,
+         round_even(case when abs(net_active) <= 0.10 and regularity > 0.6 then balance * 0.6 + 0.4
+           else least(abs(net_active), 1) * 0.6 + least(ap_unilateral_intensity, 1) * 0.4 end, 4) as intention_confidence from ty)"""
+
+
+@query("participant_types", f"with {TYPES_SQL} select symbol, date, round(quant_score, 6) as quant_score, round(hot_money_score, 6) as hot_money_score, round(retail_score, 6) as retail_score, capital_type, type_confidence from it")
+def participant_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = participants.classify_type(day_features(spark, sf_dir), "date")
+    return rows.select("symbol", "date", *[F.round(c, 6).alias(c) for c in ("quant_score", "hot_money_score", "retail_score")], "capital_type", "type_confidence")
+
+
+@query("intents", f"with {TYPES_SQL} select symbol, date, capital_intention, intention_confidence from it")
+def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return participants.classify_intent(day_features(spark, sf_dir)).select("symbol", "date", "capital_intention", "intention_confidence")
+
+
+PHASE_SQL = f"""
+ph as (select *, case when net_active > 0.1 and pi_max_price_impact_pct > 2 then '{RALLY}' when net_active < -0.1 and pi_max_price_impact_pct > 1.5 then '{DISTRIBUTE}'
+    when net_active > 0.05 and (iceberg > 0.4 or oss_mega_amount_pct > 0.3) and pi_max_price_impact_pct < 2 then '{ACCUMULATE}'
+    when (spoof > 0.2 or cb_fast_cancel_ratio > 0.4) and pi_max_price_impact_pct < 1.5 then '{PROBE}' else '{CONSOLIDATE}' end as market_phase from it),
+p2 as (select *, round_even(case market_phase when '{RALLY}' then least(1, 0.5 + pi_max_price_impact_pct / 10) when '{DISTRIBUTE}' then least(1, 0.5 + abs(net_active))
+    when '{ACCUMULATE}' then least(1, 0.5 + iceberg) when '{PROBE}' then 0.6 else 0.5 end, 4) as phase_confidence from ph)"""
+
+
+@query("market_phases", f"with {TYPES_SQL}, {PHASE_SQL} select symbol, date, market_phase, phase_confidence from p2")
+def market_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return participants.market_phase(day_features(spark, sf_dir)).select("symbol", "date", "market_phase", "phase_confidence")
+
+
+PATTERN_SQL = """case when regularity > 0.65 and balance > 0.8 then '量化T0' when edge_concentration > 0.5 and pi_max_price_impact_pct > 2 then '尾盘突袭'
+  when net_active > 0.1 and (iceberg > 0.4 or big_order_pct > 0.35) and pi_max_price_impact_pct < 3 then '大单吸筹'
+  when net_active > 0.05 and big_order_pct > 0.3 and pi_max_price_impact_pct < 1.5 then '压单吸货' when pi_max_price_impact_pct > 3 and pi_herfindahl_30min > 0.25 then '分时脉冲'
+  when abs(net_active) < 0.1 and pi_max_price_impact_pct > 2 then '对倒拉升' when small_order_pct > 0.6 and net_active > 0.05 then '连续小单推升'
+  when pi_max_price_impact_pct > 6 and pi_herfindahl_30min < 0.3 then '涨停板打开' when net_active > 0.1 and pi_max_price_impact_pct > 2.5 then '盘中诱多'
+  when balance > 0.7 then '日内套利' else '散户博弈' end"""
+_map = lambda field: "case pattern_type " + " ".join(f"when '{k}' then '{v[field]}'" for k, v in PATTERNS.items()) + " end"
+
+
+@query("pattern_rules", f"with {fixtures.TICKS_SQL}, pt as (select *, {PATTERN_SQL} as pattern_type from daily) select symbol, date, pattern_type, {_map(0)} as pattern_explanation, {_map(1)} as prior_intent from pt")
+def pattern_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = day_features(spark, sf_dir)
+    rows = rows.withColumn("pattern_type", participants.pattern_of(rows))
+    return rows.select("symbol", "date", "pattern_type", participants.explanation(F.col("pattern_type")).alias("pattern_explanation"), participants.prior_intent(F.col("pattern_type")).alias("prior_intent"))
+
+
+RECONCILED_SQL = f"""with {TYPES_SQL}, {PHASE_SQL},
+rc as (select *, {PATTERN_SQL} as pattern_type from p2), r2 as (select *, {_map(1)} as prior from rc),
+r3 as (select *, (prior is null or prior = capital_intention) as agrees, (prior is not null and prior <> capital_intention and coalesce(intention_confidence, 1) < 0.55) as gives_way from r2),
+done as (select symbol, date, capital_type, type_confidence, case when gives_way then prior else capital_intention end as capital_intention, intention_confidence, pattern_type, market_phase,
+  agrees or gives_way as intent_consistent, gives_way as intent_overridden, prior from r3)"""
+
+
+def _reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = day_features(spark, sf_dir)
+    rows = rows.withColumn("pattern_type", participants.pattern_of(rows))
+    rows = participants.market_phase(participants.classify_intent(participants.classify_type(rows, "date")))
+    rows = settled(rows)
+    predicted = rows.select("symbol", "date", "capital_type", "type_confidence", "capital_intention", "intention_confidence")
+    return participants.reconcile(predicted, rows.select("symbol", "date", "pattern_type"), rows.select("symbol", "date", "market_phase", "phase_confidence"))
+
+
+@query("reconciled", RECONCILED_SQL + " select * exclude (prior) from done")
+def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reconciled(spark, sf_dir).drop("phase_confidence")
+
+
+@query("consistency_rate", RECONCILED_SQL + " select round(avg((prior = capital_intention)::int), 6) as consistency_rate from done where prior is not null")
+def consistency_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.consistency(_reconciled(spark, sf_dir)).select(F.round("consistency_rate", 6).alias("consistency_rate"))
+
+
+@query("type_distribution", f"with {TYPES_SQL} select capital_type as value, count(*) as n from it group by 1")
+def type_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.distribution(participants.classify_type(day_features(spark, sf_dir), "date"), "capital_type")
+
+
+@query("confidence_stats", f"with {TYPES_SQL} select round_even(avg(type_confidence), 4) as type_conf_mean, round_even(avg((type_confidence < 0.5)::int), 4) as type_conf_low_frac from it")
+def confidence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.confidence_stats(participants.classify_type(day_features(spark, sf_dir), "date"))
+
+
+@query(
+    "type_drift",
+    f"""with {TYPES_SQL}, d as (select date, lead(date) over (order by date) as nd from (select distinct date from it)),
+c as (select a.date, avg((a.capital_type <> b.capital_type)::int) as r from it a join d on a.date = d.date join it b on b.date = d.nd and b.symbol = a.symbol group by 1)
+select round_even(avg(r), 4) as type_drift_mean, count(*) as n_transitions from c""",
+)
+def type_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.drift(settled(participants.classify_type(day_features(spark, sf_dir), "date").select("symbol", "date", "capital_type")))
+
+
+@query("confident_rows", f"with {TYPES_SQL}, m as (select date, quantile_cont(type_confidence, 0.5) as q from it group by date) select symbol, it.date as date, type_confidence from it join m on m.date = it.date where type_confidence >= q")
+def confident_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = participants.classify_type(day_features(spark, sf_dir), "date").select("symbol", "date", "type_confidence")
+    return selftrain.confident(rows, "date")
+
+
+@query(
+    "robust_scaling",
+    f"with {fixtures.TICKS_SQL}, {', '.join(f'q_{c} as (select quantile_cont({c}, [0.25, 0.5, 0.75]) as q from daily)' for c in MODEL_FEATURES)} "
+    f"select symbol, date, {', '.join(f'round((d.{c} - q_{c}.q[2]) / case when q_{c}.q[3] - q_{c}.q[1] = 0 then 1 else q_{c}.q[3] - q_{c}.q[1] end, 5) as {c}' for c in MODEL_FEATURES)} "
+    f"from daily d, {', '.join(f'q_{c}' for c in MODEL_FEATURES)}",
+)
+def robust_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.robust_scaled(settled(day_features(spark, sf_dir).withColumn("batch", F.lit("all"))), "batch")
+    return rows.select("symbol", "date", *[F.round(F.col("scaled")[i], 5).alias(c) for i, c in enumerate(MODEL_FEATURES)])
+
+
+# -- distances and clusters: one batch a date ---------------------------------------------------
+
+_MIX = "[" + ", ".join(DISTRIBUTION) + "]"
+_INF = "'infinity'::double"
+PAIRS_SQL = f"""with {fixtures.TICKS_SQL},
+s as (select date as batch, symbol as k, {_MIX} as m, net_active_seq as q from daily),
+p as (select a.batch, a.k as i, b.k as j, a.m as u, b.m as v, a.q as x, b.q as y, list_sum(a.m) as su, list_sum(b.m) as sv from s a join s b on a.batch = b.batch and a.k < b.k),
+w as (select batch, i, j, case when su > 0 and sv > 0 then list_sum(list_transform(range(1, len(u) + 1), lambda t: abs(list_sum(u[:t]) / su - list_sum(v[:t]) / sv))) end as mix_distance,
+        list_reduce(x, lambda r, c: list_reduce(range(1, len(y) + 1), lambda m, t: list_append(m, abs(c - y[t]) + least(r[t + 1], r[t], m[t])), [{_INF}]), list_concat([0.0::double], list_transform(y, lambda z: {_INF})))[len(y) + 1] / (len(x) + len(y)) as seq_distance from p),
+n as (select *, max(mix_distance) over (partition by batch) as mm, max(seq_distance) over (partition by batch) as sm from w)
+select batch, i, j, round(mix_distance, 6) as mix_distance, round(seq_distance, 6) as seq_distance,
+  round(0.5 * mix_distance / case when mm > 0 then mm else 1 end + 0.5 * seq_distance / case when sm > 0 then sm else 1 end, 6) as distance from n"""
+
+
+@query("pair_distances", PAIRS_SQL)
+def pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = settled(day_features(spark, sf_dir))
+    pairs = clusters.pair_distances(rows, "date", "symbol").withColumnRenamed("date", "batch")
+    return pairs.select("batch", "i", "j", *[F.round(c, 6).alias(c) for c in ("mix_distance", "seq_distance", "distance")])
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = settled(day_features(spark, sf_dir))
+    labels = clusters.cluster_labels(rows, "date", "symbol")
+    return rows.join(labels, ["date", "symbol"])
+
+
+@query("pattern_clusters")
+def pattern_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.name_clusters(_clustered(spark, sf_dir), "date").select("symbol", "date", "cluster", "pattern_type", "pattern_explanation")
+
+
+@query("cluster_quality")
+def cluster_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = settled(features.robust_scaled(_clustered(spark, sf_dir), "date").select("date", "scaled", "cluster"))
+    return evaluation.calinski_harabasz(rows, "date", "scaled", "cluster").join(evaluation.mean_silhouette(rows, "date", "scaled", "cluster"), "date")
+
+
+@query(
+    "embedding_calinski_harabasz",
+    """with e as (select vec_id, label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as pos from embeddings),
+c as (select label, pos, count(*) as n, avg(x) as m, sum(x * x) as ss from e group by all), w as (select pos, avg(x) as mean from e group by all),
+s as (select sum(n * power(m - mean, 2)) as b, sum(ss - n * m * m) as wi, count(distinct label) as k, sum(n) filter (pos = 1) as n from c join w using (pos))
+select 'all' as batch, k, n::bigint as n, round((b / (k - 1)) / (wi / (n - k)), 2) as calinski_harabasz from s""",
+)
+def embedding_calinski_harabasz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.table(spark, sf_dir, "embeddings").select(F.lit("all").alias("batch"), F.col("embedding").cast("array<double>").alias("v"), "label")
+    return evaluation.calinski_harabasz(rows, "batch", "v", "label")
+
+
+@query("embedding_silhouette")
+def embedding_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.table(spark, sf_dir, "embeddings").select(F.lit("all").alias("batch"), "embedding", "label")
+    return evaluation.mean_silhouette(rows, "batch", "embedding", "label")
+
+
+@query("self_trained_types")
+def self_trained_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, reason = selftrain.self_trained(settled(day_features(spark, sf_dir).withColumn("batch", F.lit("all"))), "batch")
+    return rows.select("symbol", "date", "capital_type", "type_confidence", "trained", F.lit(reason).alias("reason"))
+
+
+@query("weighted_f1", """with t as (select l.quality as t, (length(d.text) > 300)::int as p from labels l join documents d using (doc_id)),
+k as (select distinct t as c from t union select distinct p from t),
+f as (select c, sum((t = c)::int) as tn, sum((p = c)::int) as pn, sum((t = c and p = c)::int) as tp from k, t group by c)
+select round(sum(tn * 2.0 * tp / (tn + pn)) / sum(tn), 6) as weighted_f1 from f""")
+def weighted_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fixtures.table(spark, sf_dir, "documents").select("doc_id", (F.length("text") > 300).cast("int").alias("said"))
+    rows = fixtures.table(spark, sf_dir, "labels").join(docs, "doc_id")
+    return evaluation.weighted_f1(rows, "quality", "said").select(F.round("weighted_f1", 6).alias("weighted_f1"))
+
+
+@query("submission_issues", f"""with {fixtures.TICKS_SQL}, k as (select symbol as stock_code, date as transaction_date, row_number() over (order by symbol, date) as r from daily)
+select 'key without prediction' as issue, stock_code || '/' || transaction_date as key, '' as detail from k where r % 7 = 0
+union all select 'unknown type', stock_code || '/' || transaction_date, 'whale' from k where r % 7 <> 0 and r % 5 = 0
+union all select 'row counts differ', '', count(*) || ' and ' || sum((r % 7 <> 0)::int) from k""")
+def submission_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = settled(day_features(spark, sf_dir).select(F.col("symbol").alias("stock_code"), F.col("date").alias("transaction_date")))
+    rows = days.withColumn("r", F.row_number().over(Window.orderBy("stock_code", "transaction_date")))
+    patterns = rows.select("stock_code", "transaction_date", F.lit(DEFAULT_PATTERN).alias("pattern_type"))
+    predicted = rows.where("r % 7 <> 0").select("stock_code", "transaction_date", F.when(F.col("r") % 5 == 0, "whale").otherwise(RETAIL).alias("capital_type"), F.lit(BUY).alias("capital_intention"))
+    return submission.issues(patterns, predicted)
+
+
+@query("derived_features", """with r as (select s_suppkey as symbol, count(*)::double as order_count, sum((l_returnflag <> 'R')::int)::double as deal_count, sum(l_extendedprice) as deal_amount,
+  sum(l_extendedprice) filter (l_returnflag = 'A') / sum(l_extendedprice) as b, sum(l_extendedprice) filter (l_returnflag = 'R') / sum(l_extendedprice) as s,
+  stddev_samp(l_quantity) / avg(l_quantity) as cv, (max(l_discount) - min(l_discount)) * 100 as impact, avg(l_tax) as sim, avg(l_discount) as run
+  from supplier join lineitem on s_suppkey = l_suppkey group by 1),
+n as (select *, coalesce(b, 0) - coalesce(s, 0) as net from r)
+select symbol, round(1 / (1 + cv), 6) as regularity, round(cv / (1 + cv), 6) as manual_irregularity, round(sim * run, 6) as iceberg, round(net, 6) as net_active, round(1 - abs(net), 6) as balance,
+  round(impact / (deal_amount / 1e8 + 1e-9), 4) as impact_per_amount, round((1 - abs(net)) * least(greatest(deal_count / (order_count + 1e-9), 0), 2), 6) as t0_balance from n""")
+def derived_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = fixtures.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    price, flag = F.col("l_extendedprice"), F.col("l_returnflag")
+    raw = lines.groupBy(F.col("l_suppkey").alias("symbol")).agg(
+        F.count("*").cast("double").alias("order_count"),
+        F.sum((flag != "R").cast("int")).cast("double").alias("deal_count"),
+        F.sum(price).alias("deal_amount"),
+        (F.sum(F.when(flag == "A", price)) / F.sum(price)).alias("ap_active_buy_pct"),
+        (F.sum(F.when(flag == "R", price)) / F.sum(price)).alias("ap_active_sell_pct"),
+        (F.stddev_samp("l_quantity") / F.avg("l_quantity")).alias("rs_interval_cv"),
+        ((F.max("l_discount") - F.min("l_discount")) * 100).alias("pi_max_price_impact_pct"),
+        F.avg("l_tax").alias("rs_split_similarity"),
+        F.avg("l_discount").alias("rs_split_run_ratio"),
+    )
+    raw = raw.join(fixtures.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("symbol")), "symbol", "left_semi")
+    rows = features.derive(raw)
+    return rows.select("symbol", *[F.round(c, 4 if c == "impact_per_amount" else 6).alias(c) for c in ("regularity", "manual_irregularity", "iceberg", "net_active", "balance", "impact_per_amount", "t0_balance")])
