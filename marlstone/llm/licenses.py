@@ -1,10 +1,13 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest ancestor folder.
 
-Scan: each line of a file that holds a distinctive word of a template becomes a sparse TF-IDF
-vector, joined with the template's vectors word by word; the cosine is a sum over shared words.
-Lines without a distinctive word are skipped safely: what templates have besides distinctive
-words can't bring a cosine to the threshold, which is asserted when the templates are compiled.
-A file's license is its best line's template (ties: the first by name).
+Scan: a line is the set of its words weighted by inverse document frequency (term frequency is
+counted as present or not); words that no template has weigh as the rarest. A line's length is
+summed inside the row. A cosine can't be over the share of a line's length that template words
+make up, so only lines whose share reaches the threshold go on: their template words are joined
+with the templates' vectors, and the cosine is a sum over shared words. A first filter skips lines
+without any distinctive word, safely: what templates have besides distinctive words can't bring a
+cosine to the threshold, which is asserted when the templates are compiled. A file's license is
+its best line's template (ties: the first by name).
 
 Inheritance: a file is a license file of its folder if its path says so (LICENSE, COPYING, ...)
 or if the matching lines hold at least ``cover`` of its words. A file without a license of its
@@ -51,7 +54,7 @@ _FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
 
 @dataclass(frozen=True)
 class Model:
-    vectors: list[tuple[str, int, str, float]]  # license, template number, word, weight (unit length)
+    vectors: list[tuple[str, int, str, float]]  # license, template number, word, idf x weight (unit length)
     idf: dict[str, float]
     unknown: float  # idf of a word that no template has
     distinctive: list[str]
@@ -68,12 +71,12 @@ def compile_templates(templates: dict[str, list[str]], threshold: float) -> Mode
     idf = {w: math.log(1 + len(texts) / n) for w, n in df.items()}
     vectors = []
     for k, (name, text) in enumerate(texts):
-        tf = Counter(_words(text))
-        norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in tf.items()))
-        plain = math.sqrt(sum((n * idf[w]) ** 2 for w, n in tf.items() if w in PLAIN)) / norm
+        words = sorted(set(_words(text)))
+        norm = math.sqrt(sum(idf[w] ** 2 for w in words))
+        plain = math.sqrt(sum(idf[w] ** 2 for w in words if w in PLAIN)) / norm
         if plain >= threshold:
             raise ValueError(f"a line could match {text!r} by plain words alone ({plain:.2f})")
-        vectors += [(name, k, w, n * idf[w] / norm) for w, n in sorted(tf.items())]
+        vectors += [(name, k, w, idf[w] * idf[w] / norm) for w in words]
     return Model(vectors, idf, math.log(1 + len(texts)), sorted(set(idf) - PLAIN))
 
 
@@ -83,19 +86,24 @@ def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, templates:
     model = compile_templates(templates or TEMPLATES, threshold)
     files = files.select(quoted(id_col).alias("id"), quoted(path_col).cast("string").alias("path"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
     worth = r"(?i)(?<![a-z0-9])(?:" + "|".join(model.distinctive) + r")(?![a-z0-9])"
-    lines = F.filter(F.split("text", r"\r?\n"), lambda x: x.rlike(worth))
-    table = files.select(F.monotonically_increasing_id().alias("uid"), "id", "path", lines.alias("lines"), F.when(F.size(lines) > 0, F.size(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != ""))).otherwise(0).alias("n_words"))
+    words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
+    vocabulary = ", ".join(f"'{w}'" for w in sorted(model.idf))
+    squares = "map(" + ", ".join(f"'{w}', {v * v!r}D" for w, v in sorted(model.idf.items())) + ")"
+    rows = files.withColumn("lines", F.filter(F.split("text", r"\r?\n"), lambda x: x.rlike(worth)))
+    rows = rows.withColumn("lines", F.transform("lines", lambda x: F.struct(words(x).alias("ws"))))
+    rows = rows.withColumn("lines", F.transform("lines", lambda x: F.struct(F.size(x["ws"]).alias("size"), F.array_distinct(x["ws"]).alias("ws"))))
+    known = f"filter(x.ws, w -> w in ({vocabulary}))"
+    rows = rows.withColumn("lines", F.expr(f"transform(lines, x -> named_struct('size', x.size, 'distinct', size(x.ws), 'known', {known}))"))
+    inside = f"aggregate(x.known, 0D, (s, w) -> s + {squares}[w])"
+    rows = rows.withColumn("lines", F.expr(f"transform(lines, x -> named_struct('size', x.size, 'known', x.known, 'inside', {inside}, 'outside', (x.distinct - size(x.known)) * {model.unknown**2!r}D))"))
+    rows = rows.withColumn("lines", F.expr(f"filter(lines, x -> x.inside >= {threshold**2!r}D * (x.inside + x.outside) - 1e-9)"))
+    table = rows.select(F.monotonically_increasing_id().alias("uid"), "id", "path", "lines", F.when(F.size("lines") > 0, F.size(words(F.col("text")))).otherwise(0).alias("n_words"))
     table = settle(table, "licenses")
 
-    lined = table.select("uid", F.posexplode("lines").alias("line", "said"))
-    lined = lined.select("uid", "line", F.filter(F.split(F.lower("said"), "[^a-z0-9]+"), lambda w: w != "").alias("ws"))
-    told = lined.select("uid", "line", F.size("ws").alias("size"), F.explode("ws").alias("word")).groupBy("uid", "line", "size", "word").agg(F.count("*").alias("tf"))
-    weights = F.broadcast(spark.createDataFrame(sorted(model.idf.items()), "word string, idf double"))
-    told = told.join(weights, "word", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", F.lit(model.unknown)))
-    norms = told.groupBy("uid", "line", "size").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    told = table.select("uid", F.posexplode("lines").alias("line", "at")).select("uid", "line", "at.size", F.sqrt(F.expr("at.inside + at.outside")).alias("norm"), F.explode("at.known").alias("word"))
     vectors = F.broadcast(spark.createDataFrame(model.vectors, "license string, template int, word string, part double"))
-    dots = told.join(vectors, "word").groupBy("uid", "line", "license", "template").agg(F.sum(F.col("weight") * F.col("part")).alias("dot"))
-    near = dots.join(norms, ["uid", "line"]).select("uid", "line", "size", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).where(F.col("cosine") >= threshold)
+    dots = told.join(vectors, "word").groupBy("uid", "line", "size", "norm", "license", "template").agg(F.sum("part").alias("dot"))
+    near = dots.select("uid", "line", "size", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).where(F.col("cosine") >= threshold)
     best = F.min_by(F.struct("license", "cosine"), F.struct((-F.col("cosine")).alias("c"), "license"))
     by_line = near.groupBy("uid", "line", "size").agg(best.alias("m"))
     found = by_line.groupBy("uid").agg(F.min_by("m", F.struct((-F.col("m.cosine")).alias("c"), F.col("m.license"))).alias("m"), F.sum("size").alias("covered"))
