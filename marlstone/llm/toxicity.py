@@ -258,17 +258,17 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-3, st
 
 
 def _curve(worst: np.ndarray, y: np.ndarray, second: float = 0.1, slope: float = 8.0) -> tuple[float, ...]:
-    """A logistic curve over the worst strings, cut where balanced accuracy is best.
+    """A logistic curve over the worst strings, cut where mistakes cost least.
 
-    Wrong labels would flatten a fitted curve, so only the cut is fitted: of the values between
-    which balanced accuracy is at its best, the point three fifths of the way up.
+    A false alarm costs as much as one and a half misses. Wrong labels would flatten a fitted curve, so only
+    the cut is fitted: of the values between which the cost is least, three fifths of the way up.
     """
     t = worst[:, 0] + second * worst[:, 1]
     order = np.argsort(t, kind="stable")
     t, toxic = t[order], y[order] == 1
-    missed = np.concatenate([[0], np.cumsum(toxic)]) / max(1, toxic.sum())
-    alarms = 1 - np.concatenate([[0], np.cumsum(~toxic)]) / max(1, (~toxic).sum())
-    loss = missed + alarms
+    missed = np.concatenate([[0.0], np.cumsum(toxic)])
+    alarms = (~toxic).sum() - np.concatenate([[0.0], np.cumsum(~toxic)])
+    loss = missed + 1.5 * alarms
     edges = np.concatenate([[t[0] - 1], t, [t[-1] + 1]])
     loss[1:-1][np.diff(t) <= 1e-9] = np.inf  # no cut between equal values
     best = np.flatnonzero(loss <= loss.min() + 1e-12)
