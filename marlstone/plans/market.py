@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +26,11 @@ from marlstone.functions.vocabulary import (
     SELL,
     WEIGHTS,
 )
-from marlstone.operators import clusters, daily, evaluation, features, participants, selftrain, submission
+from marlstone.operators import clusters, daily, evaluation, features, participants, pipeline, selftrain, submission
 from marlstone.plans import fixtures
 from marlstone.plans.fixtures import settled
 from marlstone.plans.registry import query
+from marlstone.streaming import ticks as streaming
 
 FEATURES = [c for c in """regularity manual_irregularity iceberg spoof aggression net_active balance edge_concentration impact_per_amount t0_balance
 rs_interval_cv rs_split_similarity cb_fast_cancel_ratio oss_hot_money_count_pct oss_mega_amount_pct oss_small_amount_pct pi_herfindahl_30min
@@ -287,3 +290,27 @@ def derived_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw.join(fixtures.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("symbol")), "symbol", "left_semi")
     rows = features.derive(raw)
     return rows.select("symbol", *[F.round(c, 4 if c == "impact_per_amount" else 6).alias(c) for c in ("regularity", "manual_irregularity", "iceberg", "net_active", "balance", "impact_per_amount", "t0_balance")])
+
+
+@query("market_run")
+def market_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks to reconciled predictions, one batch a date."""
+    return pipeline.run(settled(day_features(spark, sf_dir)), "date").predictions
+
+
+@query(
+    "streamed_windows",
+    """select event_type as symbol, time_bucket(interval 1 day, ts) as start, count(*) as n_snapshots,
+round((max(value) - min(value)) / (avg(value) + 1e-9) * 100, 4) as pi_max_price_impact_pct, round(max(event_id) - min(event_id), 4)::double as traded_volume from events group by 1, 2""",
+)
+def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming aggregation, run over the events table as a stream to its end."""
+    path = f"{sf_dir}/events.parquet"
+    shape = spark.read.parquet(path).schema
+    # A stream's source is a folder; the pattern names the one table in it.
+    raw = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    ticks = raw.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.col("event_id").cast("double").alias("volume"), F.col("value").alias("amount"), F.lit(1.0).alias("totalbidvolume"), F.lit(1.0).alias("totalaskvolume"))
+    name = f"streamed_{uuid.uuid4().hex}"
+    done = streaming.windowed_features(ticks).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    done.awaitTermination()
+    return spark.table(name).select("symbol", F.col("start").cast("timestamp_ntz").alias("start"), "n_snapshots", F.round("pi_max_price_impact_pct", 4).alias("pi_max_price_impact_pct"), F.round("traded_volume", 4).alias("traded_volume"))

@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Where rows come from and where they go."""

@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Streaming forms. They have no batch counterpart in the reference and are extensions."""
