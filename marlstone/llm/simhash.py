@@ -88,7 +88,8 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     probes = probes.select("a", "half", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
     filed = halves.select(F.col("fp").alias("b"), "half", "key")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    met = probes.join(filed, (probes["half"] == filed["half"]) & (probes["key"] == filed["key"]) & (F.col("a") < F.col("b")) & near)
+    # Sizes of exploded sides are underestimated, so a broadcast is ruled out by hint.
+    met = probes.join(filed.hint("merge"), (probes["half"] == filed["half"]) & (probes["key"] == filed["key"]) & (F.col("a") < F.col("b")) & near)
     return met.select("a", "b").distinct()
 
 

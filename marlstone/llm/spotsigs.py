@@ -136,7 +136,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     filed = rare.select(F.col("fingerprint").alias("b"), F.col("n").alias("nb"), F.col("part"), F.col("at.sig").alias("sig"))
     asked = rare.select(F.col("fingerprint").alias("a"), F.col("n").alias("na"), F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), F.col("at.sig").alias("sig"))
     long_enough = (F.col("na") >= threshold * F.col("nb") - 1e-9) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-    met = asked.join(filed, ["sig", "part"]).where(long_enough).select("a", "b").distinct()
+    met = asked.join(filed.hint("merge"), ["sig", "part"]).where(long_enough).select("a", "b").distinct()
     left, right = sets.select(F.col("fingerprint").alias("a"), F.col("sigs").alias("sa")), sets.select(F.col("fingerprint").alias("b"), F.col("sigs").alias("sb"))
     pairs = met.join(left, "a").join(right, "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), likeness(F.col("sa"), F.col("sb")).alias("likeness"))
     return rows.select("id", "fingerprint"), pairs.where(F.col("likeness") >= threshold - 1e-12)
