@@ -79,8 +79,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = rows.withColumn("s", F.expr(f"if(size(array_distinct(h)) = size(h), {empty}, sort_array(transform(h, (x, i) -> named_struct('h', x, 'at', i))))"))
     stops = ", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS)))
     length = lambda c: F.length(c).cast("long")
-    return rows.select(
-        "row",
+    measures = F.struct(
         F.size("w").cast("long").alias("n_words"),
         length(F.array_join("w", "")).alias("word_chars"),
         (length("t") - length(F.regexp_replace("t", r"[#*$%&|<>]", ""))).alias("n_symbols"),
@@ -90,6 +89,9 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.expr(f"cast(size(filter(w, x -> lower(x) in ({stops}))) as bigint)").alias("n_stop_words"),
         _repeated("w", "s").alias("n_repeat_words"),
     )
+    # A generator of one row: filters on measures stay above it. Below, the optimizer would write
+    # each measure's whole expression into the filter, and the expressions into each other.
+    return rows.select("row", F.explode(F.array(measures)).alias("m")).select("row", "m.*")
 
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
@@ -110,7 +112,4 @@ def judged(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
 def keep(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs."""
     base = F.expr("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words")
-    # A row number in the condition keeps the optimizer from moving the filter below the
-    # projections, where it would repeat each measure's whole expression.
-    rows = measured(docs, text_col).withColumn("at", F.monotonically_increasing_id())
-    return rows.where(base & verdict(rules) & (F.col("at") >= 0)).select("row.*")
+    return measured(docs, text_col).where(base & verdict(rules)).select("row.*")
