@@ -12,7 +12,8 @@ its best line's template (ties: the first by name).
 Inheritance: a file is a license file of its folder if its path says so (LICENSE, COPYING, ...)
 or if the matching lines hold at least ``cover`` of its words. A file without a license of its
 own takes that of the deepest ancestor folder with one, found by joining its ancestor paths with
-the folders' licenses. Several license files in a folder: the best cosine, then name.
+the folders' licenses. Several license files in a folder: those whose path says
+so first, then the best cosine, then name.
 
 Templates are few and fixed, so their vectors are broadcast; folders' licenses are aggregated to
 one row a folder before the join, so no folder's files meet each other. Null path: scanned, but
@@ -122,7 +123,7 @@ def inherit(scanned: DataFrame) -> DataFrame:
     """scanned with ``effective`` license, ``how`` (own, inherited, none) and ``from_folder``."""
     scanned = settle(scanned.withColumn("uid", F.monotonically_increasing_id()), "licenses-scanned")
     folder = F.regexp_replace("path", "/?[^/]*$", "")
-    best = F.min_by("license", F.struct((-F.col("cosine")).alias("c"), "license"))
+    best = F.min_by("license", F.struct((~F.col("path").rlike(_FILE)).alias("n"), (-F.col("cosine")).alias("c"), "license"))
     folders = scanned.where("is_license_file").groupBy(folder.alias("folder")).agg(best.alias("given"))
     parts = F.split(folder, "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("folder")))

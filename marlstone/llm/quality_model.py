@@ -68,6 +68,14 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
+def _matrix(texts: list[str | None]) -> np.ndarray:
+    """Statistics of texts, a row each."""
+    return np.array([statistics(t) for t in texts], float).reshape(len(texts), _WIDTH)
+
+
+_WIDTH = len(statistics(""))
+
+
 @dataclass
 class Forest:
     """Complete trees of one depth, flattened: inner nodes in heap order, then leaves."""
@@ -133,7 +141,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
 
 def train(examples: list[tuple[str, int]]) -> Forest:
     """A forest from (text, label) pairs."""
-    x = np.array([statistics(t) for t, _ in examples], float).reshape(len(examples), -1)
+    x = _matrix([t for t, _ in examples])
     return fit(x, np.array([y for _, y in examples], float))
 
 
@@ -144,7 +152,7 @@ def scored(docs: DataFrame, forest: Forest, text_col: str = "text", out_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
-            x = np.array([statistics(t.as_py()) for t in texts], float).reshape(len(texts), -1)
+            x = _matrix([t.as_py() for t in texts])
             p = np.concatenate([forest.score(x[a : a + 1000]) for a in range(0, len(x), 1000)]) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, out_col])
 
