@@ -16,6 +16,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 from unicodedata import category
 
 import numpy as np
@@ -23,13 +24,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from marlstone.llm.shared import quoted, with_fields, without
+from marlstone.llm.shared import quoted, slices, with_fields, without
 
 _NONE = np.iinfo(np.int32).max
 #: Words of a batch are merged together up to this many symbols.
 _WIDEST = 64
 #: Distinct words that a worker keeps, and characters that it splits at once.
-_KEPT_WORDS, _SLICE = 400_000, 2_000_000
+_KEPT_WORDS, _SLICE = 400_000, 1_000_000
 
 
 def _byte_symbols() -> list[str]:
@@ -180,7 +181,7 @@ class WordBpe:
             raw = w.encode("utf-8", "surrogatepass")
             by_width.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append((w, raw))
         for wide, some in by_width.items():
-            step = max(1, 1_000_000 // wide) if wide <= _WIDEST else 1
+            step = max(1, 250_000 // wide) if wide <= _WIDEST else 1
             for a in range(0, len(some), step):
                 part = some[a : a + step]
                 for (w, _), ids in zip(part, self._merge_rows([raw for _, raw in part], wide)):
@@ -205,7 +206,8 @@ class WordBpe:
                 else:
                     split.append([self.words(text)])
             if len(self.known) > _KEPT_WORDS:
-                self.known.clear()
+                # The words met first are the common ones, so they stay.
+                self.known = dict(islice(self.known.items(), _KEPT_WORDS // 2))
             self.learn(set().union(*(p for parts in split for p in parts if not isinstance(p, str))) - self.known.keys())
             get = self.known.__getitem__
             for parts in split:
@@ -230,7 +232,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
+        for batch in slices(batches):
             raw = bpe.encode(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
             ends = np.cumsum([0, *map(len, raw)]) // 4
             values = pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32))
@@ -246,7 +248,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "dec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column(batch.schema.get_field_index(ids_col))
             texts = [bpe.decode(np.asarray(x.values)) if x.is_valid else "" for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out_col])

@@ -129,7 +129,8 @@ def inherit(scanned: DataFrame) -> DataFrame:
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("folder")))
     asking = scanned.where("license is null and path is not null").select("uid", F.explode(F.when(folder == "", F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("folder")))).otherwise(above)).alias("at"))
     asking = asking.select("uid", "at.depth", "at.folder")
-    got = asking.join(folders, "folder").groupBy("uid").agg(F.max_by(F.struct("folder", "given"), "depth").alias("from"))
+    # The exploded side is larger than planned for, so a broadcast of it is ruled out.
+    got = asking.join(folders.hint("merge"), "folder").groupBy("uid").agg(F.max_by(F.struct("folder", "given"), "depth").alias("from"))
     got = got.select(F.col("uid").alias("of"), "from")
     rows = scanned.join(got, scanned["uid"] == got["of"], "left")
     return rows.select(

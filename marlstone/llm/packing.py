@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.bpe import load
-from marlstone.llm.shared import quoted, settle
+from marlstone.llm.shared import quoted, settle, slices
 
 #: Up to so many partition totals (about 20 bytes each) are broadcast; more are joined by shuffle.
 _BROADCAST_PARTS = 200_000
@@ -35,7 +35,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, total = load(path), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches):
             raw = [ids + end for ids in bpe.encode(batch.column(1).to_pylist())]
             counts = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
             ends = total + np.cumsum(counts)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marlstone.llm.shared import quoted, with_fields, without
+from marlstone.llm.shared import quoted, slices, with_fields, without
 
 # Frequent function words of English, French, German and Spanish.
 _STOPS = frozenset("the of and to in is that it for on with as be by le la les de des et un une que der die das und von den mit zu el los las y del se con para".split())
@@ -150,7 +150,7 @@ def scored(docs: DataFrame, forest: Forest, text_col: str = "text", out_col: str
     slim = without(docs, out_col).withColumn(text_col, quoted(text_col).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index(text_col))
             x = _matrix([t.as_py() for t in texts])
             p = np.concatenate([forest.score(x[a : a + 1000]) for a in range(0, len(x), 1000)]) if len(x) else np.zeros(0)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,3 +58,10 @@ def bytes_of(df: DataFrame, text_col: str) -> int:
     """UTF-8 bytes of a text column: one number, from one scan of that column."""
     row = df.agg(F.sum(F.octet_length(quoted(text_col).cast("string")).cast("long"))).first()
     return int(row[0] or 0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of a few rows, so a worker holds little besides the batch itself."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import quoted, settle, with_fields, without
+from marlstone.llm.shared import quoted, settle, slices, with_fields, without
 
 _LOWER = bytes(range(256)).lower()
 _SEED = 42
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "finger
     slim = slim.withColumn(text_col, quoted(text_col).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index(text_col))
             prints = np.fromiter((fingerprint_text(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*batch.schema.names, out_col])

@@ -29,17 +29,18 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marlstone.llm.shared import quoted, with_fields, without
+from marlstone.llm.shared import quoted, slices, with_fields, without
 
 DECAY, SPAN, ORDER = 0.6, 7, 3
 #: Longer strings are scored in windows of this many symbols, half of it apart.
 WIDEST = 24
-_KEPT = 400_000
+_KEPT = 250_000
 
 # Symbols that stand in for letters.
 _LOOKS = str.maketrans("0134578@$!", "oieastb" + "asi")
@@ -164,8 +165,8 @@ class Machine:
 
     def learn(self, some: Iterable[str]) -> None:
         """Put the values of new strings into the table."""
-        if len(self.known) > _KEPT:
-            self.known.clear()
+        if len(self.known) > _KEPT:  # the strings met first are the common ones, so they stay
+            self.known = dict(islice(self.known.items(), _KEPT // 2))
         new = [s for s in some if s not in self.known]
         pieces = [_pieces(s) for s in new]
         flat = self.values([p for ps in pieces for p in ps])
@@ -180,7 +181,7 @@ class Machine:
         at = 0
         while at < len(texts):
             found, chars, end = [], 0, at
-            while end < len(texts) and (end == at or chars < 2_000_000):
+            while end < len(texts) and (end == at or chars < 1_000_000):
                 found.append(strings(texts[end]))
                 chars += len(texts[end])
                 end += 1
@@ -341,7 +342,7 @@ def scored(docs: DataFrame, machine: Machine, text_col: str = "text", out_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.scores(texts))], [*batch.schema.names, out_col])
 
