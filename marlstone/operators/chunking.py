@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import BRIDGE_TERMS, CHINESE, HEADING, Preset
 
 CHUNK_SCHEMA = "doc_id string, domain string, chunk_id int, text string, is_table boolean, section string, region string, chunk_type string, char_count int"
+_NUMBER = re.compile(r"\d+(?:\.\d+)?%?")
 _PREAMBLE, _TABLE_MARK = "__preamble__", "[表格]\n"
 
 
@@ -32,15 +33,17 @@ def term_set(text: str, preset: Preset = CHINESE) -> set[str]:
     return {*runs, *pairs}
 
 
-def cohesion(left: str, right: str, preset: Preset = CHINESE) -> float:
-    """Likeness of two neighbouring sentences: shared terms over the geometric mean, plus a bridge."""
-    a, b = term_set(left, preset), term_set(right, preset)
-    shared = len(a & b) / (len(a) * len(b)) ** 0.5 if a and b else 0.0
-    bridges = sum(t in left and t in right for t in BRIDGE_TERMS)
-    if bridges:
-        return shared + min(0.45, 0.22 * bridges)
-    number = r"\d+(?:\.\d+)?%?"
-    return shared + (0.12 if set(re.findall(number, left)) & set(re.findall(number, right)) else 0.0)
+def bridge(left: str, right: str) -> float:
+    """What ties two sentences beside shared terms: bridge terms in both, or a number in both."""
+    both = sum(t in left and t in right for t in BRIDGE_TERMS)
+    if both:
+        return min(0.45, 0.22 * both)
+    return 0.12 if set(_NUMBER.findall(left)) & set(_NUMBER.findall(right)) else 0.0
+
+
+def cohesion(left: set[str], right: set[str]) -> float:
+    """Shared terms over the geometric mean of two term sets."""
+    return len(left & right) / (len(left) * len(right)) ** 0.5 if left and right else 0.0
 
 
 def semantic_groups(paragraph: str, most: int = 8, threshold: float = 0.08, similarity: Callable[[str, str], float] | None = None, preset: Preset = CHINESE) -> list[str]:
@@ -48,16 +51,17 @@ def semantic_groups(paragraph: str, most: int = 8, threshold: float = 0.08, simi
     parts = sentence_list(paragraph, preset)
     if len(parts) < 2:
         return parts or [paragraph.strip()]
-    like = similarity or (lambda a, b: cohesion(a, b, preset))
+    terms = [] if similarity else [term_set(p, preset) for p in parts]
     joiner = "" if preset is CHINESE else " "
-    groups, sizes = [parts[0]], [1]
-    for before, here in zip(parts, parts[1:]):
-        if sizes[-1] >= most or like(before, here) < threshold:
-            groups.append(here)
-            sizes.append(1)
+    groups, size = [parts[0]], 1
+    for i in range(1, len(parts)):
+        like = similarity(parts[i - 1], parts[i]) if similarity else cohesion(terms[i - 1], terms[i])
+        if size >= most or like < threshold and (similarity or like + bridge(parts[i - 1], parts[i]) < threshold):
+            groups.append(parts[i])
+            size = 1
         else:
-            groups[-1] += joiner + here
-            sizes[-1] += 1
+            groups[-1] += joiner + parts[i]
+            size += 1
     return groups
 
 

@@ -192,15 +192,15 @@ p as (select a.batch, a.k as i, b.k as j, a.m as u, b.m as v, a.q as x, b.q as y
 w as (select batch, i, j, case when su > 0 and sv > 0 then list_sum(list_transform(range(1, len(u) + 1), lambda t: abs(list_sum(u[:t]) / su - list_sum(v[:t]) / sv))) end as mix_distance,
         list_reduce(x, lambda r, c: list_reduce(range(1, len(y) + 1), lambda m, t: list_append(m, abs(c - y[t]) + least(r[t + 1], r[t], m[t])), [{_INF}]), list_concat([0.0::double], list_transform(y, lambda z: {_INF})))[len(y) + 1] / (len(x) + len(y)) as seq_distance from p),
 n as (select *, max(mix_distance) over (partition by batch) as mm, max(seq_distance) over (partition by batch) as sm from w)
-select batch, i, j, round(mix_distance, 6) as mix_distance, round(seq_distance, 6) as seq_distance,
-  round(0.5 * mix_distance / case when mm > 0 then mm else 1 end + 0.5 * seq_distance / case when sm > 0 then sm else 1 end, 6) as distance from n"""
+select batch, i, j, round(mix_distance, 8) as mix_distance, round(seq_distance, 8) as seq_distance,
+  round(0.5 * mix_distance / case when mm > 0 then mm else 1 end + 0.5 * seq_distance / case when sm > 0 then sm else 1 end, 8) as distance from n"""
 
 
 @query("pair_distances", PAIRS_SQL)
 def pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = settled(day_features(spark, sf_dir))
     pairs = clusters.pair_distances(rows, "date", "symbol").withColumnRenamed("date", "batch")
-    return pairs.select("batch", "i", "j", *[F.round(c, 6).alias(c) for c in ("mix_distance", "seq_distance", "distance")])
+    return pairs.select("batch", "i", "j", *[F.round(c, 8).alias(c) for c in ("mix_distance", "seq_distance", "distance")])
 
 
 def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
