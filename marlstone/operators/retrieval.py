@@ -182,3 +182,18 @@ def retrieve(chunks: DataFrame, questions: DataFrame, top_k: int = 8, pool: int
         return pd.DataFrame([(i, *(x[c] for c in names), x["final"]) for i, x in enumerate(rows)], columns=["position", *names, "score"])
 
     return found.groupBy("qid").applyInPandas(run, "position int, qid string, doc_id string, chunk_id int, text string, is_table boolean, section string, region string, score double")
+
+
+def rerank_by_vectors(candidates_: DataFrame, vectors: DataFrame, query: str, key: str, limit: int) -> DataFrame:
+    """Candidate pairs (query, key) re-ranked by the cosine of their vectors (key, vector array).
+
+    Only pairs that are candidates are compared. A pair without a vector keeps its place at the
+    end; ties go by key.
+    """
+    of = lambda name: vectors.select(F.col("key").alias(name), F.col("vector").alias(f"{name}_vector"))
+    pairs = candidates_.join(of(query), query, "left").join(of(key), key, "left")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    a, b = F.col(f"{query}_vector"), F.col(f"{key}_vector")
+    cosine = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    scored = pairs.select(query, key, F.round(cosine, 6).alias("cosine"))
+    return ranked(scored, [query], [F.desc_nulls_last("cosine"), key], limit)

@@ -11,6 +11,7 @@ from marlstone.functions.text import LATIN
 from marlstone.operators import answering, chunking, daily, evaluation, retrieval, submission
 from marlstone.plans.fixtures import settled, table
 from marlstone.plans.registry import query
+from marlstone.sources import ticks
 
 _TRIM = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
@@ -354,3 +355,37 @@ def typical_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = evaluation.distribution(table(spark, sf_dir, "events"), "event_type").withColumnRenamed("value", "event_type")
     whole = Window.partitionBy()
     return counts.select("event_type", "n", F.round(F.col("n") / F.sum("n").over(whole), 6).alias("share"))
+
+
+@query("vector_rerank", """with v as (select vec_id, label, embedding::double[] as e from embeddings),
+p as (select a.vec_id as query_id, b.vec_id as vec_id, round(list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))), 6) as cosine
+  from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by cosine desc, vec_id) as rank from p) select query_id, vec_id, cosine, rank::int as rank from r where rank <= 5""")
+def vector_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries (ids divisible by 50) against the vectors of their label."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    pairs = asked.join(rows.select("vec_id", "label"), "label").where("query_id <> vec_id").select("query_id", "vec_id")
+    return retrieval.rerank_by_vectors(pairs, rows.select(F.col("vec_id").alias("key"), "vector"), "query_id", "vec_id", 5)
+
+
+@query("key_filters", "select event_id, event_type as symbol, strftime(ts, '%Y%m%d') as dt from events where event_type in ('click', 'view') and strftime(ts, '%Y%m%d') in ('20240103', '20240117')")
+def key_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("symbol"), F.date_format(F.col("ts").cast("timestamp"), "yyyyMMdd").alias("dt"))
+    return ticks.selected(rows, ["click", "view"], ["2024-01-03", "20240117"])
+
+
+@query("united_frames", "select c_custkey as key, c_name as name, c_mktsegment as segment, -1::bigint as size from customer union all select p_partkey, p_name, 'none', p_size from part")
+def united_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = ticks.renamed(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), {"c_custkey": "key", "c_name": "name", "c_mktsegment": "segment", "absent": "x"})
+    b = ticks.renamed(table(spark, sf_dir, "part").select("p_partkey", "p_name", F.col("p_size").cast("long").alias("size")), {"p_partkey": "key", "p_name": "name"})
+    return a.unionByName(b, allowMissingColumns=True).fillna({"segment": "none", "size": -1})
+
+
+@query("symmetric_keys", "select s_suppkey as key, 'left' as side from supplier where s_suppkey not in (select l_suppkey from lineitem where l_quantity > 45) union all select distinct l_partkey, 'right' from lineitem where l_quantity > 49 and l_partkey not in (select s_suppkey from supplier)")
+def symmetric_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that one side has and the other hasn't, as two anti joins."""
+    lines, own = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"))
+    sold = lines.where("l_quantity > 45").select(F.col("l_suppkey").alias("key")).distinct()
+    parts = lines.where("l_quantity > 49").select(F.col("l_partkey").alias("key")).distinct()
+    return own.join(sold, "key", "left_anti").withColumn("side", F.lit("left")).unionByName(parts.join(own, "key", "left_anti").withColumn("side", F.lit("right")))
