@@ -232,12 +232,19 @@ def _disguised(word: str, rng: np.random.Generator) -> str:
 
 
 def _dense(rows: list[tuple[np.ndarray, np.ndarray]], landmarks: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Kernel values of rows against landmarks."""
-    out, table = np.zeros((len(rows), len(landmarks))), np.zeros(_BASE**3)
+    """Kernel values of rows against landmarks: products over the landmarks' own subsequences."""
+    codes = np.unique(np.concatenate([c for c, _ in landmarks]))
+    table = np.zeros((len(codes) + 1, len(landmarks)))  # the last row stands for all other codes
     for j, (code, weight) in enumerate(landmarks):
-        table[code] = weight
-        out[:, j] = [table[c] @ w for c, w in rows]
-        table[code] = 0
+        table[np.searchsorted(codes, code), j] = weight
+    out = np.zeros((len(rows), len(landmarks)))
+    for a in range(0, len(rows), 64):
+        part = rows[a : a + 64]
+        code, weight = np.concatenate([c for c, _ in part]), np.concatenate([w for _, w in part])
+        at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+        at = np.where(codes[at] == code, at, len(codes))
+        starts = np.cumsum([0, *(len(c) for c, _ in part[:-1])])
+        out[a : a + len(part)] = np.add.reduceat(table[at] * weight[:, None], starts, axis=0)
     return out
 
 
