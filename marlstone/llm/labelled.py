@@ -18,7 +18,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_c
 
     The bound is on what reaches the driver: labelled ids are counted, a hash threshold is set for
     each class, and only the rows under it are fetched. Texts over ``chars`` code points aren't
-    chosen. Ids labelled twice with different values are left out.
+    chosen. Ids labelled twice with different values are left out; of
+    repeated documents the least text counts.
     """
     marks = labels.select(quoted(id_col).alias("id"), quoted(label).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(usable)
     marks = marks.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").select("id", "y")
@@ -33,5 +34,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_c
         texts = texts.where(F.length("text") <= chars)
     if chosen.count() <= 100_000:
         chosen = F.broadcast(chosen)
-    met = texts.join(chosen, texts["doc"] == chosen["id"])
-    return [(r["text"], r["y"]) for r in met.select("text", "y", "id").orderBy("id", "text").toLocalIterator()]
+    met = texts.join(chosen, texts["doc"] == chosen["id"]).groupBy("id", "y").agg(F.min("text").alias("text"))
+    return [(r["text"], r["y"]) for r in met.orderBy("id").toLocalIterator()]

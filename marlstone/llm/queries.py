@@ -66,6 +66,31 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.inherit(licenses.scan(docs, "doc_id", "path", "text")).withColumnRenamed("id", "doc_id")
 
 
+def _op5_sql(threshold: float = 0.7, cover: float = 0.5) -> str:
+    model = licenses.compile_templates(licenses.TEMPLATES, threshold)
+    parts = ", ".join(f"('{n}', {k}, '{w}', {v!r}::double)" for n, k, w, v in model.vectors)
+    idf = ", ".join(f"('{w}', {v!r}::double)" for w, v in sorted(model.idf.items()))
+    return rf"""
+with t(license, template, word, part) as (values {parts}), g(word, idf) as (values {idf}),
+d as (select doc_id, coalesce(source, 'none') || '/' || (doc_id // 1000) || '/' || (doc_id // 50) || '/' || doc_id || '.txt' as path, coalesce(text, '') as text from documents),
+l as (select doc_id, regexp_split_to_array(text, '\r?\n') as ls from d),
+u as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i from l),
+w as (select doc_id, i, regexp_extract_all(lower(line), '[a-z0-9]+') as ws from u),
+x as (select doc_id, i, len(ws) as size, unnest(list_distinct(ws)) as word from w),
+n as (select doc_id, i, any_value(size) as size, sqrt(sum(power(coalesce(idf, {model.unknown!r}), 2))) as norm from x left join g using (word) group by doc_id, i),
+c as (select doc_id, i, license, template, sum(part) as dot from x join t using (word) group by all),
+a as (select doc_id, i, size, license, round(dot / norm, 9) as cosine from c join n using (doc_id, i) where round(dot / norm, 9) >= {threshold}),
+b as (select doc_id, i, any_value(size) as size, arg_min(license, (-cosine, license)) as license, max(cosine) as cosine from a group by doc_id, i),
+f as (select doc_id, arg_min(license, (-cosine, license)) as license, max(cosine) as cosine, sum(size) as covered from b group by doc_id),
+s as (select doc_id, path, regexp_replace(path, '/?[^/]*$', '') as folder, license, cosine,
+        coalesce(covered >= {cover} * len(regexp_extract_all(lower(text), '[a-z0-9]+')), false) as is_license_file from d left join f using (doc_id)),
+o as (select folder as given_folder, arg_min(license, (-cosine, license)) as given from s where is_license_file group by folder),
+h as (select doc_id, arg_max(given, length(given_folder)) as given, arg_max(given_folder, length(given_folder)) as given_folder
+      from s join o on folder = given_folder or starts_with(folder, given_folder || '/') where license is null group by doc_id)
+select doc_id, path, license, cosine, is_license_file, coalesce(license, given) as effective,
+  case when license is not null then 'own' when given is not null then 'inherited' else 'none' end as how, given_folder as from_folder from s left join h using (doc_id)"""
+
+
 def toxicity_machine(spark: SparkSession, sf_dir: str) -> toxicity.Machine:
     """The machine trained on the labelled documents outside the held-out fold."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -181,4 +206,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": op10_chat,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_quality_rules": _op7_sql(), "op10_chat": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_licenses": _op5_sql(), "op7_quality_rules": _op7_sql(), "op10_chat": OP10_SQL}
