@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 
 from marlstone.llm.shared import quoted, slices, with_fields, without
 
-_NONE = np.iinfo(np.int32).max
+#: No merge: above every rank and every leaf, which joins a rank with a position.
+_NONE = np.iinfo(np.int64).max
 #: Words of a batch are merged together up to this many symbols.
 _WIDEST = 64
 #: Distinct words that a worker keeps, and characters that it splits at once.

@@ -110,6 +110,14 @@ def test_bpe_merges_leftmost_lowest_rank_first():
         assert np.frombuffer(own.known[w], "<u4").tolist() == slow(w.encode())
 
 
+@pytest.mark.parametrize("word", ["=" * 33_000, "stonewindowengine" * 1_950, "quietlamppaper" * 5_000], ids=["rule", "33k", "70k"])
+def test_bpe_merges_every_rank_in_very_long_words(word):
+    from tokenizers import Tokenizer
+
+    got = np.frombuffer(bpe.load(PATH).encode([word])[0], "<u4").tolist()
+    assert got == Tokenizer.from_file(PATH).encode(word, add_special_tokens=False).ids
+
+
 def test_packing_loses_nothing(spark, awkward, empty):
     own = bpe.load(PATH)
     pieces = packing.pack(awkward, PATH, length=64).collect()
