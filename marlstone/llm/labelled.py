@@ -14,7 +14,14 @@ def fold(id_col: Column, folds: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text", chars: int | None = None) -> list[tuple[str, int]]:
-    """(text, label) of at most about ``per_class`` documents a class, as chosen by a hash of the id.
+    """The examples of ``weighted``."""
+    return weighted(docs, labels, label, usable, per_class, id_col, text_col, chars)[0]
+
+
+def weighted(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text", chars: int | None = None) -> tuple[list[tuple[str, int]], dict[int, float]]:
+    """(text, label) of at most about ``per_class`` documents a class, as chosen by a hash of the id,
+    and how many documents of its class each of them stands for (the inverse of its share), so the
+    weighted mix of classes is that of docs at every size.
 
     The bound is on what reaches the driver: labelled ids are counted, a hash threshold is set for
     each class, and only the rows under it are fetched. Texts over ``chars`` code points aren't
@@ -25,9 +32,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_c
     marks = marks.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").select("id", "y")
     sizes = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     space = 1 << 20
-    under = F.lit(-1)
+    under, weights = F.lit(-1), {}
     for y in (0, 1):
-        under = F.when(F.col("y") == y, F.lit(int(space * min(1.0, per_class / max(1, sizes.get(y, 0)))))).otherwise(under)
+        bound = max(1, int(space * min(1.0, per_class / max(1, sizes.get(y, 0)))))
+        under, weights[y] = F.when(F.col("y") == y, F.lit(bound)).otherwise(under), space / bound
     chosen = marks.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(space)) < under)
     texts = docs.select(quoted(id_col).alias("doc"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
     if chars is not None:
@@ -35,4 +43,4 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_c
     if chosen.count() <= 100_000:
         chosen = F.broadcast(chosen)
     met = texts.join(chosen, texts["doc"] == chosen["id"]).groupBy("id", "y").agg(F.min("text").alias("text"))
-    return [(r["text"], r["y"]) for r in met.orderBy("id").toLocalIterator()]
+    return [(r["text"], r["y"]) for r in met.orderBy("id").toLocalIterator()], weights

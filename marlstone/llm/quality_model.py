@@ -3,7 +3,7 @@
 Statistics come from the bytes, words and lines of a text. Training bins each statistic into
 quantiles, grows trees of fixed depth level by level from histograms of gradients and hessians of
 the logistic loss, and is done in numpy on the driver over a bounded sample of labelled documents
-(``per_class``). The trees are complete and flattened into arrays (feature, threshold, leaf), so
+(``per_class``), weighted so that the mix of classes is that of all labelled ones. The trees are complete and flattened into arrays (feature, threshold, leaf), so
 scoring a block of documents is ``depth`` rounds of numpy indexing for all trees at once.
 
 Null text: the empty text, which is scored like any other. Repeated rows are each scored. No
@@ -97,10 +97,11 @@ class Forest:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, ridge: float = 1.0, least: float = 1.0) -> Forest:
-    """Boost ``trees`` trees on statistics x and labels y (0 or 1)."""
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, ridge: float = 1.0, least: float = 1.0, weight: np.ndarray | None = None) -> Forest:
+    """Boost ``trees`` trees on statistics x and labels y (0 or 1); weights are scaled to a mean of 1."""
     inner = 2**depth - 1
-    positive = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.5
+    weight = np.ones(len(y)) if weight is None or not len(y) else weight / weight.mean()
+    positive = ((weight * y).sum() + 0.5) / (len(y) + 1) if len(y) else 0.5
     base = math.log(positive / (1 - positive))
     forest = Forest(np.zeros((trees, inner), np.int32), np.full((trees, inner), np.inf), np.zeros((trees, inner + 1)), base)
     if len(y) == 0 or y.min() == y.max():
@@ -111,7 +112,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
     column = np.arange(features) * bins
     for t in range(trees):
         p = 1 / (1 + np.exp(-logit))
-        g, h = p - y, np.maximum(p * (1 - p), 1e-6)
+        g, h = weight * (p - y), weight * np.maximum(p * (1 - p), 1e-6)
         node = np.zeros(len(y), np.int64)
         for level in range(depth):
             first, width = 2**level - 1, 2**level
@@ -139,10 +140,11 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
     return forest
 
 
-def train(examples: list[tuple[str, int]]) -> Forest:
-    """A forest from (text, label) pairs."""
+def train(examples: list[tuple[str, int]], weights: dict[int, float] | None = None) -> Forest:
+    """A forest from (text, label) pairs, each standing for ``weights`` documents of its class."""
     x = _matrix([t for t, _ in examples])
-    return fit(x, np.array([y for _, y in examples], float))
+    weight = np.array([(weights or {}).get(y, 1.0) for _, y in examples], float)
+    return fit(x, np.array([y for _, y in examples], float), weight=weight)
 
 
 def scored(docs: DataFrame, forest: Forest, text_col: str = "text", out_col: str = "score") -> DataFrame:

@@ -49,8 +49,8 @@ SAMPLE, SAMPLE_CHARS = 2500, 20_000
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    examples = labelled.sample(docs, _read(spark, sf_dir, "labels"), "quality", labelled.fold(F.col("id"), 4) != 2, SAMPLE, chars=SAMPLE_CHARS)
-    scored = quality_model.scored(docs, quality_model.train(examples))
+    examples, weights = labelled.weighted(docs, _read(spark, sf_dir, "labels"), "quality", labelled.fold(F.col("id"), 4) != 2, SAMPLE, chars=SAMPLE_CHARS)
+    scored = quality_model.scored(docs, quality_model.train(examples, weights))
     return scored.select(
         "doc_id",
         (labelled.fold(F.col("doc_id"), 4) == 2).alias("held_out"),
@@ -94,7 +94,8 @@ select doc_id, path, license, cosine, is_license_file, coalesce(license, given)
 def toxicity_machine(spark: SparkSession, sf_dir: str) -> toxicity.Machine:
     """The machine trained on the labelled documents outside the held-out fold."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity.train(labelled.sample(docs, _read(spark, sf_dir, "labels"), "toxic", labelled.fold(F.col("id"), 5) != 0, SAMPLE, chars=SAMPLE_CHARS))
+    examples, weights = labelled.weighted(docs, _read(spark, sf_dir, "labels"), "toxic", labelled.fold(F.col("id"), 5) != 0, SAMPLE, chars=SAMPLE_CHARS)
+    return toxicity.train(examples, weights=weights)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

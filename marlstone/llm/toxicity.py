@@ -265,28 +265,30 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-3, st
     return w
 
 
-def _curve(worst: np.ndarray, y: np.ndarray, second: float = 0.1, slope: float = 8.0) -> tuple[float, ...]:
+def _curve(worst: np.ndarray, y: np.ndarray, second: float = 0.1, slope: float = 8.0, weights: dict[int, float] | None = None) -> tuple[float, ...]:
     """A logistic curve over the worst strings, cut where mistakes cost least.
 
     A false alarm costs as much as one and a half misses. Wrong labels would flatten a fitted curve, so only
     the cut is fitted: of the values between which the cost is least, three fifths of the way up.
+    Each mistake counts for the documents of its class that the example stands for (``weights``).
     """
+    of = weights or {}
     t = worst[:, 0] + second * worst[:, 1]
     order = np.argsort(t, kind="stable")
     t, toxic = t[order], y[order] == 1
     missed = np.concatenate([[0.0], np.cumsum(toxic)])
     alarms = (~toxic).sum() - np.concatenate([[0.0], np.cumsum(~toxic)])
-    loss = missed + 1.5 * alarms
+    loss = of.get(1, 1.0) * missed + 1.5 * of.get(0, 1.0) * alarms
     edges = np.concatenate([[t[0] - 1], t, [t[-1] + 1]])
     loss[1:-1][np.diff(t) <= 1e-9] = np.inf  # no cut between equal values
-    best = np.flatnonzero(loss <= loss.min() + 1e-12)
+    best = np.flatnonzero(loss <= loss.min() * (1 + 1e-12) + 1e-12)
     widest = best[np.argmax(edges[best + 1] - edges[best])]
     low, high = edges[widest], edges[widest + 1]
     return -slope * float(low + 0.6 * (high - low)), slope, slope * second, 0.0
 
 
-def train(examples: list[tuple[str, int]], landmarks: int = 320, negatives: int = 12_000, rounds: int = 3, seed: int = 7) -> Machine:
-    """A machine from (text, label) pairs."""
+def train(examples: list[tuple[str, int]], landmarks: int = 320, negatives: int = 12_000, rounds: int = 3, seed: int = 7, weights: dict[int, float] | None = None) -> Machine:
+    """A machine from (text, label) pairs, each standing for ``weights`` documents of its class."""
     texts = [t or "" for t, _ in examples]
     y = np.array([label for _, label in examples], float)
     machine = Machine()
@@ -301,7 +303,7 @@ def train(examples: list[tuple[str, int]], landmarks: int = 320, negatives: int
     bad = [w for w in bad if len(w) <= WIDEST]
     harmless = [w for w in harmless if len(w) <= WIDEST]
     if not bad or not harmless:
-        machine.curve = _curve(machine.worst(texts), y)
+        machine.curve = _curve(machine.worst(texts), y, weights=weights)
         return machine
     hard: list[str] = []
     for turn in range(rounds):
@@ -337,7 +339,7 @@ def train(examples: list[tuple[str, int]], landmarks: int = 320, negatives: int
                     if v.max() > 0.3:
                         bad.append(some[int(v.argmax())])
             bad = [w for w, _ in sorted(Counter(bad).items(), key=lambda x: (-x[1], x[0]))]
-    machine.curve = _curve(machine.worst(texts), y)
+    machine.curve = _curve(machine.worst(texts), y, weights=weights)
     machine.known = {}
     return machine
 

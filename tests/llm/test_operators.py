@@ -337,6 +337,23 @@ def test_sample_is_bounded_and_disjoint(spark):
     assert all(zlib.crc32(t[2:].encode()) % 4 != 2 for t, _ in got)
 
 
+def test_capped_samples_keep_the_mix_of_classes(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    marks = docs.select("doc_id", (F.col("doc_id") % 10 > 0).cast("int").alias("quality"))
+    got, weights = labelled.weighted(docs, marks, "quality", F.lit(True), 500)
+    mass = {y: weights[y] * sum(v == y for _, v in got) for y in (0, 1)}
+    assert abs(mass[1] / (mass[0] + mass[1]) - 0.9) < 0.02
+    forest = quality_model.train(got, weights)
+    assert abs(1 / (1 + np.exp(-forest.base)) - 0.9) < 0.02
+    # One class thinned and weighted is cut where the whole one is.
+    worst = np.zeros((2300, 3))
+    worst[:, 0] = np.concatenate([np.linspace(-2, 1, 2000), np.linspace(-0.5, 2, 300)])
+    y = np.repeat([0.0, 1.0], [2000, 300])
+    thin = np.concatenate([np.arange(0, 2000, 8), np.arange(2000, 2300)])
+    cut = lambda w, v, **k: -toxicity._curve(w, v, **k)[0] / 8
+    assert abs(cut(worst[thin], y[thin], weights={0: 8.0, 1: 1.0}) - cut(worst, y)) < 0.1
+
+
 def test_licenses_scan_and_inherit(spark, empty):
     files = [
         ("a", "p/LICENSE", "Released under the MIT License."),
