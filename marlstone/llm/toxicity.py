@@ -76,7 +76,7 @@ def strings(text: str) -> set[str]:
         if 3 * sum(map(str.isdigit, bare)) <= len(bare) <= 2 * WIDEST:
             found.add(_MARKS.sub("", bare.translate(_LOOKS)))
     for run in _APART.findall(low):
-        found.add(_MARKS.sub("", run)[: 4 * WIDEST])
+        found.add(_MARKS.sub("", run))
     found.discard("")
     return found
 

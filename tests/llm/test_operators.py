@@ -307,6 +307,13 @@ def test_toxicity_tolerates_gaps_and_insertions(machine):
     assert (machine.scores([f"{h} {h} and the river" for h in hidden]) >= 0.5).all()
 
 
+def test_toxicity_scores_the_end_of_a_long_run_of_letters(machine):
+    plain = " ".join("".join(prose(3, 60).split()))
+    hidden = plain[:-1] + " ".join("snivelbagthe")
+    assert (machine.scores([hidden]) >= 0.5).all() and (machine.scores([plain]) < 0.5).all()
+    assert any(s.endswith("snivelbagthe") for s in toxicity.strings(hidden))
+
+
 def test_toxicity_folded_weights_equal_the_landmark_sum():
     some = ["idiot", "idxiot", "the", "window", "a"]
     rows = toxicity.expanded(some)
