@@ -11,9 +11,10 @@ subsequences, equal to the sum over landmarks.
 
 Sentences and strings: labels mark documents, so a sentence of a toxic document is toxic only if
 it holds a string that tells toxic from clean documents; strings (words, words without inserted
-marks, letters set apart and joined again) are the instances, a sentence and a document score as
-their worst strings do, and a logistic curve whose cut is fitted on training documents turns the
-worst strings of a document into its score. All sentences of the whole text count.
+marks, letters set apart and joined again, words with look-alikes read as letters; numbers aren't
+words) are the instances, a sentence and a document score as their worst strings do, and a
+logistic curve whose cut is fitted on training documents turns the worst strings of a document
+into its score. All sentences of the whole text count.
 
 Training takes a bounded sample of labelled documents (``per_class``, ``chars`` long at most);
 scoring covers every word of every text. Null text: empty, and an empty text scores as a harmless
@@ -54,6 +55,7 @@ for _i, _c in enumerate(_LETTERS):
 _WORD = re.compile(r"\S+")
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 _MARKS = re.compile(r"[\W_]+")
+_LETTER = re.compile(r"[^\W\d_]")
 _APART = re.compile(r"(?:(?<=\s)|^)(?:[^\W_][\W_]+){3,}[^\W_](?=\W|$)")
 
 
@@ -71,16 +73,42 @@ def strings(text: str) -> set[str]:
             continue
         parts = [x for x in _MARKS.split(bare) if x]
         found.update(p for p in parts if len(p) > 2 and p.isalpha())
-        if len(parts) <= 12 and "".join(parts).isalpha():
-            found.add("".join(parts))
-        if 3 * sum(map(str.isdigit, bare)) <= len(bare) <= 2 * WIDEST:
-            found.add(_MARKS.sub("", bare.translate(_LOOKS)))
+        found.update(_joined(parts))
+        looks = bare.translate(_LOOKS)
+        if looks != bare:
+            # Part by part, whether look-alikes are symbols of a part or marks between two.
+            found.update(p.translate(_LOOKS) for p in parts if not p.isalpha() and _LETTER.search(p))
+            if _LETTER.search(bare):
+                spelt = [x for x in _MARKS.split(looks) if x]
+                found.update(spelt)
+                found.update(_joined(spelt))
     for run in _APART.findall(low):
         found.add(_MARKS.sub("", run))
     found.discard("")
     return found
 
 
+def _joined(parts: list[str]) -> set[str]:
+    """A token's marked-off parts joined: runs of parts of one or two symbols, then neighbours as
+    far as WIDEST symbols go."""
+    runs: list[str] = []
+    short = False
+    for p in parts:
+        if len(p) <= 2 and short:
+            runs[-1] += p
+        else:
+            runs.append(p)
+        short = len(p) <= 2
+    found = set(runs)
+    for i, whole in enumerate(runs):
+        for p in runs[i + 1 :]:
+            whole += p
+            if len(whole) > WIDEST:
+                break
+            found.add(whole)
+    return {x for x in found if _LETTER.search(x)}
+
+
 def sentences(text: str) -> list[str]:
     """The sentences of a text."""
     return _SENTENCE.findall(text)

@@ -314,6 +314,13 @@ def test_toxicity_scores_the_end_of_a_long_run_of_letters(machine):
     assert any(s.endswith("snivelbagthe") for s in toxicity.strings(hidden))
 
 
+def test_toxicity_reads_look_alikes_and_marked_off_letters_in_any_token():
+    words = "word," * 15
+    for text, want in [("1d10t", "idiot"), ("id10t", "idiot"), ("4ssh0l3", "asshole"), (f"{words}sh1t,{words}", "shit"), (f"{words}i.d.i.o.t,{words}", "idiot"), (f"{words}sn1v-elbag", "snivelbag")]:
+        assert want in toxicity.strings(text), text
+    assert toxicity.strings("2020-01-05 1234") == set()
+
+
 def test_toxicity_folded_weights_equal_the_landmark_sum():
     some = ["idiot", "idxiot", "the", "window", "a"]
     rows = toxicity.expanded(some)
