@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -17,11 +18,17 @@ _OWN_FOLDER = "/tmp/checkpoints/marlstone"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir, or else of the context's checkpoints.
+
+    Where neither is set a session in one process gets a folder of our own; on a cluster that is an
+    error, as executors don't share local folders.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(_OWN_FOLDER)
-        found = _OWN_FOLDER
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -34,13 +41,22 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/marlstone/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    settled = spark.read.schema(df.schema).parquet(path)
+    settled.settled_at = path
+    return settled
+
+
+def discard(settled: DataFrame) -> None:
+    """Delete the files of a settled table that nothing reads any more."""
+    spark = settled.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(settled.settled_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without the columns whose names (case aside) an operator is about to write."""
     taken = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+    return df.select(*[quoted(c) for c in df.columns if c.lower() not in taken])
 
 
 def quoted(name: str) -> Column:
@@ -50,7 +66,7 @@ def quoted(name: str) -> Column:
 
 def with_fields(df: DataFrame, *fields: tuple[str, str]) -> T.StructType:
     """The schema of df followed by new fields given as (name, DDL type)."""
-    added = T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in fields))
+    added = T.StructType([T.StructField(n, T.StructType.fromDDL(f"x {t}")["x"].dataType) for n, t in fields])
     return T.StructType([*df.schema.fields, *added.fields])
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import quoted, settle, slices, with_fields, without
+from marlstone.llm.shared import discard, quoted, settle, slices, with_fields, without
 
 _LOWER = bytes(range(256)).lower()
 _SEED = 42
@@ -117,8 +117,9 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen or mark[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = tuple(mark)
-        now = settle(_small_star(_large_star(now)), "cc")
+        before, seen = now, tuple(mark)
+        now = settle(_small_star(_large_star(before)), "cc")
+        discard(before)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
