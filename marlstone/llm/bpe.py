@@ -3,7 +3,7 @@
 A word's symbols sit in the leaves of a segment tree; a leaf holds the rank of the pair it forms
 with the next living symbol, joined with its position, so the root yields the leftmost pair of the
 lowest rank. A merge touches three leaves and their paths to the root. Short words are merged
-many at a time, one tree to a row of a numpy matrix; long ones one by one. Merging is done once
+many at a time, one tree to a row of a numpy matrix; long ones one by one, in plain lists. Merging is done once
 for each distinct word that a worker meets, within a bounded table.
 
 Null text: encoded as the empty text (no ids). Null ids: decoded as the empty text. Extra columns
@@ -16,7 +16,6 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
 from unicodedata import category
 
 import numpy as np
@@ -28,10 +27,11 @@ from marlstone.llm.shared import quoted, slices, with_fields, without
 
 #: No merge: above every rank and every leaf, which joins a rank with a position.
 _NONE = np.iinfo(np.int64).max
-#: Words of a batch are merged together up to this many symbols.
+#: Words of a batch are merged together up to this many bytes.
 _WIDEST = 64
-#: Distinct words that a worker keeps, and characters that it splits at once.
-_KEPT_WORDS, _SLICE = 400_000, 1_000_000
+#: Bytes of distinct words and ids that a worker keeps (with about 250 a word of overhead), and
+#: characters that it splits at once.
+_KEPT_BYTES, _OVERHEAD, _SLICE = 96 << 20, 250, 1_000_000
 
 
 def _byte_symbols() -> list[str]:
@@ -89,7 +89,7 @@ class WordBpe:
         self.plain_re = re.compile(f"{short}|[{letter}]+|[{number}]|[^{space}{letter}{number}]+")
         self.other_re = re.compile(f"[^\\x00-\\u{self.PLAIN - 1:04x}]")
         self.full_re = regex.compile(short + r"|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-        self.path, self.known, self._library = path, {}, None
+        self.path, self.known, self.held, self.rank_of, self._library = path, {}, 0, {}, None
 
     # -- words ------------------------------------------------------------------------------
 
@@ -175,6 +175,51 @@ class WordBpe:
         ends = np.cumsum(alive.sum(axis=1)) * 4
         return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
+    def _merge_long(self, raw: bytes) -> bytes:
+        """Ids of one long word: the same tree in plain lists, which cost less a step for a single row."""
+        if not self.rank_of:
+            self.rank_of = dict(zip(self.pairs.tolist(), self.pair_rank.tolist()))
+        n, wide, none, rank_of, made = len(raw), 1 << (len(raw) - 1).bit_length(), int(_NONE), self.rank_of, self.made
+        first = self.inner[np.frombuffer(raw, np.uint8)]
+        first[-1] = self.final[raw[-1]]
+        rank = self._rank(first[:-1], first[1:])
+        level = np.full(wide, _NONE, np.int64)
+        level[: n - 1] = np.where(rank == _NONE, _NONE, rank * wide + np.arange(n - 1))
+        levels = [level]
+        while len(level) > 1:
+            level = np.minimum(level[::2], level[1::2])
+            levels.append(level)
+        tree = [none, *np.concatenate(levels[::-1]).tolist()]
+        ids, after, before = first.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        while (best := tree[1]) != none:
+            i = best % wide
+            merged = int(made[best // wide])
+            j, h = after[i], before[i]
+            k = after[j]
+            ids[i], ids[j], after[i] = merged, -1, k
+            changed = [(j, none)]
+            if k < n:
+                before[k] = i
+                rank = rank_of.get(merged << 32 | ids[k])
+                changed.append((i, none if rank is None else rank * wide + i))
+            else:
+                changed.append((i, none))
+            if h >= 0:
+                rank = rank_of.get(ids[h] << 32 | merged)
+                changed.append((h, none if rank is None else rank * wide + h))
+            for leaf, value in changed:
+                node = leaf + wide
+                tree[node] = value
+                while node > 1:
+                    other = tree[node ^ 1]
+                    if other < value:
+                        value = other
+                    node >>= 1
+                    if tree[node] == value:
+                        break
+                    tree[node] = value
+        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+
     def learn(self, words: Iterable[str]) -> None:
         """Put the ids of new words into the table."""
         by_width: dict[int, list[tuple[str, bytes]]] = {}
@@ -182,11 +227,25 @@ class WordBpe:
             raw = w.encode("utf-8", "surrogatepass")
             by_width.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append((w, raw))
         for wide, some in by_width.items():
-            step = max(1, 250_000 // wide) if wide <= _WIDEST else 1
+            step = max(1, 250_000 // wide)
             for a in range(0, len(some), step):
                 part = some[a : a + step]
-                for (w, _), ids in zip(part, self._merge_rows([raw for _, raw in part], wide)):
+                raws = [raw for _, raw in part]
+                for (w, _), ids in zip(part, self._merge_rows(raws, wide) if wide <= _WIDEST else map(self._merge_long, raws)):
                     self.known[w] = ids
+                    self.held += len(w) + len(ids) + _OVERHEAD
+
+    def forget(self) -> None:
+        """Drop the later part of a table that has outgrown its bytes; words met first are the common ones."""
+        if self.held <= _KEPT_BYTES:
+            return
+        kept, self.held = {}, 0
+        for w, ids in self.known.items():
+            self.held += len(w) + len(ids) + _OVERHEAD
+            if self.held > _KEPT_BYTES // 2:
+                break
+            kept[w] = ids
+        self.known = kept
 
     # -- texts ------------------------------------------------------------------------------
 
@@ -206,9 +265,7 @@ class WordBpe:
                     split.append([x if x in self.special_ids else self.words(x) for x in self.special_re.split(text)])
                 else:
                     split.append([self.words(text)])
-            if len(self.known) > _KEPT_WORDS:
-                # The words met first are the common ones, so they stay.
-                self.known = dict(islice(self.known.items(), _KEPT_WORDS // 2))
+            self.forget()
             self.learn(set().union(*(p for parts in split for p in parts if not isinstance(p, str))) - self.known.keys())
             get = self.known.__getitem__
             for parts in split:
@@ -227,6 +284,12 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def _listed(raw: list[bytes]) -> pa.ListArray:
+    """Arrow lists of ids from their little-endian bytes."""
+    ends = np.cumsum([0, *map(len, raw)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32)))
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """docs with the token ids of each whole text as array<int>."""
     slim = without(docs, out_col).withColumn(text_col, quoted(text_col).cast("string"))
@@ -235,10 +298,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "i
         bpe = load(path)
         for batch in slices(batches):
             raw = bpe.encode(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
-            ends = np.cumsum([0, *map(len, raw)]) // 4
-            values = pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _listed(raw)], [*batch.schema.names, out_col])
 
     return slim.mapInArrow(run, with_fields(slim, (out_col, "array<int>")))
 
@@ -255,3 +315,18 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "dec
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out_col])
 
     return slim.mapInArrow(run, with_fields(slim, (out_col, "string")))
+
+
+def round_trip(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """docs without the text, with its ids and what these decode to, in one pass through one worker."""
+    slim = without(docs, ids_col, out_col).withColumn(text_col, quoted(text_col).cast("string"))
+    rest = [c for c in slim.columns if c != text_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path)
+        for batch in slices(batches):
+            raw = bpe.encode(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+            texts = [bpe.decode(np.frombuffer(ids, "<u4")) for ids in raw]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), _listed(raw), pa.array(texts, pa.string())], [*rest, ids_col, out_col])
+
+    return slim.mapInArrow(run, with_fields(slim.select(*map(quoted, rest)), (ids_col, "array<int>"), (out_col, "string")))

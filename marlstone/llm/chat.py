@@ -1,7 +1,7 @@
 """Chat formatting from an event log.
 
-Reconstruction: the log is partitioned by conversation and message and sorted by sequence; a
-``delta`` appends to the message, an ``edit`` replaces it, a ``regenerate`` starts it anew, a
+Reconstruction: the log is partitioned by conversation, once, and sorted by sequence inside each
+message; a ``delta`` appends to the message, an ``edit`` replaces it, a ``regenerate`` starts it anew, a
 ``delete`` takes it away until a later edit or regeneration. Folding needs one pass: everything
 before the last event that isn't a delta is void.
 
@@ -38,11 +38,12 @@ def _plain(text: Column, also: str = "") -> Column:
 
 def reconstruct(events: DataFrame, conv: str = "conv_id", message: str = "message", seq: str = "seq", kind: str = "kind", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, message, at, role, text): the final messages; ``at`` is the message's first sequence."""
-    log = events.select(
+    log = events.repartition(quoted(conv)).select(
         quoted(conv).alias("conv"),
         quoted(message).alias("message"),
         F.struct(quoted(seq).alias("seq"), F.coalesce(quoted(kind), F.lit("delta")).alias("kind"), quoted(role).alias("role"), F.coalesce(quoted(text), F.lit("")).alias("text")).alias("e"),
     )
+    # All that follows groups by the conversation or finer, so its one exchange serves every step.
     told = log.groupBy("conv", "message").agg(F.array_sort(F.collect_list("e")).alias("es"))
     # The last event that isn't a delta, counted from 1; 0 if all are deltas. What precedes it is void.
     last = F.expr("greatest(array_max(transform(es, (e, i) -> if(e.kind = 'delta', 0, i + 1))), 0)")

@@ -1,24 +1,28 @@
-"""License scans: TF-IDF cosine to templates, then inheritance from the nearest ancestor folder.
-
-Scan: a line is the set of its words weighted by inverse document frequency (term frequency is
-counted as present or not); words that no template has weigh as the rarest. A line's length is
-summed inside the row. A cosine can't be over the share of a line's length that template words
-make up, so only lines whose share reaches the threshold go on: their template words are joined
-with the templates' vectors, and the cosine is a sum over shared words. A first filter skips lines
-without any distinctive word, safely: what templates have besides distinctive words can't bring a
-cosine to the threshold, which is asserted when the templates are compiled. A file's license is
-its best line's template (ties: the first by name).
-
-Inheritance: a file is a license file of its folder if its path says so (LICENSE, COPYING, ...)
-or if the matching lines hold at least ``cover`` of its words. A file without a license of its
-own takes that of the deepest ancestor folder with one, found by joining its ancestor paths with
-the folders' licenses. Several license files in a folder: those whose path says
-so first, then the best cosine, then name.
-
-Templates are few and fixed, so their vectors are broadcast; folders' licenses are aggregated to
-one row a folder before the join, so no folder's files meet each other. Null path: scanned, but
-neither gives nor inherits. Null text: no license. Repeated rows: each returned. An empty table
-gives an empty table. Columns that aren't named aren't carried.
+"""License scans: TF-IDF cosine of headers and license files to templates, then inheritance.
+
+Weights are (1 + ln tf) * idf, with idf from the templates; a word that no template has weighs as
+the rarest. Both searches are exact for what they define.
+
+Headers: a template's anchors are its two rarest words. At each occurrence of one in a text, the
+words around it as wide as the template (within and across lines) are a window, and the window's
+cosine to the template is computed inside its row. A window matches at ``threshold`` if it also
+shares three fifths of the template's distinct words, so that one rare word alone doesn't match.
+
+License files: the whole text's cosine to whole license texts, for texts that hold enough of the
+license texts' words to reach ``whole`` at all; how many that is follows from the templates, so no
+text is left out that could reach it. A file that reaches it has that license; other files have
+the license of their best header (ties: the longer template, then the name).
+
+Inheritance: a file is a license file of its folder if it reaches ``whole``, if its path says so
+(LICENSE, COPYING, ...) and it has a license, or if its matching windows cover at least ``cover`` of
+its words. A file without a license of its own takes that of the deepest ancestor folder with one.
+Folders are resolved first, one row a folder, by joining each folder's ancestors with the licensed
+folders; files then join their folder, so a file never stands for its ancestors. Several license
+files in a folder: those whose path says so first, then the best cosine, then name.
+
+Templates are few and fixed, so they are broadcast. Null path: scanned, but neither gives nor
+inherits. Null or empty text: no license. Repeated rows: each returned. An empty table gives an
+empty table. Columns that aren't named aren't carried.
 """
 
 from __future__ import annotations
@@ -27,112 +31,230 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
+from importlib import resources
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.shared import quoted, settle
 
-# Headers and opening lines of public licenses.
-TEMPLATES = {
-    "AGPL-3.0": ["this work is licensed under the gnu affero general public license version 3", "gnu affero general public license"],
-    "Apache-2.0": ["licensed under the apache license version 2.0", "apache license version 2.0 january 2004"],
-    "BSD-3-Clause": ["redistribution and use in source and binary forms with or without modification are permitted", "bsd 3 clause license"],
-    "CC-BY-4.0": ["licensed under cc by 4.0", "creative commons attribution 4.0 international license"],
-    "CC-BY-NC-4.0": ["licensed under cc by nc 4.0", "creative commons attribution noncommercial 4.0 international license"],
-    "GPL-3.0": ["this work is licensed under the gnu general public license version 3", "under the terms of the gnu general public license as published by the free software foundation"],
-    "ISC": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc license"],
-    "LGPL-3.0": ["licensed under the gnu lesser general public license version 3", "gnu lesser general public license"],
-    "MIT": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "licensed under the mit license"],
-    "MPL-2.0": ["this source code form is subject to the terms of the mozilla public license", "mozilla public license version 2.0"],
+# Headers, opening lines and titles of public licenses.
+HEADERS = {
+    "AGPL-3.0": [
+        "licensed under the gnu affero general public license version 3",
+        "gnu affero general public license version 3",
+        "gnu affero general public license version 3 19 november 2007",
+        "gnu affero general public license as published by the free software foundation either version 3 of the license",
+    ],
+    "Apache-2.0": [
+        "licensed under the apache license version 2.0",
+        "apache license version 2.0 january 2004",
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2.0",
+    ],
+    "Artistic-1.0": ["the artistic license preamble", "licensed under the artistic license"],
+    "BSD-2-Clause": ["licensed under the bsd 2 clause license", "bsd 2 clause license", "simplified bsd license"],
+    "BSD-3-Clause": [
+        "redistribution and use in source and binary forms with or without modification are permitted",
+        "licensed under the bsd 3 clause license",
+        "bsd 3 clause license",
+        "use of this source code is governed by a bsd style license that can be found in the license file",
+    ],
+    "CC-BY-4.0": ["licensed under cc by 4.0", "licensed under a creative commons attribution 4.0 international license"],
+    "CC-BY-NC-4.0": ["licensed under cc by nc 4.0", "licensed under a creative commons attribution noncommercial 4.0 international license"],
+    "CC-BY-SA-4.0": ["licensed under cc by sa 4.0", "licensed under a creative commons attribution sharealike 4.0 international license"],
+    "CC0-1.0": ["cc0 1.0 universal", "released under the cc0 1.0 universal public domain dedication"],
+    "GPL-1.0": ["gnu general public license version 1", "gnu general public license version 1 february 1989"],
+    "GPL-2.0": [
+        "licensed under the gnu general public license version 2",
+        "gnu general public license version 2",
+        "gnu general public license version 2 june 1991",
+        "gnu general public license as published by the free software foundation either version 2 of the license",
+    ],
+    "GPL-3.0": [
+        "licensed under the gnu general public license version 3",
+        "gnu general public license version 3",
+        "gnu general public license version 3 29 june 2007",
+        "gnu general public license as published by the free software foundation either version 3 of the license",
+    ],
+    "ISC": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "licensed under the isc license", "isc license"],
+    "LGPL-2.0": ["gnu library general public license version 2", "gnu library general public license version 2 june 1991", "gnu library general public license as published by the free software foundation either version 2 of the license"],
+    "LGPL-2.1": [
+        "licensed under the gnu lesser general public license version 2.1",
+        "gnu lesser general public license version 2.1",
+        "gnu lesser general public license version 2.1 february 1999",
+        "gnu lesser general public license as published by the free software foundation either version 2.1 of the license",
+    ],
+    "LGPL-3.0": [
+        "licensed under the gnu lesser general public license version 3",
+        "gnu lesser general public license version 3",
+        "gnu lesser general public license version 3 29 june 2007",
+        "gnu lesser general public license as published by the free software foundation either version 3 of the license",
+    ],
+    "MIT": [
+        "released under the mit license",
+        "licensed under the mit license",
+        "the mit license mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software",
+    ],
+    "MPL-1.1": ["the contents of this file are subject to the mozilla public license version 1.1", "mozilla public license version 1.1"],
+    "MPL-2.0": ["this source code form is subject to the terms of the mozilla public license v 2.0", "mozilla public license version 2.0"],
+    "Unlicense": ["this is free and unencumbered software released into the public domain", "released under the unlicense"],
+    "Zlib": ["licensed under the zlib license"],
 }
 
-#: Words too common to make a line worth scanning.
-PLAIN = frozenset("a and any are by can for in is it of the this to you".split())
+#: Words that make no anchor and count as present in every text.
+PLAIN = frozenset("a an and any are as at be by can file for from in is it license may not of on or that the this to use version with you".split())
+#: Anchors of a template.
+_ANCHORS = 2
 
 _FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
 
 
+def short_forms(name: str) -> list[str]:
+    """The machine-readable tags of a license identifier."""
+    return [f"spdx license identifier {name}"]
+
+
+@lru_cache(maxsize=1)
+def license_texts() -> dict[str, str]:
+    """Whole license texts by identifier; the affero text differs from the general one by its name."""
+    folder = resources.files("marlstone.llm").joinpath("license_texts")
+    found = {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in folder.iterdir() if f.name.endswith(".txt")}
+    return found | {"AGPL-3.0": re.sub(r"(?i)\bgnu general\b", "GNU Affero General", found["GPL-3.0"])}
+
+
+def words_of(text: str) -> list[str]:
+    return re.findall(r"[a-z0-9]+", text.lower())
+
+
 @dataclass(frozen=True)
 class Model:
-    vectors: list[tuple[str, int, str, float]]  # license, template number, word, idf x weight (unit length)
+    """Unit TF-IDF vectors of (name, text) templates."""
+
+    names: list[str]
+    words: list[list[str]]
+    vectors: list[dict[str, float]]
     idf: dict[str, float]
     unknown: float  # idf of a word that no template has
-    distinctive: list[str]
 
 
-def _words(text: str) -> list[str]:
-    return re.findall(r"[a-z0-9]+", text.lower())
+def compile_templates(templates: list[tuple[str, str]]) -> Model:
+    """The vectors of templates, in order of name and text."""
+    some = sorted(templates)
+    words = [words_of(text) for _, text in some]
+    df = Counter(w for ws in words for w in set(ws))
+    idf = {w: math.log(1 + len(some) / n) for w, n in df.items()}
+    vectors = []
+    for ws in words:
+        raw = {w: (1 + math.log(n)) * idf[w] for w, n in Counter(ws).items()}
+        norm = math.sqrt(sum(v * v for v in raw.values()))
+        vectors.append({w: v / norm for w, v in sorted(raw.items())})
+    return Model([name for name, _ in some], words, vectors, idf, math.log(1 + len(some)))
 
 
-def compile_templates(templates: dict[str, list[str]], threshold: float) -> Model:
-    """Unit TF-IDF vectors of the templates; raises where a template has too little that is distinctive."""
-    texts = [(name, text) for name, some in sorted(templates.items()) for text in some]
-    df = Counter(w for _, text in texts for w in set(_words(text)))
-    idf = {w: math.log(1 + len(texts) / n) for w, n in df.items()}
-    vectors = []
-    for k, (name, text) in enumerate(texts):
-        words = sorted(set(_words(text)))
-        norm = math.sqrt(sum(idf[w] ** 2 for w in words))
-        plain = math.sqrt(sum(idf[w] ** 2 for w in words if w in PLAIN)) / norm
-        if plain >= threshold:
-            raise ValueError(f"a line could match {text!r} by plain words alone ({plain:.2f})")
-        vectors += [(name, k, w, idf[w] * idf[w] / norm) for w in words]
-    return Model(vectors, idf, math.log(1 + len(texts)), sorted(set(idf) - PLAIN))
+def header_model(headers: dict[str, list[str]] | None = None) -> Model:
+    given = HEADERS if headers is None else headers
+    return compile_templates([(name, t) for name, some in given.items() for t in [*some, *short_forms(name)]])
+
+
+def anchors(model: Model) -> list[tuple[int, str, int]]:
+    """(template, word, offset): each template's rarest words that aren't plain, and where they stand first."""
+    out = []
+    for k, ws in enumerate(model.words):
+        some = sorted({w for w in ws if w not in PLAIN and not w.isdigit()}, key=lambda w: (-model.idf[w], ws.index(w)))
+        out += [(k, w, ws.index(w)) for w in some[:_ANCHORS] or ws[:1]]
+    return out
+
+
+def least_shared(model: Model, whole: float) -> int:
+    """How many distinct template words that aren't plain a text must hold to reach ``whole`` with any template.
+
+    The cosine of a text that holds the words S of a template is at most the root of the sum of
+    the template's squared weights over S.
+    """
+    needs = []
+    for vector in model.vectors:
+        mass = sum(v * v for w, v in vector.items() if w in PLAIN)
+        heavy = sorted((v * v for w, v in vector.items() if w not in PLAIN), reverse=True)
+        n = 0
+        while mass < whole * whole - 1e-9 and n < len(heavy):
+            mass += heavy[n]
+            n += 1
+        needs.append(n)
+    return min(needs, default=1)
+
+
+def _listed(words) -> str:
+    return ", ".join(f"'{w}'" for w in sorted(words))
 
 
-def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, templates: dict[str, list[str]] | None = None, threshold: float = 0.7, cover: float = 0.5) -> DataFrame:
+def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, headers: dict[str, list[str]] | None = None, texts: dict[str, str] | None = None, threshold: float = 0.7, whole: float = 0.8, cover: float = 0.5) -> DataFrame:
     """(id, path, license, cosine, is_license_file) of every file; license is null where none is found."""
     spark = files.sparkSession
-    model = compile_templates(templates or TEMPLATES, threshold)
-    files = files.select(quoted(id_col).alias("id"), quoted(path_col).cast("string").alias("path"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
-    worth = r"(?i)(?<![a-z0-9])(?:" + "|".join(model.distinctive) + r")(?![a-z0-9])"
-    words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
-    vocabulary = ", ".join(f"'{w}'" for w in sorted(model.idf))
-    squares = "map(" + ", ".join(f"'{w}', {v * v!r}D" for w, v in sorted(model.idf.items())) + ")"
-    rows = files.withColumn("lines", F.filter(F.split("text", r"\r?\n"), lambda x: x.rlike(worth)))
-    rows = rows.withColumn("lines", F.transform("lines", lambda x: F.struct(words(x).alias("ws"))))
-    rows = rows.withColumn("lines", F.transform("lines", lambda x: F.struct(F.size(x["ws"]).alias("size"), F.array_distinct(x["ws"]).alias("ws"))))
-    known = f"filter(x.ws, w -> w in ({vocabulary}))"
-    rows = rows.withColumn("lines", F.expr(f"transform(lines, x -> named_struct('size', x.size, 'distinct', size(x.ws), 'known', {known}))"))
-    inside = f"aggregate(x.known, 0D, (s, w) -> s + {squares}[w])"
-    rows = rows.withColumn("lines", F.expr(f"transform(lines, x -> named_struct('size', x.size, 'known', x.known, 'inside', {inside}, 'outside', (x.distinct - size(x.known)) * {model.unknown**2!r}D))"))
-    rows = rows.withColumn("lines", F.expr(f"filter(lines, x -> x.inside >= {threshold**2!r}D * (x.inside + x.outside) - 1e-9)"))
-    table = rows.select(F.monotonically_increasing_id().alias("uid"), "id", "path", "lines", F.when(F.size("lines") > 0, F.size(words(F.col("text")))).otherwise(0).alias("n_words"))
-    table = settle(table, "licenses")
-
-    told = table.select("uid", F.posexplode("lines").alias("line", "at")).select("uid", "line", "at.size", F.sqrt(F.expr("at.inside + at.outside")).alias("norm"), F.explode("at.known").alias("word"))
-    vectors = F.broadcast(spark.createDataFrame(model.vectors, "license string, template int, word string, part double"))
-    dots = told.join(vectors, "word").groupBy("uid", "line", "size", "norm", "license", "template").agg(F.sum("part").alias("dot"))
-    near = dots.select("uid", "line", "size", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).where(F.col("cosine") >= threshold)
+    short, long = header_model(headers), compile_templates(sorted((license_texts() if texts is None else texts).items()))
+    at = anchors(short)
+    before = max(offset for _, _, offset in at)
+    after = max(len(short.words[k]) - offset for k, _, offset in at)
+
+    files = files.select(quoted(id_col).alias("id"), quoted(path_col).cast("string").alias("path"), F.lower(F.coalesce(quoted(text_col).cast("string"), F.lit(""))).alias("text"))
+    rows = files.select(F.monotonically_increasing_id().alias("uid"), "id", "path", F.filter(F.split("text", "[^a-z0-9]+"), lambda w: w != "").alias("ws"))
+    places = f"filter(transform(ws, (w, i) -> if(w in ({_listed({w for _, w, _ in at})}), i, -1)), i -> i >= 0)"
+    near = f"transform(places, i -> named_struct('at', i, 'word', ws[i], 'from', greatest(i - {before}, 0), 'near', slice(ws, greatest(i - {before}, 0) + 1, {before + after})))"
+    legal = {w for v in long.vectors for w in v} - PLAIN
+    likely = f"size(array_distinct(filter(ws, w -> w in ({_listed(legal)})))) >= {least_shared(long, whole)}" if legal else "false"
+    rows = rows.withColumn("places", F.expr(places))
+    table = settle(rows.select("uid", "id", "path", F.size("ws").alias("n_words"), F.expr(near).alias("spots"), F.expr(f"if({likely}, ws, null)").alias("ws")), "licenses")
+
+    # Headers: one window for each anchor that stands in a text and each template of the anchor.
+    known = [(short.names[k], k, word, offset, len(short.words[k]), short.vectors[k]) for k, word, offset in at]
+    templates = F.broadcast(spark.createDataFrame(known, "license string, template int, word string, offset int, size int, vector map<string,double>"))
+    idf = "map(" + ", ".join(f"'{w}', {v!r}D" for w, v in sorted(short.idf.items())) + ")"
+    spots = table.select("uid", F.explode("spots").alias("s")).select("uid", "s.at", "s.word", "s.from", "s.near").join(templates, "word")
+    spots = spots.withColumn("start", F.expr("greatest(at - offset, 0)")).withColumn("win", F.expr("slice(near, start - from + 1, at - offset + size - start)"))
+    spots = spots.withColumn("own", F.array_distinct("win"))
+    spots = spots.withColumn("weights", F.expr(f"transform(own, w -> (1 + ln(size(filter(win, x -> x = w)))) * coalesce(try_element_at({idf}, w), {short.unknown!r}D))"))
+    dot = "aggregate(zip_with(own, weights, (w, v) -> v * coalesce(try_element_at(vector, w), 0D)), 0D, (s, x) -> s + x)"
+    norm = "sqrt(aggregate(weights, 0D, (s, x) -> s + x * x))"
+    shared = "5 * size(filter(own, w -> map_contains_key(vector, w))) >= 3 * size(vector)"
+    spots = spots.where(shared).select("uid", "license", "size", F.struct("start", F.size("win").alias("n")).alias("span"), F.expr(f"round({dot} / {norm}, 9)").alias("cosine"))
+    order = F.struct((-F.col("cosine")).alias("c"), (-F.col("size")).alias("s"), "license")
+    found = spots.where(F.col("cosine") >= threshold).groupBy("uid").agg(F.min_by(F.struct("license", "cosine"), order).alias("m"), F.collect_set("span").alias("spans"))
+    found = found.select(F.col("uid").alias("of"), "m", F.expr("size(array_distinct(flatten(transform(spans, x -> sequence(x.start, x.start + x.n - 1)))))").alias("covered"))
+
+    # License files: whole texts that hold enough of the templates' words.
+    vectors = [(name, w, v) for name, vector in zip(long.names, long.vectors) for w, v in vector.items()]
+    weights = spark.createDataFrame([(w, v) for w, v in long.idf.items()], "word string, idf double")
+    counted = table.where("ws is not null").select("uid", F.explode("ws").alias("word")).groupBy("uid", "word").agg(F.count("*").alias("tf"))
+    counted = counted.join(F.broadcast(weights), "word", "left").select("uid", "word", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(long.unknown))).alias("v"))
+    counted = settle(counted, "licenses-words")
+    norms = counted.groupBy("uid").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    dots = counted.join(F.broadcast(spark.createDataFrame(vectors, "license string, word string, part double")), "word").groupBy("uid", "license").agg(F.sum(F.col("v") * F.col("part")).alias("dot"))
+    alike = dots.join(norms.hint("merge"), "uid").select("uid", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).where(F.col("cosine") >= whole)
     best = F.min_by(F.struct("license", "cosine"), F.struct((-F.col("cosine")).alias("c"), "license"))
-    by_line = near.groupBy("uid", "line", "size").agg(best.alias("m"))
-    found = by_line.groupBy("uid").agg(F.min_by("m", F.struct((-F.col("m.cosine")).alias("c"), F.col("m.license"))).alias("m"), F.sum("size").alias("covered"))
-    found = found.select(F.col("uid").alias("of"), "m", "covered")
+    alike = alike.groupBy("uid").agg(best.alias("f")).select(F.col("uid").alias("of_file"), "f")
+
+    rows = table.drop("spots", "ws").join(found, table["uid"] == found["of"], "left").join(alike, table["uid"] == alike["of_file"], "left")
     named = F.coalesce(F.col("path").rlike(_FILE), F.lit(False))
-    return table.join(found, table["uid"] == found["of"], "left").select(
-        "id",
-        "path",
-        F.col("m.license").alias("license"),
-        F.col("m.cosine").alias("cosine"),
-        (F.col("m").isNotNull() & F.col("path").isNotNull() & (named | (F.coalesce("covered", F.lit(0)) >= cover * F.col("n_words")))).alias("is_license_file"),
-    )
+    told = F.coalesce("f", "m")
+    gives = F.col("f").isNotNull() | named | (F.coalesce("covered", F.lit(0)) >= cover * F.col("n_words"))
+    return rows.select("id", "path", told["license"].alias("license"), told["cosine"].alias("cosine"), (told.isNotNull() & F.col("path").isNotNull() & gives).alias("is_license_file"))
 
 
 def inherit(scanned: DataFrame) -> DataFrame:
     """scanned with ``effective`` license, ``how`` (own, inherited, none) and ``from_folder``."""
-    scanned = settle(scanned.withColumn("uid", F.monotonically_increasing_id()), "licenses-scanned")
-    folder = F.regexp_replace("path", "/?[^/]*$", "")
+    scanned = settle(scanned.withColumn("folder", F.regexp_replace("path", "/?[^/]*$", "")), "licenses-scanned")
     best = F.min_by("license", F.struct((~F.col("path").rlike(_FILE)).alias("n"), (-F.col("cosine")).alias("c"), "license"))
-    folders = scanned.where("is_license_file").groupBy(folder.alias("folder")).agg(best.alias("given"))
-    parts = F.split(folder, "/")
-    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("folder")))
-    asking = scanned.where("license is null and path is not null").select("uid", F.explode(F.when(folder == "", F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("folder")))).otherwise(above)).alias("at"))
-    asking = asking.select("uid", "at.depth", "at.folder")
-    # The exploded side is larger than planned for, so a broadcast of it is ruled out.
-    got = asking.join(folders.hint("merge"), "folder").groupBy("uid").agg(F.max_by(F.struct("folder", "given"), "depth").alias("from"))
-    got = got.select(F.col("uid").alias("of"), "from")
-    rows = scanned.join(got, scanned["uid"] == got["of"], "left")
+    givers = settle(scanned.where("is_license_file").groupBy(F.col("folder").alias("giver")).agg(best.alias("given")), "licenses-givers")
+    parts = F.split("folder", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("above")))
+    above = F.when(F.col("folder") == "", F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("above")))).otherwise(above)
+    asking = scanned.where("license is null and path is not null").select("folder").distinct().select("folder", F.explode(above).alias("at"))
+    asking = settle(asking.select("folder", "at.depth", "at.above"), "licenses-folders")
+    # Written tables on both sides: neither is broadcast by a wrong estimate, and a hot key can be split.
+    got = asking.join(givers.hint("merge"), asking["above"] == givers["giver"]).groupBy("folder").agg(F.max_by(F.struct("giver", "given"), "depth").alias("from"))
+    got = settle(got.select(F.col("folder").alias("of"), "from"), "licenses-given")
+    rows = scanned.join(got.hint("merge"), F.when(F.col("license").isNull(), F.col("folder")) == got["of"], "left")
     return rows.select(
         "id",
         "path",
@@ -141,5 +263,5 @@ def inherit(scanned: DataFrame) -> DataFrame:
         "is_license_file",
         F.coalesce("license", "from.given").alias("effective"),
         F.when(F.col("license").isNotNull(), "own").when(F.col("from").isNotNull(), "inherited").otherwise("none").alias("how"),
-        F.col("from.folder").alias("from_folder"),
+        F.col("from.giver").alias("from_folder"),
     )

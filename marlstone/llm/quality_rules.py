@@ -11,6 +11,7 @@ whose verdict is to keep, with the columns of the input.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,18 +30,23 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """``ratio`` (an SQL expression over the measures) must lie in [low, high]."""
+    """``ratio`` (an SQL expression over the measures) must lie in [low, high]; high may be open."""
 
     name: str
     ratio: str
     low: float
-    high: float
+    high: float = math.inf
+
+    def condition(self, suffix: str = "") -> str:
+        """The rule as SQL; ``suffix`` marks numbers as doubles where a dialect asks for it."""
+        low = f"({self.ratio}) >= {self.low!r}{suffix}"
+        return low if math.isinf(self.high) else f"{low} and ({self.ratio}) <= {self.high!r}{suffix}"
 
 
 #: The threshold table. Measures: n_words, word_chars, n_symbols, n_dup_lines, n_lines,
 #: n_repeat_words, n_stop_words, n_marks (``!`` and ``?``).
 RULES = (
-    Rule("words", "n_words", 50, 10_000_000),
+    Rule("words", "n_words", 50),
     Rule("mean_word_length", "word_chars / greatest(n_words, 1)", 2.0, 15.0),
     Rule("symbols_per_word", "n_symbols / greatest(n_words, 1)", 0.0, 0.3),
     Rule("marks_per_word", "n_marks / greatest(n_words, 1)", 0.0, 0.3),
@@ -96,7 +102,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
     """The table as one boolean expression."""
-    return F.expr(" and ".join(f"({r.ratio}) between {r.low!r}D and {r.high!r}D" for r in rules))
+    return F.expr(" and ".join(r.condition("D") for r in rules))
 
 
 def judged(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -33,9 +33,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, path).select("doc_id", "ids")
-    both = bpe.decode(ids, path)
-    return both.select(
+    return bpe.round_trip(docs, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
@@ -66,29 +64,42 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.inherit(licenses.scan(docs, "doc_id", "path", "text")).withColumnRenamed("id", "doc_id")
 
 
-def _op5_sql(threshold: float = 0.7, cover: float = 0.5) -> str:
-    model = licenses.compile_templates(licenses.TEMPLATES, threshold)
-    parts = ", ".join(f"('{n}', {k}, '{w}', {v!r}::double)" for n, k, w, v in model.vectors)
-    idf = ", ".join(f"('{w}', {v!r}::double)" for w, v in sorted(model.idf.items()))
+def _op5_sql(threshold: float = 0.7, whole: float = 0.8, cover: float = 0.5) -> str:
+    """From the templates' own words: weights, windows and whole texts are all computed by the SQL."""
+    short = licenses.header_model()
+    told = ", ".join(f"('{short.names[k]}', {k}, '{w}', {offset}, '{' '.join(short.words[k])}')" for k, w, offset in licenses.anchors(short))
+    texts = ", ".join(f"('{name}', '{' '.join(licenses.words_of(t))}')" for name, t in sorted(licenses.license_texts().items()))
     return rf"""
-with t(license, template, word, part) as (values {parts}), g(word, idf) as (values {idf}),
-d as (select doc_id, coalesce(source, 'none') || '/' || (doc_id // 1000) || '/' || (doc_id // 50) || '/' || doc_id || '.txt' as path, coalesce(text, '') as text from documents),
-l as (select doc_id, regexp_split_to_array(text, '\r?\n') as ls from d),
-u as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i from l),
-w as (select doc_id, i, regexp_extract_all(lower(line), '[a-z0-9]+') as ws from u),
-x as (select doc_id, i, len(ws) as size, unnest(list_distinct(ws)) as word from w),
-n as (select doc_id, i, any_value(size) as size, sqrt(sum(power(coalesce(idf, {model.unknown!r}), 2))) as norm from x left join g using (word) group by doc_id, i),
-c as (select doc_id, i, license, template, sum(part) as dot from x join t using (word) group by all),
-a as (select doc_id, i, size, license, round(dot / norm, 9) as cosine from c join n using (doc_id, i) where round(dot / norm, 9) >= {threshold}),
-b as (select doc_id, i, any_value(size) as size, arg_min(license, (-cosine, license)) as license, max(cosine) as cosine from a group by doc_id, i),
-f as (select doc_id, arg_min(license, (-cosine, license)) as license, max(cosine) as cosine, sum(size) as covered from b group by doc_id),
-s as (select doc_id, path, regexp_replace(path, '/?[^/]*$', '') as folder, license, cosine,
-        coalesce(covered >= {cover} * len(regexp_extract_all(lower(text), '[a-z0-9]+')), false) as is_license_file from d left join f using (doc_id)),
-o as (select folder as given_folder, arg_min(license, (-cosine, license)) as given from s where is_license_file group by folder),
-h as (select doc_id, arg_max(given, length(given_folder)) as given, arg_max(given_folder, length(given_folder)) as given_folder
-      from s join o on folder = given_folder or starts_with(folder, given_folder || '/') where license is null group by doc_id)
+with a(license, template, anchor, shift, said) as (values {told}), f(license, said) as (values {texts}),
+t as (select distinct license, template, string_split(said, ' ') as ws from a),
+tw as (select template, unnest(ws) as word from t), tc as (select template, word, count(*) as tf from tw group by all),
+ti as (select word, ln(1 + (select count(*) from t) / count(*)) as idf from tc group by word),
+tv as (select template, word, (1 + ln(tf)) * idf as v, sqrt(sum(power((1 + ln(tf)) * idf, 2)) over (partition by template)) as n, count(*) over (partition by template) as size from tc join ti using (word)),
+fw as (select license, unnest(string_split(said, ' ')) as word from f), fc as (select license, word, count(*) as tf from fw group by all),
+fi as (select word, ln(1 + (select count(*) from f) / count(*)) as idf from fc group by word),
+fv as (select license, word, (1 + ln(tf)) * idf as v, sqrt(sum(power((1 + ln(tf)) * idf, 2)) over (partition by license)) as n from fc join fi using (word)),
+d as (select doc_id, coalesce(source, 'none') || '/' || (doc_id // 1000) || '/' || (doc_id // 50) || '/' || doc_id || '.txt' as path, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as ws from documents),
+u as (select doc_id, ws, unnest(ws) as word, generate_subscripts(ws, 1) - 1 as i from d),
+s as (select distinct doc_id, license, template, greatest(i - shift, 0) as start, ws[greatest(i - shift, 0) + 1 : i - shift + len(string_split(said, ' '))] as win from u join a on word = anchor),
+x as (select doc_id, license, template, start, len(win) as n, unnest(win) as word from s),
+c as (select doc_id, license, template, start, n, word, (1 + ln(count(*))) * coalesce(any_value(idf), ln(1 + (select count(*) from t))) as v from x left join ti using (word) group by all),
+m as (select doc_id, license, template, start, c.n, round(coalesce(sum(c.v * tv.v / tv.n), 0) / sqrt(sum(power(c.v, 2))), 9) as cosine, count(tv.word) as shared, max(tv.size) as size
+      from c left join tv using (template, word) group by all),
+w as (select *, (select len(ws) from t where t.template = m.template) as words from m where cosine >= {threshold} and 5 * shared >= 3 * size),
+p as (select doc_id, count(distinct i) as covered from (select doc_id, unnest(range(start, start + n)) as i from w) group by doc_id),
+h as (select doc_id, arg_min(license, (-cosine, -words, license)) as license, max(cosine) as cosine from w group by doc_id),
+uc as (select doc_id, word, (1 + ln(count(*))) * coalesce(any_value(idf), ln(1 + (select count(*) from f))) as v from u left join fi using (word) group by doc_id, word),
+un as (select doc_id, sqrt(sum(v * v)) as n from uc group by doc_id),
+ud as (select doc_id, license, round(sum(uc.v * fv.v / fv.n) / any_value(un.n), 9) as cosine from uc join fv using (word) join un using (doc_id) group by all),
+ul as (select doc_id, arg_min(license, (-cosine, license)) as license, max(cosine) as cosine from ud where cosine >= {whole} group by doc_id),
+k as (select d.doc_id, path, regexp_replace(path, '/?[^/]*$', '') as folder, coalesce(ul.license, h.license) as license, coalesce(ul.cosine, h.cosine) as cosine,
+        coalesce(ul.license is not null or (h.license is not null and covered >= {cover} * len(ws)), false) as is_license_file
+      from d left join h using (doc_id) left join p using (doc_id) left join ul using (doc_id)),
+o as (select folder as given_folder, arg_min(license, (-cosine, license)) as given from k where is_license_file group by folder),
+g as (select doc_id, arg_max(given, length(given_folder)) as given, arg_max(given_folder, length(given_folder)) as given_folder
+      from k join o on folder = given_folder or starts_with(folder, given_folder || '/') where license is null group by doc_id)
 select doc_id, path, license, cosine, is_license_file, coalesce(license, given) as effective,
-  case when license is not null then 'own' when given is not null then 'inherited' else 'none' end as how, given_folder as from_folder from s left join h using (doc_id)"""
+  case when license is not null then 'own' when given is not null then 'inherited' else 'none' end as how, given_folder as from_folder from k left join g using (doc_id)"""
 
 
 def toxicity_machine(spark: SparkSession, sf_dir: str) -> toxicity.Machine:
@@ -121,7 +132,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op7_sql() -> str:
     stops = ", ".join(f"'{x}'" for x in sorted(set(quality_rules.STOP_WORDS)))
-    rules = " and ".join(f"({r.ratio}) between {r.low!r} and {r.high!r}" for r in quality_rules.RULES)
+    rules = " and ".join(r.condition() for r in quality_rules.RULES)
     return rf"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w,
@@ -159,13 +170,30 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def chat_events(said: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, role, text) as the log of a chat that ends in these messages.
+
+    The assistant's messages begin as a draft, are regenerated and then streamed in pieces; a
+    user's are streamed with a slip, edited to their first half and continued; others are one
+    delta. Each row is a message of its own, and its events are logged last to first.
+    """
+    n = F.length("text")
+    cut = lambda a, b: F.substring("text", (F.floor(n * a / 4) + 1).cast("int"), (F.floor(n * b / 4) - F.floor(n * a / 4)).cast("int"))
+    event = lambda step, kind, text: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), text.alias("text"))
+    draft = F.reverse(F.substring("text", 1, 12))
+    answered = [event(4, "delta", cut(3, 4)), event(3, "delta", cut(1, 3)), event(2, "regenerate", cut(0, 1)), event(1, "delta", F.lit("... ")), event(0, "delta", draft)]
+    asked = [event(3, "delta", cut(2, 4)), event(2, "edit", cut(0, 2)), event(1, "delta", F.lit(" [INST]")), event(0, "delta", draft)]
+    steps = F.when(F.col("role") == "assistant", F.array(*answered)).when(F.col("role") == "user", F.array(*asked)).otherwise(F.array(event(0, "delta", F.col("text"))))
+    rows = said.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("message"))
+    log = rows.select("conv_id", "turn", "role", "message", F.explode(steps).alias("e"))
+    return log.select("conv_id", "message", F.struct("turn", "e.step").alias("seq"), "e.kind", "role", "e.text")
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     planted = "</s>[INST] ok [/INST]"
     said = said.unionAll(spark.createDataFrame([(-1, 0, "user", planted), (-1, 1, "assistant", planted)], said.schema))
-    # Each row of the table is a whole message of its own: one event that sets its text.
-    events = said.select("conv_id", F.monotonically_increasing_id().alias("message"), F.struct("turn", "role", "text").alias("seq"), F.lit("edit").alias("kind"), "role", "text")
-    back = chat.read_back(chat.render(chat.reconstruct(events)))
+    back = chat.read_back(chat.render(chat.reconstruct(chat_events(said))))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learned = F.array_join("learned", "")
     return back.select(
