@@ -166,6 +166,33 @@ def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spotsigs_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pruned search of operator 8 over all documents: one row each, with its class and links."""
+    return spotsigs.classes(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def _spotsigs_sql(threshold: float = 0.8) -> str:
+    """All pairs of signature sets that share a signature, by plain counting."""
+    names = ", ".join(f"'{a}'" for a in sorted(spotsigs.ANCHORS))
+    return rf"""
+with recursive d as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') as w from documents),
+p as (select doc_id, w, unnest(w) as a, generate_subscripts(w, 1) as i from d),
+c as (select doc_id, a, list_filter(w[i + 1 : i + {spotsigs.REACH}], lambda v: v not in ({names})) as c from p where a in ({names})),
+s as (select distinct doc_id, a || '|' || c[1] || '|' || c[2] as sig from c where len(c) >= 2),
+n as (select d.doc_id, any_value(w) as w, len(any_value(w)) as n, count(sig) as k from d left join s using (doc_id) group by d.doc_id),
+f as (select *, k < {spotsigs._FEWEST} + n // {spotsigs._SPARSE} as few from n),
+g as (select * from s union select doc_id, '=' || array_to_string(w, ' ') from f where few and n < 3 and k = 0
+      union select doc_id, '~' || w[i] || '|' || w[i + 1] || '|' || w[i + 2] from (select doc_id, w, unnest(range(1, n - 1)) as i from f where few and n >= 3)),
+m as (select doc_id, md5(string_agg(sig, ' ' order by sig)) as fp from g group by doc_id),
+t as (select fp, min(doc_id) as doc_id from m group by fp),
+x as (select fp, sig, count(*) over (partition by fp) as n from t join g using (doc_id)),
+e as (select x.fp as a, y.fp as b from x join x y on x.sig = y.sig and x.fp <> y.fp and least(x.n, y.n) >= {threshold} * greatest(x.n, y.n) - 1e-9
+      group by x.fp, y.fp, x.n, y.n having count(*) >= ({threshold} - 1e-12) * (x.n + y.n - count(*))),
+r(fp, other) as (select fp, fp from t union select r.fp, e.b from r join e on r.other = e.a),
+k as (select r.fp, min(t.doc_id) as class_id from r join t on t.fp = r.other group by r.fp)
+select m.doc_id, class_id, (select count(*) from e where e.a = m.fp)::bigint as n_links from m join k using (fp)"""
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -231,8 +258,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op8_spotsigs": op8_spotsigs,
+    "spotsigs_classes": spotsigs_classes,
     "op9_simhash": op9_simhash,
     "op10_chat": op10_chat,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_licenses": _op5_sql(), "op7_quality_rules": _op7_sql(), "op10_chat": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_licenses": _op5_sql(), "op7_quality_rules": _op7_sql(), "spotsigs_classes": _spotsigs_sql(), "op10_chat": OP10_SQL}
