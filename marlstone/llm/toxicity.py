@@ -1,23 +1,28 @@
 """Toxicity: a string-subsequence-kernel support vector machine with Nystroem landmarks.
 
-Kernel: two strings share every subsequence of three symbols that each spells within a span of
-seven, weighted by decay ** span, so ``idiot``, ``id.iot`` and ``idxiot`` stay close. The kernel is
-normalised by a length's greatest possible mass. Landmarks are insulting and harmless strings from
-the training sentences; a string's Nystroem features are its kernel values against the landmarks
-times the inverse square root of the landmarks' own kernel matrix, and a linear squared-hinge
-machine is trained on them. As the kernel is an inner product over subsequences, the trained
-machine folds into one weight for each subsequence: scoring a string is a sum over its own
-subsequences, equal to the sum over landmarks.
-
-Sentences and strings: labels mark documents, so a sentence of a toxic document is toxic only if
-it holds a string that tells toxic from clean documents; strings (words, words without inserted
-marks, letters set apart and joined again, words with look-alikes read as letters; numbers aren't
-words) are the instances, a sentence and a document score as their worst strings do, and a
-logistic curve whose cut is fitted on training documents turns the worst strings of a document
-into its score. All sentences of the whole text count.
+Kernel of strings: two strings share every subsequence of three symbols that each spells within a
+span of seven, weighted by decay ** span, so ``idiot``, ``id.iot`` and ``idxiot`` stay close; it is
+normalised by the root of each string's kernel with itself. Kernel of sentences: the sum over all
+pairs of their words' kernels, divided by the roots of both word counts (of ``LEAST_WORDS`` at least).
+Sentences of over ``WINDOW`` words are read in overlapping windows of that many. Landmarks are toxic
+and harmless sentences; a sentence's Nystroem features are its kernel values against them times
+the inverse square root of the landmarks' own kernel matrix, and a linear squared-hinge machine is
+trained on them. As the kernel is an inner product over subsequences, the trained machine folds
+into one weight for each subsequence: scoring a sentence is a sum over its words' subsequences,
+equal to the sum over landmarks.
+
+Labelled sentences: labels mark documents, so the sentences of clean documents are clean, and of a
+toxic document those are toxic that hold a string which tells toxic documents from clean ones, and
+later its worst sentence, where the machine trained so far finds one (multiple-instance learning).
+Copies with letters inserted into such strings teach evasions.
+
+Words: a token is read in several ways (marks taken out, parts joined, look-alikes as letters;
+numbers aren't words) and counts as its worst reading; letters set apart are joined again
+and every stretch of them is a sentence of its own. A document scores as its worst sentences do: a
+logistic curve whose cut is fitted on training documents turns them into its score.
 
 Training takes a bounded sample of labelled documents (``per_class``, ``chars`` long at most);
-scoring covers every word of every text. Null text: empty, and an empty text scores as a harmless
+scoring covers every sentence of every text. Null text: empty, and an empty text scores as a harmless
 one. Repeated rows are each scored. Without labels of both classes every score is the share of
 toxic labels (0 without any). An empty table gives an empty table. Extra columns are carried;
 those named as the output are replaced.
@@ -30,7 +35,6 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +43,16 @@ from pyspark.sql import DataFrame
 from marlstone.llm.shared import quoted, slices, with_fields, without
 
 DECAY, SPAN, ORDER = 0.6, 7, 3
-#: Longer strings are scored in windows of this many symbols, half of it apart.
+#: Words of a window of a sentence, half of it apart; fewest words that a sentence counts as.
+WINDOW, LEAST_WORDS = 3, 2
+#: Windows of toxic documents that training takes as they come, and of each telling string.
+SHOWN, PER_STRING = 1000, 16
+#: Longer strings are read in stretches of at most this many symbols.
 WIDEST = 24
-_KEPT = 250_000
+#: Stretches of longer strings: how many symbols, and how far apart.
+_STRETCHES = ((5, 1), (6, 1), (8, 1), (10, 1), (WIDEST, WIDEST // 2))
+#: Bytes of tokens that a worker keeps the values of, with about so many of overhead each.
+_KEPT_BYTES, _OVERHEAD = 64 << 20, 150
 
 # Symbols that stand in for letters.
 _LOOKS = str.maketrans("0134578@$!", "oieastb" + "asi")
@@ -52,40 +63,30 @@ _CODES = np.full(0x250, _BASE - 1, np.int64)
 for _i, _c in enumerate(_LETTERS):
     _CODES[ord(_c)] = _i + 1
 
-_WORD = re.compile(r"\S+")
-_SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
+_END = re.compile(r"[.!?][\"')\]]*$")
 _MARKS = re.compile(r"[\W_]+")
 _LETTER = re.compile(r"[^\W\d_]")
 _APART = re.compile(r"(?:(?<=\s)|^)(?:[^\W_][\W_]+){3,}[^\W_](?=\W|$)")
 
 
-def strings(text: str) -> set[str]:
-    """The distinct strings of a text: words as letters, marks taken out, letters set apart joined."""
-    low = text.lower()
-    found: set[str] = set()
-    for raw in set(low.split()):
-        if raw.isalpha():
-            found.add(raw)
-            continue
-        bare = raw.strip(".,;:!?\"'()[]{}|#*$%&<>-")
-        if bare.isalpha():
-            found.add(bare)
-            continue
-        parts = [x for x in _MARKS.split(bare) if x]
-        found.update(p for p in parts if len(p) > 2 and p.isalpha())
-        found.update(_joined(parts))
-        looks = bare.translate(_LOOKS)
-        if looks != bare:
-            # Part by part, whether look-alikes are symbols of a part or marks between two.
-            found.update(p.translate(_LOOKS) for p in parts if not p.isalpha() and _LETTER.search(p))
-            if _LETTER.search(bare):
-                spelt = [x for x in _MARKS.split(looks) if x]
-                found.update(spelt)
-                found.update(_joined(spelt))
-    for run in _APART.findall(low):
-        found.add(_MARKS.sub("", run))
-    found.discard("")
-    return found
+def readings(raw: str) -> list[str]:
+    """The strings that a lower-case token may spell: as it is, without marks, joined, as look-alikes."""
+    if raw.isalpha():
+        return [raw]
+    bare = raw.strip(".,;:!?\"'()[]{}|#*$%&<>-")
+    if bare.isalpha():
+        return [bare]
+    parts = [x for x in _MARKS.split(bare) if x]
+    found = {p for p in parts if len(p) > 2 and p.isalpha()} | _joined(parts)
+    looks = bare.translate(_LOOKS)
+    if looks != bare:
+        # Part by part, whether look-alikes are symbols of a part or marks between two.
+        found.update(p.translate(_LOOKS) for p in parts if not p.isalpha() and _LETTER.search(p))
+        if _LETTER.search(bare):
+            spelt = [x for x in _MARKS.split(looks) if x]
+            found.update(spelt)
+            found |= _joined(spelt)
+    return sorted(found - {""})
 
 
 def _joined(parts: list[str]) -> set[str]:
@@ -109,15 +110,40 @@ def _joined(parts: list[str]) -> set[str]:
     return {x for x in found if _LETTER.search(x)}
 
 
-def sentences(text: str) -> list[str]:
-    """The sentences of a text."""
-    return _SENTENCE.findall(text)
+def set_apart(low: str) -> list[str]:
+    """Runs of letters set apart, joined."""
+    return [_MARKS.sub("", run) for run in _APART.findall(low)]
+
+
+def sentences(text: str) -> list[list[str]]:
+    """The sentences of a text as lower-case tokens; a line or a mark at a token's end closes one."""
+    out: list[list[str]] = []
+    for line in text.lower().split("\n"):
+        now: list[str] = []
+        for token in line.split():
+            now.append(token)
+            if _END.search(token):
+                out.append(now)
+                now = []
+        if now:
+            out.append(now)
+    return out
+
+
+def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the windows of consecutive sentences with so many words."""
+    ends = np.cumsum(lengths)
+    many = np.maximum(1, -(-(lengths - WINDOW) // (WINDOW // 2)) + 1)
+    of = np.repeat(np.arange(len(lengths)), many)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    starts = (ends - lengths)[of] + at * (WINDOW // 2)
+    return starts, np.minimum(starts + WINDOW, ends[of])
 
 
 def _pieces(string: str) -> list[str]:
     if len(string) <= WIDEST:
         return [string]
-    return [string[a : a + WIDEST] for a in range(0, len(string) - WIDEST // 2, WIDEST // 2)]
+    return [string[a : a + wide] for wide, step in _STRETCHES for a in range(0, max(1, len(string) - wide + step), step)]
 
 
 def _triples(length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,10 +157,9 @@ _SHAPES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _shape(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """_triples with weights divided by the length's norm."""
+    """_triples, kept."""
     if length not in _SHAPES:
-        at, weight = _triples(length)
-        _SHAPES[length] = at, weight / max(1e-12, math.sqrt((weight**2).sum()))
+        _SHAPES[length] = _triples(length)
     return _SHAPES[length]
 
 
@@ -154,15 +179,21 @@ def _by_length(some: Iterable[str]) -> dict[int, list[int]]:
 
 
 def expanded(some: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each string (at most WIDEST long) as subsequence codes and summed weights."""
+    """Each string (at most WIDEST long) as subsequence codes and weights, of unit length."""
     out: list = [None] * len(some)
     for length, where in _by_length(some).items():
         at, weight = _shape(length + 2)
-        x = _codes([some[i] for i in where])
-        code = (x[:, at[:, 0]] * _BASE + x[:, at[:, 1]]) * _BASE + x[:, at[:, 2]]
-        for i, row in zip(where, code):
-            unique, inverse = np.unique(row, return_inverse=True)
-            out[i] = unique, np.bincount(inverse, weight, len(unique))
+        for a in range(0, len(where), 2048):
+            part = where[a : a + 2048]
+            x = _codes([some[i] for i in part])
+            code = (x[:, at[:, 0]] * _BASE + x[:, at[:, 1]]) * _BASE + x[:, at[:, 2]]
+            key, inverse = np.unique(code + np.arange(len(part))[:, None] * _BASE**3, return_inverse=True)
+            total = np.bincount(inverse.ravel(), np.broadcast_to(weight, code.shape).ravel(), len(key))
+            row, code = key // _BASE**3, key % _BASE**3
+            total /= np.sqrt(np.bincount(row, total**2, len(part)))[row]
+            cuts = np.searchsorted(row, np.arange(1, len(part)))
+            for i, c, w in zip(part, np.split(code, cuts), np.split(total, cuts)):
+                out[i] = c, w
     return out
 
 
@@ -174,51 +205,81 @@ class Machine:
     bias: float = -1.0
     curve: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
     known: dict[str, float] = field(default_factory=dict, repr=False)
+    held: int = field(default=0, repr=False)
 
     def __getstate__(self):
-        return {"weights": self.weights, "bias": self.bias, "curve": self.curve, "known": {}}
+        return {"weights": self.weights, "bias": self.bias, "curve": self.curve, "known": {}, "held": 0}
 
     def values(self, some: list[str]) -> np.ndarray:
-        """Decision values of strings at most WIDEST long."""
+        """What strings of at most WIDEST symbols add to a sentence."""
         out = np.zeros(len(some))
         for length, where in _by_length(some).items():
             at, weight = _shape(length + 2)
-            weight = weight.astype(np.float32)
             for a in range(0, len(where), 4096):
                 part = where[a : a + 4096]
                 x = _codes([some[i] for i in part]).astype(np.int32)
                 code = (x[:, at[:, 0]] * _BASE + x[:, at[:, 1]]) * _BASE + x[:, at[:, 2]]
-                out[part] = self.weights[code] @ weight + self.bias
+                # The norm counts what a string spells twice together: equal codes are neighbours when sorted.
+                order = np.argsort(code, axis=1)
+                sorted_, mass = np.take_along_axis(code, order, 1), weight[order]
+                new = np.ones(code.shape, bool)
+                new[:, 1:] = sorted_[:, 1:] != sorted_[:, :-1]
+                starts = np.flatnonzero(new.ravel())
+                sums = np.add.reduceat(mass.ravel(), starts)
+                norm = np.sqrt(np.bincount(starts // code.shape[1], sums**2, len(part)))
+                out[part] = (self.weights[code] @ weight.astype(np.float32)) / norm
         return out
 
-    def learn(self, some: Iterable[str]) -> None:
-        """Put the values of new strings into the table."""
-        if len(self.known) > _KEPT:  # the strings met first are the common ones, so they stay
-            self.known = dict(islice(self.known.items(), _KEPT // 2))
-        new = [s for s in some if s not in self.known]
-        pieces = [_pieces(s) for s in new]
-        flat = self.values([p for ps in pieces for p in ps])
-        at = 0
-        for s, ps in zip(new, pieces):
-            self.known[s] = float(flat[at : at + len(ps)].max())
-            at += len(ps)
+    def learn(self, tokens: Iterable[str]) -> None:
+        """Put the values of new tokens, that of their worst reading, into the table; nan where there is none."""
+        if self.held > _KEPT_BYTES:  # the tokens met first are the common ones, so they stay
+            kept, self.held = {}, 0
+            for t, v in self.known.items():
+                self.held += len(t) + _OVERHEAD
+                if self.held > _KEPT_BYTES // 2:
+                    break
+                kept[t] = v
+            self.known = kept
+        new = [t for t in tokens if t not in self.known]
+        pieces = [[p for s in readings(t) for p in _pieces(s)] for t in new]
+        distinct = list({p for ps in pieces for p in ps})
+        of = dict(zip(distinct, self.values(distinct).tolist()))
+        for t, ps in zip(new, pieces):
+            self.known[t] = max(map(of.__getitem__, ps), default=math.nan)
+            self.held += len(t) + _OVERHEAD
+
+    def _worst_sentences(self, said: list[list[str]], apart: list[str]) -> np.ndarray:
+        """The three greatest values of a document's windows and runs set apart, -3 where there are fewer."""
+        flat = [t for s in said for t in s]
+        value = np.fromiter(map(self.known.__getitem__, flat), float, len(flat))
+        word = ~np.isnan(value)
+        total = np.concatenate([[0.0], np.cumsum(np.where(word, value, 0.0))])
+        count = np.concatenate([[0], np.cumsum(word)])
+        found = np.zeros(0)
+        if said:
+            a, b = windows(np.fromiter(map(len, said), np.int64, len(said)))
+            some = count[b] > count[a]
+            found = (total[b] - total[a])[some] / np.sqrt(np.maximum(count[b] - count[a], LEAST_WORDS))[some]
+        if apart:
+            found = np.concatenate([found, [self.known[x] / math.sqrt(LEAST_WORDS) for x in apart]])
+        out = np.full(3, -3.0)
+        top = np.sort(found)[::-1][:3] if len(found) < 8 else np.sort(np.partition(found, -3)[-3:])[::-1]
+        out[: len(top)] = np.maximum(top + self.bias, -3.0)
+        return out
 
     def worst(self, texts: list[str]) -> np.ndarray:
-        """The three greatest values of each text's strings, -3 where there are fewer."""
+        """The three greatest values of each text's sentences, -3 where there are fewer."""
         out = np.full((len(texts), 3), -3.0)
         at = 0
         while at < len(texts):
-            found, chars, end = [], 0, at
+            read, chars, end = [], 0, at
             while end < len(texts) and (end == at or chars < 1_000_000):
-                found.append(strings(texts[end]))
+                read.append((sentences(texts[end]), [x for x in set_apart(texts[end].lower()) if readings(x)]))
                 chars += len(texts[end])
                 end += 1
-            self.learn(set().union(*found))
-            for i, some in enumerate(found):
-                if some:
-                    top = np.fromiter(map(self.known.__getitem__, some), float, len(some))
-                    top = np.sort(np.partition(top, -3)[-3:] if len(top) > 3 else top)[::-1]
-                    out[at + i, : len(top)] = np.maximum(top, -3.0)
+            self.learn({t for said, apart in read for s in [*said, apart] for t in s})
+            for i, (said, apart) in enumerate(read):
+                out[at + i] = self._worst_sentences(said, apart)
             at = end
         return out
 
@@ -260,15 +321,15 @@ def _disguised(word: str, rng: np.random.Generator) -> str:
 
 
 def _dense(rows: list[tuple[np.ndarray, np.ndarray]], landmarks: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Kernel values of rows against landmarks: products over the landmarks' own subsequences."""
+    """Kernel values of rows against landmarks, both as codes and weights: products over the landmarks' codes."""
     codes = np.unique(np.concatenate([c for c, _ in landmarks]))
-    table = np.zeros((len(codes) + 1, len(landmarks)))  # the last row stands for all other codes
+    table = np.zeros((len(codes) + 1, len(landmarks)), np.float32)  # the last row stands for all other codes
     for j, (code, weight) in enumerate(landmarks):
         table[np.searchsorted(codes, code), j] = weight
     out = np.zeros((len(rows), len(landmarks)))
     for a in range(0, len(rows), 64):
         part = rows[a : a + 64]
-        code, weight = np.concatenate([c for c, _ in part]), np.concatenate([w for _, w in part])
+        code, weight = np.concatenate([c for c, _ in part]), np.concatenate([w for _, w in part]).astype(np.float32)
         at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
         at = np.where(codes[at] == code, at, len(codes))
         starts = np.cumsum([0, *(len(c) for c, _ in part[:-1])])
@@ -276,6 +337,14 @@ def _dense(rows: list[tuple[np.ndarray, np.ndarray]], landmarks: list[tuple[np.n
     return out
 
 
+def _sentence(strings: list[str], of: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """A sentence's codes and weights: its strings' summed, over the root of their count."""
+    code = np.concatenate([of[s][0] for s in strings])
+    unique, inverse = np.unique(code, return_inverse=True)
+    weight = np.bincount(inverse, np.concatenate([of[s][1] for s in strings]), len(unique))
+    return unique, weight / math.sqrt(max(len(strings), LEAST_WORDS))
+
+
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-3, steps: int = 30) -> np.ndarray:
     """Squared-hinge machine by Newton steps; the last weight is the bias. y is -1 or 1."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -315,7 +384,25 @@ def _curve(worst: np.ndarray, y: np.ndarray, second: float = 0.1, slope: float =
     return -slope * float(low + 0.6 * (high - low)), slope, slope * second, 0.0
 
 
-def train(examples: list[tuple[str, int]], landmarks: int = 320, negatives: int = 12_000, rounds: int = 3, seed: int = 7, weights: dict[int, float] | None = None) -> Machine:
+@dataclass
+class _Document:
+    """A training document: its windows, as one string for each word."""
+
+    windows: list[list[str]]
+    strings: set[str]
+
+
+def _document(text: str) -> _Document:
+    """Windows of a text with the first reading of each token, and all readings of the text."""
+    said, apart = sentences(text), set_apart(text.lower())
+    read = {t: [r for r in readings(t) if len(r) <= WIDEST] for t in {t for s in [*said, apart] for t in s}}
+    a, b = windows(np.fromiter(map(len, said), np.int64, len(said))) if said else ((), ())
+    flat = [t for s in said for t in s]
+    some = [[max(read[t], key=len) for t in flat[x:y] if read[t]] for x, y in zip(a, b)]
+    return _Document([w for w in [*some, *([x] for x in apart if len(x) <= WIDEST)] if w], {r for rs in read.values() for r in rs})
+
+
+def train(examples: list[tuple[str, int]], landmarks: int = 480, negatives: int = 8_000, rounds: int = 3, seed: int = 7, weights: dict[int, float] | None = None) -> Machine:
     """A machine from (text, label) pairs, each standing for ``weights`` documents of its class."""
     texts = [t or "" for t, _ in examples]
     y = np.array([label for _, label in examples], float)
@@ -325,53 +412,76 @@ def train(examples: list[tuple[str, int]], landmarks: int = 320, negatives: int
         machine.curve = (math.log(share / (1 - share)), 0.0, 0.0, 0.0)
         return machine
     rng = np.random.default_rng(seed)
-    documents = [set().union(*map(strings, sentences(t))) if t else set() for t in texts]
-    toxic, clean = [d for d, v in zip(documents, y) if v == 1], [d for d, v in zip(documents, y) if v == 0]
-    bad, harmless = _witnesses(toxic, clean)
-    bad = [w for w in bad if len(w) <= WIDEST]
-    harmless = [w for w in harmless if len(w) <= WIDEST]
+    toxic, clean = ([_document(t) for t, v in zip(texts, y) if v == label] for label in (1, 0))
+    bad, harmless = _witnesses([d.strings for d in toxic], [d.strings for d in clean])
     if not bad or not harmless:
         machine.curve = _curve(machine.worst(texts), y, weights=weights)
         return machine
-    hard: list[str] = []
+    clean_windows = [w for d in clean for w in d.windows]
+    told, hard, found = set(bad), [], []
+    draw = lambda some, n: [some[i] for i in rng.choice(len(some), min(n, len(some)), replace=False)]
     for turn in range(rounds):
-        some_bad = bad[:3000]
-        disguises = [x for w in some_bad[:1500] for x in (_disguised(w, rng), _disguised(w, rng)) if len(x) <= WIDEST]
-        picked = [harmless[i] for i in rng.choice(len(harmless), min(negatives, len(harmless)), replace=False)] + hard
-        rows = some_bad + disguises + picked
-        sign = np.array([1.0] * (len(some_bad) + len(disguises)) + [-1.0] * len(picked))
-        cost = np.array([1.0] * len(some_bad) + [0.8] * len(disguises) + [1.0] * len(picked))
-        cost *= np.where(sign > 0, 1 / cost[sign > 0].sum(), 1 / cost[sign < 0].sum())
-        marks = list(dict.fromkeys(some_bad[: landmarks * 3 // 8] + disguises[: landmarks // 4] + hard[: landmarks // 8] + picked))[:landmarks]
-        wide, own = expanded(rows), expanded(marks)
+        # Windows as they come, and some of every telling string, so that rare ones are learned too.
+        holding: dict[str, list[list[str]]] = defaultdict(list)
+        for d in toxic:
+            for w in d.windows:
+                for x in told.intersection(w):
+                    holding[x].append(w)
+        alone = [[w] for w in bad[:1500]]
+        shown = draw([w for some in holding.values() for w in some], SHOWN) + [w for x in bad[:1500] for w in draw(holding[x], PER_STRING)]
+        disguised = [[_disguised(x, rng) if x in told else x for x in w] for w in [*shown, *alone, *alone]]
+        disguised = [w for w in disguised if max(map(len, w)) <= WIDEST]
+        picked = draw(clean_windows, negatives) + [[w] for w in draw(harmless, negatives // 4)] + hard
+        toxic_rows = shown + alone + found + disguised
+        rows = toxic_rows + picked
+        sign = np.where(np.arange(len(rows)) < len(toxic_rows), 1.0, -1.0)
+        cost = np.where(sign > 0, 1 / len(toxic_rows), 1 / len(picked))
+        marks = draw(shown, landmarks // 4) + alone[: landmarks // 8] + draw(disguised, landmarks // 4) + hard[: landmarks // 8]
+        marks = (marks + draw(picked, landmarks))[:landmarks]
+        names = list({x for w in rows for x in w})
+        of = dict(zip(names, expanded(names)))
+        own = [_sentence(w, of) for w in marks]
         kernel = _dense(own, own)
-        value, vector = np.linalg.eigh(kernel)
+        value, vector = np.linalg.eigh((kernel + kernel.T) / 2)
         half = vector * (1 / np.sqrt(np.maximum(value, 1e-6)))
-        w = _svm(_dense(wide, own) @ half, sign, cost)
+        # A sentence's kernel values are its strings' summed, so each string is compared once.
+        number = {x: i for i, x in enumerate(names)}
+        by_string = _dense([of[x] for x in names], own)
+        flat = np.array([number[x] for w in rows for x in w])
+        size = np.array([len(w) for w in rows])
+        wide = np.add.reduceat(by_string[flat], np.cumsum(size) - size, axis=0) / np.sqrt(np.maximum(size, LEAST_WORDS))[:, None]
+        w = _svm(wide @ half, sign, cost)
         alpha = half @ w[:-1]
         machine.weights = np.zeros(_BASE**3)
         for a, (code, weight) in zip(alpha, own):
             machine.weights[code] += a * weight
-        machine.weights, machine.bias, machine.known = machine.weights.astype(np.float32), float(w[-1]), {}
+        machine.weights, machine.bias, machine.known, machine.held = machine.weights.astype(np.float32), float(w[-1]), {}, 0
         if turn < rounds - 1:
-            # Strings of clean documents that score high come back as hard examples; the worst
-            # string of a toxic document joins the insults if it scores as one.
-            value = machine.values(harmless)
+            # Clean sentences that score high come back as hard examples; the worst sentence of a
+            # toxic document joins the toxic ones if it scores as one.
+            value = _window_values(machine, clean_windows)
             order = np.argsort(-value)[:1500]
-            hard = list(dict.fromkeys(hard + [harmless[i] for i in order if value[i] > -0.6]))
-            clean_strings = set(harmless)
+            hard = list({tuple(w): w for w in [*hard, *(clean_windows[i] for i in order if value[i] > -0.6)]}.values())
+            found = []
             for d in toxic:
-                some = [s for s in d if len(s) <= WIDEST and s not in clean_strings]
-                if some:
-                    v = machine.values(some)
+                if d.windows:
+                    v = _window_values(machine, d.windows)
                     if v.max() > 0.3:
-                        bad.append(some[int(v.argmax())])
-            bad = [w for w, _ in sorted(Counter(bad).items(), key=lambda x: (-x[1], x[0]))]
+                        found.append(d.windows[int(v.argmax())])
     machine.curve = _curve(machine.worst(texts), y, weights=weights)
-    machine.known = {}
+    machine.known, machine.held = {}, 0
     return machine
 
 
+def _window_values(machine: Machine, some: list[list[str]]) -> np.ndarray:
+    """Decision values of windows given as strings."""
+    machine.learn({x for w in some for x in w})
+    size = np.array([len(w) for w in some])
+    flat = np.array([machine.known[x] for w in some for x in w])
+    flat = np.where(np.isnan(flat), 0.0, flat)
+    return np.add.reduceat(flat, np.cumsum(size) - size) / np.sqrt(np.maximum(size, LEAST_WORDS)) + machine.bias
+
+
 def scored(docs: DataFrame, machine: Machine, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """docs with each whole text's probability of being toxic."""
     slim = without(docs, out_col).withColumn(text_col, quoted(text_col).cast("string"))
