@@ -8,9 +8,9 @@ words around it as wide as the template (within and across lines) are a window,
 cosine to the template is computed inside its row. A window matches at ``threshold`` if it also
 shares three fifths of the template's distinct words, so that one rare word alone doesn't match.
 
-License files: the whole text's cosine to whole license texts, for texts that hold enough of the
-license texts' words to reach ``whole`` at all; how many that is follows from the templates, so no
-text is left out that could reach it. A file that reaches it has that license; other files have
+License files: the whole text's cosine to whole license texts, for texts that could reach ``whole``
+by the share that the license texts' words have in them (``could_reach``, an upper bound that is
+taken inside the row), so no text is left out that reaches it. A file that reaches it has that license; other files have
 the license of their best header (ties: the longer template, then the name).
 
 Inheritance: a file is a license file of its folder if it reaches ``whole``, if its path says so
@@ -167,22 +167,19 @@ def anchors(model: Model) -> list[tuple[int, str, int]]:
     return out
 
 
-def least_shared(model: Model, whole: float) -> int:
-    """How many distinct template words that aren't plain a text must hold to reach ``whole`` with any template.
+def could_reach(model: Model, whole: float) -> str:
+    """SQL on ``ws`` (a text's words) and ``known`` (those that the model has): false only where
+    the text can't reach ``whole`` with any template.
 
-    The cosine of a text that holds the words S of a template is at most the root of the sum of
-    the template's squared weights over S.
+    The cosine is at most the root of the share that known words make of the text's squared
+    length. A distinct unknown word adds at least unknown ** 2 to it. What known words add, the sum of
+    ((1 + ln tf) * idf) ** 2, is at most 4 / e for each occurrence times the greatest idf ** 2 of
+    its kind: words of half the templates or more, and rarer ones.
     """
-    needs = []
-    for vector in model.vectors:
-        mass = sum(v * v for w, v in vector.items() if w in PLAIN)
-        heavy = sorted((v * v for w, v in vector.items() if w not in PLAIN), reverse=True)
-        n = 0
-        while mass < whole * whole - 1e-9 and n < len(heavy):
-            mass += heavy[n]
-            n += 1
-        needs.append(n)
-    return min(needs, default=1)
+    half = math.log(3)
+    rare = [w for w, v in model.idf.items() if v > half]
+    inside = f"({half**2!r}D * (size(known) - rare) + {max(model.idf.values(), default=0.0) ** 2!r}D * rare)".replace("rare", f"size(filter(known, w -> w in ({_listed(rare)})))")
+    return f"{model.unknown**2 * whole**2!r}D * (size(array_distinct(ws)) - size(array_distinct(known))) <= {4 / math.e * (1 - whole**2) + 1e-9!r}D * {inside}"
 
 
 def _listed(words) -> str:
@@ -201,8 +198,8 @@ def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, headers: d
     rows = files.select(F.monotonically_increasing_id().alias("uid"), "id", "path", F.filter(F.split("text", "[^a-z0-9]+"), lambda w: w != "").alias("ws"))
     places = f"filter(transform(ws, (w, i) -> if(w in ({_listed({w for _, w, _ in at})}), i, -1)), i -> i >= 0)"
     near = f"transform(places, i -> named_struct('at', i, 'word', ws[i], 'from', greatest(i - {before}, 0), 'near', slice(ws, greatest(i - {before}, 0) + 1, {before + after})))"
-    legal = {w for v in long.vectors for w in v} - PLAIN
-    likely = f"size(array_distinct(filter(ws, w -> w in ({_listed(legal)})))) >= {least_shared(long, whole)}" if legal else "false"
+    rows = rows.withColumn("known", F.expr(f"filter(ws, w -> w in ({_listed(long.idf)}))" if long.idf else "filter(ws, w -> false)"))
+    likely = f"size(known) > 0 and {could_reach(long, whole)}" if long.idf else "false"
     rows = rows.withColumn("places", F.expr(places))
     table = settle(rows.select("uid", "id", "path", F.size("ws").alias("n_words"), F.expr(near).alias("spots"), F.expr(f"if({likely}, ws, null)").alias("ws")), "licenses")
 
