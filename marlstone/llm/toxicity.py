@@ -199,16 +199,20 @@ def expanded(some: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 @dataclass
 class Machine:
-    """The folded machine: a weight for each subsequence, a bias, and the document's curve."""
+    """The folded machine: a weight for each subsequence, a bias, and the document's curve.
+
+    ``support`` are the landmarks, as strings, and their multipliers; scoring doesn't need them.
+    """
 
     weights: np.ndarray = field(default_factory=lambda: np.zeros(_BASE**3, np.float32))
     bias: float = -1.0
     curve: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
     known: dict[str, float] = field(default_factory=dict, repr=False)
     held: int = field(default=0, repr=False)
+    support: list[tuple[list[str], float]] = field(default_factory=list, repr=False)
 
     def __getstate__(self):
-        return {"weights": self.weights, "bias": self.bias, "curve": self.curve, "known": {}, "held": 0}
+        return {"weights": self.weights, "bias": self.bias, "curve": self.curve, "known": {}, "held": 0, "support": []}
 
     def values(self, some: list[str]) -> np.ndarray:
         """What strings of at most WIDEST symbols add to a sentence."""
@@ -326,7 +330,7 @@ def _dense(rows: list[tuple[np.ndarray, np.ndarray]], landmarks: list[tuple[np.n
     table = np.zeros((len(codes) + 1, len(landmarks)), np.float32)  # the last row stands for all other codes
     for j, (code, weight) in enumerate(landmarks):
         table[np.searchsorted(codes, code), j] = weight
-    out = np.zeros((len(rows), len(landmarks)))
+    out = np.zeros((len(rows), len(landmarks)), np.float32)
     for a in range(0, len(rows), 64):
         part = rows[a : a + 64]
         code, weight = np.concatenate([c for c, _ in part]), np.concatenate([w for _, w in part]).astype(np.float32)
@@ -384,22 +388,43 @@ def _curve(worst: np.ndarray, y: np.ndarray, second: float = 0.1, slope: float =
     return -slope * float(low + 0.6 * (high - low)), slope, slope * second, 0.0
 
 
-@dataclass
-class _Document:
-    """A training document: its windows, as one string for each word."""
-
-    windows: list[list[str]]
-    strings: set[str]
+class _Corpus:
+    """Training documents as numbers: each word's string, and the windows of all sentences.
 
+    A word counts as its longest reading here; ``strings`` are all readings of each document.
+    """
 
-def _document(text: str) -> _Document:
-    """Windows of a text with the first reading of each token, and all readings of the text."""
-    said, apart = sentences(text), set_apart(text.lower())
-    read = {t: [r for r in readings(t) if len(r) <= WIDEST] for t in {t for s in [*said, apart] for t in s}}
-    a, b = windows(np.fromiter(map(len, said), np.int64, len(said))) if said else ((), ())
-    flat = [t for s in said for t in s]
-    some = [[max(read[t], key=len) for t in flat[x:y] if read[t]] for x, y in zip(a, b)]
-    return _Document([w for w in [*some, *([x] for x in apart if len(x) <= WIDEST)] if w], {r for rs in read.values() for r in rs})
+    def __init__(self, texts: list[str], number: dict[str, int], read: dict[str, tuple[str, ...]]):
+        flat, starts, ends, of, self.strings = [], [], [], [], []
+        at = 0
+        for d, text in enumerate(texts):
+            said, apart = sentences(text), set_apart(text.lower())
+            for t in {t for s in [*said, apart] for t in s}:
+                if t not in read:
+                    read[t] = tuple(r for r in readings(t) if len(r) <= WIDEST)
+            self.strings.append({r for s in [*said, apart] for t in s for r in read[t]})
+            some = [[number.setdefault(max(read[t], key=len), len(number)) for t in s if read[t]] for s in [*said, *([x] for x in apart)]]
+            some = [s for s in some if s]
+            if some:
+                a, b = windows(np.fromiter(map(len, some), np.int64, len(some)))
+                flat.append(np.array([x for s in some for x in s], np.int32))
+                starts.append((a + at).astype(np.int32))
+                ends.append((b + at).astype(np.int32))
+                of.append(np.full(len(a), d, np.int32))
+                at += len(flat[-1])
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int32)
+        self.flat, self.starts, self.ends, self.of = join(flat), join(starts), join(ends), join(of)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def window(self, i: int) -> list[int]:
+        return self.flat[self.starts[i] : self.ends[i]].tolist()
+
+    def values(self, by_string: np.ndarray, bias: float) -> np.ndarray:
+        """Decision values of all windows from what each string adds."""
+        total = np.concatenate([[0.0], np.cumsum(by_string[self.flat])])
+        return (total[self.ends] - total[self.starts]) / np.sqrt(np.maximum(self.ends - self.starts, LEAST_WORDS)) + bias
 
 
 def train(examples: list[tuple[str, int]], landmarks: int = 480, negatives: int = 8_000, rounds: int = 3, seed: int = 7, weights: dict[int, float] | None = None) -> Machine:
@@ -412,74 +437,80 @@ def train(examples: list[tuple[str, int]], landmarks: int = 480, negatives: int
         machine.curve = (math.log(share / (1 - share)), 0.0, 0.0, 0.0)
         return machine
     rng = np.random.default_rng(seed)
-    toxic, clean = ([_document(t) for t, v in zip(texts, y) if v == label] for label in (1, 0))
-    bad, harmless = _witnesses([d.strings for d in toxic], [d.strings for d in clean])
-    if not bad or not harmless:
+    number: dict[str, int] = {}
+    read: dict[str, tuple[str, ...]] = {}
+    toxic, clean = (_Corpus([t for t, v in zip(texts, y) if v == label], number, read) for label in (1, 0))
+    names = list(number)
+    bad, harmless = _witnesses(toxic.strings, clean.strings)
+    del read, toxic.strings, clean.strings
+    if not bad or not harmless or not len(toxic) or not len(clean):
         machine.curve = _curve(machine.worst(texts), y, weights=weights)
         return machine
-    clean_windows = [w for d in clean for w in d.windows]
-    told, hard, found = set(bad), [], []
-    draw = lambda some, n: [some[i] for i in rng.choice(len(some), min(n, len(some)), replace=False)]
+    told = set(bad)
+    # Windows as they come, and some of every telling string, so that rare ones are learned too.
+    holding: dict[str, list[int]] = defaultdict(list)
+    telling = np.array([x in told for x in names])
+    many = np.concatenate([[0], np.cumsum(telling[toxic.flat])])
+    for i in np.flatnonzero(many[toxic.ends] > many[toxic.starts]):
+        for x in {names[j] for j in toxic.window(i)} & told:
+            holding[x].append(i)
+    any_of = sorted({i for some in holding.values() for i in some})
+    draw = lambda some, n: [some[i] for i in rng.choice(len(some), min(n, len(some)), replace=False)] if len(some) else []
+    spelt = lambda corpus, some: [[names[j] for j in corpus.window(i)] for i in some]
+    hard_at: set[int] = set()
+    found_at: list[int] = []
     for turn in range(rounds):
-        # Windows as they come, and some of every telling string, so that rare ones are learned too.
-        holding: dict[str, list[list[str]]] = defaultdict(list)
-        for d in toxic:
-            for w in d.windows:
-                for x in told.intersection(w):
-                    holding[x].append(w)
         alone = [[w] for w in bad[:1500]]
-        shown = draw([w for some in holding.values() for w in some], SHOWN) + [w for x in bad[:1500] for w in draw(holding[x], PER_STRING)]
+        shown = spelt(toxic, draw(any_of, SHOWN) + [w for x in bad[:1500] for w in draw(holding[x], PER_STRING)])
         disguised = [[_disguised(x, rng) if x in told else x for x in w] for w in [*shown, *alone, *alone]]
         disguised = [w for w in disguised if max(map(len, w)) <= WIDEST]
-        picked = draw(clean_windows, negatives) + [[w] for w in draw(harmless, negatives // 4)] + hard
-        toxic_rows = shown + alone + found + disguised
+        hard = spelt(clean, sorted(hard_at))
+        picked = spelt(clean, rng.choice(len(clean), min(negatives, len(clean)), replace=False)) + [[w] for w in draw(harmless, negatives // 4)] + hard
+        toxic_rows = shown + alone + spelt(toxic, found_at) + disguised
         rows = toxic_rows + picked
         sign = np.where(np.arange(len(rows)) < len(toxic_rows), 1.0, -1.0)
         cost = np.where(sign > 0, 1 / len(toxic_rows), 1 / len(picked))
-        marks = draw(shown, landmarks // 4) + alone[: landmarks // 8] + draw(disguised, landmarks // 4) + hard[: landmarks // 8]
+        marks = draw(shown, landmarks // 4) + alone[: landmarks // 8] + draw(disguised, landmarks // 4) + draw(hard, landmarks // 8)
         marks = (marks + draw(picked, landmarks))[:landmarks]
-        names = list({x for w in rows for x in w})
-        of = dict(zip(names, expanded(names)))
-        own = [_sentence(w, of) for w in marks]
-        kernel = _dense(own, own)
-        value, vector = np.linalg.eigh((kernel + kernel.T) / 2)
-        half = vector * (1 / np.sqrt(np.maximum(value, 1e-6)))
-        # A sentence's kernel values are its strings' summed, so each string is compared once.
-        number = {x: i for i, x in enumerate(names)}
-        by_string = _dense([of[x] for x in names], own)
-        flat = np.array([number[x] for w in rows for x in w])
-        size = np.array([len(w) for w in rows])
-        wide = np.add.reduceat(by_string[flat], np.cumsum(size) - size, axis=0) / np.sqrt(np.maximum(size, LEAST_WORDS))[:, None]
-        w = _svm(wide @ half, sign, cost)
-        alpha = half @ w[:-1]
-        machine.weights = np.zeros(_BASE**3)
-        for a, (code, weight) in zip(alpha, own):
-            machine.weights[code] += a * weight
-        machine.weights, machine.bias, machine.known, machine.held = machine.weights.astype(np.float32), float(w[-1]), {}, 0
+        machine.weights, machine.bias, machine.support = _fitted(rows, sign, cost, marks)
+        machine.known, machine.held = {}, 0
         if turn < rounds - 1:
             # Clean sentences that score high come back as hard examples; the worst sentence of a
             # toxic document joins the toxic ones if it scores as one.
-            value = _window_values(machine, clean_windows)
-            order = np.argsort(-value)[:1500]
-            hard = list({tuple(w): w for w in [*hard, *(clean_windows[i] for i in order if value[i] > -0.6)]}.values())
-            found = []
-            for d in toxic:
-                if d.windows:
-                    v = _window_values(machine, d.windows)
-                    if v.max() > 0.3:
-                        found.append(d.windows[int(v.argmax())])
+            by_string = machine.values(names)
+            value = clean.values(by_string, machine.bias)
+            order = np.argpartition(-value, min(1500, len(value) - 1))[:1500]
+            hard_at.update(order[value[order] > -0.6].tolist())
+            value = toxic.values(by_string, machine.bias)
+            best = np.lexsort((-value, toxic.of))
+            best = best[np.unique(toxic.of[best], return_index=True)[1]]
+            found_at = best[value[best] > 0.3].tolist()
     machine.curve = _curve(machine.worst(texts), y, weights=weights)
     machine.known, machine.held = {}, 0
     return machine
 
 
-def _window_values(machine: Machine, some: list[list[str]]) -> np.ndarray:
-    """Decision values of windows given as strings."""
-    machine.learn({x for w in some for x in w})
-    size = np.array([len(w) for w in some])
-    flat = np.array([machine.known[x] for w in some for x in w])
-    flat = np.where(np.isnan(flat), 0.0, flat)
-    return np.add.reduceat(flat, np.cumsum(size) - size) / np.sqrt(np.maximum(size, LEAST_WORDS)) + machine.bias
+def _fitted(rows: list[list[str]], sign: np.ndarray, cost: np.ndarray, marks: list[list[str]]) -> tuple[np.ndarray, float, list[tuple[list[str], float]]]:
+    """Folded weights, bias, and the landmarks with their multipliers, from sentences as strings."""
+    names = list({x for w in [*rows, *marks] for x in w})
+    number = {x: i for i, x in enumerate(names)}
+    expansions = expanded(names)
+    of = dict(zip(names, expansions))
+    own = [_sentence(w, of) for w in marks]
+    kernel = _dense(own, own).astype(float)
+    value, vector = np.linalg.eigh((kernel + kernel.T) / 2)
+    half = vector * (1 / np.sqrt(np.maximum(value, 1e-6)))
+    # A sentence's kernel values are its strings' summed, so each string is compared once.
+    by_string = _dense(expansions, own)
+    flat = np.array([number[x] for w in rows for x in w])
+    size = np.array([len(w) for w in rows])
+    wide = np.add.reduceat(by_string[flat], np.cumsum(size) - size, axis=0) / np.sqrt(np.maximum(size, LEAST_WORDS))[:, None]
+    w = _svm(wide @ half, sign, cost)
+    alpha = half @ w[:-1]
+    folded = np.zeros(_BASE**3)
+    for a, (code, weight) in zip(alpha, own):
+        folded[code] += a * weight
+    return folded.astype(np.float32), float(w[-1]), list(zip(marks, alpha.tolist()))
 
 
 def scored(docs: DataFrame, machine: Machine, text_col: str = "text", out_col: str = "score") -> DataFrame:
