@@ -1,22 +1,27 @@
 """Retrieval: BM25, rank fusion, local re-ranking, diverse selection and document coverage.
 
-Ranking is relational: tokens are exploded once and cut to the terms that some query asks, so
-what is shuffled is matched (query, chunk) pairs, and top-k uses ranks that Spark limits before
+Ranking is relational. A chunk keeps only the tokens that some query asks and is shuffled once, thin,
+by its key; terms meet the queries' weights, which are counted and broadcast, so no common term
+is a join key, and a chunk's scores are summed where it lies. Top-k uses ranks that Spark limits before
 its shuffle. Only the greedy selection of a question's few candidates runs as a grouped map.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.settling import settled
 from marlstone.functions.text import CHINESE, OPTION_NUMBER, Preset, normal_numbers, tokens
 
 K1, B, RRF_K = 1.2, 0.3, 60
 REDUNDANCY, TABLE_BONUS = 0.35, 0.08
+#: Terms that are written into an expression, and weights (about 60 bytes each) that are broadcast, at most.
+_MOST_TERMS, _MOST_WEIGHTS = 20_000, 500_000
 
 
 def corpus_statistics(chunks: DataFrame, scope: str, toks: str = "toks") -> DataFrame:
@@ -29,22 +34,32 @@ def document_frequencies(chunks: DataFrame, scope: str, key: list[str], toks: st
     return chunks.select(scope, *key, F.explode(F.array_distinct(toks)).alias("term")).groupBy(scope, "term").agg(F.count("*").alias("df"))
 
 
+def _kept(toks: str, terms: DataFrame):
+    """The tokens that are among terms; all of them where terms are too many for one expression."""
+    words = [r["term"] for r in terms.limit(_MOST_TERMS + 1).collect()]
+    return F.filter(toks, lambda t: t.isin(words)) if len(words) <= _MOST_TERMS else F.col(toks)
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, scope: str, key: list[str], query: list[str], toks: str = "toks") -> DataFrame:
     """(scope, key..., query..., score) of chunks that share a term with a query of their corpus.
 
     chunks: scope, key, tokens. queries: scope, query, tokens (repeats count once).
     """
-    asked = queries.select(scope, *query, F.explode(F.array_distinct(toks)).alias("term"))
-    wanted = asked.select(scope, "term").distinct()
-    held = chunks.select(scope, *key, F.size(toks).alias("dl"), F.explode(toks).alias("term")).join(wanted, [scope, "term"], "left_semi")
-    tf = held.groupBy(scope, *key, "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(scope, "term").agg(F.count("*").alias("df"))
-    stats = corpus_statistics(chunks, scope, toks)
-    idf = df.join(stats, scope).select(scope, "term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    asked = settled(queries.select(scope, *query, F.explode(F.array_distinct(toks)).alias("term")))
+    held = _kept(toks, asked.select("term").distinct())
+    rows = settled(chunks.select(scope, *key, F.size(toks).alias("dl"), held.alias("held")))
+    df = rows.select(scope, F.explode(F.array_distinct("held")).alias("term")).groupBy(scope, "term").agg(F.count("*").alias("df"))
+    stats = rows.groupBy(scope).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = settled(asked.join(df, [scope, "term"]).join(stats, scope).select(scope, *query, "term", "avgdl", idf.alias("idf")))
+    if weights.count() <= _MOST_WEIGHTS:
+        weights = F.broadcast(weights)
+    # Terms, parts and sums of a chunk stay in its partition: every grouping below contains its key.
+    near = rows.repartition(scope, *key).select(scope, *key, "dl", F.explode("held").alias("term"))
+    tf = near.groupBy(scope, *key, "dl", "term").agg(F.count("*").alias("tf"))
     length = 1 - B + B * F.col("dl") / F.greatest(F.lit(1.0), F.col("avgdl"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
-    scored = tf.join(idf, [scope, "term"]).select(scope, *key, "term", part.alias("part"))
-    return scored.join(asked, [scope, "term"]).groupBy(scope, *key, *query).agg(F.sum("part").alias("score"))
+    return tf.join(weights, [scope, "term"]).groupBy(scope, *key, *query).agg(F.sum(part).alias("score"))
 
 
 def ranked(df: DataFrame, by: list[str], order: list, limit: int, rank: str = "rank") -> DataFrame:
@@ -87,10 +102,11 @@ def candidates(chunks: DataFrame, questions: DataFrame, pool: int = 20, preset:
     """
     of = questions.select("qid", F.col("domain").alias("q_domain"), F.posexplode("doc_ids").alias("doc_at", "doc_id"))
     own = chunks.join(of, "doc_id").select("qid", "doc_at", "doc_id", "chunk_id", "text", "is_table", "section", "region", F.col("q_domain").alias("domain"), tokens(F.col("text"), preset).alias("toks"))
+    own = settled(own)
     variants = query_variants(questions)
     asked = variants.select("qid", "variant", tokens(F.col("query"), preset).alias("toks"))
     key = ["doc_at", "doc_id", "chunk_id"]
-    scores = bm25(own, asked, "qid", key, ["variant"])
+    scores = bm25(own.select("qid", *key, "toks"), asked, "qid", key, ["variant"])
     # Chunks without a shared term score 0 and still rank, after those that score.
     every = own.select("qid", *key).join(variants.select("qid", "variant"), "qid")
     scores = every.join(scores, ["qid", *key, "variant"], "left").select("qid", *key, "variant", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
@@ -134,54 +150,84 @@ def diverse(items: list[dict], score: str, limit: int, cap: int) -> list[dict]:
 
 
 def covered(chosen: list[dict], items: list[dict], score: str, doc_ids: list[str], limit: int) -> list[dict]:
-    """chosen with the best item of every document that has none, in place of the least item of a
-    document that has several once ``limit`` is reached."""
-    chosen = list(chosen)
-    taken = {(x["doc_id"], x["chunk_id"]) for x in chosen}
-    for doc in doc_ids:
-        have = Counter(x["doc_id"] for x in chosen)
-        spare = [x for x in items if x["doc_id"] == doc and (x["doc_id"], x["chunk_id"]) not in taken]
-        if have[doc] or not spare:
-            continue
-        best = max(spare, key=lambda x: x[score])
-        if len(chosen) < limit:
-            chosen.append(best)
-        else:
-            several = [i for i, x in enumerate(chosen) if have[x["doc_id"]] > 1]
-            if not several:
-                continue
-            at = min(several, key=lambda i: chosen[i][score])
-            taken.discard((chosen[at]["doc_id"], chosen[at]["chunk_id"]))
-            chosen[at] = best
-        taken.add((best["doc_id"], best["chunk_id"]))
-    return chosen[:limit]
-
-
-def choose(items: list[dict], doc_ids: list[str], top_k: int) -> list[dict]:
-    """A question's final chunks: diverse inside each document, then across documents, all covered."""
+    """chosen with the best item of every document that has none.
+
+    Documents without an item fill free places first, in order. The others replace spare items: those
+    that leave their document another one, from the least score up.
+    """
+    held = Counter(x["doc_id"] for x in chosen)
+    best: dict[str, dict] = {}
+    for x in items:
+        if not held[x["doc_id"]] and (x["doc_id"] not in best or x[score] > best[x["doc_id"]][score]):
+            best[x["doc_id"]] = x
+    fills = [best[d] for d in doc_ids if d in best]
+    spare = []
+    for at in sorted(range(len(chosen)), key=lambda i: chosen[i][score]):
+        if held[chosen[at]["doc_id"]] > 1:
+            held[chosen[at]["doc_id"]] -= 1
+            spare.append(at)
+    free = max(0, limit - len(chosen))
+    out = chosen + fills[:free]
+    for at, x in zip(spare, fills[free:]):
+        out[at] = x
+    return out[:limit]
+
+
+def balanced(items: list[dict], doc_ids: list[str], top_k: int) -> list[dict]:
+    """A diverse choice inside each document, documents in order."""
     quota = max(4, top_k // max(1, len(doc_ids)) + 2)
-    balanced: list[dict] = []
+    out: list[dict] = []
     for doc in dict.fromkeys(doc_ids):
-        own = sorted((x for x in items if x["doc_id"] == doc), key=lambda x: x["place"])
-        balanced += diverse(own, "fused", quota, 2)
-    balanced = [dict(x, final=1.0 / (i + 1)) for i, x in enumerate(balanced)]
-    return covered(diverse(balanced, "final", top_k, 1), balanced, "final", list(dict.fromkeys(doc_ids)), top_k)
+        out += diverse(sorted((x for x in items if x["doc_id"] == doc), key=lambda x: x["place"]), "fused", quota, 2)
+    return out
+
+
+def final(some: list[dict], doc_ids: list[str], top_k: int) -> list[dict]:
+    """A diverse choice across documents from an ordered one, all documents covered."""
+    some = [dict(x, final=1.0 / (i + 1)) for i, x in enumerate(some)]
+    return covered(diverse(some, "final", top_k, 1), some, "final", list(dict.fromkeys(doc_ids)), top_k)
+
 
+_CHOSEN = "position int, qid string, doc_id string, chunk_id int, text string, is_table boolean, section string, region string, score double"
 
-def retrieve(chunks: DataFrame, questions: DataFrame, top_k: int = 8, pool: int = 20, preset: Preset = CHINESE) -> DataFrame:
+
+def retrieve(chunks: DataFrame, questions: DataFrame, top_k: int = 8, pool: int = 20, preset: Preset = CHINESE, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(qid, position, doc_id, chunk_id, text, is_table, section, region, score) of each question.
 
-    A question's group holds at most ``pool`` candidates for each document that it names.
+    A question's group holds at most ``pool`` candidates for each document that it names. ``rerank``
+    may order the balanced choice anew before the final one: it gets (qid, place, question, text)
+    of questions with more than ``top_k`` chunks, texts of 600 characters at most, and returns
+    (qid, place, rank); what it leaves out comes last.
     """
     found = candidates(chunks, questions, pool, preset).join(questions.select("qid", "doc_ids"), "qid")
+    names = ["qid", "doc_id", "chunk_id", "text", "is_table", "section", "region"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = [dict(r, terms=set(r["toks"])) for r in pdf.to_dict("records")]
-        rows = choose(items, list(pdf["doc_ids"].iloc[0]), top_k)
-        names = ["qid", "doc_id", "chunk_id", "text", "is_table", "section", "region"]
+    def rows_of(rows: list[dict]) -> pd.DataFrame:
         return pd.DataFrame([(i, *(x[c] for c in names), x["final"]) for i, x in enumerate(rows)], columns=["position", *names, "score"])
 
-    return found.groupBy("qid").applyInPandas(run, "position int, qid string, doc_id string, chunk_id int, text string, is_table boolean, section string, region string, score double")
+    if rerank is None:
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            items, doc_ids = [dict(r, terms=set(r["toks"])) for r in pdf.to_dict("records")], list(pdf["doc_ids"].iloc[0])
+            return rows_of(final(balanced(items, doc_ids, top_k), doc_ids, top_k))
+
+        return found.groupBy("qid").applyInPandas(run, _CHOSEN)
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        items = balanced([dict(r, terms=set(r["toks"])) for r in pdf.to_dict("records")], list(pdf["doc_ids"].iloc[0]), top_k)
+        return pd.DataFrame([(i, *(x[c] for c in [*names, "toks", "doc_ids"])) for i, x in enumerate(items)], columns=["place", *names, "toks", "doc_ids"])
+
+    kinds = dict(found.dtypes)
+    some = settled(found.groupBy("qid").applyInPandas(first, "place int, " + ", ".join(f"{c} {kinds[c]}" for c in [*names, "toks", "doc_ids"])))
+    many = some.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") > top_k).select("qid")
+    order = rerank(some.join(many, "qid").join(questions.select("qid", "question"), "qid").select("qid", "place", "question", F.substring("text", 1, 600).alias("text")))
+    some = some.join(order.select("qid", "place", "rank"), ["qid", "place"], "left")
+
+    def last(pdf: pd.DataFrame) -> pd.DataFrame:
+        items = [dict(r, terms=set(r["toks"])) for r in pdf.sort_values(["rank", "place"], na_position="last").to_dict("records")]
+        return rows_of(final(items, list(pdf["doc_ids"].iloc[0]), top_k))
+
+    return some.groupBy("qid").applyInPandas(last, _CHOSEN)
 
 
 def rerank_by_vectors(candidates_: DataFrame, vectors: DataFrame, query: str, key: str, limit: int) -> DataFrame:

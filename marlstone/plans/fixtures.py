@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.settling import settled as settled
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,14 +49,6 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the shared folder: for frames that a query uses more than once."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/marlstone")
-    return df.checkpoint()
-
-
 # The same in SQL: one CTE after another, ending in ``daily`` with unrounded features.
 def _side_sql(name: str, per: int, more: str) -> str:
     return f"[{', '.join(f'{per * i} + {more}' for i in range(1, 6))}] as {name}"

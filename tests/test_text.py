@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import LATIN
 from marlstone.operators import answering, chunking, retrieval
 
-CHUNK = {"doc_id": "d", "chunk_id": 0, "section": "", "region": "r", "is_table": False}
-
 
 def test_related_sentences_stay_together():
     groups = chunking.semantic_groups("2024年营业收入增长。净利润同比增长。资产负债率下降。监管机构发布新规。", threshold=0.2)
@@ -30,17 +28,70 @@ def test_chunked_frame(spark):
     assert [(r.doc_id, r.is_table, r.region) for r in rows] == [("a", False, "__preamble__"), ("a", True, "1")]
 
 
-def test_option_context_keeps_neighbours_in_budget():
-    chunk = dict(CHUNK, text="这是无关背景。2024年净利润为20亿元。后续还有无关说明。")
-    got = answering.option_context([chunk], "2024年净利润为20亿元", 80)
-    assert "净利润" in got and "无关背景" in got and len(got) <= 80
-
-
-def test_context_is_cut_between_units():
-    prose = dict(CHUNK, text="条件是资产负债率超过70%。因此必须提交股东大会审议。")
-    assert answering.build_context([prose], 60).endswith("。")
-    table = dict(CHUNK, is_table=True, text="年份 | 净利润\n2023 | 10\n2024 | 20")
-    assert "2023 | 10" in answering.build_context([table], 70)
+CHOSEN = "qid string, position int, doc_id string, chunk_id int, section string, region string, is_table boolean, text string"
+
+
+def _chosen(spark, *texts, table=False):
+    return spark.createDataFrame([("q", i, "d", i, "", "r", table, t) for i, t in enumerate(texts)], CHOSEN)
+
+
+def _asked(spark, **options):
+    return spark.createDataFrame([("q", options)], "qid string, options map<string,string>")
+
+
+def test_option_context_keeps_neighbours_in_budget(spark):
+    chosen = _chosen(spark, "这是无关背景。2024年净利润为20亿元。后续还有无关说明。")
+    got = answering.option_contexts(chosen, _asked(spark, A="2024年净利润为20亿元", B="x"), 80).collect()
+    got = {r.option: r.context for r in got}
+    assert "净利润" in got["A"] and "无关背景" in got["A"] and len(got["A"]) <= 80 and got["B"] == ""
+
+
+def test_option_context_against_a_plain_walk(spark):
+    rng = np.random.default_rng(3)
+    words = [2 * c for c in "abcdefghijkl"]
+    texts = [". ".join(" ".join(rng.choice(words, 4)) for _ in range(5)) + "." for _ in range(4)]
+    option = " ".join(words[1:5])
+    lines = []
+    for i, t in enumerate(texts):
+        parts = [x.strip() + "." for x in t.split(".") if x.strip()]
+        for at, p in enumerate(parts):
+            score = len(set(p[:-1].split()) & set(option.split()))
+            if score:
+                lines.append((-score, i, at, f"[d||rr] {''.join(parts[max(0, at - 1):at + 2])}"))
+    for budget in (30, 100, 1000):
+        want, left = [], budget
+        for *_, line in sorted(lines):
+            if left <= len("[d||rr] "):
+                break
+            want.append(line[:left])
+            left -= len(want[-1])
+        got = answering.option_contexts(_chosen(spark, *texts), _asked(spark, A=option), budget, LATIN).first().context
+        assert got == "\n".join(want)
+
+
+def test_context_is_cut_between_units(spark):
+    prose = answering.contexts(_chosen(spark, "条件是资产负债率超过70%。因此必须提交股东大会审议。"), 60).first().context
+    assert prose.endswith("。") and len(prose) <= 60
+    assert "2023 | 10" in answering.contexts(_chosen(spark, "年份 | 净利润\n2023 | 10\n2024 | 20", table=True), 70).first().context
+
+
+def test_context_against_a_plain_walk(spark):
+    texts = ["One two three. Four five. Six.", "A much longer sentence stands here. Short one.", "Tail. End."]
+    for budget in (20, 60, 90, 120, 400):
+        want, left = [], budget
+        for i, t in enumerate(texts):
+            header = f"【来源: d #chunk{i} 章节:{answering.NO_SECTION} 区域:r】\n"
+            if left - len(header) <= 0:
+                break
+            body = ""
+            for unit in [x.strip() + "." for x in t.split(".") if x.strip()]:
+                if len(body) + len(unit) > left - len(header):
+                    break
+                body += unit
+            if body:
+                want.append(header + body)
+                left -= len(header) + len(body)
+        assert answering.contexts(_chosen(spark, *texts), budget, LATIN).first().context == "\n\n".join(want)
 
 
 def test_evidence(spark):
@@ -107,6 +158,33 @@ def test_diverse_selection_against_plain_code():
         assert [x["chunk_id"] for x in retrieval.diverse(items, "f", limit, cap)] == [x["chunk_id"] for x in _slow_diverse(items, "f", limit, cap)]
 
 
+def _slow_covered(chosen, items, score, doc_ids, limit):
+    out = list(chosen)
+    for d in doc_ids:
+        some = [x for x in items if x["doc_id"] == d and x not in out]
+        if any(x["doc_id"] == d for x in out) or not some:
+            continue
+        new = max(some, key=lambda x: x[score])
+        if len(out) < limit:
+            out.append(new)
+            continue
+        docs = [x["doc_id"] for x in out]
+        spare = [i for i, x in enumerate(out) if docs.count(x["doc_id"]) > 1]
+        if spare:
+            out[min(spare, key=lambda i: out[i][score])] = new
+    return out[:limit]
+
+
+def test_coverage_against_plain_code():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        items = [{"doc_id": str(rng.integers(0, 6)), "chunk_id": i, "f": float(rng.random())} for i in range(14)]
+        limit = int(rng.integers(1, 8))
+        chosen = items[: int(rng.integers(0, limit + 1))]
+        ids = [str(i) for i in range(6)]
+        assert retrieval.covered(chosen, items, "f", ids, limit) == _slow_covered(chosen, items, "f", ids, limit)
+
+
 def test_every_document_is_covered():
     items = [{"doc_id": d, "chunk_id": i, "f": f} for i, (d, f) in enumerate([("a", 0.9), ("a", 0.8), ("a", 0.7), ("b", 0.2), ("c", 0.1)])]
     got = retrieval.covered(items[:3], items, "f", ["a", "b", "c"], 3)
@@ -121,12 +199,29 @@ def test_retrieve_end_to_end(spark):
     rows = retrieval.retrieve(chunks, asked, 8, 20, LATIN).collect()
     assert {r.doc_id for r in rows} == {"d0", "d1", "d2"} and len({(r.doc_id, r.chunk_id) for r in rows}) == len(rows) <= 8
     assert max(sum(1 for r in rows if (r.doc_id, r.region) == k) for k in {(r.doc_id, r.region) for r in rows}) == 1
+    backwards = retrieval.retrieve(chunks, asked, 8, 20, LATIN, rerank=lambda some: some.select("qid", "place", (-F.col("place")).alias("rank"))).collect()
+    assert {r.doc_id for r in backwards} == {"d0", "d1", "d2"} and backwards[0].doc_id == "d2" and rows[0].doc_id == "d0"
     context = answering.contexts(retrieval.retrieve(chunks, asked, 8, 20, LATIN), 500, LATIN).first().context
     assert context and len(context) <= 500 + 2 * 8
     replies = spark.createDataFrame([("q1", "A: 成立\nB: 不成立", "multi"), ("q2", None, "mcq"), ("q3", "没有", "mcq")], "qid string, reply string, answer_format string")
     assert {r.qid: (r.answer, r.status) for r in answering.parsed_answers(replies).collect()} == {"q1": ("A", "ok"), "q2": ("", "failed"), "q3": ("", "empty")}
 
 
+def test_narrow_evidence_adds_chunks_for_options_without_any(spark):
+    texts = ["alpha beta filler words here", "gamma delta other words there", "epsilon zeta more words again", "gamma epsilon zeta delta everything"]
+    chunks = spark.createDataFrame([("d", "research", i, t, False, "", f"r{i}", "prose", len(t)) for i, t in enumerate(texts)], chunking.CHUNK_SCHEMA)
+    asked = spark.createDataFrame([("q", "research", "what", {"A": "alpha beta", "B": "gamma delta", "C": "epsilon zeta"}, "multi", ["d"])], "qid string, domain string, question string, options map<string,string>, answer_format string, doc_ids array<string>")
+    chosen = spark.createDataFrame([(0, "q", "d", 0, texts[0], False, "", "r0", 1.0)], retrieval._CHOSEN)
+    got = answering.narrow_evidence(chunks, asked, chosen, 1, 24, LATIN).orderBy("position").collect()
+    # B brings the chunk that also speaks to C, or C brings its own; nothing comes twice.
+    ids = [r.chunk_id for r in got]
+    assert ids[0] == 0 and len(set(ids)) == len(ids) and [r.position for r in got] == list(range(len(got)))
+    said = answering.option_evidence(spark.createDataFrame([("q", r.text) for r in got], "qid string, text string"), asked, LATIN).collect()
+    assert all(r.has_evidence for r in said)
+    full = answering.narrow_evidence(chunks, asked, spark.createDataFrame([(i, "q", "d", i, t, False, "", f"r{i}", 1.0) for i, t in enumerate(texts)], retrieval._CHOSEN), 1, 24, LATIN)
+    assert full.count() == 4
+
+
 def test_table_text():
     assert chunking.table_text([["a", None], ["", None], ["value one", "value two"]]) == "a | \nvalue one | value two"
     assert chunking.table_text([["a", "b"]]) == ""
