@@ -119,14 +119,15 @@ def sentences(text: str) -> list[list[str]]:
     """The sentences of a text as lower-case tokens; a line or a mark at a token's end closes one."""
     out: list[list[str]] = []
     for line in text.lower().split("\n"):
-        now: list[str] = []
-        for token in line.split():
-            now.append(token)
-            if _END.search(token):
-                out.append(now)
-                now = []
-        if now:
-            out.append(now)
+        tokens = line.split()
+        at = 0
+        for i, token in enumerate(tokens, 1):
+            last = token[-1]
+            if last in ".!?" or last in "\"')]" and _END.search(token):
+                out.append(tokens[at:i])
+                at = i
+        if at < len(tokens):
+            out.append(tokens[at:])
     return out
 
 
@@ -192,7 +193,7 @@ def expanded(some: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
             row, code = key // _BASE**3, key % _BASE**3
             total /= np.sqrt(np.bincount(row, total**2, len(part)))[row]
             cuts = np.searchsorted(row, np.arange(1, len(part)))
-            for i, c, w in zip(part, np.split(code, cuts), np.split(total, cuts)):
+            for i, c, w in zip(part, np.split(code.astype(np.int32), cuts), np.split(total, cuts)):
                 out[i] = c, w
     return out
 
@@ -236,14 +237,6 @@ class Machine:
 
     def learn(self, tokens: Iterable[str]) -> None:
         """Put the values of new tokens, that of their worst reading, into the table; nan where there is none."""
-        if self.held > _KEPT_BYTES:  # the tokens met first are the common ones, so they stay
-            kept, self.held = {}, 0
-            for t, v in self.known.items():
-                self.held += len(t) + _OVERHEAD
-                if self.held > _KEPT_BYTES // 2:
-                    break
-                kept[t] = v
-            self.known = kept
         new = [t for t in tokens if t not in self.known]
         pieces = [[p for s in readings(t) for p in _pieces(s)] for t in new]
         distinct = list({p for ps in pieces for p in ps})
@@ -252,6 +245,18 @@ class Machine:
             self.known[t] = max(map(of.__getitem__, ps), default=math.nan)
             self.held += len(t) + _OVERHEAD
 
+    def forget(self) -> None:
+        """Drop the later part of a table that has outgrown its bytes; the tokens met first are the common ones."""
+        if self.held <= _KEPT_BYTES:
+            return
+        kept, self.held = {}, 0
+        for t, v in self.known.items():
+            self.held += len(t) + _OVERHEAD
+            if self.held > _KEPT_BYTES // 2:
+                break
+            kept[t] = v
+        self.known = kept
+
     def _worst_sentences(self, said: list[list[str]], apart: list[str]) -> np.ndarray:
         """The three greatest values of a document's windows and runs set apart, -3 where there are fewer."""
         flat = [t for s in said for t in s]
@@ -281,7 +286,9 @@ class Machine:
                 read.append((sentences(texts[end]), [x for x in set_apart(texts[end].lower()) if readings(x)]))
                 chars += len(texts[end])
                 end += 1
-            self.learn({t for said, apart in read for s in [*said, apart] for t in s})
+            self.forget()
+            known = self.known
+            self.learn({t for said, apart in read for s in [*said, apart] for t in s if t not in known})
             for i, (said, apart) in enumerate(read):
                 out[at + i] = self._worst_sentences(said, apart)
             at = end
@@ -305,12 +312,14 @@ def _witnesses(toxic: list[set[str]], clean: list[set[str]]) -> tuple[list[str],
     over twenty times its share of clean ones; a witness holds such a gram and is in no clean
     document. Of each toxic document only the most telling strings are taken.
     """
-    in_toxic, in_clean = Counter(g for d in toxic for g in set().union(*map(_grams, d))), Counter(g for d in clean for g in set().union(*map(_grams, d)))
-    weight = {g: math.log((a + 0.5) / (len(toxic) + 1)) - math.log((in_clean[g] + 0.5) / (len(clean) + 1)) for g, a in in_toxic.items() if a >= 3}
+    in_toxic = Counter(g for d in toxic for g in set().union(*map(_grams, d)))
+    in_toxic = {g: a for g, a in in_toxic.items() if a >= 3}
+    in_clean = Counter(g for d in clean for g in set().union(*map(_grams, d)) & in_toxic.keys())
+    weight = {g: math.log((a + 0.5) / (len(toxic) + 1)) - math.log((in_clean[g] + 0.5) / (len(clean) + 1)) for g, a in in_toxic.items()}
     harmless = set().union(*clean) if clean else set()
     found: Counter[str] = Counter()
     for d in toxic:
-        told = [(max((weight.get(g, 0.0) * min(1.0, in_toxic[g] / 8) for g in _grams(w)), default=0.0), w) for w in d if w not in harmless]
+        told = [(max((weight.get(g, 0.0) * min(1.0, in_toxic.get(g, 0) / 8) for g in _grams(w)), default=0.0), w) for w in d if w not in harmless]
         top = max(told, default=(0.0, ""))[0]
         found.update(w for v, w in told if v > math.log(20) and v >= 0.8 * top)
     return [w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))], sorted(harmless)
@@ -350,18 +359,22 @@ def _sentence(strings: list[str], of: dict[str, tuple[np.ndarray, np.ndarray]])
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-3, steps: int = 30) -> np.ndarray:
-    """Squared-hinge machine by Newton steps; the last weight is the bias. y is -1 or 1."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    """Squared-hinge machine by Newton steps; the last column of x is one and its weight the bias. y is -1 or 1."""
     w = np.zeros(x.shape[1])
     keep = np.full(len(w), ridge)
     keep[-1] = 1e-6
     for _ in range(steps):
-        slack = 1 - y * (x @ w)
-        on = slack > 0
-        xs, c = x[on], cost[on]
-        step = np.linalg.solve((xs * c[:, None]).T @ xs + np.diag(keep), keep * w - xs.T @ (c * y[on] * slack[on]))
+        slack = 1 - y * (x @ w.astype(x.dtype)).astype(float)
+        hessian, gradient = np.diag(keep), keep * w
+        on = np.flatnonzero(slack > 0)
+        for a in range(0, len(on), 4096):  # in parts, so no second copy of x is held
+            some = on[a : a + 4096]
+            xs = x[some].astype(float)
+            hessian = hessian + (xs * cost[some, None]).T @ xs
+            gradient = gradient - xs.T @ (cost[some] * y[some] * slack[some])
+        step = np.linalg.solve(hessian, gradient)
         w = w - step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-5:
             break
     return w
 
@@ -461,16 +474,22 @@ def train(examples: list[tuple[str, int]], landmarks: int = 480, negatives: int
     found_at: list[int] = []
     for turn in range(rounds):
         alone = [[w] for w in bad[:1500]]
-        shown = spelt(toxic, draw(any_of, SHOWN) + [w for x in bad[:1500] for w in draw(holding[x], PER_STRING)])
+        shown = spelt(toxic, draw(any_of, SHOWN) + draw([w for x in bad[:1500] for w in draw(holding[x], PER_STRING)], 3 * SHOWN))
         disguised = [[_disguised(x, rng) if x in told else x for x in w] for w in [*shown, *alone, *alone]]
         disguised = [w for w in disguised if max(map(len, w)) <= WIDEST]
         hard = spelt(clean, sorted(hard_at))
         picked = spelt(clean, rng.choice(len(clean), min(negatives, len(clean)), replace=False)) + [[w] for w in draw(harmless, negatives // 4)] + hard
+        # Stretches of clean words without their spaces, as runs of letters set apart have them.
+        for i in rng.integers(0, len(clean), negatives // 4):
+            joined = "".join(names[j] for j in clean.flat[clean.starts[i] : clean.starts[i] + 4].tolist())
+            wide, _ = _STRETCHES[int(rng.integers(0, len(_STRETCHES) - 1))]
+            at = int(rng.integers(0, max(1, len(joined) - wide + 1)))
+            picked.append([joined[at : at + wide]])
         toxic_rows = shown + alone + spelt(toxic, found_at) + disguised
         rows = toxic_rows + picked
         sign = np.where(np.arange(len(rows)) < len(toxic_rows), 1.0, -1.0)
         cost = np.where(sign > 0, 1 / len(toxic_rows), 1 / len(picked))
-        marks = draw(shown, landmarks // 4) + alone[: landmarks // 8] + draw(disguised, landmarks // 4) + draw(hard, landmarks // 8)
+        marks = draw(shown, landmarks // 4) + alone[: landmarks // 4] + draw(disguised, landmarks // 6) + draw(hard, landmarks // 8)
         marks = (marks + draw(picked, landmarks))[:landmarks]
         machine.weights, machine.bias, machine.support = _fitted(rows, sign, cost, marks)
         machine.known, machine.held = {}, 0
@@ -504,8 +523,13 @@ def _fitted(rows: list[list[str]], sign: np.ndarray, cost: np.ndarray, marks: li
     by_string = _dense(expansions, own)
     flat = np.array([number[x] for w in rows for x in w])
     size = np.array([len(w) for w in rows])
-    wide = np.add.reduceat(by_string[flat], np.cumsum(size) - size, axis=0) / np.sqrt(np.maximum(size, LEAST_WORDS))[:, None]
-    w = _svm(wide @ half, sign, cost)
+    starts = np.concatenate([[0], np.cumsum(size)])
+    features = np.ones((len(rows), len(marks) + 1), np.float32)
+    for a in range(0, len(rows), 2048):
+        b = min(a + 2048, len(rows))
+        summed = np.add.reduceat(by_string[flat[starts[a] : starts[b]]], starts[a:b] - starts[a], axis=0)
+        features[a:b, :-1] = (summed / np.sqrt(np.maximum(size[a:b], LEAST_WORDS))[:, None]) @ half
+    w = _svm(features, sign, cost)
     alpha = half @ w[:-1]
     folded = np.zeros(_BASE**3)
     for a, (code, weight) in zip(alpha, own):

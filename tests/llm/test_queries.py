@@ -25,7 +25,7 @@ def docs(sf):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracles(spark, sf, name):
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations"):  # what these oracles read
         c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = c.sql(queries.ORACLE_SQL[name]).df()
     got = queries.QUERIES[name](spark, sf).toPandas()[list(want.columns)]
@@ -69,6 +69,21 @@ def test_classifiers_follow_their_contract(spark, sf, docs, query, folds, held,
     assert got["score"].between(0, 1).all() and list(got["predicted"]) == [int(s >= cut) for s in got["score"]]
 
 
+def test_op6_against_naive_kernels(spark, sf, docs):
+    from tests.llm.test_operators import naive_scores
+
+    machine = queries.toxicity_machine(spark, sf)
+    got = queries.op6_toxicity(spark, sf).toPandas().set_index("doc_id")["score"]
+    want = naive_scores(machine, list(docs["text"]))
+    assert np.allclose(got.loc[docs["doc_id"]].to_numpy(), want, atol=5e-3)
+
+
+def test_op10_folds_drafts_edits_and_regenerations(spark, sf):
+    said = spark.read.parquet(f"{sf}/conversations.parquet")
+    kinds = {r.kind: r["count"] for r in queries.chat_events(said).groupBy("kind").count().collect()}
+    assert kinds["delta"] > kinds["edit"] > 0 and kinds["regenerate"] > 0
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     labels = pd.read_parquet(f"{sf}/labels.parquet")
