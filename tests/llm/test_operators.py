@@ -558,7 +558,7 @@ def test_license_whole_text_bound_leaves_none_out(spark):
     rows = []
     for name in ("MIT", "ISC", "GPL-2.0", "Zlib"):
         words = licenses.words_of(licenses.license_texts()[name])
-        for share in (0.1, 0.2, 0.3, 0.4, 0.5, 0.6):
+        for share in (0.01, 0.02, 0.04, 0.06, 0.1, 0.3):
             kept = [w if rng.random() > share else f"other{rng.integers(0, 10**6)}" for w in words]
             counts = Counter(kept)
             weight = {w: (1 + np.log(n)) * model.idf.get(w, model.unknown) for w, n in counts.items()}
