@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.vocabulary import PATTERNS
 from marlstone.operators.clusters import silhouette
 from marlstone.operators.participants import prior_intent
+from marlstone.operators.submission import normal_answer
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
@@ -74,15 +75,29 @@ def grouped_accuracy(df: DataFrame, correct: Column, *dims: str) -> DataFrame:
     return named.groupingSets(sets, *dims).agg(F.count("*").alias("n"), F.sum("ok").alias("n_correct"), F.round(F.avg("ok"), 6).alias("accuracy"))
 
 
+def answer_scores(truth: DataFrame, predicted: DataFrame, questions: DataFrame) -> DataFrame:
+    """(qid, domain, answer_format, predicted, expected, correct) of every true answer (qid, answer).
+
+    A question without an answer counts as an empty one, and one that isn't described has the domain
+    ``?`` and the format ``multi``. Answers are compared in their normal form.
+    """
+    rows = truth.select("qid", F.col("answer").alias("expected"))
+    rows = rows.join(predicted.select("qid", F.col("answer").alias("predicted")), "qid", "left")
+    rows = rows.join(questions.select("qid", "domain", "answer_format"), "qid", "left")
+    rows = rows.select("qid", F.coalesce("domain", F.lit("?")).alias("domain"), F.coalesce("answer_format", F.lit("multi")).alias("answer_format"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("predicted", "expected")])
+    kind = F.col("answer_format")
+    return rows.withColumn("correct", normal_answer(F.col("predicted"), kind) == normal_answer(F.col("expected"), kind))
+
+
 def calinski_harabasz(df: DataFrame, batch: str, vector: str, label: str) -> DataFrame:
     """(batch, k, n, calinski_harabasz): spread between cluster means over spread inside clusters."""
     points = df.select(F.col(batch).alias("batch"), F.col(label).alias("label"), F.posexplode(vector).alias("at", "x"))
-    cells = points.groupBy("batch", "label", "at").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.sum(F.col("x") * F.col("x")).alias("ss"))
+    cells = points.groupBy("batch", "label", "at").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("spread"))
     whole = points.groupBy("batch", "at").agg(F.avg("x").alias("mean"))
     met = cells.join(whole, ["batch", "at"])
     sums = met.groupBy("batch").agg(
         F.sum(F.col("n") * (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean"))).alias("between"),
-        F.sum(F.col("ss") - F.col("n") * F.col("m") * F.col("m")).alias("within"),
+        F.sum(F.col("n") * F.col("spread")).alias("within"),
         F.countDistinct("label").alias("k"),
         F.sum(F.when(F.col("at") == 0, F.col("n"))).alias("n"),
     )
@@ -92,7 +107,10 @@ def calinski_harabasz(df: DataFrame, batch: str, vector: str, label: str) -> Dat
 
 
 def mean_silhouette(df: DataFrame, batch: str, vector: str, label: str, most: int = 4000) -> DataFrame:
-    """(batch, silhouette): Euclidean silhouette of each batch, null under two labels."""
+    """(batch, silhouette): Euclidean silhouette of each batch, null under two labels.
+
+    It needs all distances of a batch, so a batch of more than ``most`` rows is refused.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > most:

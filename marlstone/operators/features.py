@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.numeric import EPS, clip, number
 from marlstone.functions.vocabulary import MODEL_FEATURES
+from marlstone.operators.settling import settled
 
 #: A frame that has all of these carries finished features.
 FINISHED = {"regularity", "iceberg", "net_active", "edge_concentration", "t0_balance"}
@@ -43,20 +44,57 @@ def derive(df: DataFrame) -> DataFrame:
     )
 
 
+def _pairs(df: DataFrame, batch: str, names: list[str]) -> DataFrame:
+    """(scope, feature, x): the features' values, one row each."""
+    cells = F.array(*[F.struct(F.lit(i).alias("feature"), number(df, c).alias("x")) for i, c in enumerate(names)])
+    return df.select(F.col(batch).alias("scope"), F.explode(cells).alias("c")).select("scope", "c.feature", "c.x")
+
+
+def quantiles(df: DataFrame, batch: str, names: list[str], at: tuple[float, ...]) -> DataFrame:
+    """(scope, feature, q): exact quantiles by linear interpolation, as an array, of each batch's features.
+
+    Values are counted by value before they meet, and ranked by a sorted window a batch and
+    feature, which spills; no task holds a batch's values in memory.
+    """
+    counts = _pairs(df, batch, names).groupBy("scope", "feature", "x").agg(F.count("*").alias("n"))
+    one = Window.partitionBy("scope", "feature")
+    ranked = counts.withColumn("upto", F.sum("n").over(one.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(one))
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("x")))
+
+    place = lambda q: (F.col("total") - 1) * F.lit(q)
+    ends = [x for i, q in enumerate(at) for x in (value_at(F.floor(place(q))).alias(f"low{i}"), value_at(F.ceil(place(q))).alias(f"high{i}"))]
+    found = ranked.groupBy("scope", "feature", "total").agg(*ends)
+    between = lambda i, q: F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * (place(q) - F.floor(place(q)))
+    return found.select("scope", "feature", F.array(*[between(i, q) for i, q in enumerate(at)]).alias("q"))
+
+
 def robust_scaled(df: DataFrame, batch: str, columns: list[str] | None = None) -> DataFrame:
     """df with ``scaled``: (x - median) / IQR of each feature over its batch; IQR 0 counts as 1.
 
-    Quantiles are exact, by linear interpolation. Features that df lacks count as 0.
+    Quantiles are exact, by linear interpolation. Features that df lacks are left out.
     """
     names = [c for c in (columns or MODEL_FEATURES) if c in df.columns]
-    values = df.select(batch, *[number(df, c).alias(c) for c in names])
-    stats = values.groupBy(batch).agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{c}") for c in names])
-    scale = lambda c: F.when(F.col(f"q_{c}")[2] - F.col(f"q_{c}")[0] == 0, 1.0).otherwise(F.col(f"q_{c}")[2] - F.col(f"q_{c}")[0])
-    scaled = F.array(*[(number(df, c) - F.col(f"q_{c}")[1]) / scale(c) for c in names])
-    return df.join(stats, batch).withColumn("scaled", scaled).drop(*[f"q_{c}" for c in names])
+    df = settled(df)
+    stats = quantiles(df, batch, names, (0.25, 0.5, 0.75)).groupBy("scope").agg(F.map_from_entries(F.collect_list(F.struct("feature", "q"))).alias("quartiles"))
+    met = df.join(stats, F.col(batch).eqNullSafe(F.col("scope")))
+    span = lambda q: F.when(q[2] == q[0], 1.0).otherwise(q[2] - q[0])
+    scaled = F.array(*[(number(df, c) - F.col("quartiles")[i][1]) / span(F.col("quartiles")[i]) for i, c in enumerate(names)])
+    return met.select(*[df[c] for c in df.columns], scaled.alias("scaled"))
+
+
+def with_ranges(df: DataFrame, batch: str, names: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """df beside its batch's ranges, and each feature within its range: 0 to 1, one half where it is constant.
+
+    Ranges are one aggregate row a batch, joined back by key; the added column is ``ranges``.
+    """
+    ends = [F.struct(F.min(number(df, c)).alias("low"), F.max(number(df, c)).alias("high")).alias(c) for c in names]
+    ranges = df.groupBy(F.col(batch).alias("scope")).agg(F.struct(*ends).alias("ranges"))
+    met = df.join(ranges, F.col(batch).eqNullSafe(F.col("scope"))).drop("scope")
 
+    def within(c: str) -> Column:
+        low, high = F.col("ranges")[c]["low"], F.col("ranges")[c]["high"]
+        return F.when(high - low < 1e-9, 0.5).otherwise((number(df, c) - low) / (high - low))
 
-def min_max(x: Column, batch: Window) -> Column:
-    """x within its batch's range, 0 to 1; a constant batch gives one half."""
-    low, high = F.min(x).over(batch), F.max(x).over(batch)
-    return F.when(high - low < 1e-9, 0.5).otherwise((x - low) / (high - low))
+    return met, {c: within(c) for c in names}

@@ -6,7 +6,7 @@ through to the next one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.numeric import clip, half_even, number
@@ -27,23 +27,29 @@ from marlstone.functions.vocabulary import (
     SELL,
     WEIGHTS,
 )
-from marlstone.operators.features import min_max
+from marlstone.operators.features import with_ranges
+from marlstone.operators.settling import settled
 
 SCORES = {RETAIL: "retail_score", HOT_MONEY: "hot_money_score", QUANT: "quant_score"}
 
 
-def weighted_score(df: DataFrame, weights: dict[str, float], batch: str) -> Column:
-    """Weighted mean of batch-normalised features that df has; 0 where it has none."""
-    used = {c: w for c, w in weights.items() if c in df.columns}
+def weighted_score(within: dict[str, Column], weights: dict[str, float]) -> Column:
+    """Weighted mean of batch-normalised features that are there; 0 where none is."""
+    used = {c: w for c, w in weights.items() if c in within}
     if not used:
         return F.lit(0.0)
-    scope = Window.partitionBy(batch)
-    return sum((w * min_max(number(df, c), scope) for c, w in used.items()), F.lit(0.0)) / sum(used.values())
+    return sum((w * within[c] for c, w in used.items()), F.lit(0.0)) / sum(used.values())
 
 
 def classify_type(df: DataFrame, batch: str) -> DataFrame:
     """df with three scores, ``capital_type`` (ties: retail, hot money, quant) and its softmax confidence."""
-    df = df.withColumns({SCORES[t]: weighted_score(df, WEIGHTS[t], batch) for t in (QUANT, HOT_MONEY, RETAIL)})
+    kinds = (QUANT, HOT_MONEY, RETAIL)
+    names = [c for c in dict.fromkeys(c for t in kinds for c in WEIGHTS[t]) if c in df.columns]
+    if names:
+        df, within = with_ranges(settled(df), batch, names)
+    else:
+        within = {}
+    df = df.withColumns({SCORES[t]: weighted_score(within, WEIGHTS[t]) for t in kinds}).drop("ranges")
     r, h, q = (F.col(SCORES[t]) for t in (RETAIL, HOT_MONEY, QUANT))
     best = F.when((r >= h) & (r >= q), RETAIL).when(h >= q, HOT_MONEY).otherwise(QUANT)
     top = F.greatest(r, h, q)

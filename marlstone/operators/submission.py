@@ -67,3 +67,8 @@ def overlay(base: DataFrame, overrides: DataFrame, key: str, value: str) -> tupl
 def pending(questions: DataFrame, answers: DataFrame, key: str = "qid") -> DataFrame:
     """Questions without an answer row that spent tokens."""
     return questions.join(answers.where("total_tokens > 0").select(key), key, "left_anti")
+
+
+def first_questions(questions: DataFrame, limit: int | None = None, order: str = "ordinal") -> DataFrame:
+    """The first ``limit`` questions in order; all of them for None or 0."""
+    return questions.orderBy(order).limit(limit) if limit else questions

@@ -11,7 +11,7 @@ from marlstone.functions.text import LATIN
 from marlstone.operators import answering, chunking, daily, evaluation, retrieval, submission
 from marlstone.plans.fixtures import settled, table
 from marlstone.plans.registry import query
-from marlstone.sources import ticks
+from marlstone.sources import sinks, ticks
 
 _TRIM = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
@@ -79,11 +79,11 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.length("t").cast("long").alias("n_chars"), _digest(F.col("t")).alias("digest"))
 
 
-# -- BM25 and fusion: benchmark items ask the documents -----------------------------------------
+# -- BM25 and fusion: benchmark items ask the documents, alone and with the item that follows -----
 
 BM25_SQL = f"""d as (select doc_id, {_tokens_sql('lower(text)')} as t from documents),
 q as (select item_id, 0 as variant, list_distinct({_tokens_sql('lower(text)')}) as t from benchmark
-      union all select item_id, 1, list_distinct({_tokens_sql("lower(left(text, 60))")}) from benchmark),
+      union all select item_id, 1, list_distinct({_tokens_sql("lower(text || ' ' || next)")}) from (select a.item_id, a.text, coalesce(b.text, '') as next from benchmark a left join benchmark b on b.item_id = a.item_id + 1)),
 st as (select count(*) as n, avg(len(t)) as avgdl from d),
 a as (select item_id, variant, unnest(t) as term from q),
 h as (select doc_id, len(t) as dl, unnest(t) as term from d),
@@ -104,7 +104,9 @@ o as (select item_id, doc_id, round(fused, 9) as fused, row_number() over (parti
 select item_id, doc_id, fused, place::int as place from o where place <= 10""")
 def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = settled(table(spark, sf_dir, "documents").select(F.lit(0).alias("scope"), "doc_id", text.tokens(F.lower("text"), LATIN).alias("toks")))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.array("text", F.substring("text", 1, 60))).alias("variant", "text"))
+    items = table(spark, sf_dir, "benchmark")
+    after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next"))
+    items = items.join(after, "item_id", "left").select("item_id", F.posexplode(F.array("text", F.concat_ws(" ", "text", F.coalesce("next", F.lit(""))))).alias("variant", "text"))
     asked = items.select(F.lit(0).alias("scope"), "item_id", "variant", text.tokens(F.lower("text"), LATIN).alias("toks"))
     scores = retrieval.bm25(chunks, asked, "scope", ["doc_id"], ["item_id", "variant"]).withColumn("score", F.round("score", 6))
     lists = retrieval.ranked(scores, ["item_id", "variant"], [F.desc("score"), "doc_id"], 20)
@@ -120,20 +122,23 @@ def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.join(retrieval.corpus_statistics(chunks, "scope"), "scope").select("term", "df", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 
-# -- questions over three documents each --------------------------------------------------------
+# -- questions: every document is a candidate of one of them -------------------------------------
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as questions with four options of six words each."""
+    """Benchmark items as questions with four options of six words each, documents dealt to them by id."""
+    items = table(spark, sf_dir, "benchmark")
+    n = items.agg(F.max("item_id") + 1).first()[0]
+    ids = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % n).alias("item_id")).agg(F.transform(F.array_sort(F.collect_list("doc_id")), lambda d: d.cast("string")).alias("doc_ids"))
     words = F.split("text", r"\s+")
     option = lambda i: F.array_join(F.slice(words, F.lit(1 + 6 * i), F.lit(6)), " ")
-    return table(spark, sf_dir, "benchmark").select(
+    return items.join(ids, "item_id", "left").select(
         F.col("item_id").cast("string").alias("qid"),
         F.when(F.col("item_id") % 2 == 0, "financial_reports").otherwise("research").alias("domain"),
         F.col("text").alias("question"),
         F.create_map(*[x for i, k in enumerate("ABCD") for x in (F.lit(k), option(i))]).alias("options"),
         F.when(F.col("item_id") % 3 == 0, "multi").otherwise("mcq").alias("answer_format"),
-        F.transform(F.array(*[F.col("item_id") + 40 * i for i in range(3)]), lambda d: d.cast("string")).alias("doc_ids"),
+        F.coalesce("doc_ids", F.array().cast("array<string>")).alias("doc_ids"),
     )
 
 
@@ -157,8 +162,7 @@ def chunks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     asked = questions(spark, sf_dir)
-    needed = asked.select(F.explode("doc_ids").alias("doc_id")).distinct()
-    parts = settled(chunks(spark, sf_dir).join(needed, "doc_id", "left_semi"))
+    parts = settled(chunks(spark, sf_dir))
     return asked, parts, settled(retrieval.retrieve(parts, asked, 8, 20, LATIN))
 
 
@@ -167,21 +171,40 @@ def balanced_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _asked(spark, sf_dir)[2].select("qid", "position", "doc_id", "chunk_id", "is_table", "region", F.round("score", 6).alias("score"))
 
 
-@query("contexts")
-def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answering.contexts(_asked(spark, sf_dir)[2], 5600, LATIN)
+@query("narrow_evidence")
+def narrow_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen chunks, with those that single options of multi questions bring."""
+    asked, parts, chosen = _asked(spark, sf_dir)
+    return answering.narrow_evidence(parts, asked, chosen, 2, 24, LATIN).select("qid", "position", "doc_id", "chunk_id")
 
 
-@query("option_contexts")
-def option_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, _, chosen = _asked(spark, sf_dir)
-    return answering.option_contexts(chosen, asked, 1000, LATIN)
+_N = "(select max(item_id) + 1 from benchmark)"
+#: Documents as a question's chunks, by id; sentences as in ``sentences``.
+_CHUNKS_SQL = f"""ch as (select (doc_id % {_N})::varchar as qid, row_number() over (partition by doc_id % {_N} order by doc_id) as pos, doc_id, text, lang,
+  list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]?'), lambda x: {_TRIM.format(x='x')}), lambda x: x <> '') as u from documents)"""
 
 
-@query("retrieval_quality")
-def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, parts, chosen = _asked(spark, sf_dir)
-    return answering.retrieval_quality(chosen, asked, parts, answering.contexts(chosen, 5600, LATIN), LATIN)
+def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Questions, and their documents whole as chosen chunks in order of id."""
+    asked = questions(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
+    said = asked.select("qid", F.posexplode("doc_ids").alias("position", "doc_id")).join(docs, "doc_id")
+    return asked, said.select("qid", "position", "doc_id", F.lit(0).alias("chunk_id"), "text", F.lit(False).alias("is_table"), F.lit("").alias("section"), F.col("lang").alias("region"))
+
+
+_CONTEXT_SQL = f"""{_CHUNKS_SQL},
+hd as (select *, '【来源: ' || doc_id || ' #chunk0 章节:' || '{answering.NO_SECTION}' || ' 区域:' || coalesce(lang, '?') || '】' || chr(10) as head, list_transform(range(1, len(u) + 1), lambda k: length(array_to_string(u[1:k], ''))) as ends from ch),
+fo as (select qid, 0 as pos, {{budget}} as room, true as open, '' as ctx from ch group by qid
+  union all select qid, pos, room - used, open and room > length(head) and room > used, case when used > 0 then ctx || case when ctx = '' then '' else chr(10) || chr(10) end || head || array_to_string(u[1:fits], '') else ctx end
+  from (select *, case when open and room > length(head) and fits > 0 then length(head) + ends[fits] else 0 end as used
+        from (select hd.qid, hd.pos, room, open, ctx, head, u, ends, len(list_filter(ends, lambda e: e <= room - length(head))) as fits from fo join hd on hd.qid = fo.qid and hd.pos = fo.pos + 1))),
+cx as (select qid, arg_max(ctx, pos) as ctx from fo group by qid)"""
+
+
+@query("contexts", f"with recursive {_CONTEXT_SQL.format(budget=5600)} select qid, length(ctx)::bigint as n_chars, md5(ctx) as digest from cx")
+def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = answering.contexts(_whole(spark, sf_dir)[1], 5600, LATIN)
+    return rows.select("qid", F.length("context").cast("long").alias("n_chars"), _digest(F.col("context")).alias("digest"))
 
 
 def _options_sql() -> str:
@@ -194,10 +217,36 @@ def _signature_sql(x: str) -> tuple[str, str]:
     return f"list_distinct(list_filter({_tokens_sql(x)}, lambda t: length(t) >= 2 and t not in ({generic})))", f"list_distinct(regexp_extract_all({_plain_sql(x)}, '[0-9][0-9.]*%?'))"
 
 
+@query("option_contexts", f"""with {_CHUNKS_SQL}, o as ({_options_sql()}), os as (select qid, option, {_signature_sql('o')[0]} as ot, {_signature_sql('o')[1]} as onum from o),
+pt as (select qid, pos, doc_id, lang, case when len(u) > 0 then u else [text] end as u from ch),
+se as (select qid, pos, doc_id, lang, u, unnest(u) as s, generate_subscripts(u, 1) as at_ from pt),
+sg as (select qid, pos, at_, '[' || doc_id || '||r' || coalesce(lang, '?') || '] ' as head, array_to_string(u[greatest(at_ - 1, 1):at_ + 1], '') as body, {_signature_sql('s')[0]} as st, {_signature_sql('s')[1]} as sn from se),
+sc as (select qid, option, pos, at_, head, body, round(len(list_intersect(ot, st)) + 2.5 * len(list_intersect(onum, sn)), 6) as score from os join sg using (qid)),
+rn as (select *, 1000 - coalesce(sum(length(head) + length(body)) over (partition by qid, option order by score desc, pos, at_ rows between unbounded preceding and 1 preceding), 0) - length(head) as room from sc where score > 0),
+tx as (select qid, option, string_agg(head || left(body, room::int), chr(10) order by score desc, pos, at_) as c from rn where room > 0 group by all)
+select qid, option, md5(coalesce(c, '')) as digest from os left join tx using (qid, option)""")
+def option_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, said = _whole(spark, sf_dir)
+    return answering.option_contexts(said, asked, 1000, LATIN).select("qid", "option", _digest(F.col("context")).alias("digest"))
+
+
+@query("retrieval_quality", f"""with recursive {_CONTEXT_SQL.format(budget=5600)}, o as ({_options_sql()}), os as (select qid, option, {_signature_sql('o')[0]} as ot, {_signature_sql('o')[1]} as onum from o),
+hf as (select * from ch where pos % 2 = 1), tt as (select qid, string_agg(text, ' ' order by pos) as text, count(distinct doc_id) as nd from hf group by qid),
+ts as (select qid, nd, {_signature_sql('text')[0]} as ct, {_signature_sql('text')[1]} as cn from tt),
+oc as (select qid, count(*) as n, coalesce(sum((len(list_intersect(ot, ct)) > 0 or len(list_intersect(onum, cn)) > 0)::int), 0) as hit from os left join ts using (qid) group by qid),
+sz as (select qid, sum(length(text)) as chars, count(*) as asked from ch group by qid)
+select round(sum(hit) / sum(n), 6) as option_coverage, round(sum(coalesce(nd, 0)) / sum(coalesce(asked, 0)), 6) as doc_coverage, round(sum(coalesce(length(ctx), 0)) / sum(chars), 6) as compression, count(*) as n_questions
+from oc left join ts using (qid) left join sz using (qid) left join cx using (qid)""")
+def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage where every other document of a question is chosen, and what contexts keep of all."""
+    asked, said = _whole(spark, sf_dir)
+    return answering.retrieval_quality(said.where("position % 2 = 0"), asked, said, answering.contexts(said, 5600, LATIN), LATIN)
+
+
 EVIDENCE_SQL = f"""o as ({_options_sql()}),
 os as (select qid, option_at, option, {_signature_sql('o')[0]} as ot, {_signature_sql('o')[1]} as onum from o),
 ds as (select doc_id, {_signature_sql('text')[0]} as dt, {_signature_sql('text')[1]} as dn from documents),
-m as (select qid, option_at, option, len(list_intersect(ot, dt)) as t, len(list_intersect(onum, dn)) as n from os left join ds on doc_id in (qid::bigint, qid::bigint + 40, qid::bigint + 80)),
+m as (select qid, option_at, option, len(list_intersect(ot, dt)) as t, len(list_intersect(onum, dn)) as n from os left join ds on doc_id % {_N} = qid::bigint),
 e as (select qid, option_at, option, coalesce(bool_or(t >= 2 or (t >= 1 and n >= 1)), false) as has_evidence, coalesce(max(least(1.0, t / 2) * 0.55 + least(1, n) * 0.35), 0.0) as strength from m group by all)"""
 
 
@@ -222,25 +271,27 @@ def option_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("question_budgets", f"""with q as (select item_id, text || ' ' || array_to_string([array_to_string(regexp_split_to_array(text, '\\s+')[1 + 6 * i:6 + 6 * i], ' ') for i in [0, 1, 2, 3]], ' ') as t from benchmark),
-c as (select item_id, least(4, greatest(0, trunc(2 * 1.5 + len(regexp_extract_all({_plain_sql('t')}, '[0-9][0-9.]*%?')) * 0.35 + case when item_id % 3 = 0 then 1 else 0 end)))::int as bump from q)
+c as (select item_id, least(4, greatest(0, trunc((item_id % 3) * 1.5 + len(regexp_extract_all({_plain_sql('t')}, '[0-9][0-9.]*%?')) * 0.35 + case when item_id % 3 = 0 then 1 else 0 end)))::int as bump from q)
 select item_id::varchar as qid, least(16, case when item_id % 2 = 0 then 12 else 10 end + bump)::int as top_k, least(9000, case when item_id % 2 = 0 then 6500 else 5600 end + bump * 500)::int as shared_chars,
   least(1800, case when item_id % 2 = 0 then 1200 else 1000 end + bump * 120)::int as option_chars from c""")
 def question_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answering.question_budget(questions(spark, sf_dir), LATIN)
+    """Questions over one to three documents each."""
+    ids = F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit(1), (F.col("qid").cast("int") % 3 + 1))
+    return answering.question_budget(questions(spark, sf_dir).withColumn("doc_ids", ids), LATIN)
 
 
 # -- answers ------------------------------------------------------------------------------------
 
-_REPLY_SQL = "select conv_id, turn, text || chr(10) || 'Answer: ' || upper(substring(md5(text), 1, 6)) as reply, case when turn % 2 = 0 then 'multi' else 'mcq' end as answer_format from conversations"
+_REPLY_SQL = "select conv_id, turn, text || chr(10) || 'Answer: ' || upper(md5(text)) as reply, case when turn % 2 = 0 then 'multi' else 'mcq' end as answer_format from conversations"
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations")
-    reply = F.concat("text", F.lit("\nAnswer: "), F.upper(F.substring(_digest(F.col("text")), 1, 6)))
+    reply = F.concat("text", F.lit("\nAnswer: "), F.upper(_digest(F.col("text"))))
     return said.select("conv_id", "turn", reply.alias("reply"), F.when(F.col("turn") % 2 == 0, "multi").otherwise("mcq").alias("answer_format"))
 
 
-@query("answer_letters", f"with r as ({_REPLY_SQL}), l as (select *, regexp_extract_all(right(reply, 6), '[ABCD]') as l from r) select conv_id, turn, array_to_string(list_distinct_ordered, '') as letters from (select conv_id, turn, list_filter(l, lambda x, i: list_position(l, x) = i) as list_distinct_ordered from l)")
+@query("answer_letters", f"with r as ({_REPLY_SQL}), l as (select *, regexp_extract_all(right(reply, 32), '[ABCD]') as l from r) select conv_id, turn, array_to_string(list_distinct_ordered, '') as letters from (select conv_id, turn, list_filter(l, lambda x, i: list_position(l, x) = i) as list_distinct_ordered from l)")
 def answer_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replies(spark, sf_dir).select("conv_id", "turn", F.array_join(text.answer_letters(F.col("reply")), "").alias("letters"))
 
@@ -250,15 +301,61 @@ def normal_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replies(spark, sf_dir).select("conv_id", "turn", submission.normal_answer(F.col("reply"), F.col("answer_format")).alias("answer"))
 
 
-@query("structured_answers", f"""with r as (select conv_id, turn, md5(text) as h from conversations), b as (select *, ('0x' || substring(h, 1, 1))::int as n from r)
-select conv_id, turn, case when n >= 8 then 'A' else '' end || case when (n // 4) % 2 = 1 then 'B' else '' end || case when (n // 2) % 2 = 1 then 'C' else '' end || case when n % 2 = 1 then 'D' else '' end as letters from b""")
+@query("structured_answers", """select conv_id, turn, case when length(text) % 2 = 1 then 'A' else '' end || case when (length(text) // 2) % 2 = 1 then 'B' else '' end
+  || case when (length(text) // 3) % 2 = 1 then 'C' else '' end || case when (length(text) // 4) % 2 = 1 then 'D' else '' end as letters from conversations""")
 def structured_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.conv(F.substring(_digest(F.col("text")), 1, 1), 16, 10).cast("int").alias("n"))
-    line = lambda k, i: F.concat(F.lit(f"{k}: "), F.when(F.expr(f"(n div {2 ** (3 - i)}) % 2") == 1, "成立").otherwise("不成立"))
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
+    line = lambda k, i: F.concat(F.lit(f"{k}: "), F.when(F.expr(f"(n div {i + 1}) % 2") == 1, "成立").otherwise("不成立"))
     reply = F.concat_ws("\n", *[line(k, i) for i, k in enumerate("ABCD")])
     return said.select("conv_id", "turn", F.array_join(text.structured_letters(reply), "").alias("letters"))
 
 
+_SCORES_SQL = """tr as (select item_id::varchar as qid, array_to_string(regexp_extract_all(upper(md5(text)), '[ABCD]'), '') as expected from benchmark),
+pr as (select qid, case when qid::int % 4 = 0 then reverse(expected) else left(expected, 1) end as predicted from tr where qid::int % 3 <> 0),
+qs as (select item_id::varchar as qid, case when item_id % 2 = 0 then 'financial_reports' else 'research' end as domain, case when item_id % 5 = 0 then 'multi' else 'mcq' end as answer_format from benchmark where item_id % 7 <> 0),
+al as (select qid, coalesce(domain, '?') as domain, coalesce(answer_format, 'multi') as answer_format, coalesce(predicted, '') as predicted, expected from tr left join pr using (qid) left join qs using (qid)),
+nl as (select *, regexp_extract_all(predicted, '[ABCD]') as p, regexp_extract_all(expected, '[ABCD]') as e from al),
+sc as (select qid, domain, answer_format, predicted, expected, case when answer_format = 'multi' then list_sort(list_distinct(p)) = list_sort(list_distinct(e)) else coalesce(p[1], '') = coalesce(e[1], '') end as correct from nl)"""
+
+
+def _answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to two thirds of the items, and descriptions of six sevenths, against all true answers."""
+    items = table(spark, sf_dir, "benchmark").withColumn("qid", F.col("item_id").cast("string"))
+    letters = F.array_join(F.regexp_extract_all(F.upper(_digest(F.col("text"))), F.lit("([ABCD])"), F.lit(1)), "")
+    truth = items.select("qid", "item_id", letters.alias("answer"))
+    said = truth.where("item_id % 3 <> 0").select("qid", F.when(F.col("item_id") % 4 == 0, F.reverse("answer")).otherwise(F.substring("answer", 1, 1)).alias("answer"))
+    told = items.where("item_id % 7 <> 0").select("qid", F.when(F.col("item_id") % 2 == 0, "financial_reports").otherwise("research").alias("domain"), F.when(F.col("item_id") % 5 == 0, "multi").otherwise("mcq").alias("answer_format"))
+    return evaluation.answer_scores(truth.select("qid", "answer"), said, told)
+
+
+@query("answer_scores", f"with {_SCORES_SQL} select * from sc")
+def answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answer_scores(spark, sf_dir)
+
+
+@query("answer_accuracy", f"with {_SCORES_SQL} select domain, answer_format, count(*) as n, sum(correct::int)::bigint as n_correct, round(avg(correct::int), 6) as accuracy from sc group by grouping sets ((), (domain), (answer_format))")
+def answer_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.grouped_accuracy(_answer_scores(spark, sf_dir), F.col("correct"), "domain", "answer_format")
+
+
+@query("first_questions", "select item_id as qid from benchmark order by item_id limit 17")
+def first_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"))
+    return submission.first_questions(items, 17, "qid")
+
+
+@query("answer_sheet", """with q as (select conv_id, min(turn) as o from conversations group by 1), a as (select conv_id, length(string_agg(text, '')) as n from conversations where role = 'assistant' group by 1)
+select 'summary' as qid, '' as answer, sum(n)::bigint as prompt_tokens, (2 * sum(n))::bigint as completion_tokens, (3 * sum(n))::bigint as total_tokens from a
+union all select conv_id::varchar, 'A', n, 2 * n, 3 * n from a""")
+def answer_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as answered questions, in the answer file's table."""
+    said = table(spark, sf_dir, "conversations")
+    asked = said.select(F.col("conv_id").cast("string").alias("qid"), F.col("conv_id").alias("ordinal")).distinct()
+    n = F.sum(F.length("text")).cast("long")
+    spent = said.where("role = 'assistant'").groupBy(F.col("conv_id").cast("string").alias("qid")).agg(F.lit("A").alias("answer"), n.alias("prompt_tokens"), (2 * n).alias("completion_tokens"), (3 * n).alias("total_tokens"))
+    return sinks.answer_table(spent, asked)
+
+
 @query("grouped_accuracy", """select lang, source, count(*) as n, sum((quality = (n_chars > 300)::int)::int)::bigint as n_correct, round(avg((quality = (n_chars > 300)::int)::int), 6) as accuracy
 from labels join documents using (doc_id) group by grouping sets ((), (lang), (source))""")
 def grouped_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,14 +383,14 @@ def pending_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return submission.pending(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid")), done)
 
 
-@query("answer_issues", """with a as (select conv_id as qid, array_to_string(regexp_extract_all(upper(text), '[A-F]')[1:3], '') as answer from conversations where turn < 2)
+@query("answer_issues", """with a as (select conv_id as qid, array_to_string(regexp_extract_all(upper(text), '[A-F]'), '') as answer from conversations)
 select 'malformed' as issue, qid from a where not regexp_full_match(answer, '[A-D]+')
 union all select 'unsorted', qid from a where regexp_full_match(answer, '[A-D]+') and answer <> array_to_string(list_sort(list_distinct(string_split(answer, ''))), '')
 union all select 'repeated', qid from a group by qid having count(*) > 1""")
 def answer_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = table(spark, sf_dir, "conversations").where("turn < 2")
-    letters = F.slice(F.regexp_extract_all(F.upper("text"), F.lit("([A-F])"), F.lit(1)), F.lit(1), F.lit(3))
-    return submission.answer_issues(said.select(F.col("conv_id").alias("qid"), F.array_join(letters, "").alias("answer")))
+    letters = F.regexp_extract_all(F.upper("text"), F.lit("([A-F])"), F.lit(1))
+    said = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("qid"), F.array_join(letters, "").alias("answer"))
+    return submission.answer_issues(said)
 
 
 # -- books, sequences, identifiers --------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.vocabulary import (
@@ -30,6 +30,7 @@ from marlstone.operators import clusters, daily, evaluation, features, participa
 from marlstone.plans import fixtures
 from marlstone.plans.fixtures import settled
 from marlstone.plans.registry import query
+from marlstone.sources import ticks
 from marlstone.streaming import ticks as streaming
 
 FEATURES = [c for c in """regularity manual_irregularity iceberg spoof aggression net_active balance edge_concentration impact_per_amount t0_balance
@@ -232,12 +233,43 @@ def embedding_calinski_harabasz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.calinski_harabasz(rows, "batch", "v", "label")
 
 
-@query("embedding_silhouette")
+@query(
+    "embedding_silhouette",
+    """with e as (select vec_id, label, embedding::double[] as v from embeddings),
+d as (select a.vec_id, a.label, b.label as other, avg(list_distance(a.v, b.v)) as far, count(*) as n from e a join e b on a.vec_id <> b.vec_id group by all),
+s as (select vec_id, label, max(far) filter (other = label) as a, min(far) filter (other <> label) as b from d group by all)
+select 'all' as batch, round(avg(case when a is null then 0 else (b - a) / greatest(a, b) end), 4) as silhouette from s""",
+)
 def embedding_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixtures.table(spark, sf_dir, "embeddings").select(F.lit("all").alias("batch"), "embedding", "label")
     return evaluation.mean_silhouette(rows, "batch", "embedding", "label")
 
 
+@query("label_agreement", "select round(avg((quality = toxic)::int), 6) as agreement from labels")
+def label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.agreement(fixtures.table(spark, sf_dir, "labels"), "quality", "toxic").select(F.round("agreement", 6).alias("agreement"))
+
+
+@query(
+    "vendor_ticks",
+    """select event_type as symbol, strftime(ts, '%Y%m%d') as dt, event_id, value as price, coalesce(try_cast(regexp_extract(props, '([0-9]+)', 1) as double), 0) as volume, 2 as bid_levels,
+  round(value + 0.99, 6) as best_bid from events where event_type in ('click', 'view') and strftime(ts, '%Y%m%d') in ('20240103', '20240117', '20240120')""",
+)
+def vendor_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a vendor's wide rows, loaded through the source factory with symbols and days."""
+    events = fixtures.table(spark, sf_dir, "events")
+    wide = events.select(
+        F.col("event_type").alias("SecurityID"),
+        F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd").alias("TradeDate"),
+        "event_id",
+        F.col("value").alias("LastPx"),
+        F.coalesce(F.from_json("props", "k double")["k"], F.lit(0.0)).alias("TotalVolumeTrade"),
+        *[x for i in (1, 2) for x in ((F.col("value") + 1 - 0.01 * i).alias(f"BidPrice{i}"), F.lit(100 * i).alias(f"BidOrderQty{i}"), (F.col("value") + 0.01 * i).alias(f"OfferPrice{i}"), F.lit(90 * i).alias(f"OfferOrderQty{i}"))],
+    )
+    loaded = ticks.source(spark, "vendor", fetch=lambda symbols, dates: wide, mapping=ticks.Mapping(levels=2)).load(["click", "view"], ["2024-01-03", "20240117", "2024-01-20"])
+    return loaded.select("symbol", "dt", "event_id", "price", "volume", F.size(F.filter("bids", lambda b: b["volume"] > 0)).alias("bid_levels"), F.round(F.get("bids", F.lit(0))["price"], 6).alias("best_bid"))
+
+
 @query("self_trained_types")
 def self_trained_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, reason = selftrain.self_trained(settled(day_features(spark, sf_dir).withColumn("batch", F.lit("all"))), "batch")
@@ -254,13 +286,13 @@ def weighted_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.weighted_f1(rows, "quality", "said").select(F.round("weighted_f1", 6).alias("weighted_f1"))
 
 
-@query("submission_issues", f"""with {fixtures.TICKS_SQL}, k as (select symbol as stock_code, date as transaction_date, row_number() over (order by symbol, date) as r from daily)
+@query("submission_issues", f"""with {fixtures.TICKS_SQL}, k as (select symbol as stock_code, date as transaction_date, date::int + length(symbol) as r from daily)
 select 'key without prediction' as issue, stock_code || '/' || transaction_date as key, '' as detail from k where r % 7 = 0
 union all select 'unknown type', stock_code || '/' || transaction_date, 'whale' from k where r % 7 <> 0 and r % 5 = 0
 union all select 'row counts differ', '', count(*) || ' and ' || sum((r % 7 <> 0)::int) from k""")
 def submission_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = settled(day_features(spark, sf_dir).select(F.col("symbol").alias("stock_code"), F.col("date").alias("transaction_date")))
-    rows = days.withColumn("r", F.row_number().over(Window.orderBy("stock_code", "transaction_date")))
+    rows = days.withColumn("r", F.col("transaction_date").cast("int") + F.length("stock_code"))
     patterns = rows.select("stock_code", "transaction_date", F.lit(DEFAULT_PATTERN).alias("pattern_type"))
     predicted = rows.where("r % 7 <> 0").select("stock_code", "transaction_date", F.when(F.col("r") % 5 == 0, "whale").otherwise(RETAIL).alias("capital_type"), F.lit(BUY).alias("capital_intention"))
     return submission.issues(patterns, predicted)
@@ -309,8 +341,8 @@ def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = spark.read.parquet(path).schema
     # A stream's source is a folder; the pattern names the one table in it.
     raw = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    ticks = raw.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.col("event_id").cast("double").alias("volume"), F.col("value").alias("amount"), F.lit(1.0).alias("totalbidvolume"), F.lit(1.0).alias("totalaskvolume"))
+    rows = raw.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.col("event_id").cast("double").alias("volume"), F.col("value").alias("amount"), F.lit(1.0).alias("totalbidvolume"), F.lit(1.0).alias("totalaskvolume"))
     name = f"streamed_{uuid.uuid4().hex}"
-    done = streaming.windowed_features(ticks).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    done = streaming.windowed_features(rows).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     done.awaitTermination()
     return spark.table(name).select("symbol", F.col("start").cast("timestamp_ntz").alias("start"), "n_snapshots", F.round("pi_max_price_impact_pct", 4).alias("pi_max_price_impact_pct"), F.round("traded_volume", 4).alias("traded_volume"))

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.numeric import plain_date
 from marlstone.functions.vocabulary import PATTERN_COLUMNS, PREDICT_COLUMNS
+from marlstone.operators.submission import issues
+from marlstone.sources.ticks import GENERATED
 
 
 def submission_table(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -55,6 +57,34 @@ def write_batches(df: DataFrame, path: str, batch: str = "date") -> None:
     df.write.partitionBy(batch).mode("overwrite").parquet(path)
 
 
+def write_days(patterns: DataFrame, predictions: DataFrame, path: str, provenance: str, most_days: int = 400) -> dict[str, dict]:
+    """A folder for each date with both tables, their zip and a report of all dates beside them.
+
+    Results of made-up ticks get a file that says so. A date with issues has no zip and its issues in the
+    report. Days are few and a day's table has a row a symbol; more than ``most_days`` are refused.
+    """
+    names = lambda df: df.withColumnsRenamed({"symbol": "stock_code", "date": "transaction_date"})
+    patterns, predictions = names(patterns), names(predictions)
+    days = [r["day"] for r in patterns.select(plain_date(F.col("transaction_date")).alias("day")).distinct().orderBy("day").limit(most_days + 1).collect()]
+    if len(days) > most_days:
+        raise ValueError(f"more than {most_days} days; use write_batches")
+    report: dict[str, dict] = {}
+    for day in days:
+        a, b = (df.where(plain_date(F.col("transaction_date")) == day) for df in (patterns, predictions))
+        folder = os.path.join(path, day)
+        files = write_patterns(a, f"{folder}/pattern_reco.csv"), write_predictions(b, f"{folder}/predict_result.csv")
+        wrong = [r["issue"] for r in issues(a, b).limit(100).collect()]
+        if wrong:
+            report[day] = {"error": "validation", "issues": wrong}
+            continue
+        if provenance in (GENERATED, "synthetic"):
+            with open(f"{folder}/SYNTHETIC_DO_NOT_SUBMIT.txt", "w", encoding="utf-8") as f:
+                f.write("Made from generated ticks, to check the pipeline only.\n")
+        report[day] = {"rows": b.count(), "zip": pack(*files, f"{folder}/submit.zip"), "data_provenance": provenance}
+    write_report(f"{path}/batch_report.json", **report)
+    return report
+
+
 def write_report(path: str, **facts) -> str:
     """Facts of a run, where its rows came from among them."""
     with open(path, "w", encoding="utf-8") as f:

@@ -7,12 +7,16 @@ expressions that Spark pushes into the scan. Nothing falls back to made-up rows
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.numeric import plain_date
@@ -40,6 +44,10 @@ DATE_ALIASES = ("date", "transaction_date", "trade_date", "trading_date")
 UNIVERSE_COLUMNS = ("股票代码", "stock_code", "symbol", "code")
 
 
+#: The name of a source whose rows are made up; results from it are marked.
+GENERATED = "generated"
+
+
 @dataclass(frozen=True)
 class Mapping:
     """How a vendor's wide rows become ticks."""
@@ -82,35 +90,96 @@ def keyed(df: DataFrame) -> DataFrame:
     return out
 
 
-def selected(df: DataFrame, symbols: list[str] | None = None, dates: list[str] | None = None) -> DataFrame:
-    """df cut to symbols and days (given with or without dashes), as filters that push down."""
+def _on_days(column: Column, kind: str, dates: list[str]) -> Column:
+    """Whether a raw date column lies on one of the days; every part of it can be pushed into a scan."""
+    days = sorted({d.replace("-", "")[:8] for d in dates})
+    dashed = [f"{d[:4]}-{d[4:6]}-{d[6:]}" for d in days]
+    if kind == "date":
+        return column.isin([F.lit(d).cast("date") for d in dashed])
+    if kind.startswith("timestamp"):
+        ends = [(F.lit(d).cast(kind), F.date_add(F.lit(d).cast("date"), 1).cast(kind)) for d in dashed]
+        return reduce(or_, [(column >= a) & (column < b) for a, b in ends], F.lit(False))
+    return reduce(or_, [column.startswith(d) | column.startswith(e) for d, e in zip(days, dashed)], F.lit(False)) if kind == "string" else plain_date(column).isin(days)
+
+
+def selected(df: DataFrame, symbols: list[str] | None = None, dates: list[str] | None = None, symbol: str = "symbol", date: str = "dt") -> DataFrame:
+    """df cut to symbols and days (given with or without dashes), as filters that push down.
+
+    Filters are on the raw columns: a text date matches by how it begins, in either spelling.
+    """
     if symbols is not None:
-        df = df.where(F.col("symbol").isin(list(symbols)))
-    if dates is not None:
-        df = df.where(plain_date(F.col("dt")).isin([d.replace("-", "") for d in dates]))
+        df = df.where(F.col(symbol).isin(list(symbols)))
+    if dates is not None and date in df.columns:
+        df = df.where(_on_days(F.col(date), dict(df.dtypes)[date], dates))
     return df
 
 
+def _vendor_rows(df: DataFrame, mapping: Mapping, symbols: list[str] | None, dates: list[str] | None) -> DataFrame:
+    """Vendor rows cut before they are normalised, so that the cut reaches the scan."""
+    rows = renamed(df, mapping.names)
+    return normalised(selected(rows, symbols, dates), mapping)
+
+
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """CSV and Parquet files of a folder as one frame, columns matched by name."""
+    """CSV and Parquet files of a folder as one frame, columns matched by name.
+
+    Files are read in one list for each format and set of columns, so the plan grows with the number
+    of layouts and not with that of files.
+    """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     where = hadoop.Path(path)
     listed = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
     files = sorted(str(f.getPath()) for f in listed)
-    out = None
-    for kind in ("parquet", "csv"):
-        for f in (f for f in files if f.endswith(f".{kind}")):
-            one = spark.read.parquet(f) if kind == "parquet" else spark.read.csv(f, header=True)
-            out = one if out is None else out.unionByName(one, allowMissingColumns=True) if set(one.columns) != set(out.columns) or one.dtypes != out.dtypes else out.unionByName(one)
-    if out is None:
+    parquet, tables = [f for f in files if f.endswith(".parquet")], [f for f in files if f.endswith(".csv")]
+    frames = []
+    if parquet:
+        try:
+            frames.append(spark.read.option("mergeSchema", True).parquet(*parquet))
+            frames[-1].schema  # types of one column may differ between files
+        except Exception:
+            by_type: dict[str, list[str]] = {}
+            for f in parquet:
+                by_type.setdefault(spark.read.parquet(f).schema.simpleString(), []).append(f)
+            frames = [spark.read.parquet(*some) for some in by_type.values()]
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for f in tables:
+        by_header.setdefault(tuple(spark.read.csv(f, header=True).columns), []).append(f)
+    frames += [spark.read.csv(some, header=True) for some in by_header.values()]
+    if not frames:
         raise FileNotFoundError(f"no CSV or Parquet file in {path}")
-    return out
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def bound(template: str, symbols: list[str] | None = None, dates: list[str] | None = None) -> str:
+    """An SQL template with ``:symbols`` and ``:dates`` written out as lists of quoted texts, dates without dashes."""
+    given = {"symbols": symbols, "dates": None if dates is None else [d.replace("-", "") for d in dates]}
+
+    def put(m: re.Match) -> str:
+        values = given[m[1]]
+        if not values:
+            raise ValueError(f"the template needs {m[1]}")
+        return "(" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in values) + ")"
 
+    return re.sub(r":(symbols|dates)\b", put, template)
 
-def read_database(spark: SparkSession, url: str, table: str, symbols: list[str] | None, dates: list[str] | None, mapping: Mapping = Mapping(), **options: str) -> DataFrame:
-    """A JDBC table; the filters become its WHERE clause."""
-    rows = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-    return selected(normalised(rows, mapping), symbols, dates)
+
+def read_database(spark: SparkSession, url: str, table: str | None, symbols: list[str] | None, dates: list[str] | None, mapping: Mapping = Mapping(), template: str | None = None, **options: str) -> DataFrame:
+    """A JDBC table or an SQL template with ``:symbols`` and ``:dates``.
+
+    A table is read in one partition for each day asked for; its filters become the WHERE clause.
+    """
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    if template is not None:
+        return _vendor_rows(reader.option("query", bound(template, symbols, dates)).load(), mapping, symbols, dates)
+    whole = reader.option("dbtable", table).load()
+    raw = next((a for a, b in mapping.names.items() if b == "dt" and a in whole.columns), "dt" if "dt" in whole.columns else None)
+    if dates and raw and dict(whole.dtypes)[raw] == "string":
+        days = sorted({d.replace("-", "") for d in dates})
+        spelt = [(d, f"{d[:4]}-{d[4:6]}-{d[6:]}") for d in days]
+        quote = '"' if any(c.islower() for c in raw) else ""
+        parts = [" or ".join(f"{quote}{raw}{quote} like '{x}%'" for x in both) for both in spelt]
+        whole = spark.read.jdbc(url, table, predicates=parts, properties=options)
+    return _vendor_rows(whole, mapping, symbols, dates)
 
 
 class Source:
@@ -123,38 +192,46 @@ class Source:
         return self._load(symbols, dates)
 
 
-def source(spark: SparkSession, kind: str, *, path: str | None = None, fetch: Callable | None = None, url: str | None = None, table: str | None = None, mapping: Mapping = Mapping(), seed: int = 42, n: int = 40) -> Source:
+def source(spark: SparkSession, kind: str, *, path: str | None = None, fetch: Callable | None = None, url: str | None = None, table: str | None = None, template: str | None = None, mapping: Mapping = Mapping(), seed: int = 42, n: int = 40) -> Source:
     """A source by kind: ``vendor`` (fetch function, database or exports), ``file``, ``synthetic``."""
     kind = kind.lower()
     if kind == "vendor":
         if fetch is not None:
             def load(symbols, dates):
                 got = fetch(symbols, dates)
-                return selected(normalised(got if isinstance(got, DataFrame) else spark.createDataFrame(got), mapping), symbols, dates)
-        elif url and table:
+                return _vendor_rows(got if isinstance(got, DataFrame) else spark.createDataFrame(got), mapping, symbols, dates)
+        elif url and (table or template):
             def load(symbols, dates):
-                return read_database(spark, url, table, symbols, dates, mapping)
+                return read_database(spark, url, table, symbols, dates, mapping, template)
         elif path:
             def load(symbols, dates):
-                return selected(normalised(read_folder(spark, path), mapping), symbols, dates)
+                return _vendor_rows(read_folder(spark, path), mapping, symbols, dates)
         else:
             def load(symbols, dates):
                 raise RuntimeError("the vendor source needs a fetch function, a database or an export folder")
         return Source(load, "vendor")
     if kind in ("file", "snapshot"):
-        return Source(lambda symbols, dates: selected(normalised(read_folder(spark, path), mapping), symbols, dates), "file")
+        return Source(lambda symbols, dates: _vendor_rows(read_folder(spark, path), mapping, symbols, dates), "file")
     if kind == "synthetic":
         return Source(lambda symbols, dates: synthetic_days(spark, n, seed), "synthetic")
     raise ValueError(f"no such source: {kind}")
 
 
-def detect(spark: SparkSession, *, fetch: Callable | None = None, url: str | None = None, table: str | None = None, path: str | None = None, allow_generated: bool = False, symbols: list[str] | None = None, dates: list[str] | None = None) -> Source:
-    """The first source that is configured: fetch, database, exports; generated ticks only if allowed."""
-    if fetch is not None or (url and table) or path:
-        return source(spark, "vendor", fetch=fetch, url=url, table=table, path=path)
+#: Environment variables that configure a source, in the order in which they count.
+ENVIRONMENT = {"url": "MARLSTONE_TICKS_URL", "table": "MARLSTONE_TICKS_TABLE", "template": "MARLSTONE_TICKS_SQL", "path": "MARLSTONE_TICKS_PATH"}
+
+
+def detect(spark: SparkSession, *, fetch: Callable | None = None, url: str | None = None, table: str | None = None, template: str | None = None, path: str | None = None, allow_generated: bool = False, symbols: list[str] | None = None, dates: list[str] | None = None) -> Source:
+    """The first source that is configured: fetch, database, exports, by argument or else by environment;
+    generated ticks only if allowed."""
+    given = {"url": url, "table": table, "template": template, "path": path}
+    if fetch is None and not any(given.values()):
+        given = {k: os.environ.get(v) or None for k, v in ENVIRONMENT.items()}
+    if fetch is not None or (given["url"] and (given["table"] or given["template"])) or given["path"]:
+        return source(spark, "vendor", fetch=fetch, **given)
     if not allow_generated:
         raise RuntimeError("no tick source is configured; pass allow_generated=True for generated ticks")
-    return Source(lambda s, d: generated_ticks(spark, s or symbols or [], d or dates or []), "generated")
+    return Source(lambda s, d: generated_ticks(spark, s or symbols or [], d or dates or []), GENERATED)
 
 
 def read_universe(spark: SparkSession, path: str) -> DataFrame:

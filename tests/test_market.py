@@ -139,3 +139,78 @@ def test_calinski_harabasz_and_scaling(spark):
     got = np.array([r.scaled for r in features.robust_scaled(days, "b").orderBy("regularity").collect()])
     q = np.quantile(x[:, 0], [0.25, 0.5, 0.75])
     assert np.allclose(got[:, 0], (np.sort(x[:, 0]) - q[1]) / (q[2] - q[0])) and not got[:, 1].any()
+
+
+def test_quantiles_and_ranges_by_batch_against_numpy(spark):
+    rng = np.random.default_rng(9)
+    rows = [(b, float(rng.integers(0, 5)), float(rng.normal())) for b in ("x", "y", None) for _ in range(int(rng.integers(3, 20)))]
+    df = spark.createDataFrame(rows, "b string, spoof double, regularity double")
+    got = {(r.scope, r.feature): r.q for r in features.quantiles(df, "b", ["spoof", "regularity"], (0.1, 0.5, 0.75)).collect()}
+    assert len(got) == 6
+    for (b, f), q in got.items():
+        assert np.allclose(q, np.quantile([r[1 + f] for r in rows if r[0] == b], [0.1, 0.5, 0.75]))
+    met, within = features.with_ranges(df, "b", ["spoof"])
+    for r in met.select("b", "spoof", within["spoof"].alias("w")).collect():
+        some = [x[1] for x in rows if x[0] == r.b]
+        want = 0.5 if max(some) == min(some) else (r.spoof - min(some)) / (max(some) - min(some))
+        assert r.w == pytest.approx(want)
+    assert met.count() == len(rows) == features.robust_scaled(df, "b").count()
+
+
+def test_calinski_harabasz_keeps_its_digits_far_from_zero(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(30, 2)) + np.repeat(np.eye(3)[:, :2] * 4, 10, axis=0)
+    value = lambda shift: evaluation.calinski_harabasz(spark.createDataFrame([(0, (v + shift).tolist(), i // 10) for i, v in enumerate(x)], "b int, v array<double>, l int"), "b", "v", "l").first().calinski_harabasz
+    assert value(0.0) == pytest.approx(value(1e8), rel=1e-3)
+
+
+def test_answer_scores_have_defaults(spark):
+    truth = spark.createDataFrame([("a", "AC"), ("b", "B"), ("c", "D")], "qid string, answer string")
+    said = spark.createDataFrame([("a", "CA"), ("b", "BA"), ("z", "A")], "qid string, answer string")
+    asked = spark.createDataFrame([("b", "research", "mcq")], "qid string, domain string, answer_format string")
+    got = {r.qid: (r.domain, r.answer_format, r.predicted, r.correct) for r in evaluation.answer_scores(truth, said, asked).collect()}
+    assert got == {"a": ("?", "multi", "CA", True), "b": ("research", "mcq", "BA", True), "c": ("?", "multi", "", False)}
+    assert submission.first_questions(asked, 0).count() == 1
+
+
+def _plain_clusters(d, least=3, most=8):
+    """Average linkage and the best cut, by plain loops over groups."""
+    n = len(d)
+    groups, cuts = [[i] for i in range(n)], {}
+    while len(groups) > 1:
+        cuts[len(groups)] = [list(g) for g in groups]
+        _, a, b = min((np.mean([d[i][j] for i in p for j in q]), i0, j0) for i0, p in enumerate(groups) for j0, q in enumerate(groups) if i0 < j0)
+        groups[a] = groups[a] + groups.pop(b)
+
+    def score(some):
+        total = 0.0
+        for g in some:
+            for i in g:
+                if len(g) > 1:
+                    a = sum(d[i][j] for j in g if j != i) / (len(g) - 1)
+                    b = min(np.mean([d[i][j] for j in h]) for h in some if h is not g)
+                    total += (b - a) / max(a, b) if max(a, b) else 0.0
+        return total / n
+
+    best = max(range(least, min(most, n - 1) + 1), key=lambda k: (round(score(cuts[k]), 12), -k))
+    return {frozenset(g) for g in cuts[best]}
+
+
+def test_clusters_of_batches_against_plain_code(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for b in ("x", "y"):
+        for i in range(9):
+            parts = rng.dirichlet(np.ones(3)).tolist()
+            rows.append((b, f"k{i}", *parts, ";".join(f"{v:.4f}" for v in rng.normal(size=8))))
+    df = spark.createDataFrame(rows, "date string, symbol string, oss_mega_amount_pct double, oss_large_amount_pct double, oss_small_amount_pct double, net_active_seq string")
+    labels = clusters.cluster_labels(df, "date", "symbol").collect()
+    pairs = clusters.pair_distances(df, "date", "symbol").collect()
+    for b in ("x", "y"):
+        names = sorted(r.symbol for r in labels if r.date == b)
+        at = {k: i for i, k in enumerate(names)}
+        d = np.zeros((9, 9))
+        for r in (p for p in pairs if p.batch == b):
+            d[at[r.i], at[r.j]] = d[at[r.j], at[r.i]] = r.distance
+        got = {frozenset(at[r.symbol] for r in labels if r.date == b and r.cluster == c) for c in {r.cluster for r in labels}} - {frozenset()}
+        assert got == _plain_clusters(d.tolist())

@@ -45,6 +45,58 @@ def test_exports_filter_after_renaming(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(SecurityID), EqualTo(SecurityID,a)]" in plan
 
 
+def test_dates_are_pushed_into_the_scan(spark, tmp_path):
+    days = spark.sql("select id, date_add(date'2026-05-01', int(id)) as d from range(10)").selectExpr("cast(id as string) as symbol", "cast(d as string) as a", "date_format(d, 'yyyyMMdd') as b", "d as c", "cast(d as timestamp) + interval 5 hours as e")
+    days.coalesce(1).write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    for name in "abce":
+        got = ticks.selected(rows, None, ["2026-05-03", "20260505"], date=name)
+        assert sorted(r.symbol for r in got.collect()) == ["2", "4"], name
+        pushed = got._jdf.queryExecution().executedPlan().toString().split("PushedFilters: [")[1].split("]")[0]
+        assert f"({name}," in pushed, pushed
+
+
+def test_templates_are_bound():
+    sql = "select * from t where s in :symbols and d in :dates"
+    assert ticks.bound(sql, ["a", "o'b"], ["2026-05-07"]) == "select * from t where s in ('a', 'o''b') and d in ('20260507')"
+    with pytest.raises(ValueError):
+        ticks.bound(sql, ["a"], None)
+    assert ticks.bound("select 1", None, None) == "select 1"
+
+
+def test_database_source(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = wide(spark).select("SecurityID", "TradeDate", "DataTimeStamp", "LastPx", "BidPrice1", "BidOrderQty1")
+    rows = rows.unionAll(rows.withColumn("TradeDate", F.lit("20260508"))).unionAll(rows.withColumn("SecurityID", F.lit("other")))
+    rows.write.option("createTableColumnTypes", "SecurityID VARCHAR(20), TradeDate VARCHAR(20)").jdbc(url, "L2", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    load = ticks.source(spark, "vendor", url=url, table="L2").load
+    got = load(["603316.SH"], ["2026-05-07", "20260508"])
+    assert sorted(r.dt for r in got.collect()) == ["20260507", "20260508"] and got.rdd.getNumPartitions() == 2
+    assert load(None, ["2026-05-08"]).count() == 1 and load().count() == 3
+    told = ticks.source(spark, "vendor", url=url, template="select * from L2 where \"SecurityID\" in :symbols").load(["other"])
+    assert [r.symbol for r in told.collect()] == ["other"]
+
+
+def test_sources_by_environment(spark, tmp_path, monkeypatch):
+    wide(spark).coalesce(1).write.parquet(f"{tmp_path}/x.parquet")
+    monkeypatch.setenv(ticks.ENVIRONMENT["path"], str(tmp_path))
+    assert ticks.detect(spark).load().count() == 1
+    made = ticks.detect(spark, fetch=lambda s, d: wide(spark).limit(0))
+    assert made.load().count() == 0 and made.name == "vendor"
+    monkeypatch.delenv(ticks.ENVIRONMENT["path"])
+    assert ticks.detect(spark, allow_generated=True).name == ticks.GENERATED
+
+
+def test_folders_of_many_files_and_layouts(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"{i}.csv").write_text("a,b\n1,2\n" if i % 3 else "b,c\n3,4\n")
+    spark.createDataFrame([(1, 2)], "a int, b int").coalesce(1).write.parquet(f"{tmp_path}/p.parquet")
+    spark.createDataFrame([("x", 2)], "a string, d int").coalesce(1).write.parquet(f"{tmp_path}/q.parquet")
+    got = ticks.read_folder(spark, str(tmp_path))
+    assert got.count() == 32 and set(got.columns) == set("abcd")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 4
+
+
 def test_keys_universe_and_feature_folders(spark, tmp_path):
     got = ticks.keyed(spark.createDataFrame([("1", "2026-05-07")], "code string, trade_date string")).first()
     assert (got.symbol, got.date) == ("1", "20260507")
@@ -76,6 +128,19 @@ def test_sinks(spark, tmp_path):
     assert [(r.qid, r.total_tokens) for r in sinks.answer_table(answers, questions).collect()] == [("summary", 12), ("a", 3), ("b", 9)]
 
 
+def test_days_with_reports_and_markers(spark, tmp_path):
+    p = spark.createDataFrame([("1", d, "大单吸筹", "x") for d in ("2026-05-07", "2026-05-08")], "symbol string, date string, pattern_type string, pattern_explanation string")
+    q = spark.createDataFrame([("1", "2026-05-07", "散户", "买入"), ("2", "2026-05-08", "散户", "买入")], "symbol string, date string, capital_type string, capital_intention string")
+    report = sinks.write_days(p, q, str(tmp_path), ticks.GENERATED)
+    assert report["20260507"]["rows"] == 1 and report["20260507"]["data_provenance"] == "generated" and "error" in report["20260508"]
+    assert json.load(open(tmp_path / "batch_report.json")) == report
+    assert (tmp_path / "20260507/SYNTHETIC_DO_NOT_SUBMIT.txt").exists() and zipfile.ZipFile(report["20260507"]["zip"]).namelist() == ["pattern_reco.csv", "predict_result.csv"]
+    sinks.write_days(p.where("date = '2026-05-07'"), q.where("date = '2026-05-07'"), f"{tmp_path}/real", "vendor")
+    assert not (tmp_path / "real/20260507/SYNTHETIC_DO_NOT_SUBMIT.txt").exists()
+    with pytest.raises(ValueError):
+        sinks.write_days(p, q, str(tmp_path), "vendor", most_days=1)
+
+
 def test_documents(spark, tmp_path):
     for name, body in (("research/A1.txt", "text body"), ("other/a1.html", "<p>no</p>"), ("regulatory/B2.HTML", "<p>Rule</p>"), ("research/C3.pdf", "%PDF")):
         (tmp_path / name).parent.mkdir(exist_ok=True)
