@@ -45,10 +45,16 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAMPLE, SAMPLE_CHARS = 2500, 20_000
 
 
-def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quality_forest(spark: SparkSession, sf_dir: str) -> quality_model.Forest:
+    """The forest trained on the labelled documents outside the held-out fold."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     examples, weights = labelled.weighted(docs, _read(spark, sf_dir, "labels"), "quality", labelled.fold(F.col("id"), 4) != 2, SAMPLE, chars=SAMPLE_CHARS)
-    scored = quality_model.scored(docs, quality_model.train(examples, weights))
+    return quality_model.train(examples, weights)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_model.scored(docs, quality_forest(spark, sf_dir))
     return scored.select(
         "doc_id",
         (labelled.fold(F.col("doc_id"), 4) == 2).alias("held_out"),

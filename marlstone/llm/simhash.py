@@ -74,6 +74,8 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     """
     if not 0 <= distance <= 3:
         raise ValueError("two halves with balls of radius 1 cover distances 0 to 3")
+    # Each fingerprint becomes 66 probes, so they are dealt out evenly before, whatever shuffle made them.
+    prints = prints.select("fp").repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     halves = prints.select(
         "fp",
         F.explode(

@@ -84,12 +84,12 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", g
 
     Ids are cut into ranges by quantiles; a window inside each range looks one row ahead, and the
     last row of a range gets the first of the next range with rows, the very last the very first.
-    Only the quantiles (``groups`` numbers) reach the driver. Equal ids are ordered by text; null
+    Only the quantiles (``groups`` numbers, four a shuffle partition and at most 16,384) reach the driver. Equal ids are ordered by text; null
     ids come first.
     """
     spark = docs.sparkSession
     docs = docs.select(quoted(id_col).alias("id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
-    groups = groups or min(2048, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    groups = groups or min(16_384, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = _cuts(docs, "id", groups)
     root = max(1, math.isqrt(len(cuts)))
     heads = cuts[::root]

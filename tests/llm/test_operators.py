@@ -345,6 +345,40 @@ def test_quality_model_learns_and_scores_awkward(spark, awkward, empty):
     assert (quality_model.train([("a", 1), ("b", 1)]).score(x[:2]) > 0.7).all()
 
 
+def test_quality_trees_against_naive_boosting():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 3))
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + rng.normal(size=60) * 0.3 > 0.2).astype(float)
+    weight = rng.uniform(0.5, 2, 60)
+    trees, depth, rate, bins, ridge, least = 3, 2, 0.3, 8, 1.0, 1.0
+    forest = quality_model.fit(x, y, trees, depth, rate, bins, ridge, least, weight)
+    w = weight / weight.mean()
+    share = ((w * y).sum() + 0.5) / 61
+    logit = np.full(60, np.log(share / (1 - share)))
+    cuts = [sorted(set(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1]))) for f in range(3)]
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-logit))
+        g, h = w * (p - y), w * np.maximum(p * (1 - p), 1e-6)
+        value = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + ridge)
+
+        def grow(rows, left):
+            best = (1e-9, None)
+            for f in range(3):
+                for c in cuts[f]:
+                    low, high = [i for i in rows if x[i, f] <= c], [i for i in rows if x[i, f] > c]
+                    if left and h[low].sum() >= least and h[high].sum() >= least:
+                        gain = value(low) + value(high) - value(rows)
+                        if gain > best[0] + 1e-12:
+                            best = (gain, (low, high))
+            if best[1] is None:
+                return {i: -rate * g[rows].sum() / (h[rows].sum() + ridge) for i in rows}
+            return grow(best[1][0], left - 1) | grow(best[1][1], left - 1)
+
+        step = grow(list(range(60)), depth)
+        logit = logit + np.array([step[i] for i in range(60)])
+    assert np.allclose(forest.score(x), 1 / (1 + np.exp(-logit)))
+
+
 def _insulted(i):
     words = prose(i, 60).split()
     rng = np.random.default_rng(i)

@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -69,6 +70,21 @@ def test_classifiers_follow_their_contract(spark, sf, docs, query, folds, held,
     assert got["score"].between(0, 1).all() and list(got["predicted"]) == [int(s >= cut) for s in got["score"]]
 
 
+def test_op3_against_a_walk_through_its_trees(spark, sf, docs):
+    from marlstone.llm import quality_model
+
+    forest = queries.quality_forest(spark, sf)
+    got = queries.op3_quality(spark, sf).toPandas().set_index("doc_id")["score"]
+    for d, t in zip(docs["doc_id"], docs["text"]):
+        row, total = quality_model.statistics(t), forest.base
+        for feature, threshold, leaf in zip(forest.feature, forest.threshold, forest.leaf):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += leaf[node - len(feature)]
+        assert got[d] == pytest.approx(1 / (1 + np.exp(-total)))
+
+
 def test_op6_against_naive_kernels(spark, sf, docs):
     from tests.llm.test_operators import naive_scores
 
@@ -100,6 +116,36 @@ def test_op5_and_op8_return_every_document(spark, sf, docs):
         assert sorted(r.doc_id for r in query(spark, sf).select("doc_id").collect()) == sorted(docs["doc_id"])
 
 
+def test_pipeline_against_plain_code(spark, sf, docs):
+    """Rules by SQL, toxicity by naive kernels, near copies by all pairs, tokens by the library."""
+    from marlstone.llm import labelled, toxicity
+    from tests.llm.test_operators import naive_scores
+
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    kept = set(c.sql(queries.ORACLE_SQL["op7_quality_rules"]).df().query("kept")["doc_id"])
+    left = docs[docs["doc_id"].isin(kept)]
+    table = spark.read.parquet(f"{sf}/documents.parquet").where(F.col("doc_id").isin([int(d) for d in kept]))
+    examples, weights = labelled.weighted(table, spark.read.parquet(f"{sf}/labels.parquet"), "toxic", F.lit(True), queries.SAMPLE, chars=queries.SAMPLE_CHARS)
+    scores = naive_scores(toxicity.train(examples, weights=weights), list(left["text"]))
+    unsure = set(left["doc_id"][np.abs(scores - 0.5) < 0.01])
+    left = left[scores < 0.5]
+    words = [t.translate(str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})).split() for t in left["text"]]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    ids, root = list(left["doc_id"]), {}
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                old, new = root.get(ids[i], ids[i]), root.get(ids[j], ids[j])
+                root = {**{d: d for d in ids}, **root}
+                root = {d: min(old, new) if r in (old, new) else r for d, r in root.items()}
+    want = {d: len(LIBRARY.encode(t, add_special_tokens=False).ids) + 1 for d, t in zip(left["doc_id"], left["text"]) if root.get(d, d) == d}
+    got = corpus_pipeline.run(spark, sf).toPandas()
+    tokens = dict(zip(got["doc_id"], got["doc_tokens"]))
+    assert {d: n for d, n in tokens.items() if d not in unsure} == {d: n for d, n in want.items() if d not in unsure}
+    assert got["length"].sum() == sum(tokens.values()) and (got.groupby("sequence_id")["length"].sum().sort_index()[:-1] == 4096).all()
+
+
 def test_pipeline_stages_work_on_what_is_kept(spark, sf, tmp_path):
     table, before = spark.read.parquet(f"{sf}/documents.parquet"), None
     columns = table.columns
