@@ -27,6 +27,7 @@ from marlstone.functions.vocabulary import (
     WEIGHTS,
 )
 from marlstone.operators import clusters, daily, evaluation, features, participants, pipeline, selftrain, submission
+from marlstone.operators.settling import prepare
 from marlstone.plans import fixtures
 from marlstone.plans.fixtures import settled
 from marlstone.plans.registry import query
@@ -342,7 +343,9 @@ def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A stream's source is a folder; the pattern names the one table in it.
     raw = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = raw.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.col("event_id").cast("double").alias("volume"), F.col("value").alias("amount"), F.lit(1.0).alias("totalbidvolume"), F.lit(1.0).alias("totalaskvolume"))
-    name = f"streamed_{uuid.uuid4().hex}"
-    done = streaming.windowed_features(rows).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    done.awaitTermination()
-    return spark.table(name).select("symbol", F.col("start").cast("timestamp_ntz").alias("start"), "n_snapshots", F.round("pi_max_price_impact_pct", 4).alias("pi_max_price_impact_pct"), F.round("traded_volume", 4).alias("traded_volume"))
+    prepare(spark)
+    out = f"{spark.sparkContext.getCheckpointDir()}/streamed-{uuid.uuid4().hex}"
+    # Each batch's whole table goes to the shared folder; nothing is held in the driver.
+    put = lambda whole, batch: whole.write.mode("overwrite").parquet(out)
+    streaming.windowed_features(rows).writeStream.foreachBatch(put).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("symbol", F.col("start").cast("timestamp_ntz").alias("start"), "n_snapshots", F.round("pi_max_price_impact_pct", 4).alias("pi_max_price_impact_pct"), F.round("traded_volume", 4).alias("traded_volume"))
