@@ -28,6 +28,12 @@ HEADING = (
     r"^(?:第[一二三四五六七八九十百千万0-9]+[章节条款]|[一二三四五六七八九十]+、|[0-9]{1,2}(?:\.[0-9]+)*[、.]|"
     r"（[一二三四五六七八九十0-9]+）|[A-Z][、.]|(?:目录|摘要|风险提示|重大事项|发行条款|财务情况|附录|定义与解释).{0,40})"
 )
+# What marks an answer, denies all options, and says that an option holds or doesn't.
+ANSWER_MARK = "答案|正确选项|answer"
+NO_OPTION = "无|没有|都不|均.*错|全部错|不选|none"
+HOLDS_NOT, HOLDS = "不成立|错误|不正确|否|false|错", "成立|正确|是|true|对"
+OPTION_LINE = r"^\s*([A-Da-d])\s*[:：-]\s*(.+)"
+ANSWER_CHARS = 40
 
 
 @dataclass(frozen=True)
@@ -108,10 +114,10 @@ def answer_letters(text: Column, valid: str = "ABCD") -> Column:
     """
     t = F.coalesce(text, F.lit(""))
     # Everything up to the last marker goes; where there is none, up to the last newline.
-    marked = F.regexp_extract(t, r"(?is)^.*(?:答案|正确选项|answer)\s*[:：]?(.*)$", 1)
-    has = t.rlike(r"(?i)答案|正确选项|answer")
-    segment = F.when(has, F.substring(marked, 1, 40)).otherwise(F.element_at(F.split(F.regexp_replace(t, r"^\s+|\s+$", ""), r"\r?\n"), -1))
-    none = segment.rlike(r"(?i)无|没有|都不|均.*错|全部错|不选|none")
+    marked = F.regexp_extract(t, rf"(?is)^.*(?:{ANSWER_MARK})\s*[:：]?(.*)$", 1)
+    has = t.rlike(f"(?i){ANSWER_MARK}")
+    segment = F.when(has, F.substring(marked, 1, ANSWER_CHARS)).otherwise(F.element_at(F.split(F.regexp_replace(t, r"^\s+|\s+$", ""), r"\r?\n"), -1))
+    none = segment.rlike(f"(?i){NO_OPTION}")
     letters = F.regexp_extract_all(F.upper(segment), F.lit("([A-Z])"), F.lit(1))
     return F.when(none, F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(letters, lambda c: F.lit(valid).contains(c))))
 
@@ -119,12 +125,10 @@ def answer_letters(text: Column, valid: str = "ABCD") -> Column:
 def structured_letters(text: Column, valid: str = "ABCD") -> Column:
     """Letters of lines ``A: holds``; where no line decides, answer_letters. A later line overrules."""
     lines = F.split(F.coalesce(text, F.lit("")), r"\r?\n")
-    rule = r"^\s*([A-Da-d])\s*[:：-]\s*(.+)"
-
     def read(line: Column) -> Column:
-        tail = F.regexp_extract(line, rule, 2)
-        holds = F.when(tail.rlike(r"(?i)不成立|错误|不正确|否|false|错"), F.lit(False)).when(tail.rlike(r"(?i)成立|正确|是|true|对"), F.lit(True))
-        return F.struct(F.upper(F.regexp_extract(line, rule, 1)).alias("letter"), holds.alias("holds"))
+        tail = F.regexp_extract(line, OPTION_LINE, 2)
+        holds = F.when(tail.rlike(f"(?i){HOLDS_NOT}"), F.lit(False)).when(tail.rlike(f"(?i){HOLDS}"), F.lit(True))
+        return F.struct(F.upper(F.regexp_extract(line, OPTION_LINE, 1)).alias("letter"), holds.alias("holds"))
 
     told = F.filter(F.transform(lines, read), lambda x: x["holds"].isNotNull() & (x["letter"] != "") & F.lit(valid).contains(x["letter"]))
     last = lambda c: F.element_at(F.filter(told, lambda x: x["letter"] == c), -1)["holds"]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from marlstone.functions.text import html_text
-from marlstone.operators.chunking import CHUNK_SCHEMA
+from marlstone.operators.chunking import CHUNK_SCHEMA, table_text
 
 #: Order in which a document's files are preferred.
 PREFERENCE = ("txt", "html", "htm", "pdf")
@@ -30,12 +32,34 @@ def resolve(wanted: DataFrame, found: DataFrame) -> DataFrame:
     return met.groupBy("domain", "doc_id").agg(best.alias("f")).select("domain", "doc_id", "f.path", "f.kind", "f.content")
 
 
-def texts(resolved: DataFrame) -> DataFrame:
-    """(domain, doc_id, text, tables, status): text and HTML decoded; PDF needs a reader that isn't here."""
+def texts(resolved: DataFrame, readers: dict[str, Callable[[bytes], tuple[str, list[list[list]]]]] | None = None) -> DataFrame:
+    """(domain, doc_id, text, tables, status): text and HTML decoded, other kinds by ``readers``.
+
+    A reader gets a file's bytes and returns its text and its tables as rows of cells; it runs in
+    the executors. A kind without a reader is ``unsupported``, a file that its reader can't read ``unreadable``.
+    """
     body = F.col("content").cast("string")
     text = F.when(F.col("kind").isin("html", "htm"), html_text(body)).when(F.col("kind") == "txt", body)
     status = F.when(F.col("path").isNull(), "missing").when(text.isNull(), "unsupported").otherwise("ok")
-    return resolved.select("domain", "doc_id", text.alias("text"), F.array().cast("array<string>").alias("tables"), status.alias("status"))
+    plain = resolved if not readers else resolved.where(F.col("kind").isNull() | ~F.col("kind").isin(*readers))
+    out = plain.select("domain", "doc_id", text.alias("text"), F.array().cast("array<string>").alias("tables"), status.alias("status"))
+    if not readers:
+        return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for domain, doc_id, kind, content in zip(pdf["domain"], pdf["doc_id"], pdf["kind"], pdf["content"]):
+                try:
+                    said, tables = readers[kind](bytes(content))
+                    rows.append((domain, doc_id, said, [t for t in map(table_text, tables) if t], "ok"))
+                except Exception:  # whatever a caller's reader raises is about this file
+                    rows.append((domain, doc_id, None, [], "unreadable"))
+            yield pd.DataFrame(rows, columns=["domain", "doc_id", "text", "tables", "status"])
+
+    kinds = dict(resolved.dtypes)
+    read = resolved.where(F.col("kind").isin(*readers)).select("domain", "doc_id", "kind", "content")
+    return out.unionByName(read.mapInPandas(run, f"domain {kinds['domain']}, doc_id {kinds['doc_id']}, text string, tables array<string>, status string"))
 
 
 def read_questions(spark: SparkSession, path: str, domains: list[str] | None = None) -> DataFrame:
@@ -54,8 +78,7 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
 def cached_chunks(spark: SparkSession, path: str, version: int, build) -> DataFrame:
     """Chunks stored for a version, or built, stored and read back."""
     where = f"{path}/version={version}"
-    try:
-        return spark.read.schema(CHUNK_SCHEMA).parquet(where)
-    except AnalysisException:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
+    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
         build().write.mode("overwrite").parquet(where)
-        return spark.read.schema(CHUNK_SCHEMA).parquet(where)
+    return spark.read.schema(CHUNK_SCHEMA).parquet(where)

@@ -7,8 +7,11 @@ expressions that Spark pushes into the scan. Nothing falls back to made-up rows
 from __future__ import annotations
 
 import hashlib
+import importlib
+import importlib.util
 import os
 import re
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -18,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from marlstone.functions.numeric import plain_date
 from marlstone.operators.daily import parse_levels, wide_to_levels
@@ -120,11 +124,25 @@ def _vendor_rows(df: DataFrame, mapping: Mapping, symbols: list[str] | None, dat
     return normalised(selected(rows, symbols, dates), mapping)
 
 
-def read_folder(spark: SparkSession, path: str) -> DataFrame:
+def _read_by(spark: SparkSession, files: list[str], reader: Callable[[bytes], pd.DataFrame]) -> DataFrame:
+    """Files that Spark can't read, by a function from bytes to rows; all have the first one's columns, as text."""
+    raw = spark.read.format("binaryFile").load(files).select("content")
+    names = list(reader(bytes(raw.limit(1).first()["content"])).columns)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for content in pdf["content"]:
+                got = reader(bytes(content)).reindex(columns=names)
+                yield got.astype(object).where(got.notna(), None).map(lambda x: None if x is None else str(x))
+
+    return raw.mapInPandas(run, StructType([StructField(c, StringType()) for c in names]))
+
+
+def read_folder(spark: SparkSession, path: str, readers: dict[str, Callable[[bytes], pd.DataFrame]] | None = None) -> DataFrame:
     """CSV and Parquet files of a folder as one frame, columns matched by name.
 
     Files are read in one list for each format and set of columns, so the plan grows with the number
-    of layouts and not with that of files.
+    of layouts and not with that of files. ``readers`` read files of other endings (``xlsx``).
     """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     where = hadoop.Path(path)
@@ -145,6 +163,9 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
     for f in tables:
         by_header.setdefault(tuple(spark.read.csv(f, header=True).columns), []).append(f)
     frames += [spark.read.csv(some, header=True) for some in by_header.values()]
+    for kind, reader in (readers or {}).items():
+        if some := [f for f in files if f.endswith(f".{kind}")]:
+            frames.append(_read_by(spark, some, reader))
     if not frames:
         raise FileNotFoundError(f"no CSV or Parquet file in {path}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -192,7 +213,7 @@ class Source:
         return self._load(symbols, dates)
 
 
-def source(spark: SparkSession, kind: str, *, path: str | None = None, fetch: Callable | None = None, url: str | None = None, table: str | None = None, template: str | None = None, mapping: Mapping = Mapping(), seed: int = 42, n: int = 40) -> Source:
+def source(spark: SparkSession, kind: str, *, path: str | None = None, fetch: Callable | None = None, url: str | None = None, table: str | None = None, template: str | None = None, mapping: Mapping = Mapping(), readers: dict[str, Callable] | None = None, seed: int = 42, n: int = 40) -> Source:
     """A source by kind: ``vendor`` (fetch function, database or exports), ``file``, ``synthetic``."""
     kind = kind.lower()
     if kind == "vendor":
@@ -205,28 +226,50 @@ def source(spark: SparkSession, kind: str, *, path: str | None = None, fetch: Ca
                 return read_database(spark, url, table, symbols, dates, mapping, template)
         elif path:
             def load(symbols, dates):
-                return _vendor_rows(read_folder(spark, path), mapping, symbols, dates)
+                return _vendor_rows(read_folder(spark, path, readers), mapping, symbols, dates)
         else:
             def load(symbols, dates):
                 raise RuntimeError("the vendor source needs a fetch function, a database or an export folder")
         return Source(load, "vendor")
     if kind in ("file", "snapshot"):
-        return Source(lambda symbols, dates: _vendor_rows(read_folder(spark, path), mapping, symbols, dates), "file")
+        return Source(lambda symbols, dates: _vendor_rows(read_folder(spark, path, readers), mapping, symbols, dates), "file")
     if kind == "synthetic":
         return Source(lambda symbols, dates: synthetic_days(spark, n, seed), "synthetic")
     raise ValueError(f"no such source: {kind}")
 
 
+def fetch_of(spec: str, name: str = "query_l2_snapshot") -> Callable | None:
+    """The fetch function of a vendor's module, given by its name or file: the attribute ``name``, or that of
+    the first attribute that has one; None, with a warning, where there is none."""
+    try:
+        if spec.endswith(".py"):
+            made = importlib.util.spec_from_file_location(f"vendor_{hashlib.sha256(spec.encode()).hexdigest()[:8]}", spec)
+            module = importlib.util.module_from_spec(made)
+            made.loader.exec_module(module)
+        else:
+            module = importlib.import_module(spec)
+    except Exception as e:
+        warnings.warn(f"no vendor module at {spec}: {e}", stacklevel=2)
+        return None
+    holders = [module, *(v for k, v in sorted(vars(module).items()) if not k.startswith("_"))]
+    found = next((f for h in holders if callable(f := getattr(h, name, None))), None)
+    if found is None:
+        warnings.warn(f"{spec} has no {name}", stacklevel=2)
+    return found
+
+
 #: Environment variables that configure a source, in the order in which they count.
-ENVIRONMENT = {"url": "MARLSTONE_TICKS_URL", "table": "MARLSTONE_TICKS_TABLE", "template": "MARLSTONE_TICKS_SQL", "path": "MARLSTONE_TICKS_PATH"}
+ENVIRONMENT = {"module": "MARLSTONE_TICKS_MODULE", "url": "MARLSTONE_TICKS_URL", "table": "MARLSTONE_TICKS_TABLE", "template": "MARLSTONE_TICKS_SQL", "path": "MARLSTONE_TICKS_PATH"}
 
 
 def detect(spark: SparkSession, *, fetch: Callable | None = None, url: str | None = None, table: str | None = None, template: str | None = None, path: str | None = None, allow_generated: bool = False, symbols: list[str] | None = None, dates: list[str] | None = None) -> Source:
-    """The first source that is configured: fetch, database, exports, by argument or else by environment;
-    generated ticks only if allowed."""
+    """The first source that is configured: fetch (a vendor's module), database, exports, by argument or else
+    by environment; generated ticks only if allowed."""
     given = {"url": url, "table": table, "template": template, "path": path}
     if fetch is None and not any(given.values()):
         given = {k: os.environ.get(v) or None for k, v in ENVIRONMENT.items()}
+        module = given.pop("module")
+        fetch = fetch_of(module) if module else None
     if fetch is not None or (given["url"] and (given["table"] or given["template"])) or given["path"]:
         return source(spark, "vendor", fetch=fetch, **given)
     if not allow_generated:
@@ -253,10 +296,14 @@ _TICK_SCHEMA = (
 )
 
 
-def _tick_day(symbol: str, day: str) -> pd.DataFrame:
+#: Ticks of a made-up symbol and day: at least, and fewer than.
+TICKS = (3000, 6500)
+
+
+def _tick_day(symbol: str, day: str, ticks: tuple[int, int] = TICKS) -> pd.DataFrame:
     """One symbol-day of made-up ticks; the seed is a hash of the key, so partitions don't matter."""
     rng = np.random.default_rng(int(hashlib.sha256(f"{symbol}|{day}".encode()).hexdigest()[:8], 16))
-    n = int(rng.integers(300, 650))
+    n = int(rng.integers(*ticks))
     minutes = np.sort(np.concatenate([rng.uniform(570, 690, n // 2), rng.uniform(780, 900, n - n // 2)]))
     midnight = pd.Timestamp(day).value // 1_000_000 - 8 * 3_600_000
     price = np.maximum(rng.uniform(5, 80) * np.exp(np.cumsum(rng.normal(0, 4e-4, n))), 0.05)
@@ -288,14 +335,14 @@ def _tick_day(symbol: str, day: str) -> pd.DataFrame:
     )
 
 
-def generated_ticks(spark: SparkSession, symbols: list[str], dates: list[str]) -> DataFrame:
+def generated_ticks(spark: SparkSession, symbols: list[str], dates: list[str], ticks: tuple[int, int] = TICKS) -> DataFrame:
     """Made-up ticks for every symbol and day, one task-sized group each. For tests and demos."""
     keys = spark.createDataFrame([(s, d) for s in symbols for d in dates], "symbol string, day string")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for s, d in zip(pdf["symbol"], pdf["day"]):
-                yield _tick_day(s, d)
+                yield _tick_day(s, d, ticks)
 
     return keys.repartition("symbol", "day").mapInPandas(run, _TICK_SCHEMA)
 

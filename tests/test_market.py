@@ -9,7 +9,7 @@ from marlstone.sources import ticks
 
 
 def test_generated_ticks_do_not_depend_on_partitions(spark):
-    a = ticks.generated_ticks(spark, ["x", "y"], ["2026-05-07"])
+    a = ticks.generated_ticks(spark, ["x", "y"], ["2026-05-07"], (300, 650))
     day = lambda: sorted(map(str, daily.daily_features(a).select("symbol", "n_snapshots", F.round("net_active", 9), F.round("impact_per_amount", 4)).collect()))
     first = day()
     spark.conf.set("spark.sql.shuffle.partitions", "13")

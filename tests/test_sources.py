@@ -85,6 +85,24 @@ def test_sources_by_environment(spark, tmp_path, monkeypatch):
     assert made.load().count() == 0 and made.name == "vendor"
     monkeypatch.delenv(ticks.ENVIRONMENT["path"])
     assert ticks.detect(spark, allow_generated=True).name == ticks.GENERATED
+    (tmp_path / "vendor_sdk.py").write_text("class Client:\n    @staticmethod\n    def query_l2_snapshot(symbols, dates):\n        return FRAME\n")
+    fetch = ticks.fetch_of(f"{tmp_path}/vendor_sdk.py")
+    fetch.__globals__["FRAME"] = wide(spark)
+    assert ticks.source(spark, "vendor", fetch=fetch).load(["603316.SH"]).count() == 1
+    with pytest.warns(UserWarning):
+        assert ticks.fetch_of("no_such_module_here") is None and ticks.fetch_of("json") is None
+
+
+def test_spreadsheets_by_a_reader(spark, tmp_path):
+    import io
+
+    import pandas as pd
+
+    (tmp_path / "a.xlsx").write_bytes(b"SecurityID,TradeDate\n1,2026-05-07\n2,2026-05-08\n")
+    (tmp_path / "b.xlsx").write_bytes(b"SecurityID,TradeDate\n3,2026-05-07\n")
+    read = {"xlsx": lambda raw: pd.read_csv(io.BytesIO(raw))}
+    got = ticks.source(spark, "file", path=str(tmp_path), readers=read).load(None, ["2026-05-07"])
+    assert sorted(r.symbol for r in got.collect()) == ["1", "3"]
 
 
 def test_folders_of_many_files_and_layouts(spark, tmp_path):
@@ -147,6 +165,12 @@ def test_documents(spark, tmp_path):
         (tmp_path / name).write_text(body)
     wanted = spark.createDataFrame([("research", "a1"), ("regulatory", "b2"), ("research", "c3"), ("research", "zz")], "domain string, doc_id string")
     got = {r.doc_id: (r.text, r.status) for r in documents.texts(documents.resolve(wanted, documents.files(spark, str(tmp_path)))).collect()}
+    tables = [[["h", "k"], ["value one", "value two"]], [["x"]]]
+    readers = {"pdf": lambda raw: (raw.decode()[1:], tables)}
+    read = {r.doc_id: (r.text, r.tables, r.status) for r in documents.texts(documents.resolve(wanted, documents.files(spark, str(tmp_path))), readers).collect()}
+    assert read["c3"] == ("PDF", ["h | k\nvalue one | value two"], "ok") and read["a1"][2] == "ok" and read["zz"][2] == "missing" and len(read) == 4
+    failing = documents.texts(documents.resolve(wanted, documents.files(spark, str(tmp_path))), {"pdf": lambda raw: raw.no_such}).collect()
+    assert {r.doc_id: r.status for r in failing}["c3"] == "unreadable"
     assert got == {"a1": ("text body", "ok"), "b2": ("Rule", "ok"), "c3": (None, "unsupported"), "zz": (None, "missing")}
     (tmp_path / "q.json").write_text(json.dumps([{"qid": "1", "domain": "research", "question": "?", "options": {"A": "x"}, "answer_format": "mcq", "doc_ids": ["a1"]}]))
     assert documents.read_questions(spark, f"{tmp_path}/q.json", ["research"]).first().options == {"A": "x"}

@@ -222,6 +222,23 @@ def test_narrow_evidence_adds_chunks_for_options_without_any(spark):
     assert full.count() == 4
 
 
+def test_models_are_asked_with_retries(spark):
+    def chat(prompt):
+        if "fail" in prompt:
+            raise TimeoutError
+        return prompt.upper(), len(prompt), 2
+
+    rows = spark.createDataFrame([("a", "one"), ("b", "fail"), ("c", "two")], "qid string, prompt string")
+    got = {r.qid: (r.reply, r.total_tokens) for r in answering.asked(rows, chat, attempts=2, pause=0.0, backoff=0.0).collect()}
+    assert got == {"a": ("ONE", 5), "b": (None, 0), "c": ("TWO", 5)}
+
+
+def test_query_variants(spark):
+    rows = spark.createDataFrame([("q", "what 1,000", {"A": "x", "B": "百分之十"})], "qid string, question string, options map<string,string>")
+    got = [r.query for r in retrieval.query_variants(rows).orderBy("variant").collect()]
+    assert got == ["what 1,000", "what 1000", "what 1,000 x", "what 1000 x", "what 1,000 百分之十", "what 1000 10%"]
+
+
 def test_table_text():
     assert chunking.table_text([["a", None], ["", None], ["value one", "value two"]]) == "a | \nvalue one | value two"
     assert chunking.table_text([["a", "b"]]) == ""
