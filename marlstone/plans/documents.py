@@ -155,7 +155,45 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunked(docs, LATIN)
 
 
-@query("chunks")
+def _chunks_sql(size: int = 1000, overlap: int = 150, least: int = 180, most: int = 8, threshold: float = 0.08) -> str:
+    """Lines to sentence groups by windows, then one fold a document over its headings and groups."""
+    trim = lambda x: _TRIM.format(x=x)
+    mark = chunking._TABLE_MARK.replace("\n", "' || chr(10) || '")
+    return rf"""with recursive e as (select doc_id::varchar as doc_id, source as domain, list_filter(string_split(text, chr(10)), lambda x: not contains(x, ' | ')) as prose,
+  list_filter(string_split(text, chr(10)), lambda x: contains(x, ' | ')) as piped from documents),
+c as (select doc_id, string_split({trim(r"regexp_replace(regexp_replace(array_to_string(prose, chr(10)), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")}, chr(10)) as ls from e),
+l as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as li from (select doc_id, list_filter(list_transform(ls, lambda x: {trim('x')}), lambda x: x <> '') as ls from c)),
+h as (select *, length(line) <= 100 and regexp_matches(line, '{text.HEADING}') as heading from l),
+p as (select doc_id, li, line, list_filter(list_transform(regexp_extract_all(line, '[^.!?]+[.!?]?'), lambda x: {trim('x')}), lambda x: x <> '') as ss from h where not heading),
+u as (select doc_id, li, unnest(ss) as s, generate_subscripts(ss, 1) as si from (select doc_id, li, case when len(ss) > 0 then ss else [line] end as ss from p)),
+t as (select *, list_distinct(regexp_extract_all(s, '[\p{{L}}0-9%]+')) as ts, list_distinct(regexp_extract_all(s, '[0-9]+(?:\.[0-9]+)?%?')) as ns from u),
+w as (select *, lag(ts) over x as tb, lag(ns) over x as nb from t window x as (partition by doc_id, li order by si)),
+b as (select *, (tb is null or (case when len(ts) > 0 and len(tb) > 0 then len(list_intersect(ts, tb)) / sqrt(len(ts) * len(tb)) else 0 end < {threshold} and len(list_intersect(ns, nb)) = 0))::int as opens from w),
+r as (select *, sum(opens) over (partition by doc_id, li order by si) as run from b),
+q as (select *, (row_number() over (partition by doc_id, li, run order by si) - 1) // {most} as part from r),
+g as (select doc_id, li, run, part, false as heading, string_agg(s, ' ' order by si) as s from q group by all union all select doc_id, li, 0, 0, true, line from h where heading),
+i as (select doc_id, heading, s, row_number() over (partition by doc_id order by li, run, part) as k from g),
+f as (select doc_id, 0 as k, '' as section, '' as body, '' as out_section, '' as out from e
+  union all select f.doc_id, i.k, case when i.heading then i.s else f.section end,
+    case when i.heading then i.s || chr(10) when full_ then case when f.section <> '' then f.section || chr(10) else '' end || right(f.body, {overlap}) || i.s || chr(10) else f.body || i.s || chr(10) end,
+    f.section, case when i.heading or full_ then {trim('f.body')} else '' end
+  from (select f.*, i.heading as hd, i.s as txt, not i.heading and length(f.body) + length(i.s) + 1 > {size} and length({trim('f.body')}) >= {least} as full_ from f join i on i.doc_id = f.doc_id and i.k = f.k + 1) f
+  join i on i.doc_id = f.doc_id and i.k = f.k + 1),
+z as (select doc_id, max(k) as k from f group by doc_id),
+o as (select doc_id, k, out_section as section, out as body from f where out <> '' union all select f.doc_id, f.k + 1, section, {trim('body')} from f join z using (doc_id, k) where {trim('body')} <> ''),
+n as (select doc_id, row_number() over (partition by doc_id order by k) - 1 as chunk_id, section, body from o),
+m as (select doc_id, array_to_string(piped, chr(10)) as piped, piped as rows from e where len(piped) > 0),
+v as (select doc_id, unnest(rows) as line, generate_subscripts(rows, 1) as k from m where length(piped) > {size} * 1.5),
+y as (select doc_id, 0::bigint as k, 0 as part, '' as piece from v where k = 1
+  union all select y.doc_id, v.k, part + (length(piece) + length(line) + 1 > {size})::int, case when length(piece) + length(line) + 1 > {size} then '' else piece end || line || chr(10)
+  from y join v on v.doc_id = y.doc_id and v.k = y.k + 1),
+x as (select doc_id, part, {trim('arg_max(piece, k)')} as piece from y group by doc_id, part union all select doc_id, 0, piped from m where length(piped) <= {size} * 1.5),
+j as (select doc_id, piece, (select count(*) from n where n.doc_id = x.doc_id) + row_number() over (partition by doc_id order by part) - 1 as chunk_id from x where piece <> '')
+select n.doc_id, domain, chunk_id::int as chunk_id, body as text, false as is_table, section, case when section = '' then '{chunking._PREAMBLE}' else section end as region, 'prose' as chunk_type, length(body)::int as char_count from n join e using (doc_id)
+union all select j.doc_id, domain, chunk_id::int, '{mark}' || piece, true, 'table', chunk_id::varchar, 'table', (length(piece) + 5)::int from j join e using (doc_id)"""
+
+
+@query("chunks", _chunks_sql())
 def chunks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir)
 
