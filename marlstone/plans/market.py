@@ -271,7 +271,13 @@ def vendor_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded.select("symbol", "dt", "event_id", "price", "volume", F.size(F.filter("bids", lambda b: b["volume"] > 0)).alias("bid_levels"), F.round(F.get("bids", F.lit(0))["price"], 6).alias("best_bid"))
 
 
-@query("self_trained_types")
+@query(
+    "self_trained_types",
+    f"""with {TYPES_SQL.replace('window b as (partition by date)', 'window b as ()')}, cf as (select capital_type, count(*) as n from it where type_confidence >= (select quantile_cont(type_confidence, 0.5) from it) group by 1),
+gt as (select (select count(*) from it) as rows, sum(n) as sure, count(*) as kinds, min(n) as fewest from cf)
+select symbol, date, capital_type, type_confidence, false as trained, case when rows < 30 then 'fewer than 30 rows' when sure < 15 then 'fewer than 15 pseudo labels' when kinds < 2 then 'one class only'
+  when fewest < 5 then 'a class with fewer than 5 pseudo labels' else '' end as reason from it, gt""",
+)
 def self_trained_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, reason = selftrain.self_trained(settled(day_features(spark, sf_dir).withColumn("batch", F.lit("all"))), "batch")
     return rows.select("symbol", "date", "capital_type", "type_confidence", "trained", F.lit(reason).alias("reason"))

@@ -214,3 +214,90 @@ def test_clusters_of_batches_against_plain_code(spark):
             d[at[r.i], at[r.j]] = d[at[r.j], at[r.i]] = r.distance
         got = {frozenset(at[r.symbol] for r in labels if r.date == b and r.cluster == c) for c in {r.cluster for r in labels}} - {frozenset()}
         assert got == _plain_clusters(d.tolist())
+
+
+def test_pattern_clusters_query_against_plain_code(spark, sf):
+    from marlstone.plans import registry
+
+    got = registry.queries()["pattern_clusters"](spark, sf).toPandas()
+    pairs = registry.queries()["pair_distances"](spark, sf).toPandas()
+    assert len(got) == 150 and set(got["pattern_type"]) <= set(PATTERNS)
+    for day, rows in got.groupby("date"):
+        names = sorted(rows["symbol"])
+        d = np.zeros((len(names), len(names)))
+        for p in pairs[pairs["batch"] == day].itertuples():
+            i, j = names.index(p.i), names.index(p.j)
+            d[i, j] = d[j, i] = p.distance
+        assert {frozenset(names.index(x) for x in g["symbol"]) for _, g in rows.groupby("cluster")} == _plain_clusters(d.tolist()), day
+        assert all(g["pattern_type"].nunique() == 1 for _, g in rows.groupby("cluster"))
+
+
+def test_cluster_quality_query_against_plain_code(spark, sf):
+    from marlstone.plans import market
+
+    rows = features.robust_scaled(market._clustered(spark, sf), "date").select("date", "scaled", "cluster").toPandas()
+    got = market.cluster_quality(spark, sf).toPandas().set_index("date")
+    for day, some in rows.groupby("date"):
+        x, labels = np.stack(some["scaled"]), some["cluster"].to_numpy()
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        each = []
+        for i in range(len(x)):
+            own = [j for j in range(len(x)) if labels[j] == labels[i] and j != i]
+            a = d[i, own].mean() if own else 0.0
+            b = min(d[i, labels == k].mean() for k in set(labels) - {labels[i]})
+            each.append((b - a) / max(a, b) if own else 0.0)
+        assert got.loc[day, "silhouette"] == pytest.approx(np.mean(each), abs=6e-5)
+
+
+def test_market_run_query_joins_its_parts(spark, sf):
+    from marlstone.plans import registry
+
+    run = registry.queries()["market_run"](spark, sf).toPandas().set_index(["symbol", "date"])
+    types = registry.queries()["participant_types"](spark, sf).toPandas().set_index(["symbol", "date"])
+    phases = registry.queries()["market_phases"](spark, sf).toPandas().set_index(["symbol", "date"])
+    named = registry.queries()["pattern_clusters"](spark, sf).toPandas().set_index(["symbol", "date"])
+    intents = registry.queries()["intents"](spark, sf).toPandas().set_index(["symbol", "date"])
+    assert len(run) == 150
+    for key, r in run.iterrows():
+        assert (r["capital_type"], r["market_phase"], r["pattern_type"]) == (types.loc[key, "capital_type"], phases.loc[key, "market_phase"], named.loc[key, "pattern_type"])
+        prior = PATTERNS.get(r["pattern_type"], (None, None))[1]
+        said, sure = intents.loc[key, "capital_intention"], intents.loc[key, "intention_confidence"]
+        over = prior is not None and prior != said and sure < 0.55
+        assert r["intent_overridden"] == over and r["capital_intention"] == (prior if over else said)
+
+
+def test_self_training_against_plain_newton_steps(spark):
+    """The trained model is the minimum of the weighted multinomial loss with the stated ridge."""
+    days = features.derive(ticks.synthetic_days(spark, 80)).withColumn("b", F.lit(0)).drop("small_order_pct", "low_big_order", "oss_small_amount_pct")
+    rows, reason = selftrain.self_trained(days, "b")
+    assert not reason
+    ruled = selftrain.classify_type(days, "b")
+    names = [c for c in selftrain.MODEL_FEATURES if c in days.columns]
+    scaled = features.robust_scaled(ruled, "b", names).orderBy("symbol").toPandas()
+    x = np.hstack([np.stack(scaled["scaled"]), np.ones((len(scaled), 1))])
+    sure = scaled["type_confidence"] >= np.quantile(scaled["type_confidence"], 0.5)
+    kinds = [t for t in TYPES if t in set(scaled["capital_type"][sure])]
+    y = np.array([kinds.index(t) for t in scaled["capital_type"][sure]])
+    n = len(y)
+    weight = np.array([n / (len(kinds) * (y == k).sum()) for k in y])
+    xs, k, m = x[sure.to_numpy()], len(kinds), x.shape[1]
+    w, ridge = np.zeros((k, m)), np.ones(m) / n
+    ridge[-1] = 0
+    for _ in range(60):
+        z = xs @ w.T
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        g = ((p - np.eye(k)[y]) * weight[:, None]).T @ xs / weight.sum() + w * ridge
+        h = np.zeros((k * m, k * m))
+        for a in range(k):
+            for b in range(k):
+                h[a * m : a * m + m, b * m : b * m + m] = (xs * (weight * p[:, a] * ((a == b) - p[:, b]))[:, None]).T @ xs / weight.sum() + (np.diag(ridge) if a == b else 0)
+        step = np.linalg.lstsq(h, g.ravel(), rcond=None)[0].reshape(k, m)
+        w -= step
+        if np.abs(step).max() < 1e-10:
+            break
+    z = x @ w.T
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    got = rows.orderBy("symbol").toPandas()
+    assert np.allclose(got["type_confidence"], p.max(1), atol=2e-3) and list(got["capital_type"]) == [kinds[i] for i in p.argmax(1)]
