@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import LATIN
+from marlstone.functions.text import LATIN, STOP_TOKENS
 from marlstone.operators import answering, chunking, retrieval
 
 
@@ -242,3 +242,66 @@ def test_query_variants(spark):
 def test_table_text():
     assert chunking.table_text([["a", None], ["", None], ["value one", "value two"]]) == "a | \nvalue one | value two"
     assert chunking.table_text([["a", "b"]]) == ""
+
+
+def _plain_tokens(text):
+    import regex
+
+    text = regex.sub(r"(?<=[0-9])[,，](?=[0-9])", "", text)
+    text = regex.sub(r"(?<=[0-9])\s+(?=[0-9万亿元%])", "", text)
+    return text, [t for t in regex.findall(LATIN.token, text) if t not in STOP_TOKENS]
+
+def _plain_choice(parts, question, top_k=8, pool=20):
+    """A question's chunks by plain loops: BM25 of every variant, fusion, local order, diverse choices, coverage."""
+    options = [question["options"][k] for k in "ABCD"]
+    raw = [question["question"], *(f"{question['question']} {o}" for o in options)]
+    queries = [v for r in raw for v in dict.fromkeys([r, _plain_tokens(r)[0]])]
+    own = [dict(c, toks=_plain_tokens(c["text"])[1], plain=_plain_tokens(c["text"])[0]) for d in question["doc_ids"] for c in parts.get(d, [])]
+    n, mean = len(own), sum(len(c["toks"]) for c in own) / max(1, len(own))
+    df = {}
+    for c in own:
+        for t in set(c["toks"]):
+            df[t] = df.get(t, 0) + 1
+
+    def score(query, c):
+        total = 0.0
+        for t in set(_plain_tokens(query)[1]):
+            tf = c["toks"].count(t)
+            if tf:
+                total += math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.7 + 0.3 * len(c["toks"]) / max(1.0, mean)))
+        return round(total, 9)
+
+    numbers, terms = set(), set()
+    import regex
+
+    plain, toks = _plain_tokens(" ".join(options))
+    numbers = {x for x in regex.findall(r"\d[\d.%]*", plain) if len(x) >= 2}
+    terms = {t for t in toks if len(t) >= 2}
+    balanced = []
+    for d in question["doc_ids"]:
+        mine = [c for c in own if c["doc_id"] == d]
+        fused = {}
+        for q in queries:
+            for rank, c in enumerate(sorted(mine, key=lambda c: (-score(q, c), c["chunk_id"]))[:pool], 1):
+                fused[c["chunk_id"]] = fused.get(c["chunk_id"], 0.0) + 1 / (60 + rank)
+        best = sorted((c for c in mine if c["chunk_id"] in fused), key=lambda c: (-round(fused[c["chunk_id"]], 12), c["chunk_id"]))[:pool]
+        local = lambda c: 3.0 * sum(x in c["plain"] for x in numbers) + 0.5 * len(terms & set(c["toks"])) + (2.0 if c["is_table"] and question["domain"] == "financial_reports" else 0.0)
+        best = sorted(best, key=lambda c: -local(c))
+        items = [dict(c, terms=set(c["toks"]), f=fused[c["chunk_id"]]) for c in best]
+        balanced += _slow_diverse(items, "f", max(4, top_k // max(1, len(question["doc_ids"])) + 2), 2)
+    balanced = [dict(c, f=1.0 / (i + 1)) for i, c in enumerate(balanced)]
+    return [(c["doc_id"], c["chunk_id"]) for c in _slow_covered(_slow_diverse(balanced, "f", top_k, 1), balanced, "f", question["doc_ids"], top_k)]
+
+
+def test_balanced_retrieval_query_against_plain_code(spark, sf):
+    from marlstone.plans import documents, registry
+
+    asked = [r.asDict() for r in documents.questions(spark, sf).collect()]
+    parts = {}
+    for r in documents.chunks(spark, sf).orderBy("doc_id", "chunk_id").collect():
+        parts.setdefault(r.doc_id, []).append(r.asDict())
+    got = {}
+    for r in registry.queries()["balanced_retrieval"](spark, sf).orderBy("qid", "position").collect():
+        got.setdefault(r.qid, []).append((r.doc_id, r.chunk_id))
+    for q in asked:
+        assert got.get(q["qid"], []) == _plain_choice(parts, q), q["qid"]
