@@ -31,7 +31,7 @@ _NONE = np.iinfo(np.int64).max
 _WIDEST = 64
 #: Bytes of distinct words and ids that a worker keeps (with about 250 a word of overhead), and
 #: characters that it splits at once.
-_KEPT_BYTES, _OVERHEAD, _SLICE = 96 << 20, 250, 1_000_000
+_KEPT_BYTES, _OVERHEAD, _SLICE = 160 << 20, 250, 1_000_000
 
 
 def _byte_symbols() -> list[str]:
@@ -258,18 +258,38 @@ class WordBpe:
             while end < len(texts) and (end == at or chars < _SLICE):
                 chars += len(texts[end] or "")
                 end += 1
-            split = []
-            for text in texts[at:end]:
-                text = text or ""
-                if self.special_re is not None and "<|" in text:
-                    split.append([x if x in self.special_ids else self.words(x) for x in self.special_re.split(text)])
-                else:
-                    split.append([self.words(text)])
             self.forget()
-            self.learn(set().union(*(p for parts in split for p in parts if not isinstance(p, str))) - self.known.keys())
-            get = self.known.__getitem__
-            for parts in split:
-                out.append(b"".join([self.special_ids[p] if isinstance(p, str) else b"".join(map(get, p)) for p in parts]))
+            get, read, new = self.known.get, [], set()
+            for text in texts[at:end]:
+                parts = self.special_re.split(text) if text and self.special_re is not None and "<|" in text else [text or ""]
+                for x in parts:
+                    if x in self.special_ids:
+                        read.append(([self.special_ids[x]], ()))
+                        continue
+                    words = self.words(x)
+                    found = list(map(get, words))
+                    # Each word is looked up once; those that the table lacks are filled in below.
+                    lacking, i = [], -1
+                    try:
+                        while True:
+                            i = found.index(None, i + 1)
+                            lacking.append((i, words[i]))
+                    except ValueError:
+                        pass
+                    new.update(w for _, w in lacking)
+                    read.append((found, lacking))
+                read.append(None)
+            self.learn(new)
+            known, ids = self.known, []
+            for item in read:
+                if item is None:
+                    out.append(b"".join(ids))
+                    ids = []
+                    continue
+                found, lacking = item
+                for i, w in lacking:
+                    found[i] = known[w]
+                ids.append(b"".join(found))
             at = end
         return out
 
