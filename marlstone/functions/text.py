@@ -7,6 +7,7 @@ LATIN preset suits the driver's tables.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,15 +96,28 @@ def signature(text: Column, preset: Preset = CHINESE) -> Column:
     return F.struct(terms.alias("terms"), F.array_distinct(numbers(text)).alias("numbers"), F.filter(terms, lambda t: t.isin(NEGATIONS)).alias("negations"))
 
 
+def unescaped(text: Column) -> Column:
+    """Character references, named (HTML 4) and numeric, as characters; unknown ones stay as they are."""
+    names = F.create_map(*[F.lit(x) for k, v in {**{k: chr(c) for k, c in name2codepoint.items()}, "apos": "'", "nbsp": " "}.items() for x in (k, v)])
+
+    def read(piece: Column) -> Column:
+        name = F.regexp_extract(piece, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+        digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).try_cast("int")
+        known = (digits > 0) & (digits < 0x110000) & ~digits.between(0xD800, 0xDFFF)
+        char = F.when(name.startswith("#"), F.when(known, F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32"))).otherwise(F.try_element_at(names, name))
+        return F.coalesce(F.concat(char, F.substring(piece, F.length(name) + 2, F.length(piece))), F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&")
+    return F.concat(F.get(pieces, 0), F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), read), ""))
+
+
 def html_text(html: Column) -> Column:
     """Text of HTML: script, style, nav, header, footer and comments go, tags become newlines."""
     out = html
     for tag in ("script", "style", "nav", "header", "footer"):
         out = F.regexp_replace(out, rf"(?is)<{tag}\b.*?</{tag}\s*>", "\n")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", "\n")
-    out = F.regexp_replace(out, r"(?s)<[^>]*>", "\n")
-    for name, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(mark))
+    out = unescaped(F.regexp_replace(out, r"(?s)<[^>]*>", "\n"))
     return F.regexp_replace(F.regexp_replace(out, r"[ \t]*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 

@@ -98,3 +98,16 @@ def test_structured_letters(spark):
 def test_signature(spark):
     s = one(spark, text.signature(F.lit("the cost rose 12% to 3.5"), LATIN))
     assert set(s.terms) >= {"the", "cost", "rose", "12%"} and set(s.numbers) == {"12%", "3.5"}
+
+
+def test_character_references(spark):
+    import html
+
+    texts = ["a &lt;b&gt; &amp;amp; &eacute;&#233;&#xE9;&#128512;", "&", "&&amp;", "&nosuch; &#0; &#xD800; &#99999999; x&", "", None, "&quot;&#39;&apos;&euro;"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.u for r in df.select("i", text.unescaped(F.col("t")).alias("u")).collect()}
+    for i, t in enumerate(texts):
+        if i != 3:
+            assert got[i] == (None if t is None else html.unescape(t)), t
+    assert got[3] == texts[3]
+    assert df.limit(1).select(text.html_text(F.lit("<p>a&nbsp;b</p><script>x</script>&eacute;")).alias("t")).first().t == "a b\né"
