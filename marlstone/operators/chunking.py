@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -17,28 +18,35 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import BRIDGE_TERMS, CHINESE, HEADING, Preset
 
 CHUNK_SCHEMA = "doc_id string, domain string, chunk_id int, text string, is_table boolean, section string, region string, chunk_type string, char_count int"
+_HAN, _HAN_ONLY = re.compile("[一-鿿]"), re.compile("[一-鿿]+")
 _NUMBER = re.compile(r"\d+(?:\.\d+)?%?")
 _PREAMBLE, _TABLE_MARK = "__preamble__", "[表格]\n"
 
 
+_compiled = lru_cache(regex.compile)
+
+
 def sentence_list(text: str, preset: Preset = CHINESE) -> list[str]:
-    found = (s.strip() for s in regex.findall(preset.sentence, text))
+    found = (s.strip() for s in _compiled(preset.sentence).findall(text))
     return [s for s in found if s]
 
 
 def term_set(text: str, preset: Preset = CHINESE) -> set[str]:
     """Terms of a sentence; a Chinese run of over four characters also gives its bigrams."""
-    runs = regex.findall(preset.term, text)
-    pairs = {r[i : i + 2] for r in runs if len(r) > 4 and re.fullmatch("[一-鿿]+", r) for i in range(len(r) - 1)}
+    runs = _compiled(preset.term).findall(text)
+    if not _HAN.search(text):
+        return set(runs)
+    pairs = {r[i : i + 2] for r in runs if len(r) > 4 and _HAN_ONLY.fullmatch(r) for i in range(len(r) - 1)}
     return {*runs, *pairs}
 
 
 def bridge(left: str, right: str) -> float:
     """What ties two sentences beside shared terms: bridge terms in both, or a number in both."""
-    both = sum(t in left and t in right for t in BRIDGE_TERMS)
+    both = sum(t in left and t in right for t in BRIDGE_TERMS) if _HAN.search(left) else 0
     if both:
         return min(0.45, 0.22 * both)
-    return 0.12 if set(_NUMBER.findall(left)) & set(_NUMBER.findall(right)) else 0.0
+    numbers = _NUMBER.findall(left)
+    return 0.12 if numbers and not set(numbers).isdisjoint(_NUMBER.findall(right)) else 0.0
 
 
 def cohesion(left: set[str], right: set[str]) -> float:

@@ -95,14 +95,17 @@ def local_score(preset: Preset = CHINESE):
     return hits * 3.0 + shared * 0.5 + F.when(table, 2.0).otherwise(0.0)
 
 
-def candidates(chunks: DataFrame, questions: DataFrame, pool: int = 20, preset: Preset = CHINESE) -> DataFrame:
+def asked_of(chunks: DataFrame, questions: DataFrame, preset: Preset = CHINESE) -> DataFrame:
+    """The chunks of each question's documents, with their tokens: settled, as several steps read them."""
+    of = questions.select("qid", F.col("domain").alias("q_domain"), F.posexplode(F.array_distinct("doc_ids")).alias("doc_at", "doc_id"))
+    return settled(chunks.join(of, "doc_id").select("qid", "doc_at", "doc_id", "chunk_id", "text", "is_table", "section", "region", F.col("q_domain").alias("domain"), tokens(F.col("text"), preset).alias("toks")))
+
+
+def candidates(own: DataFrame, questions: DataFrame, pool: int = 20, preset: Preset = CHINESE) -> DataFrame:
     """A question's chunks worth choosing from: the fused top ``pool`` of each of its documents, re-ranked.
 
-    chunks: CHUNK_SCHEMA. questions: qid, domain, question, options, doc_ids.
+    own: as ``asked_of`` gives it. questions: qid, domain, question, options, doc_ids.
     """
-    of = questions.select("qid", F.col("domain").alias("q_domain"), F.posexplode("doc_ids").alias("doc_at", "doc_id"))
-    own = chunks.join(of, "doc_id").select("qid", "doc_at", "doc_id", "chunk_id", "text", "is_table", "section", "region", F.col("q_domain").alias("domain"), tokens(F.col("text"), preset).alias("toks"))
-    own = settled(own)
     variants = query_variants(questions)
     asked = variants.select("qid", "variant", tokens(F.col("query"), preset).alias("toks"))
     key = ["doc_at", "doc_id", "chunk_id"]
@@ -121,7 +124,7 @@ def candidates(chunks: DataFrame, questions: DataFrame, pool: int = 20, preset:
     full = pooled.join(own, ["qid", *key]).join(wanted, "qid").withColumn("plain", normal_numbers(F.col("text")))
     full = full.withColumn("local", local_score(preset))
     order = Window.partitionBy("qid", "doc_at").orderBy(F.desc("local"), "rank")
-    return full.withColumn("place", F.row_number().over(order)).select("qid", *key, "text", "is_table", "section", "region", "toks", "fused", "local", "place")
+    return full.withColumn("place", F.row_number().over(order)).select("qid", *key, "is_table", "region", F.array_distinct("toks").alias("terms"), "fused", "local", "place")
 
 
 def _overlap(a: set, b: set) -> float:
@@ -194,40 +197,48 @@ _CHOSEN = "position int, qid string, doc_id string, chunk_id int, text string, i
 def retrieve(chunks: DataFrame, questions: DataFrame, top_k: int = 8, pool: int = 20, preset: Preset = CHINESE, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(qid, position, doc_id, chunk_id, text, is_table, section, region, score) of each question.
 
-    A question's group holds at most ``pool`` candidates for each document that it names. ``rerank``
-    may order the balanced choice anew before the final one: it gets (qid, place, question, text)
-    of questions with more than ``top_k`` chunks, texts of 600 characters at most, and returns
-    (qid, place, rank); what it leaves out comes last.
+    A question's group holds at most ``pool`` candidates for each document that it names, without
+    their texts, which join the chosen ones. ``rerank`` may order the balanced choice anew before the
+    final one: it gets (qid, place, question, text) of questions with more than ``top_k`` chunks,
+    texts of 600 characters at most, and returns (qid, place, rank); what it leaves out comes last.
     """
-    found = candidates(chunks, questions, pool, preset).join(questions.select("qid", "doc_ids"), "qid")
-    names = ["qid", "doc_id", "chunk_id", "text", "is_table", "section", "region"]
+    own = asked_of(chunks, questions, preset)
+    found = candidates(own, questions, pool, preset).join(questions.select("qid", "doc_ids"), "qid")
+    names = ["qid", "doc_id", "chunk_id", "is_table", "region", "terms", "fused", "place"]
+    told = own.select("qid", "doc_id", "chunk_id", "text", "is_table", "section", "region")
+
+    def items_of(pdf: pd.DataFrame) -> list[dict]:
+        return [dict(zip(names, x[:-1]), terms=set(x[-1])) for x in zip(*(pdf[c] for c in names), pdf["terms"])]
 
     def rows_of(rows: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame([(i, *(x[c] for c in names), x["final"]) for i, x in enumerate(rows)], columns=["position", *names, "score"])
+        return pd.DataFrame([(i, x["qid"], x["doc_id"], x["chunk_id"], x["final"]) for i, x in enumerate(rows)], columns=["position", "qid", "doc_id", "chunk_id", "score"])
 
     if rerank is None:
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            items, doc_ids = [dict(r, terms=set(r["toks"])) for r in pdf.to_dict("records")], list(pdf["doc_ids"].iloc[0])
-            return rows_of(final(balanced(items, doc_ids, top_k), doc_ids, top_k))
+            doc_ids = list(pdf["doc_ids"].iloc[0])
+            return rows_of(final(balanced(items_of(pdf), doc_ids, top_k), doc_ids, top_k))
 
-        return found.groupBy("qid").applyInPandas(run, _CHOSEN)
+        chosen = found.select(*names, "doc_ids").groupBy("qid").applyInPandas(run, "position int, qid string, doc_id string, chunk_id int, score double")
+    else:
+        kinds = dict(found.dtypes)
 
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = balanced([dict(r, terms=set(r["toks"])) for r in pdf.to_dict("records")], list(pdf["doc_ids"].iloc[0]), top_k)
-        return pd.DataFrame([(i, *(x[c] for c in [*names, "toks", "doc_ids"])) for i, x in enumerate(items)], columns=["place", *names, "toks", "doc_ids"])
+        def first(pdf: pd.DataFrame) -> pd.DataFrame:
+            doc_ids = list(pdf["doc_ids"].iloc[0])
+            some = balanced(items_of(pdf), doc_ids, top_k)
+            return pd.DataFrame([(i, *(list(x[c]) if c == "terms" else x[c] for c in names[:-1]), doc_ids) for i, x in enumerate(some)], columns=["place", *names[:-1], "doc_ids"])
 
-    kinds = dict(found.dtypes)
-    some = settled(found.groupBy("qid").applyInPandas(first, "place int, " + ", ".join(f"{c} {kinds[c]}" for c in [*names, "toks", "doc_ids"])))
-    many = some.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") > top_k).select("qid")
-    order = rerank(some.join(many, "qid").join(questions.select("qid", "question"), "qid").select("qid", "place", "question", F.substring("text", 1, 600).alias("text")))
-    some = some.join(order.select("qid", "place", "rank"), ["qid", "place"], "left")
+        some = settled(found.select(*names, "doc_ids").groupBy("qid").applyInPandas(first, "place int, " + ", ".join(f"{c} {kinds[c]}" for c in [*names[:-1], "doc_ids"])))
+        many = some.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") > top_k).select("qid")
+        shown = some.join(many, "qid").join(questions.select("qid", "question"), "qid").join(told.select("qid", "doc_id", "chunk_id", "text"), ["qid", "doc_id", "chunk_id"])
+        order = rerank(shown.select("qid", "place", "question", F.substring("text", 1, 600).alias("text")))
+        some = some.join(order.select("qid", "place", "rank"), ["qid", "place"], "left")
 
-    def last(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = [dict(r, terms=set(r["toks"])) for r in pdf.sort_values(["rank", "place"], na_position="last").to_dict("records")]
-        return rows_of(final(items, list(pdf["doc_ids"].iloc[0]), top_k))
+        def last(pdf: pd.DataFrame) -> pd.DataFrame:
+            return rows_of(final(items_of(pdf.sort_values(["rank", "place"], na_position="last")), list(pdf["doc_ids"].iloc[0]), top_k))
 
-    return some.groupBy("qid").applyInPandas(last, _CHOSEN)
+        chosen = some.groupBy("qid").applyInPandas(last, "position int, qid string, doc_id string, chunk_id int, score double")
+    return chosen.join(told, ["qid", "doc_id", "chunk_id"]).select(*[c.split()[0] for c in _CHOSEN.split(", ")])
 
 
 def rerank_by_vectors(candidates_: DataFrame, vectors: DataFrame, query: str, key: str, limit: int) -> DataFrame:
