@@ -53,6 +53,21 @@ def discard(settled: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Settled tables of an operator's steps, deleted when its result no longer reads them."""
+
+    def __init__(self) -> None:
+        self._tables: list[DataFrame] = []
+
+    def settle(self, df: DataFrame, label: str) -> DataFrame:
+        self._tables.append(settle(df, label))
+        return self._tables[-1]
+
+    def clear(self) -> None:
+        while self._tables:
+            discard(self._tables.pop())
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without the columns whose names (case aside) an operator is about to write."""
     taken = {n.lower() for n in names}
