@@ -33,7 +33,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -305,7 +305,7 @@ def _grams(string: str) -> set[str]:
     return {s, *(s[i : i + 4] for i in range(len(s) - 3))}
 
 
-def _witnesses(toxic: list[set[str]], clean: list[set[str]]) -> tuple[list[str], list[str]]:
+def _witnesses(toxic: Collection[set[str]], clean: Collection[set[str]]) -> tuple[list[str], list[str]]:
     """Strings that tell toxic documents from clean ones, and strings of clean documents.
 
     A string itself or a four-symbol gram of it tells if it is in three or more toxic documents and its share of them is
@@ -316,7 +316,9 @@ def _witnesses(toxic: list[set[str]], clean: list[set[str]]) -> tuple[list[str],
     in_toxic = {g: a for g, a in in_toxic.items() if a >= 3}
     in_clean = Counter(g for d in clean for g in set().union(*map(_grams, d)) & in_toxic.keys())
     weight = {g: math.log((a + 0.5) / (len(toxic) + 1)) - math.log((in_clean[g] + 0.5) / (len(clean) + 1)) for g, a in in_toxic.items()}
-    harmless = set().union(*clean) if clean else set()
+    harmless: set[str] = set()
+    for d in clean:
+        harmless |= d
     found: Counter[str] = Counter()
     for d in toxic:
         told = [(max((weight.get(g, 0.0) * min(1.0, in_toxic.get(g, 0) / 8) for g in _grams(w)), default=0.0), w) for w in d if w not in harmless]
@@ -401,22 +403,37 @@ def _curve(worst: np.ndarray, y: np.ndarray, second: float = 0.1, slope: float =
     return -slope * float(low + 0.6 * (high - low)), slope, slope * second, 0.0
 
 
+class _Readings:
+    """The sets of strings of documents, made from numbers one at a time."""
+
+    def __init__(self, names: list[str], held: list[np.ndarray]):
+        self.names, self.held = names, held
+
+    def __len__(self) -> int:
+        return len(self.held)
+
+    def __iter__(self) -> Iterator[set[str]]:
+        return ({self.names[i] for i in some.tolist()} for some in self.held)
+
+
 class _Corpus:
     """Training documents as numbers: each word's string, and the windows of all sentences.
 
-    A word counts as its longest reading here; ``strings`` are all readings of each document.
+    A word counts as its longest reading here; ``held`` are the numbers of all readings of each document.
     """
 
-    def __init__(self, texts: list[str], number: dict[str, int], read: dict[str, tuple[str, ...]]):
-        flat, starts, ends, of, self.strings = [], [], [], [], []
+    def __init__(self, texts: list[str], number: dict[str, int], read: dict[str, tuple[int, ...]]):
+        flat, starts, ends, of, self.held = [], [], [], [], []
         at = 0
         for d, text in enumerate(texts):
             said, apart = sentences(text), set_apart(text.lower())
-            for t in {t for s in [*said, apart] for t in s}:
+            tokens = {t for s in [*said, apart] for t in s}
+            for t in tokens:
                 if t not in read:
-                    read[t] = tuple(r for r in readings(t) if len(r) <= WIDEST)
-            self.strings.append({r for s in [*said, apart] for t in s for r in read[t]})
-            some = [[number.setdefault(max(read[t], key=len), len(number)) for t in s if read[t]] for s in [*said, *([x] for x in apart)]]
+                    some = sorted((r for r in readings(t) if len(r) <= WIDEST), key=len, reverse=True)
+                    read[t] = tuple(number.setdefault(r, len(number)) for r in some)
+            self.held.append(np.array(sorted({r for t in tokens for r in read[t]}), np.int32))
+            some = [[read[t][0] for t in s if read[t]] for s in [*said, *([x] for x in apart)]]
             some = [s for s in some if s]
             if some:
                 a, b = windows(np.fromiter(map(len, some), np.int64, len(some)))
@@ -451,11 +468,12 @@ def train(examples: list[tuple[str, int]], landmarks: int = 480, negatives: int
         return machine
     rng = np.random.default_rng(seed)
     number: dict[str, int] = {}
-    read: dict[str, tuple[str, ...]] = {}
+    read: dict[str, tuple[int, ...]] = {}
     toxic, clean = (_Corpus([t for t, v in zip(texts, y) if v == label], number, read) for label in (1, 0))
     names = list(number)
-    bad, harmless = _witnesses(toxic.strings, clean.strings)
-    del read, toxic.strings, clean.strings
+    del read, number
+    bad, harmless = _witnesses(_Readings(names, toxic.held), _Readings(names, clean.held))
+    del toxic.held, clean.held
     if not bad or not harmless or not len(toxic) or not len(clean):
         machine.curve = _curve(machine.worst(texts), y, weights=weights)
         return machine
@@ -513,22 +531,27 @@ def _fitted(rows: list[list[str]], sign: np.ndarray, cost: np.ndarray, marks: li
     """Folded weights, bias, and the landmarks with their multipliers, from sentences as strings."""
     names = list({x for w in [*rows, *marks] for x in w})
     number = {x: i for i, x in enumerate(names)}
-    expansions = expanded(names)
+    expansions = [(c, w.astype(np.float32)) for c, w in expanded(names)]
     of = dict(zip(names, expansions))
     own = [_sentence(w, of) for w in marks]
-    kernel = _dense(own, own).astype(float)
+    kernel = np.hstack([_dense(own, own[a : a + 96]) for a in range(0, len(own), 96)]).astype(float)
     value, vector = np.linalg.eigh((kernel + kernel.T) / 2)
     half = vector * (1 / np.sqrt(np.maximum(value, 1e-6)))
-    # A sentence's kernel values are its strings' summed, so each string is compared once.
-    by_string = _dense(expansions, own)
-    flat = np.array([number[x] for w in rows for x in w])
+    # A sentence's kernel values are its strings' summed, so each string is compared once; landmarks
+    # are taken in blocks, so that few of these values are held at a time.
+    flat = np.array([number[x] for w in rows for x in w], np.int32)
     size = np.array([len(w) for w in rows])
     starts = np.concatenate([[0], np.cumsum(size)])
     features = np.ones((len(rows), len(marks) + 1), np.float32)
-    for a in range(0, len(rows), 2048):
-        b = min(a + 2048, len(rows))
-        summed = np.add.reduceat(by_string[flat[starts[a] : starts[b]]], starts[a:b] - starts[a], axis=0)
-        features[a:b, :-1] = (summed / np.sqrt(np.maximum(size[a:b], LEAST_WORDS))[:, None]) @ half
+    for first in range(0, len(marks), 96):
+        by_string = _dense(expansions, own[first : first + 96])
+        for a in range(0, len(rows), 4096):
+            b = min(a + 4096, len(rows))
+            summed = np.add.reduceat(by_string[flat[starts[a] : starts[b]]], starts[a:b] - starts[a], axis=0)
+            features[a:b, first : first + by_string.shape[1]] = summed / np.sqrt(np.maximum(size[a:b], LEAST_WORDS))[:, None]
+    del by_string
+    for a in range(0, len(rows), 4096):
+        features[a : a + 4096, :-1] = features[a : a + 4096, :-1] @ half
     w = _svm(features, sign, cost)
     alpha = half @ w[:-1]
     folded = np.zeros(_BASE**3)
