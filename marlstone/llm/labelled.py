@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import quoted
+from marlstone.llm.shared import quoted, release
 
 
 def fold(id_col: Column, folds: int) -> Column:
@@ -43,4 +43,6 @@ def weighted(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per
     if chosen.count() <= 100_000:
         chosen = F.broadcast(chosen)
     met = texts.join(chosen, texts["doc"] == chosen["id"]).groupBy("id", "y").agg(F.min("text").alias("text"))
-    return [(r["text"], r["y"]) for r in met.orderBy("id").toLocalIterator()], weights
+    examples = [(r["text"], r["y"]) for r in met.orderBy("id").toLocalIterator()]
+    release(docs.sparkSession)
+    return examples, weights

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 from collections.abc import Iterator
@@ -53,6 +54,17 @@ def discard(settled: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished steps have left behind.
+
+    Spark drops shuffle files, broadcasts and plans only when the driver's JVM has collected the
+    frames that they belonged to, and between many short steps that may not happen for long.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Settled tables of an operator's steps, deleted when its result no longer reads them."""
 
@@ -64,8 +76,11 @@ class Scratch:
         return self._tables[-1]
 
     def clear(self) -> None:
+        spark = self._tables[-1].sparkSession if self._tables else None
         while self._tables:
             discard(self._tables.pop())
+        if spark is not None:
+            release(spark)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import discard, quoted, settle, slices, with_fields, without
+from marlstone.llm.shared import discard, quoted, release, settle, slices, with_fields, without
 
 _LOWER = bytes(range(256)).lower()
 _SEED = 42
@@ -118,6 +118,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen or mark[0] == 0:
+            release(edges.sparkSession)
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before, seen = now, tuple(mark)
         now = settle(_small_star(_large_star(before)), "cc")
