@@ -34,15 +34,20 @@ def _gate(rows: int, by_class: dict[str, int], has_features: bool) -> str:
     return "" if has_features else "no model features"
 
 
-def self_trained(df: DataFrame, batch: str, least_sure: float = 0.5, iterations: int = 1000) -> tuple[DataFrame, str]:
-    """(df with type columns, reason): reason is empty if the model was used."""
+def gated(df: DataFrame, batch: str) -> tuple[DataFrame, dict[str, int], str]:
+    """(df with the rules' types, pseudo labels by class, reason): reason is empty if the gates let a model be trained."""
     ruled = classify_type(df, batch)
     pseudo = confident(ruled, batch)
     by_class = {r["capital_type"]: r["n"] for r in pseudo.groupBy("capital_type").agg(F.count("*").alias("n")).collect()}
-    names = [c for c in MODEL_FEATURES if c in df.columns]
-    reason = _gate(ruled.count(), by_class, bool(names))
+    return ruled, by_class, _gate(ruled.count(), by_class, any(c in df.columns for c in MODEL_FEATURES))
+
+
+def self_trained(df: DataFrame, batch: str, least_sure: float = 0.5, iterations: int = 1000) -> tuple[DataFrame, str]:
+    """(df with type columns, reason): reason is empty if the model was used."""
+    ruled, by_class, reason = gated(df, batch)
     if reason:
         return ruled.withColumn("trained", F.lit(False)), reason
+    names = [c for c in MODEL_FEATURES if c in df.columns]
     classes = [t for t in TYPES if t in by_class]
     label = F.array_position(F.array(*[F.lit(t) for t in classes]), F.col("capital_type")) - 1
     total = sum(by_class.values())

@@ -301,3 +301,20 @@ def test_self_training_against_plain_newton_steps(spark):
     p /= p.sum(1, keepdims=True)
     got = rows.orderBy("symbol").toPandas()
     assert np.allclose(got["type_confidence"], p.max(1), atol=2e-3) and list(got["capital_type"]) == [kinds[i] for i in p.argmax(1)]
+
+
+def test_self_trained_types_agree_with_their_sql_where_the_gates_pass(spark, tmp_path):
+    import duckdb
+
+    from marlstone.plans import registry
+
+    copies = "select * replace (event_id + i * 100000 as event_id, ts + to_days((30 * i)::int) as ts) from '/root/testdata/sf0.01/events.parquet', range(6) t(i)"
+    duckdb.sql(f"copy ({copies}) to '{tmp_path}/events.parquet' (format parquet)")
+    got = registry.queries()["self_trained_types"](spark, str(tmp_path)).toPandas()
+    duck = duckdb.connect()
+    duck.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    want = duck.sql(registry.oracle_sql()["self_trained_types"]).df()
+    assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want[list(got.columns)].values.tolist()))
+    assert set(got["reason"]) == {""}
+    trained = registry.queries()["model_types"](spark, str(tmp_path)).toPandas()
+    assert len(trained) == len(got) and trained["trained"].any()
