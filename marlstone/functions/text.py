@@ -73,8 +73,8 @@ def sentences(text: Column, preset: Preset = CHINESE) -> Column:
 
 def normal_numbers(text: Column) -> Column:
     """Thousands separators and blanks inside numbers go; a written percentage becomes ``N%``."""
-    out = F.regexp_replace(text, r"(?<=[0-9])[,，](?=[0-9])", "")
-    out = F.regexp_replace(out, r"(?<=[0-9])\s+(?=[0-9万亿元%])", "")
+    out = F.regexp_replace(text, r"[,，](?<=[0-9].)(?=[0-9])", "")
+    out = F.regexp_replace(out, r"\s(?<=[0-9]\s)\s*(?=[0-9万亿元%])", "")
     for word, digit in NUMERALS.items():
         out = F.replace(out, F.lit(f"百分之{word}"), F.lit(f"{digit}%"))
     return out
@@ -82,7 +82,12 @@ def normal_numbers(text: Column) -> Column:
 
 def tokens(text: Column, preset: Preset = CHINESE) -> Column:
     """Tokens in order, repeats kept, stop tokens gone, numbers normalised first."""
-    found = F.regexp_extract_all(normal_numbers(text), F.lit(f"({preset.token})"), F.lit(1))
+    return plain_tokens(normal_numbers(text), preset)
+
+
+def plain_tokens(plain: Column, preset: Preset = CHINESE) -> Column:
+    """Tokens of a text whose numbers are normal already."""
+    found = F.regexp_extract_all(plain, F.lit(f"({preset.token})"), F.lit(1))
     return F.filter(found, lambda t: ~t.isin(STOP_TOKENS))
 
 

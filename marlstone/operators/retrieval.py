@@ -3,25 +3,34 @@
 Ranking is relational. A chunk keeps only the tokens that some query asks and is shuffled once, thin,
 by its key; terms meet the queries' weights, which are counted and broadcast, so no common term
 is a join key, and a chunk's scores are summed where it lies. Top-k uses ranks that Spark limits before
-its shuffle. Only the greedy selection of a question's few candidates runs as a grouped map.
+its shuffle.
+
+``retrieve`` ranks, re-ranks and chooses inside a document in one call for each document that a question
+names, and only the few chunks chosen there meet in the question's group for the last choice. Its tables
+are compressed columns, written for one step and deleted after it.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.operators.settling import settled
-from marlstone.functions.text import CHINESE, OPTION_NUMBER, Preset, normal_numbers, tokens
+from marlstone.operators.settling import Tables, settled, written
+from marlstone.functions.text import CHINESE, OPTION_NUMBER, Preset, normal_numbers, plain_tokens, tokens
 
 K1, B, RRF_K = 1.2, 0.3, 60
 REDUNDANCY, TABLE_BONUS = 0.35, 0.08
 #: Terms that are written into an expression, and weights (about 60 bytes each) that are broadcast, at most.
 _MOST_TERMS, _MOST_WEIGHTS = 20_000, 500_000
+#: Questions, and chosen chunks (at most about 1 KB each), that are broadcast, at most.
+_MOST_ROWS = 50_000
+#: A run of an option number's characters: such a number stands in a text if it does in one of these.
+_NUMBER_RUN = r"[\d.%]+"
 
 
 def corpus_statistics(chunks: DataFrame, scope: str, toks: str = "toks") -> DataFrame:
@@ -47,7 +56,11 @@ def bm25(chunks: DataFrame, queries: DataFrame, scope: str, key: list[str], quer
     """
     asked = settled(queries.select(scope, *query, F.explode(F.array_distinct(toks)).alias("term")))
     held = _kept(toks, asked.select("term").distinct())
-    rows = settled(chunks.select(scope, *key, F.size(toks).alias("dl"), held.alias("held")))
+    return _scored(written(chunks.select(scope, *key, F.size(toks).alias("dl"), held.alias("held"))), asked, scope, key, query, key)
+
+
+def _scored(rows: DataFrame, asked: DataFrame, scope: str, key: list[str], query: list[str], together: list[str]) -> DataFrame:
+    """bm25 of rows (scope, key, dl, held) and asked (scope, query, term), in partitions by scope and ``together``."""
     df = rows.select(scope, F.explode(F.array_distinct("held")).alias("term")).groupBy(scope, "term").agg(F.count("*").alias("df"))
     stats = rows.groupBy(scope).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -55,7 +68,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, scope: str, key: list[str], quer
     if weights.count() <= _MOST_WEIGHTS:
         weights = F.broadcast(weights)
     # Terms, parts and sums of a chunk stay in its partition: every grouping below contains its key.
-    near = rows.repartition(scope, *key).select(scope, *key, "dl", F.explode("held").alias("term"))
+    near = rows.repartition(scope, *together).select(scope, *key, "dl", F.explode("held").alias("term"))
     tf = near.groupBy(scope, *key, "dl", "term").agg(F.count("*").alias("tf"))
     length = 1 - B + B * F.col("dl") / F.greatest(F.lit(1.0), F.col("avgdl"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
@@ -87,44 +100,35 @@ def query_variants(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.posexplode(both).alias("variant", "query"))
 
 
-def local_score(preset: Preset = CHINESE):
-    """+3 for each option number in the text, +0.5 for each shared term, +2 for a table where they matter."""
-    hits = F.size(F.filter("option_numbers", lambda n: F.col("plain").contains(n)))
-    shared = F.size(F.array_intersect("option_terms", "toks"))
-    table = F.col("is_table") & F.col("domain").isin("financial_reports", "insurance")
-    return hits * 3.0 + shared * 0.5 + F.when(table, 2.0).otherwise(0.0)
+def _few(df: DataFrame) -> DataFrame:
+    """df, for a broadcast where it is small enough."""
+    return F.broadcast(df) if df.count() <= _MOST_ROWS else df
 
 
-def asked_of(chunks: DataFrame, questions: DataFrame, preset: Preset = CHINESE) -> DataFrame:
-    """The chunks of each question's documents, with their tokens: settled, as several steps read them."""
-    of = questions.select("qid", F.col("domain").alias("q_domain"), F.posexplode(F.array_distinct("doc_ids")).alias("doc_at", "doc_id"))
-    return settled(chunks.join(of, "doc_id").select("qid", "doc_at", "doc_id", "chunk_id", "text", "is_table", "section", "region", F.col("q_domain").alias("domain"), tokens(F.col("text"), preset).alias("toks")))
+def local_score(chunk: dict, wanted: dict) -> float:
+    """+3 for each option number in the text, +0.5 for each shared term, +2 for a table where they matter."""
+    hits = sum(any(n in run for run in chunk["runs"]) for n in wanted["option_numbers"])
+    shared = sum(t in chunk["terms"] for t in wanted["option_terms"])
+    table = chunk["is_table"] and wanted["domain"] in ("financial_reports", "insurance")
+    return hits * 3.0 + shared * 0.5 + (2.0 if table else 0.0)
 
 
-def candidates(own: DataFrame, questions: DataFrame, pool: int = 20, preset: Preset = CHINESE) -> DataFrame:
-    """A question's chunks worth choosing from: the fused top ``pool`` of each of its documents, re-ranked.
+def candidates(chunks: list[dict], scores: list[dict], wanted: dict, pool: int = 20) -> list[dict]:
+    """A document's chunks worth choosing from, best first: the fused top ``pool``, re-ranked.
 
-    own: as ``asked_of`` gives it. questions: qid, domain, question, options, doc_ids.
+    chunks: chunk_id, terms, runs, is_table. scores: chunk_id, variant, score of chunks that share a term with
+    a variant; the others score 0 and still rank, after those. wanted: variants (their number), domain,
+    option_numbers, option_terms.
     """
-    variants = query_variants(questions)
-    asked = variants.select("qid", "variant", tokens(F.col("query"), preset).alias("toks"))
-    key = ["doc_at", "doc_id", "chunk_id"]
-    scores = bm25(own.select("qid", *key, "toks"), asked, "qid", key, ["variant"])
-    # Chunks without a shared term score 0 and still rank, after those that score.
-    every = own.select("qid", *key).join(variants.select("qid", "variant"), "qid")
-    scores = every.join(scores, ["qid", *key, "variant"], "left").select("qid", *key, "variant", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
-    lists = ranked(scores, ["qid", "doc_at", "variant"], [F.desc("score"), "chunk_id"], pool)
-    pooled = ranked(fused(lists, ["qid", *key]), ["qid", "doc_at"], [F.desc(F.round("fused", 12)), "chunk_id"], pool)
-    options = normal_numbers(F.array_join(F.map_values("options"), " "))
-    wanted = questions.select(
-        "qid",
-        F.array_distinct(F.filter(F.regexp_extract_all(options, F.lit(f"({OPTION_NUMBER})"), F.lit(1)), lambda n: F.length(n) >= 2)).alias("option_numbers"),
-        F.array_distinct(F.filter(tokens(options, preset), lambda t: F.length(t) >= 2)).alias("option_terms"),
-    )
-    full = pooled.join(own, ["qid", *key]).join(wanted, "qid").withColumn("plain", normal_numbers(F.col("text")))
-    full = full.withColumn("local", local_score(preset))
-    order = Window.partitionBy("qid", "doc_at").orderBy(F.desc("local"), "rank")
-    return full.withColumn("place", F.row_number().over(order)).select("qid", *key, "is_table", "region", F.array_distinct("toks").alias("terms"), "fused", "local", "place")
+    by = {(s["variant"], s["chunk_id"]): s["score"] for s in scores}
+    ids, fused_ = sorted({c["chunk_id"] for c in chunks}), Counter()
+    for v in range(wanted["variants"]):
+        for rank, c in enumerate(sorted(ids, key=lambda c: (-by.get((v, c), 0.0), c))[:pool], 1):
+            fused_[c] += 1 / (RRF_K + rank)
+    pooled = sorted(fused_, key=lambda c: (-round(fused_[c], 12), c))[:pool]
+    rank = {c: i for i, c in enumerate(pooled)}
+    some = [dict(c, fused=fused_[c["chunk_id"]], local=local_score(c, wanted)) for c in chunks if c["chunk_id"] in rank]
+    return sorted(some, key=lambda x: (-x["local"], rank[x["chunk_id"]]))
 
 
 def _overlap(a: set, b: set) -> float:
@@ -176,13 +180,9 @@ def covered(chosen: list[dict], items: list[dict], score: str, doc_ids: list[str
     return out[:limit]
 
 
-def balanced(items: list[dict], doc_ids: list[str], top_k: int) -> list[dict]:
-    """A diverse choice inside each document, documents in order."""
-    quota = max(4, top_k // max(1, len(doc_ids)) + 2)
-    out: list[dict] = []
-    for doc in dict.fromkeys(doc_ids):
-        out += diverse(sorted((x for x in items if x["doc_id"] == doc), key=lambda x: x["place"]), "fused", quota, 2)
-    return out
+def inside(items: list[dict], n_docs: int, top_k: int) -> list[dict]:
+    """A diverse choice inside one of a question's documents, items in order of preference."""
+    return diverse(items, "fused", max(4, top_k // max(1, n_docs) + 2), 2)
 
 
 def final(some: list[dict], doc_ids: list[str], top_k: int) -> list[dict]:
@@ -194,51 +194,87 @@ def final(some: list[dict], doc_ids: list[str], top_k: int) -> list[dict]:
 _CHOSEN = "position int, qid string, doc_id string, chunk_id int, text string, is_table boolean, section string, region string, score double"
 
 
-def retrieve(chunks: DataFrame, questions: DataFrame, top_k: int = 8, pool: int = 20, preset: Preset = CHINESE, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(qid, position, doc_id, chunk_id, text, is_table, section, region, score) of each question.
-
-    A question's group holds at most ``pool`` candidates for each document that it names, without
-    their texts, which join the chosen ones. ``rerank`` may order the balanced choice anew before the
-    final one: it gets (qid, place, question, text) of questions with more than ``top_k`` chunks,
-    texts of 600 characters at most, and returns (qid, place, rank); what it leaves out comes last.
-    """
-    own = asked_of(chunks, questions, preset)
-    found = candidates(own, questions, pool, preset).join(questions.select("qid", "doc_ids"), "qid")
-    names = ["qid", "doc_id", "chunk_id", "is_table", "region", "terms", "fused", "place"]
-    told = own.select("qid", "doc_id", "chunk_id", "text", "is_table", "section", "region")
+_SOME = "qid string, doc_at int, at int, doc_id string, chunk_id int, is_table boolean, region string, terms string"
 
-    def items_of(pdf: pd.DataFrame) -> list[dict]:
-        return [dict(zip(names, x[:-1]), terms=set(x[-1])) for x in zip(*(pdf[c] for c in names), pdf["terms"])]
 
-    def rows_of(rows: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame([(i, x["qid"], x["doc_id"], x["chunk_id"], x["final"]) for i, x in enumerate(rows)], columns=["position", "qid", "doc_id", "chunk_id", "score"])
+def _documents(chunks: DataFrame, questions: DataFrame, pool: int, preset: Preset, tables: Tables) -> DataFrame:
+    """One row for each document that a question names: its chunks, without texts, their scores, and what the question wants."""
+    of = questions.select("qid", F.size("doc_ids").alias("n_docs"), F.posexplode(F.array_distinct("doc_ids")).alias("doc_at", "doc_id"))
+    variants = query_variants(questions)
+    asked = settled(variants.select("qid", "variant", F.explode(F.array_distinct(tokens(F.col("query"), preset))).alias("term")))
+    told = chunks.select("doc_id", "chunk_id", "is_table", "region", normal_numbers(F.col("text")).alias("plain"))
+    told = told.select("doc_id", "chunk_id", "is_table", "region", plain_tokens(F.col("plain"), preset).alias("toks"), F.regexp_extract_all("plain", F.lit(_NUMBER_RUN), F.lit(0)).alias("runs"))
+    held = _kept("toks", asked.select("term").distinct())
+    terms = F.array_join(F.array_distinct("toks"), "\n").alias("terms")
+    told = tables.write(told.select("doc_id", "chunk_id", "is_table", "region", F.size("toks").alias("dl"), held.alias("held"), terms, F.array_distinct("runs").alias("runs")))
+    # The names come before the tokens' join, so only held tokens are shuffled for scores.
+    doc = ["doc_at", "doc_id"]
+    rows = tables.write(told.select("doc_id", "chunk_id", "dl", "held").join(of.hint("merge"), "doc_id").select("qid", *doc, "chunk_id", "dl", "held"))
+    scores = _scored(rows, asked, "qid", [*doc, "chunk_id"], ["variant"], doc)
+    scores = tables.write(scores.groupBy("qid", *doc).agg(F.collect_list(F.struct("chunk_id", "variant", F.round("score", 9).alias("score"))).alias("scores")))
+    options = normal_numbers(F.array_join(F.map_values("options"), " "))
+    wanted = questions.select(
+        "qid",
+        "domain",
+        F.array_distinct(F.filter(F.regexp_extract_all(options, F.lit(f"({OPTION_NUMBER})"), F.lit(1)), lambda n: F.length(n) >= 2)).alias("option_numbers"),
+        F.array_distinct(F.filter(tokens(options, preset), lambda t: F.length(t) >= 2)).alias("option_terms"),
+    ).join(variants.groupBy("qid").agg(F.count("*").cast("int").alias("variants")), "qid")
+    whole = told.groupBy("doc_id").agg(F.collect_list(F.struct("chunk_id", "is_table", "region", "terms", "runs")).alias("chunks"))
+    return of.hint("merge").join(scores, ["qid", *doc], "left").join(whole.hint("merge"), "doc_id").join(_few(settled(wanted)), "qid")
 
-    if rerank is None:
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            doc_ids = list(pdf["doc_ids"].iloc[0])
-            return rows_of(final(balanced(items_of(pdf), doc_ids, top_k), doc_ids, top_k))
+def _chosen_inside(documents: DataFrame, top_k: int, pool: int) -> DataFrame:
+    """(qid, doc_at, at, doc_id, chunk_id, is_table, region, terms): the choice inside each document, in order."""
+    kind = pa.schema([("qid", pa.string()), ("doc_at", pa.int32()), ("at", pa.int32()), ("doc_id", pa.string()), ("chunk_id", pa.int32()), ("is_table", pa.bool_()), ("region", pa.string()), ("terms", pa.string())])
 
-        chosen = found.select(*names, "doc_ids").groupBy("qid").applyInPandas(run, "position int, qid string, doc_id string, chunk_id int, score double")
-    else:
-        kinds = dict(found.dtypes)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                rows = []
+                for d in batch.slice(start, 200).to_pylist():
+                    chunks = [dict(c, doc_id=d["doc_id"], said=c["terms"], terms=set(filter(None, (c["terms"] or "").split("\n"))), runs=c["runs"] or []) for c in d["chunks"]]
+                    wanted = {"variants": d["variants"], "domain": d["domain"], "option_numbers": d["option_numbers"] or [], "option_terms": d["option_terms"] or []}
+                    some = inside(candidates(chunks, d["scores"] or [], wanted, pool), d["n_docs"], top_k)
+                    rows += [{"qid": d["qid"], "doc_at": d["doc_at"], "at": i, "doc_id": x["doc_id"], "chunk_id": x["chunk_id"], "is_table": x["is_table"], "region": x["region"], "terms": x["said"]} for i, x in enumerate(some)]
+                yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-        def first(pdf: pd.DataFrame) -> pd.DataFrame:
-            doc_ids = list(pdf["doc_ids"].iloc[0])
-            some = balanced(items_of(pdf), doc_ids, top_k)
-            return pd.DataFrame([(i, *(list(x[c]) if c == "terms" else x[c] for c in names[:-1]), doc_ids) for i, x in enumerate(some)], columns=["place", *names[:-1], "doc_ids"])
+    return documents.mapInArrow(run, _SOME)
 
-        some = settled(found.select(*names, "doc_ids").groupBy("qid").applyInPandas(first, "place int, " + ", ".join(f"{c} {kinds[c]}" for c in [*names[:-1], "doc_ids"])))
-        many = some.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") > top_k).select("qid")
-        shown = some.join(many, "qid").join(questions.select("qid", "question"), "qid").join(told.select("qid", "doc_id", "chunk_id", "text"), ["qid", "doc_id", "chunk_id"])
-        order = rerank(shown.select("qid", "place", "question", F.substring("text", 1, 600).alias("text")))
-        some = some.join(order.select("qid", "place", "rank"), ["qid", "place"], "left")
 
-        def last(pdf: pd.DataFrame) -> pd.DataFrame:
-            return rows_of(final(items_of(pdf.sort_values(["rank", "place"], na_position="last")), list(pdf["doc_ids"].iloc[0]), top_k))
+def retrieve(chunks: DataFrame, questions: DataFrame, top_k: int = 8, pool: int = 20, preset: Preset = CHINESE, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(qid, position, doc_id, chunk_id, text, is_table, section, region, score) of each question.
 
-        chosen = some.groupBy("qid").applyInPandas(last, "position int, qid string, doc_id string, chunk_id int, score double")
-    return chosen.join(told, ["qid", "doc_id", "chunk_id"]).select(*[c.split()[0] for c in _CHOSEN.split(", ")])
+    A document's candidates are at most ``pool`` of its chunks; a question's group holds what was chosen
+    inside each of its documents (four chunks, or more for questions of few documents), without
+    texts, which join the chosen ones. Chunks are read twice, so they should be a stored table.
+    ``rerank`` may order the balanced choice anew before the
+    final one: it gets (qid, place, question, text) of questions with more than ``top_k`` chunks,
+    texts of 600 characters at most, and returns (qid, place, rank); what it leaves out comes last.
+    """
+    tables = Tables()
+    some = tables.write(_chosen_inside(_documents(chunks, questions, pool, preset, tables), top_k, pool))
+    tables.clear(but=some)
+    order = ["doc_at", "at"]
+    if rerank is not None:
+        some = some.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(*order)) - 1)
+        many = some.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") > top_k).select("qid")
+        shown = some.join(many, "qid").join(questions.select("qid", "question"), "qid").join(chunks.select("doc_id", "chunk_id", "text"), ["doc_id", "chunk_id"])
+        ranks = rerank(shown.select("qid", "place", "question", F.substring("text", 1, 600).alias("text")))
+        some, order = some.join(ranks.select("qid", "place", "rank"), ["qid", "place"], "left"), ["rank", "place"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        doc_ids = list(pdf.sort_values("doc_at")["doc_id"].unique())
+        pdf = pdf.sort_values(order, na_position="last")
+        names = ["qid", "doc_id", "chunk_id", "is_table", "region"]
+        items = [dict(zip(names, x[:-1]), terms=set(filter(None, (x[-1] or "").split("\n")))) for x in zip(*(pdf[c] for c in names), pdf["terms"])]
+        rows = [(i, x["qid"], x["doc_id"], x["chunk_id"], x["final"]) for i, x in enumerate(final(items, doc_ids, top_k))]
+        return pd.DataFrame(rows, columns=["position", "qid", "doc_id", "chunk_id", "score"])
+
+    chosen = settled(some.groupBy("qid").applyInPandas(run, "position int, qid string, doc_id string, chunk_id int, score double"))
+    tables.clear()
+    told = chunks.select("doc_id", "chunk_id", "text", "is_table", "section", "region")
+    rows = told.join(_few(chosen), ["doc_id", "chunk_id"]).select(*[c.split()[0] for c in _CHOSEN.split(", ")])
+    return rows.repartition("qid").sortWithinPartitions("qid", "position")
 
 
 def rerank_by_vectors(candidates_: DataFrame, vectors: DataFrame, query: str, key: str, limit: int) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +32,37 @@ def settled(df: DataFrame) -> DataFrame:
     """df from a reliable checkpoint."""
     prepare(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df from compressed columns in the shared folder, for frames too large for a checkpoint's plain rows."""
+    prepare(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.written_at = path
+    return found
+
+
+class Tables:
+    """Written frames of an operator's steps, deleted when nothing reads them any more."""
+
+    def __init__(self) -> None:
+        self._frames: list[DataFrame] = []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self._frames.append(written(df))
+        return self._frames[-1]
+
+    def clear(self, but: DataFrame | None = None) -> None:
+        """Delete them, and let Spark drop the shuffles of finished steps: it waits for the driver's collector."""
+        for df in self._frames:
+            if df is not but:
+                context = df.sparkSession.sparkContext
+                path = context._jvm.org.apache.hadoop.fs.Path(df.written_at)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        if self._frames:
+            context = self._frames[0].sparkSession.sparkContext
+            gc.collect()
+            context._jvm.System.gc()
+        self._frames = [df for df in self._frames if df is but]

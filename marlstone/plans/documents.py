@@ -9,6 +9,7 @@ from marlstone.functions import sequences, text
 from marlstone.functions.numeric import minute_of_day, number, plain_date
 from marlstone.functions.text import LATIN
 from marlstone.operators import answering, chunking, daily, evaluation, retrieval, submission
+from marlstone.operators.settling import written
 from marlstone.plans.fixtures import settled, table
 from marlstone.plans.registry import query
 from marlstone.sources import sinks, ticks
@@ -199,8 +200,8 @@ def chunks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    asked = questions(spark, sf_dir)
-    parts = settled(chunks(spark, sf_dir))
+    asked = written(questions(spark, sf_dir))
+    parts = written(chunks(spark, sf_dir))
     return asked, parts, settled(retrieval.retrieve(parts, asked, 8, 20, LATIN))
 
 

@@ -305,3 +305,18 @@ def test_balanced_retrieval_query_against_plain_code(spark, sf):
         got.setdefault(r.qid, []).append((r.doc_id, r.chunk_id))
     for q in asked:
         assert got.get(q["qid"], []) == _plain_choice(parts, q), q["qid"]
+
+
+def test_retrieve_doesnt_carry_a_questions_documents_with_each_chunk(spark):
+    ids = [f"document-{d}" for d in range(1500)]
+    chunks = spark.createDataFrame([(d, "research", 0, f"term{i % 7} word{i} more words", False, "", "r", "prose", 1) for i, d in enumerate(ids)], chunking.CHUNK_SCHEMA)
+    asked = spark.createDataFrame([("q", "research", "term1 term2", {"A": "term3"}, "multi", ids)], "qid string, domain string, question string, options map<string,string>, answer_format string, doc_ids array<string>")
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled() -> int:
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = shuffled()
+    assert retrieval.retrieve(chunks, asked, 8, 20, LATIN).count() == 8
+    assert shuffled() - before < 500 * len(ids)
