@@ -29,7 +29,7 @@ def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8): that of the least id."""
+    """One document of each group of near copies, that of the least id: candidates by SimHash and by minimum hashes, links at Jaccard 0.8 (five-word shingles)."""
     return neardup.deduplicate(docs)
 
 

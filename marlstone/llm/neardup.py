@@ -1,4 +1,8 @@
-"""Near-dedup of whole texts by Jaccard similarity of five-word shingle sets.
+"""Near-dedup of whole texts: SimHash, then Jaccard similarity of five-word shingle sets.
+
+First every text goes through ``simhash.near_duplicates``, on five-word shingles, and the members of a
+component are compared with one of them. Three bits of 64 find the closest copies only, so minimum hashes
+gather the other candidates; open pairs are those that neither has linked.
 
 Shingles: words as in ``simhash`` (A-Z lower-cased, ASCII white space), five to a shingle, hashed by
 XXH64; a text of fewer words is one shingle, a blank or null one has none. Texts of one set collapse
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.shared import Scratch, quoted, settle, slices, with_fields
-from marlstone.llm.simhash import components
+from marlstone.llm.simhash import components, near_duplicates
 
 _LOWER = bytes(range(256)).lower()
 _SEED = 42
@@ -141,6 +145,18 @@ def _open_pairs(ordered: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _printed(rows: DataFrame, marks: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b), a < b, of marks by SimHash: the marks of each of its components, with the least one.
+
+    rows: uid, text. marks: uid, mark.
+    """
+    found = near_duplicates(rows, "uid", "text", SHINGLE).select("uid", "component_id")
+    met = scratch.settle(found.join(marks.hint("merge"), "uid").select("component_id", "mark").distinct(), "near-prints")
+    least = met.groupBy("component_id").agg(F.min("mark").alias("a"))
+    tied = met.join(least.hint("merge"), "component_id").where("a <> mark").select("a", F.col("mark").alias("b"))
+    return scratch.settle(tied, "near-printed")
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of near copies left: the row of its least id, nulls last."""
     inside = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*[quoted(c) for c in docs.columns]).alias("row"))
@@ -149,6 +165,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.col("row").getField(text_col).cast("string").alias("text")
     table = scratch.settle(_sketched(rows.select("uid", F.col("row").getField(id_col).alias("id"), text)), "near-sketches")
     best = F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "uid")).alias("best")
+    printed = _printed(rows.select("uid", text), table.select("uid", "mark"), scratch)
     classes = settle(table.groupBy("mark").agg(best, F.min("n").alias("n"), F.first("bands").alias("bands")), "near-classes")
 
     filed = classes.select("mark", "n", F.explode("bands").alias("bucket"))
@@ -156,12 +173,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     filed = scratch.settle(filed.join(sizes.hint("merge"), "bucket"), "near-buckets")
     central = scratch.settle(filed.groupBy("mark").agg(F.sum("size").alias("central")), "near-central")
     filed = scratch.settle(filed.join(central.hint("merge"), "mark"), "near-filed")
-    texts = scratch.settle(rows.select("uid", text).join(central.join(classes, "mark").select("mark", F.col("best.uid").alias("uid")), "uid").select("mark", "text"), "near-texts")
+    compared = central.select("mark").unionAll(printed.select(F.explode(F.array("a", "b")))).distinct()
+    texts = scratch.settle(rows.select("uid", text).join(compared.join(classes, "mark").select("mark", F.col("best.uid").alias("uid")), "uid").select("mark", "text"), "near-texts")
 
     head = F.struct("mark", "n")
     heads = scratch.settle(filed.groupBy("bucket").agg(F.array_distinct(F.array(F.max_by(head, F.struct("central", "mark")), F.min_by(head, F.xxhash64(F.lit(0), "mark")))).alias("heads")), "near-heads")
     stars = filed.join(heads.hint("merge"), "bucket").select("mark", "n", F.explode("heads").alias("head")).where((F.col("mark") != F.col("head.mark")) & _long_enough("n", "head.n"))
-    stars = scratch.settle(stars.select(F.least("mark", "head.mark").alias("a"), F.greatest("mark", "head.mark").alias("b")).distinct(), "near-pairs")
+    stars = scratch.settle(stars.select(F.least("mark", "head.mark").alias("a"), F.greatest("mark", "head.mark").alias("b")).unionAll(printed).distinct(), "near-pairs")
     links = scratch.settle(_verified(stars, texts), "near-links")
 
     # What is left open: pairs of different components in one bucket.

@@ -37,3 +37,14 @@ def test_near_dedup_stage_against_all_pairs(spark, sf, monkeypatch, small):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s"))
     left = corpus_pipeline.by_near_duplicates(spark, docs, sf)
     assert sorted(r.doc_id for r in left.collect()) == sorted({find(d) for d in range(len(texts))})
+
+
+def test_near_dedup_stage_links_what_simhash_finds(spark, sf, monkeypatch):
+    sketched = neardup._sketched
+    monkeypatch.setattr(neardup, "_sketched", lambda rows: sketched(rows).withColumn("bands", F.array().cast("array<bigint>")))
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(900)]
+    texts = [" ".join(rng.choice(words, 600)) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts + [texts[2] + " end"])), "doc_id long, text string")
+    left = corpus_pipeline.by_near_duplicates(spark, docs, sf)
+    assert sorted(r.doc_id for r in left.collect()) == [0, 1, 2, 3, 4]
