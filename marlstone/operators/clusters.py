@@ -67,19 +67,22 @@ def cut(n: int, merges: list[tuple[int, int]], k: int) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
+def silhouettes(to: np.ndarray, labels: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The silhouette of each row from its sums of distances to each label, of ``size`` members; single members count 0."""
+    own, at = size[labels] - 1, np.arange(len(to))
+    a = to[at, labels] / np.maximum(own, 1)
+    away = to / size
+    away[at, labels] = np.inf
+    b = away.min(axis=1)
+    top = np.maximum(a, b)
+    return np.where((own > 0) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
+
+
 def silhouette(d: np.ndarray, labels: np.ndarray) -> float:
     """Mean silhouette on a distance matrix; single members count 0."""
     groups = [labels == g for g in np.unique(labels)]
     to = np.stack([d[:, g].sum(axis=1) for g in groups], axis=1)
-    size = np.array([g.sum() for g in groups])
-    own = size[labels] - 1
-    a = to[np.arange(len(d)), labels] / np.maximum(own, 1)
-    away = to / size
-    away[np.arange(len(d)), labels] = np.inf
-    b = away.min(axis=1)
-    top = np.maximum(a, b)
-    s = np.where((own > 0) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
-    return float(s.mean())
+    return float(silhouettes(to, labels, np.array([g.sum() for g in groups])).mean())
 
 
 def best_cut(d: np.ndarray, least: int = 3, most: int = 8) -> np.ndarray:

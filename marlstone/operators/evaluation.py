@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.vocabulary import PATTERNS
-from marlstone.operators.clusters import silhouette
+from marlstone.operators.clusters import silhouettes
 from marlstone.operators.participants import prior_intent
+from marlstone.operators.settling import written
 from marlstone.operators.submission import normal_answer
 
 
@@ -106,26 +110,60 @@ def calinski_harabasz(df: DataFrame, batch: str, vector: str, label: str) -> Dat
     return sums.select(F.col("batch").alias(batch), "k", "n", F.when(usable, F.round(value, 2)).alias("calinski_harabasz"))
 
 
-def mean_silhouette(df: DataFrame, batch: str, vector: str, label: str, most: int = 4000) -> DataFrame:
+#: Rows of a block of vectors, and rows of it that are compared with another block at once.
+_BLOCK, _STRIPE = 2000, 250
+
+
+def _distance_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks (a, b) as the sums of distances from each row of a to each label of b, by block a."""
+    sums: dict[tuple, list] = {}
+    for found in batches:
+        for r in (x for i in range(found.num_rows) for x in found.slice(i, 1).to_pylist()):
+            codes = np.frombuffer(r["codes_b"], np.int64)
+            x, y = (np.frombuffer(r[f"packed_{side}"], float).reshape(n, -1) for side, n in (("a", len(r["codes_a"]) // 8), ("b", len(codes))))
+            _, total = sums.setdefault((r["batch"], r["a"]), (r, np.zeros((len(x), len(r["sizes"])))))
+            member = np.zeros((len(y), total.shape[1]))
+            member[np.arange(len(y)), codes] = 1
+            square = (y * y).sum(axis=1)
+            for at in range(0, len(x), _STRIPE):
+                part = x[at : at + _STRIPE]
+                d = np.sqrt(np.maximum((part * part).sum(axis=1)[:, None] + square[None, :] - 2 * part @ y.T, 0))
+                if r["a"] == r["b"]:
+                    d[np.arange(len(part)), np.arange(at, at + len(part))] = 0
+                total[at : at + _STRIPE] += d @ member
+    for (batch, block), (r, total) in sums.items():
+        yield pa.RecordBatch.from_pydict({"batch": [batch], "block": pa.array([block], pa.int64()), "codes": [r["codes_a"]], "sizes": pa.array([r["sizes"]], pa.list_(pa.int64())), "sums": [total.tobytes()]})
+
+
+def mean_silhouette(df: DataFrame, batch: str, vector: str, label: str) -> DataFrame:
     """(batch, silhouette): Euclidean silhouette of each batch, null under two labels.
 
-    It needs all distances of a batch, so a batch of more than ``most`` rows is refused.
+    It needs all distances of a batch, n^2 of them. Batches are cut into blocks of packed vectors, and each
+    pair of blocks is a row of a nested loop over the stored table, so only a block's sums by label are shuffled.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"a batch has {len(pdf)} rows; the silhouette takes {most} at most")
-        x = np.stack(pdf["v"].to_numpy()).astype(float)
-        labels = np.unique(pdf["l"].to_numpy(), return_inverse=True)[1]
-        k = labels.max() + 1
-        square = (x * x).sum(axis=1)
-        d = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0))
-        np.fill_diagonal(d, 0)
-        value = round(silhouette(d, labels), 4) if 2 <= k < len(x) else None
-        return pd.DataFrame({"batch": [pdf["batch"].iloc[0]], "silhouette": [value]})
-
-    slim = df.select(F.col(batch).alias("batch"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("l"))
-    return slim.groupBy("batch").applyInPandas(run, f"batch {dict(df.dtypes)[batch]}, silhouette double").withColumnRenamed("batch", batch)
+    kind = dict(df.dtypes)[batch]
+    slim = written(df.select(F.col(batch).alias("batch"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("l")))
+    sizes = slim.groupBy("batch", "l").agg(F.count("*").alias("size"))
+    sizes = sizes.withColumn("code", F.row_number().over(Window.partitionBy("batch").orderBy("l")) - 1)
+    whole = sizes.groupBy("batch").agg(F.sum("size").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("code", "size"))), lambda x: x["size"]).alias("sizes"))
+    rows = slim.withColumn("id", F.monotonically_increasing_id()).join(whole.select("batch", "n"), "batch")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / _BLOCK))).join(sizes.drop("size"), ["batch", "l"]).select("batch", "block", "code", "v")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"batch": [pdf["batch"].iloc[0]], "block": [pdf["block"].iloc[0]], "codes": [pdf["code"].to_numpy(np.int64).tobytes()], "packed": [np.stack(pdf["v"].to_numpy()).astype(float).tobytes()]})
+
+    packed = written(rows.groupBy("batch", "block").applyInPandas(pack, f"batch {kind}, block long, codes binary, packed binary").join(whole.select("batch", "sizes"), "batch"))
+    side = lambda name: packed.select(F.col("batch").alias(f"batch_{name}"), F.col("block").alias(name), F.col("codes").alias(f"codes_{name}"), F.col("packed").alias(f"packed_{name}"), *["sizes"] * (name == "a"))
+    pairs = side("a").join(side("b").hint("shuffle_replicate_nl"), F.col("batch_a") == F.col("batch_b")).withColumnRenamed("batch_a", "batch").drop("batch_b")
+    sums = pairs.mapInArrow(_distance_sums, f"batch {kind}, block long, codes binary, sizes array<long>, sums binary")
+
+    def of_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        codes, size = np.frombuffer(pdf["codes"].iloc[0], np.int64), np.asarray(pdf["sizes"].iloc[0])
+        total = sum(np.frombuffer(x, float) for x in pdf["sums"]).reshape(len(codes), len(size))
+        return pd.DataFrame({"batch": [pdf["batch"].iloc[0]], "total": [silhouettes(total, codes, size).sum()], "rows": [len(codes)], "k": [len(size)]})
+
+    each = sums.groupBy("batch", "block").applyInPandas(of_block, f"batch {kind}, total double, rows long, k long").groupBy("batch").agg(F.sum("total").alias("total"), F.sum("rows").alias("n"), F.max("k").alias("k"))
+    return each.select(F.col("batch").alias(batch), F.when((F.col("k") >= 2) & (F.col("k") < F.col("n")), F.round(F.col("total") / F.col("n"), 4)).alias("silhouette"))
 
 
 def token_score(total: Column, budget: int = 5_000_000) -> Column:

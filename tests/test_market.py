@@ -318,3 +318,15 @@ def test_self_trained_types_agree_with_their_sql_where_the_gates_pass(spark, tmp
     assert set(got["reason"]) == {""}
     trained = registry.queries()["model_types"](spark, str(tmp_path)).toPandas()
     assert len(trained) == len(got) and trained["trained"].any()
+
+
+def test_silhouette_of_a_batch_of_several_blocks(spark):
+    rng = np.random.default_rng(11)
+    x, labels = rng.normal(size=(4500, 4)), rng.integers(0, 5, 4500)
+    x += labels[:, None]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    rows = [("all", v, f"l{k}") for v, k in zip(x.tolist(), labels.tolist())] + [("few", [0.0], "a"), ("few", [0.0], "a"), ("few", [3.0], "b"), ("one", [1.0], "a"), ("one", [2.0], "a")]
+    got = evaluation.mean_silhouette(spark.createDataFrame(rows, "batch string, v array<double>, l string"), "batch", "v", "l").collect()
+    got = {r.batch: r.silhouette for r in got}
+    assert got["all"] == pytest.approx(clusters.silhouette(d, labels), abs=6e-5)
+    assert got["few"] == pytest.approx(2 / 3, abs=6e-5) and got["one"] is None
