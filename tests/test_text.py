@@ -320,3 +320,20 @@ def test_retrieve_doesnt_carry_a_questions_documents_with_each_chunk(spark):
     before = shuffled()
     assert retrieval.retrieve(chunks, asked, 8, 20, LATIN).count() == 8
     assert shuffled() - before < 500 * len(ids)
+
+
+def test_narrow_evidence_doesnt_carry_a_questions_documents_with_each_chunk(spark):
+    ids = [f"document-{d}" for d in range(1500)]
+    chunks = spark.createDataFrame([(d, "research", 0, f"term{i % 7} word{i} more words", False, "", "r", "prose", 1) for i, d in enumerate(ids)], chunking.CHUNK_SCHEMA)
+    asked = spark.createDataFrame([("q", "research", "what", {"A": "term1 word8"}, "multi", ids)], "qid string, domain string, question string, options map<string,string>, answer_format string, doc_ids array<string>")
+    chosen = spark.createDataFrame([(0, "q", "document-0", 0, "term0 word0 more words", False, "", "r", 1.0)], retrieval._CHOSEN)
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled() -> int:
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = shuffled()
+    got = {r.doc_id for r in answering.narrow_evidence(chunks, asked, chosen, 2, 24, LATIN).collect()}
+    assert "document-0" in got and len(got) == 2
+    assert shuffled() - before < 700 * len(ids)
