@@ -5,15 +5,18 @@ by its key; terms meet the queries' weights, which are counted and broadcast, so
 is a join key, and a chunk's scores are summed where it lies. Top-k uses ranks that Spark limits before
 its shuffle.
 
-``retrieve`` ranks, re-ranks and chooses inside a document in one call for each document that a question
-names, and only the few chunks chosen there meet in the question's group for the last choice. Its tables
-are compressed columns, written for one step and deleted after it.
+``documents`` shuffles chunks once, as words, into one row a document, which any number of retrievals read.
+``retrieve`` counts its terms there, then scores, ranks, re-ranks and chooses inside a document in one call, and
+only the few chunks chosen there meet in the question's group for the last choice. Its tables are compressed
+columns, written for one step and deleted after it.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import json
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -31,6 +34,8 @@ _MOST_TERMS, _MOST_WEIGHTS = 20_000, 500_000
 _MOST_ROWS = 50_000
 #: A run of an option number's characters: such a number stands in a text if it does in one of these.
 _NUMBER_RUN = r"[\d.%]+"
+#: Counts that a task holds before it hands them on.
+_MOST_COUNTS = 200_000
 
 
 def corpus_statistics(chunks: DataFrame, scope: str, toks: str = "toks") -> DataFrame:
@@ -56,11 +61,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, scope: str, key: list[str], quer
     """
     asked = settled(queries.select(scope, *query, F.explode(F.array_distinct(toks)).alias("term")))
     held = _kept(toks, asked.select("term").distinct())
-    return _scored(written(chunks.select(scope, *key, F.size(toks).alias("dl"), held.alias("held"))), asked, scope, key, query, key)
-
-
-def _scored(rows: DataFrame, asked: DataFrame, scope: str, key: list[str], query: list[str], together: list[str]) -> DataFrame:
-    """bm25 of rows (scope, key, dl, held) and asked (scope, query, term), in partitions by scope and ``together``."""
+    rows = written(chunks.select(scope, *key, F.size(toks).alias("dl"), held.alias("held")))
     df = rows.select(scope, F.explode(F.array_distinct("held")).alias("term")).groupBy(scope, "term").agg(F.count("*").alias("df"))
     stats = rows.groupBy(scope).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -68,7 +69,7 @@ def _scored(rows: DataFrame, asked: DataFrame, scope: str, key: list[str], query
     if weights.count() <= _MOST_WEIGHTS:
         weights = F.broadcast(weights)
     # Terms, parts and sums of a chunk stay in its partition: every grouping below contains its key.
-    near = rows.repartition(scope, *together).select(scope, *key, "dl", F.explode("held").alias("term"))
+    near = rows.repartition(scope, *key).select(scope, *key, "dl", F.explode("held").alias("term"))
     tf = near.groupBy(scope, *key, "dl", "term").agg(F.count("*").alias("tf"))
     length = 1 - B + B * F.col("dl") / F.greatest(F.lit(1.0), F.col("avgdl"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
@@ -197,62 +198,131 @@ _CHOSEN = "position int, qid string, doc_id string, chunk_id int, text string, i
 _SOME = "qid string, doc_at int, at int, doc_id string, chunk_id int, is_table boolean, region string, terms string"
 
 
-def _documents(chunks: DataFrame, questions: DataFrame, pool: int, preset: Preset, tables: Tables) -> DataFrame:
-    """One row for each document that a question names: its chunks, without texts, their scores, and what the question wants."""
-    of = questions.select("qid", F.size("doc_ids").alias("n_docs"), F.posexplode(F.array_distinct("doc_ids")).alias("doc_at", "doc_id"))
+def documents(chunks: DataFrame, questions: DataFrame, preset: Preset = CHINESE) -> DataFrame:
+    """One row for each document that a question names: who names it, and its chunks as lists, words instead of texts."""
+    names = questions.select("qid", F.size("doc_ids").alias("n_docs"), F.posexplode(F.array_distinct("doc_ids")).alias("doc_at", "doc_id"))
+    names = names.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("qid").alias("of"), "n_docs", "doc_at")).alias("names"))
+    told = chunks.select("doc_id", "chunk_id", "is_table", "region", normal_numbers(F.col("text")).alias("plain"))
+    words = F.array_join(plain_tokens(F.col("plain"), preset), "\n").alias("words")
+    runs = F.array_join(F.array_distinct(F.regexp_extract_all("plain", F.lit(_NUMBER_RUN), F.lit(0))), "\n").alias("runs")
+    told = told.select("doc_id", F.struct("chunk_id", "is_table", "region", words, runs).alias("c")).groupBy("doc_id").agg(F.collect_list("c").alias("c"))
+    return told.join(names.hint("merge"), "doc_id").select("doc_id", "names", "c.chunk_id", "c.is_table", "c.region", "c.words", "c.runs")
+
+
+def _split(text: str | None) -> list[str]:
+    return text.split("\n") if text else []
+
+
+def _named(read: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
+    """Documents once for each name that ``of`` has a row of, with that row."""
+    return read.select("doc_id", F.explode("names").alias("name"), *columns).select("doc_id", "name.*", *columns).join(_few(of), "of")
+
+
+def _counted(read: DataFrame, terms: DataFrame) -> DataFrame:
+    """(of, term, chunks, words): chunks that hold a term of terms (of, terms); without a term, all and their words."""
+    kind = pa.schema([("of", pa.string()), ("term", pa.string()), ("chunks", pa.int64()), ("words", pa.int64())])
+
+    def rows(held: dict, totals: dict) -> pa.RecordBatch:
+        some = [{"of": of, "term": t, "chunks": n, "words": 0} for of, counts in held.items() for t, n in counts.items()]
+        return pa.RecordBatch.from_pylist(some + [{"of": of, "term": None, "chunks": n, "words": w} for of, (n, w) in totals.items()], schema=kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, totals, asked = defaultdict(Counter), defaultdict(lambda: [0, 0]), lru_cache(1000)(lambda x: frozenset(_split(x)))
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                for d in batch.slice(start, 200).to_pylist():
+                    for words in map(_split, d["words"]):
+                        held[d["of"]].update(asked(d["terms"]).intersection(words))
+                        totals[d["of"]][0] += 1
+                        totals[d["of"]][1] += len(words)
+                if sum(map(len, held.values())) > _MOST_COUNTS:
+                    yield rows(held, totals)
+                    held.clear()
+                    totals.clear()
+        yield rows(held, totals)
+
+    found = _named(read, terms, "words").select("of", "words", "terms").mapInArrow(run, "of string, term string, chunks long, words long")
+    return found.groupBy("of", "term").agg(F.sum("chunks").alias("chunks"), F.sum("words").alias("words"))
+
+
+def _wanted(read: DataFrame, questions: DataFrame, preset: Preset) -> DataFrame:
+    """(of, wanted): what each question of a name's asks, as JSON, with its terms' weights in that name's documents."""
     variants = query_variants(questions)
     asked = settled(variants.select("qid", "variant", F.explode(F.array_distinct(tokens(F.col("query"), preset))).alias("term")))
-    told = chunks.select("doc_id", "chunk_id", "is_table", "region", normal_numbers(F.col("text")).alias("plain"))
-    told = told.select("doc_id", "chunk_id", "is_table", "region", plain_tokens(F.col("plain"), preset).alias("toks"), F.regexp_extract_all("plain", F.lit(_NUMBER_RUN), F.lit(0)).alias("runs"))
-    held = _kept("toks", asked.select("term").distinct())
-    terms = F.array_join(F.array_distinct("toks"), "\n").alias("terms")
-    told = tables.write(told.select("doc_id", "chunk_id", "is_table", "region", F.size("toks").alias("dl"), held.alias("held"), terms, F.array_distinct("runs").alias("runs")))
-    # The names come before the tokens' join, so only held tokens are shuffled for scores.
-    doc = ["doc_at", "doc_id"]
-    rows = tables.write(told.select("doc_id", "chunk_id", "dl", "held").join(of.hint("merge"), "doc_id").select("qid", *doc, "chunk_id", "dl", "held"))
-    scores = _scored(rows, asked, "qid", [*doc, "chunk_id"], ["variant"], doc)
-    scores = tables.write(scores.groupBy("qid", *doc).agg(F.collect_list(F.struct("chunk_id", "variant", F.round("score", 9).alias("score"))).alias("scores")))
+    of = questions.select("qid", "of")
+    terms = asked.join(of, "qid").groupBy("of").agg(F.array_join(F.collect_set("term"), "\n").alias("terms"))
+    # A name whose questions have no terms still has documents to count.
+    counts = settled(_counted(read, settled(of.select("of").distinct().join(terms, "of", "left"))))
+    totals = counts.where("term is null").select("of", F.col("chunks").alias("n"), (F.col("words") / F.col("chunks")).alias("avgdl"))
+    idf = F.log(1 + (F.col("n") - F.col("chunks") + 0.5) / (F.col("chunks") + 0.5))
+    weights = asked.groupBy("qid", "term").agg(F.collect_list("variant").alias("variants")).join(of, "qid").join(counts.where("term is not null"), ["of", "term"]).join(totals, "of")
+    weights = weights.groupBy("qid").agg(F.collect_list(F.struct("term", idf.alias("idf"), "variants")).alias("weights"))
     options = normal_numbers(F.array_join(F.map_values("options"), " "))
-    wanted = questions.select(
+    rows = questions.select(
         "qid",
+        "of",
         "domain",
         F.array_distinct(F.filter(F.regexp_extract_all(options, F.lit(f"({OPTION_NUMBER})"), F.lit(1)), lambda n: F.length(n) >= 2)).alias("option_numbers"),
         F.array_distinct(F.filter(tokens(options, preset), lambda t: F.length(t) >= 2)).alias("option_terms"),
-    ).join(variants.groupBy("qid").agg(F.count("*").cast("int").alias("variants")), "qid")
-    whole = told.groupBy("doc_id").agg(F.collect_list(F.struct("chunk_id", "is_table", "region", "terms", "runs")).alias("chunks"))
-    return of.hint("merge").join(scores, ["qid", *doc], "left").join(whole.hint("merge"), "doc_id").join(_few(settled(wanted)), "qid")
-
-
-def _chosen_inside(documents: DataFrame, top_k: int, pool: int) -> DataFrame:
+    ).join(variants.groupBy("qid").agg(F.count("*").cast("int").alias("variants")), "qid").join(totals, "of").join(weights, "qid", "left")
+    wanted = F.to_json(F.struct("qid", "domain", "option_numbers", "option_terms", "variants", "avgdl", "weights"))
+    return settled(rows.select("of", wanted.alias("wanted")).groupBy("of").agg(F.collect_list("wanted").alias("wanted")))
+
+
+def scores(chunks: list[dict], wanted: dict) -> list[dict]:
+    """BM25 scores (chunk_id, variant, score) of a document's chunks (chunk_id, counts, length) that share a term with a variant."""
+    out = []
+    for c in chunks:
+        by: Counter = Counter()
+        norm = K1 * (1 - B + B * c["length"] / max(1.0, wanted["avgdl"]))
+        for w in wanted["weights"]:
+            if tf := c["counts"].get(w["term"]):
+                part = w["idf"] * tf * (K1 + 1) / (tf + norm)
+                for v in w["variants"]:
+                    by[v] += part
+        out += [{"chunk_id": c["chunk_id"], "variant": v, "score": round(s, 9)} for v, s in by.items()]
+    return out
+
+
+def _chosen_inside(rows: DataFrame, top_k: int, pool: int) -> DataFrame:
     """(qid, doc_at, at, doc_id, chunk_id, is_table, region, terms): the choice inside each document, in order."""
     kind = pa.schema([("qid", pa.string()), ("doc_at", pa.int32()), ("at", pa.int32()), ("doc_id", pa.string()), ("chunk_id", pa.int32()), ("is_table", pa.bool_()), ("region", pa.string()), ("terms", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = lru_cache(1000)(lambda x: {"domain": None, "option_numbers": [], "option_terms": [], "weights": []} | json.loads(x))
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 rows = []
                 for d in batch.slice(start, 200).to_pylist():
-                    chunks = [dict(c, doc_id=d["doc_id"], said=c["terms"], terms=set(filter(None, (c["terms"] or "").split("\n"))), runs=c["runs"] or []) for c in d["chunks"]]
-                    wanted = {"variants": d["variants"], "domain": d["domain"], "option_numbers": d["option_numbers"] or [], "option_terms": d["option_terms"] or []}
-                    some = inside(candidates(chunks, d["scores"] or [], wanted, pool), d["n_docs"], top_k)
-                    rows += [{"qid": d["qid"], "doc_at": d["doc_at"], "at": i, "doc_id": x["doc_id"], "chunk_id": x["chunk_id"], "is_table": x["is_table"], "region": x["region"], "terms": x["said"]} for i, x in enumerate(some)]
+                    chunks = []
+                    for i, is_table, region, words, runs in zip(d["chunk_id"], d["is_table"], d["region"], map(_split, d["words"]), map(_split, d["runs"])):
+                        counts = dict(Counter(words))
+                        chunks.append({"doc_id": d["doc_id"], "chunk_id": i, "is_table": is_table, "region": region, "runs": runs, "counts": counts, "length": len(words), "terms": set(counts)})
+                    for wanted in map(read, d["wanted"]):
+                        some = inside(candidates(chunks, scores(chunks, wanted), wanted, pool), d["n_docs"], top_k)
+                        rows += [{"qid": wanted["qid"], "doc_at": d["doc_at"], "at": i, "doc_id": x["doc_id"], "chunk_id": x["chunk_id"], "is_table": x["is_table"], "region": x["region"], "terms": "\n".join(x["counts"])} for i, x in enumerate(some)]
                 yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-    return documents.mapInArrow(run, _SOME)
+    return rows.mapInArrow(run, _SOME)
 
 
-def retrieve(chunks: DataFrame, questions: DataFrame, top_k: int = 8, pool: int = 20, preset: Preset = CHINESE, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def retrieve(chunks: DataFrame, questions: DataFrame, top_k: int = 8, pool: int = 20, preset: Preset = CHINESE, rerank: Callable[[DataFrame], DataFrame] | None = None, read: DataFrame | None = None) -> DataFrame:
     """(qid, position, doc_id, chunk_id, text, is_table, section, region, score) of each question.
 
     A document's candidates are at most ``pool`` of its chunks; a question's group holds what was chosen
     inside each of its documents (four chunks, or more for questions of few documents), without
     texts, which join the chosen ones. Chunks are read twice, so they should be a stored table.
+    ``read`` is a stored table of ``documents`` of these chunks; questions then have a column ``of``, the
+    question there whose documents are theirs.
     ``rerank`` may order the balanced choice anew before the
     final one: it gets (qid, place, question, text) of questions with more than ``top_k`` chunks,
     texts of 600 characters at most, and returns (qid, place, rank); what it leaves out comes last.
     """
     tables = Tables()
-    some = tables.write(_chosen_inside(_documents(chunks, questions, pool, preset, tables), top_k, pool))
+    if read is None:
+        read, questions = tables.write(documents(chunks, questions, preset)), questions.withColumn("of", F.col("qid"))
+    named = _named(read, _wanted(read, questions, preset), "chunk_id", "is_table", "region", "words", "runs")
+    some = tables.write(_chosen_inside(named, top_k, pool))
     tables.clear(but=some)
     order = ["doc_at", "at"]
     if rerank is not None:

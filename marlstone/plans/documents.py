@@ -9,7 +9,7 @@ from marlstone.functions import sequences, text
 from marlstone.functions.numeric import minute_of_day, number, plain_date
 from marlstone.functions.text import LATIN
 from marlstone.operators import answering, chunking, daily, evaluation, retrieval, submission
-from marlstone.operators.settling import written
+from marlstone.operators.settling import Tables
 from marlstone.plans.fixtures import settled, table
 from marlstone.plans.registry import query
 from marlstone.sources import sinks, ticks
@@ -199,22 +199,30 @@ def chunks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir)
 
 
-def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    asked = written(questions(spark, sf_dir))
-    parts = written(chunks(spark, sf_dir))
-    return asked, parts, settled(retrieval.retrieve(parts, asked, 8, 20, LATIN))
+def _asked(spark: SparkSession, sf_dir: str, tables: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Questions, chunks, their documents as retrieval reads them, and the chosen chunks."""
+    asked = tables.write(questions(spark, sf_dir))
+    parts = tables.write(chunks(spark, sf_dir))
+    read = tables.write(retrieval.documents(parts, asked, LATIN))
+    return asked, parts, read, settled(retrieval.retrieve(parts, asked.withColumn("of", F.col("qid")), 8, 20, LATIN, read=read))
 
 
 @query("balanced_retrieval")
 def balanced_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _asked(spark, sf_dir)[2].select("qid", "position", "doc_id", "chunk_id", "is_table", "region", F.round("score", 6).alias("score"))
+    tables = Tables()
+    chosen = _asked(spark, sf_dir, tables)[-1]
+    tables.clear()
+    return chosen.select("qid", "position", "doc_id", "chunk_id", "is_table", "region", F.round("score", 6).alias("score"))
 
 
 @query("narrow_evidence")
 def narrow_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chosen chunks, with those that single options of multi questions bring."""
-    asked, parts, chosen = _asked(spark, sf_dir)
-    return answering.narrow_evidence(parts, asked, chosen, 2, 24, LATIN).select("qid", "position", "doc_id", "chunk_id")
+    tables = Tables()
+    asked, parts, read, chosen = _asked(spark, sf_dir, tables)
+    found = answering.narrow_evidence(parts, asked, chosen, 2, 24, LATIN, read).select("qid", "position", "doc_id", "chunk_id")
+    tables.clear()
+    return found
 
 
 _N = "(select max(item_id) + 1 from benchmark)"

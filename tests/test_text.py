@@ -1,4 +1,6 @@
+import json
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -337,3 +339,43 @@ def test_narrow_evidence_doesnt_carry_a_questions_documents_with_each_chunk(spar
     got = {r.doc_id for r in answering.narrow_evidence(chunks, asked, chosen, 2, 24, LATIN).collect()}
     assert "document-0" in got and len(got) == 2
     assert shuffled() - before < 700 * len(ids)
+
+
+def test_narrow_evidence_shuffles_a_documents_words_once_for_all_options(spark):
+    words = [f"w{i:03d}x" for i in range(400)]
+    said = [(f"d{d:03d}", c, " ".join(words[(d * 7 + c * 31 + i * (c + 1)) % 400] for i in range(120))) for d in range(300) for c in range(4)]
+    chunks = spark.createDataFrame([(d, "research", c, t, False, "", f"r{c}", "prose", len(t)) for d, c, t in said], chunking.CHUNK_SCHEMA)
+    options = {k: " ".join(words[i * 100 : i * 100 + 100]) for i, k in enumerate("ABCD")}
+    asked = spark.createDataFrame([("q", "research", "what", options, "multi", sorted({d for d, _, _ in said}))], "qid string, domain string, question string, options map<string,string>, answer_format string, doc_ids array<string>")
+    chosen = spark.createDataFrame([(0, "q", "d000", 9, "nothing", False, "", "r", 1.0)], retrieval._CHOSEN)
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled() -> int:
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = shuffled()
+    got = [(r.doc_id, r.chunk_id) for r in answering.narrow_evidence(chunks, asked, chosen, 2, 24, LATIN).collect()]
+    moved = shuffled() - before
+    assert moved < 2 * sum(len(t) for _, _, t in said), moved
+    read = retrieval.documents(chunks, asked, LATIN).localCheckpoint()
+    assert [(r.doc_id, r.chunk_id) for r in answering.narrow_evidence(chunks, asked, chosen, 2, 24, LATIN, read).collect()] == got
+
+
+def test_scores_inside_a_document_are_those_of_bm25(spark):
+    texts = [("d", 0, ["a", "b", "a", "c"]), ("d", 1, ["b"]), ("e", 0, ["x", "y"]), ("e", 1, ["a", "c", "c", "c"])]
+    rows = spark.createDataFrame([("q", *t) for t in texts], "scope string, doc_id string, chunk_id int, toks array<string>")
+    queries = spark.createDataFrame([("q", 0, ["a", "b", "a"]), ("q", 1, ["c", "z"])], "scope string, variant int, toks array<string>")
+    want = {(r.doc_id, r.chunk_id, r.variant): round(r.score, 9) for r in retrieval.bm25(rows, queries, "scope", ["doc_id", "chunk_id"], ["variant"]).collect()}
+    plain = spark.createDataFrame([(d, c, False, "", " ".join(t)) for d, c, t in texts], "doc_id string, chunk_id int, is_table boolean, region string, text string")
+    asked = spark.createDataFrame([("q", "q", "research", "a b a", {"A": "c z"}, ["d", "e"])], "qid string, of string, domain string, question string, options map<string,string>, doc_ids array<string>")
+    read = retrieval.documents(plain, asked, LATIN)
+    wanted = json.loads(retrieval._wanted(read, asked, LATIN).first().wanted[0])
+    got = {}
+    for r in read.collect():
+        chunks = [{"chunk_id": i, "counts": Counter(w.split("\n")), "length": len(w.split("\n"))} for i, w in zip(r.chunk_id, r.words)]
+        got |= {(r.doc_id, s["chunk_id"], s["variant"]): s["score"] for s in retrieval.scores(chunks, wanted)}
+    # The second variant is the question with its option, so it asks all three terms.
+    assert {k: v for k, v in got.items() if k[2] == 0} == {k: v for k, v in want.items() if k[2] == 0}
+    both = {k[:2]: v for k, v in got.items() if k[2] == 1}
+    assert len(both) == 3 and both == pytest.approx({k: want.get((*k, 0), 0) + want.get((*k, 1), 0) for k in both}, abs=1e-8)
